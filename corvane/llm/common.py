@@ -10,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship, table
+
+__all__ = ["ship", "table"]
+
 #: Runs of these are words: everything but space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Key of a row whose doc_id is null; it sorts before every other.
@@ -17,10 +21,6 @@ NO_ID = -(1 << 63)
 U = np.uint64
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -166,8 +166,8 @@ def shingles(h: np.ndarray, at: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.
     grams = windowed(np.concatenate([h, np.zeros(k, U)]), k)
     out = grams[pos] if len(pos) else np.zeros(0, U)
     for d in np.flatnonzero((n > 0) & (n < k)):
-        w, x = h[at[d] : at[d + 1]], U(len(h[at[d] : at[d + 1]]))
-        for v in w:
-            x = mix(np.array([x * U(0x9FB21C651E98DF25) + v], U))[0]
-        out[to[d]] = x
+        x = np.full(1, n[d], U)
+        for i in range(at[d], at[d + 1]):
+            x = mix(x * U(0x9FB21C651E98DF25) + h[i : i + 1])
+        out[to[d]] = x[0]
     return out, to

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .fingerprints import fingerprints_with_edits
+from .language_id import identify, profiles
 from .mixing import copies
+from .url_filter import judge
+from .warc import archive_round_trip
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,7 +18,29 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {"op4_source_mix": op4_source_mix}
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    said = identify(docs, profiles(docs.where(~held_out)))
+    return said.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), RULES)
+
+
+def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints_with_edits(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_language_id": op2_language_id, "op3_url_filter": op3_url_filter, "op7_arc_to_warc": op7_arc_to_warc, "op8_fingerprints": op8_fingerprints, "op4_source_mix": op4_source_mix}
 
 _OP4 = r"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
@@ -32,4 +58,14 @@ counted AS (SELECT *, (floor(rate) + CASE WHEN chance < rate - floor(rate) THEN
 SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken FROM counted
 """
 
-ORACLES = {"op4_source_mix": _OP4}
+_OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+ORACLES = {"op4_source_mix": _OP4, "op7_arc_to_warc": _OP7}
