@@ -9,6 +9,8 @@ from .common import table
 from .fingerprints import fingerprints_with_edits
 from .language_id import identify, profiles
 from .mixing import copies
+from .substring_dedup import remove_substrings
+from .suffix_dedup import remove_repeats
 from .url_filter import judge
 from .warc import archive_round_trip
 
@@ -40,7 +42,15 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints_with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_language_id": op2_language_id, "op3_url_filter": op3_url_filter, "op7_arc_to_warc": op7_arc_to_warc, "op8_fingerprints": op8_fingerprints, "op4_source_mix": op4_source_mix}
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_substrings(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_url_filter, op4_source_mix, op5_substring_dedup, op7_arc_to_warc, op8_fingerprints)}
 
 _OP4 = r"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),

@@ -97,7 +97,7 @@ def score(model: tuple[np.ndarray, float], hosts: pa.Array, paths: pa.Array) ->
     return 1 / (1 + np.exp(-(np.bincount(row, weight[feature], len(hosts)) * norm + bias)))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: list[tuple[str, int]] | None = None, threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: list[tuple[str, int]] | None = None, threshold: float = 0.45) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block) and score of every page.
 
     rules: (action, host and path), such as ("block", "net/de/"); the longest that fits decides. They and the model
