@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the key (k, sub) of a row.
+    """text and the key (k, sub) of a row; k is the doc_id, or NO_ID for null.
 
     Rows with equal doc_id and text are one document; rows that share only the doc_id are told apart by
     the hash of the text in sub, which is 0 where doc_ids are unique. A null text is empty.
@@ -47,13 +48,16 @@ def keyed(docs: DataFrame) -> DataFrame:
     repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
         text.alias("text"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"),
         (F.xxhash64(text) if repeated else F.lit(0).cast("long")).alias("sub"),
     )
 
 
+def doc_ids(k: pa.Array) -> pa.Array:
+    return pc.if_else(pc.equal(k, NO_ID), pa.scalar(None, pa.int64()), k)
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

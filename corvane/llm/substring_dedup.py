@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, spans_hash, utf8, words
+from .common import doc_ids, slices, spans_hash, utf8, words
 from .windows import Kind, covered, redundant, redundant_windows
 
 
@@ -38,7 +38,7 @@ def remove_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
                 data, off = utf8(b.column("text"))
                 begin, end, at = words(data, off)
                 out = []
-                for i, (doc_id, text) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)):
+                for i, (doc_id, text) in enumerate(zip(doc_ids(b.column("k")).to_pylist(), b.column("text").to_pylist(), strict=True)):
                     told, n = b.column("said")[i], int(at[i + 1] - at[i])
                     found = text.encode().split()
                     if told.is_valid:
@@ -49,4 +49,4 @@ def remove_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
                     out.append((doc_id, n, n - len(found), hashlib.sha256(b" ".join(found)).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.string()], strict=True)], [x.split()[0] for x in schema.split(", ")])
 
-    return rows.join(said, ["k", "sub"], "left").select("doc_id", "text", "k", "sub", "said", "hashes").mapInArrow(run, schema)
+    return rows.join(said, ["k", "sub"], "left").select("text", "k", "sub", "said", "hashes").mapInArrow(run, schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import doc_ids, slices, utf8
 from .windows import Kind, covered, redundant, redundant_windows
 
 
@@ -42,7 +42,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, with_text: bool = Fals
             for b in slices(batch, "text", 4_000_000):
                 data, off = utf8(b.column("text"))
                 out, texts = [], []
-                for i, doc_id in enumerate(b.column("doc_id").to_pylist()):
+                for i, doc_id in enumerate(doc_ids(b.column("k")).to_pylist()):
                     own, told = data[off[i] : off[i + 1]], b.column("said")[i]
                     n, gone = len(own), None
                     if told.is_valid:
@@ -57,7 +57,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, with_text: bool = Fals
                     arrays += [b.column("k"), b.column("sub"), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in schema.split(", ")])
 
-    return rows.join(said, ["k", "sub"], "left").select("doc_id", "text", "k", "sub", "said").mapInArrow(run, schema)
+    return rows.join(said, ["k", "sub"], "left").select("text", "k", "sub", "said").mapInArrow(run, schema)
 
 
 def clean_documents(docs: DataFrame, threshold: int = 100) -> DataFrame:

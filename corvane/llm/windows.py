@@ -280,7 +280,7 @@ def redundant_windows(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame
     repeated = runs.join(counts, "gram")
     told = repeated.select("k", "sub", F.struct("gram", (F.col("run") * 2 + F.col("hot").cast("long")).alias("run")).alias("r"))
     found = cut(told.groupBy("k", "sub").agg(F.collect_list("r").alias("runs")))
-    texts = rows.join(found, ["k", "sub"]).select("doc_id", "text", "k", "sub", "runs").mapInArrow(_texts(kind), "gram long, hot boolean, content binary, k long, sub long, first long, n long")
+    texts = rows.join(found, ["k", "sub"]).select("text", "k", "sub", "runs").mapInArrow(_texts(kind), "gram long, hot boolean, content binary, k long, sub long, first long, n long")
     cold = texts.where("not hot")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = cold.drop("hot").repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_buckets(kind), "k long, sub long, said long")
