@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, keyed, mix, shingles, slices, spans_hash, utf8, words
+from .common import U, doc_ids, keyed, mix, shingles, slices, spans_hash, utf8, words
 
 BINS, BITS = 512, 4
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
@@ -65,7 +65,9 @@ def sketches(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
         for a, b in zip(heads, [*heads[1:], len(rows)], strict=True):
             full, c = np.flatnonzero(filled[rows[a]]), cols[a:b]
             bins[rows[a], c] = bins[rows[a], full[place[np.ix_(c, full)].argmin(1)]]
-    return (mix(bins) & U((1 << BITS) - 1)).astype(np.uint8), some
+    # salted by bin: else one value in many bins would agree with another in all of them or in none
+    salted = mix(bins + np.arange(1, BINS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+    return (salted & U((1 << BITS) - 1)).astype(np.uint8), some
 
 
 def packed(low: np.ndarray, some: np.ndarray) -> list[str]:
@@ -123,7 +125,8 @@ def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / parts for i in range(1, parts)] or [0.5], 10000)).first()[0] or []
     block = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<bigint>"), lambda c: c <= F.col("k")))
-    dealt = rows.select("doc_id", "k", "text", block.alias("block")).repartition(parts, "block")
+    # all branches below need the same columns of this exchange, so that it is made once
+    dealt = rows.select("k", "text", block.alias("block")).repartition(parts, "block")
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
@@ -133,20 +136,20 @@ def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
                 held = both.slice(both.num_rows - 1)
                 block = both.column("block").to_numpy(zero_copy_only=False)
                 if both.num_rows > 1:
-                    out = _compare(both.column("doc_id").slice(0, both.num_rows - 1), both.column("text").to_pylist(), None)
+                    out = _compare(doc_ids(both.column("k")).slice(0, both.num_rows - 1), both.column("text").to_pylist(), None)
                     yield out.filter(pa.array(block[:-1] == block[1:]))
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text", 1_500_000):
-                yield _compare(b.column("doc_id"), b.column("text").to_pylist(), b.column("following").to_pylist())
+                yield _compare(doc_ids(b.column("k")), b.column("text").to_pylist(), b.column("following").to_pylist())
 
     inside = dealt.sortWithinPartitions("block", "k", "text").mapInArrow(inner, SCHEMA)
-    ends = dealt.groupBy("block").agg(F.min(F.struct("k", "text")).alias("a"), F.max(F.struct("k", "text", "doc_id")).alias("z"))
+    ends = dealt.groupBy("block").agg(F.min(F.struct("k", "text")).alias("a"), F.max(F.struct("k", "text")).alias("z"))
     # one row a block: the order of the blocks, the first after the last
     order = Window.orderBy("block")
     onward = ends.select("block").withColumn("after", F.coalesce(F.lead("block").over(order), F.min("block").over(order))).select(F.col("block").alias("at"), "after")
     heads = ends.select(F.col("block").alias("after"), F.col("a.text").alias("following"))
-    tails = ends.select("block", F.col("z.doc_id").alias("doc_id"), F.col("z.text").alias("text"))
-    last = tails.join(onward, F.col("block") == F.col("at")).join(heads, "after").select("doc_id", "text", "following")
+    tails = ends.select("block", F.col("z.k").alias("k"), F.col("z.text").alias("text"))
+    last = tails.join(onward, F.col("block") == F.col("at")).join(heads, "after").select("k", "text", "following")
     return inside.unionByName(last.mapInArrow(outer, SCHEMA))
