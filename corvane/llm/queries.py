@@ -9,6 +9,7 @@ from .common import table
 from .fingerprints import fingerprints_with_edits
 from .language_id import identify, profiles
 from .mixing import copies
+from .quality import fit, score_documents
 from .substring_dedup import remove_substrings
 from .suffix_dedup import remove_repeats
 from .url_filter import judge
@@ -34,6 +35,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), RULES)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -50,7 +56,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_substrings(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_url_filter, op4_source_mix, op5_substring_dedup, op7_arc_to_warc, op8_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_url_filter, op4_source_mix, op5_substring_dedup, op6_quality_classifier, op7_arc_to_warc, op8_fingerprints)}
 
 _OP4 = r"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
