@@ -120,9 +120,17 @@ def spans_hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
     global _UP, _DOWN
     if len(_UP) <= len(data):
         _UP, _DOWN = _powers(_BASE, len(data) + 1024), _powers(_INVERSE, len(data) + 1024)
-    run = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * _UP[: len(data)], out=run[1:])
-    return mix((run[end] - run[begin]) * _DOWN[begin] + (end - begin).astype(U) * U(0xD6E8FEB86659FD93))
+    run = np.empty(len(data) + 1, U)
+    run[0] = 0
+    run[1:] = data
+    run[1:] += U(1)
+    run[1:] *= _UP[: len(data)]
+    np.cumsum(run, out=run)
+    out = run[end]
+    out -= run[begin]
+    out *= _DOWN[begin]
+    out += (end - begin).astype(U) * U(0xD6E8FEB86659FD93)
+    return mix(out)
 
 
 _IS_SPACE = np.zeros(256, bool)

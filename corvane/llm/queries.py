@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import leaks
 from .fingerprints import fingerprints_with_edits
 from .language_id import identify, profiles
 from .mixing import copies
@@ -57,11 +58,15 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_substrings(table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_url_filter, op4_source_mix, op5_substring_dedup, op6_quality_classifier, op7_arc_to_warc, op8_fingerprints, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_url_filter, op4_source_mix, op5_substring_dedup, op6_quality_classifier, op7_arc_to_warc, op8_fingerprints, op9_decontaminate, op10_near_duplicates)}
 
 _OP4 = r"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
