@@ -39,8 +39,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """text and the key (k, sub) of a row; k is the doc_id, or NO_ID for null.
+def keyed(docs: DataFrame, carry: Column | None = None) -> DataFrame:
+    """text and the key (k, sub) of a row, and carry as rest; k is the doc_id, or NO_ID for null.
 
     Rows with equal doc_id and text are one document; rows that share only the doc_id are told apart by
     the hash of the text in sub, which is 0 where doc_ids are unique. A null text is empty.
@@ -51,6 +51,7 @@ def keyed(docs: DataFrame) -> DataFrame:
         text.alias("text"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"),
         (F.xxhash64(text) if repeated else F.lit(0).cast("long")).alias("sub"),
+        *([] if carry is None else [carry.alias("rest")]),
     )
 
 

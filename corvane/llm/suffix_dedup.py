@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import doc_ids, slices, utf8
 from .windows import Kind, covered, redundant, redundant_windows
@@ -24,51 +25,65 @@ def suffixes(threshold: int = 100) -> Kind:
     return Kind(words=False, length=threshold, gram=max(8, threshold * 24 // 100), by_document=False, digits=4 if threshold % 4 == 0 else 1)
 
 
-def remove_repeats(docs: DataFrame, threshold: int = 100, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document (and its cleaned text).
+def remove_repeats(docs: DataFrame, threshold: int = 100) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document.
 
     A byte goes if a threshold-byte string that covers it also starts earlier: in a document with a smaller doc_id,
     or earlier in its own. Strings are judged on the input; texts are UTF-8 and matches stay within a document. Null
     text is empty; a null doc_id comes first; rows with equal doc_id and text are one document; rows that share only
-    the doc_id are ordered by a hash of their text. Texts under threshold bytes stay. Empty table: no rows. In the
-    cleaned text, characters of which bytes went are left out.
+    the doc_id are ordered by a hash of their text. Texts under threshold bytes stay. Empty table: no rows.
+    Other columns are not looked at.
     """
     kind = suffixes(threshold)
     rows, said = redundant_windows(docs, kind)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", k long, sub long, kept string" * with_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text", 4_000_000):
-                data, off = utf8(b.column("text"))
-                out, texts = [], []
-                for i, doc_id in enumerate(doc_ids(b.column("k")).to_pylist()):
-                    own, told = data[off[i] : off[i + 1]], b.column("said")[i]
-                    n, gone = len(own), None
-                    if told.is_valid:
-                        gone = covered(redundant(kind, n - threshold + 1, told.values.to_numpy(), np.zeros(0), lambda: own), n, threshold)
+            for b in slices(batch, "text", 2_000_000):
+                out = []
+                for doc_id, (own, gone) in zip(doc_ids(b.column("k")).to_pylist(), _marked(b, kind), strict=True):
                     kept = own if gone is None else own[~gone]
                     spans = 0 if gone is None else int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                    out.append((doc_id, n, n - len(kept), spans, hashlib.sha256(kept).hexdigest()))
-                    if with_text:
-                        texts.append(kept.tobytes().decode("utf-8", "ignore"))
+                    out.append((doc_id, len(own), len(own) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
                 arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.string()], strict=True)]
-                if with_text:
-                    arrays += [b.column("k"), b.column("sub"), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in schema.split(", ")])
 
     return rows.join(said, ["k", "sub"], "left").select("text", "k", "sub", "said").mapInArrow(run, schema)
 
 
+def _marked(b: pa.RecordBatch, kind: Kind) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Bytes of each text of a batch, and which of them go (None: none)."""
+    data, off = utf8(b.column("text"))
+    for i in range(b.num_rows):
+        own, told, gone = data[off[i] : off[i + 1]], b.column("said")[i], None
+        if told.is_valid:
+            gone = covered(redundant(kind, len(own) - kind.length + 1, told.values.to_numpy(), np.zeros(0), None), len(own), kind.length)
+        yield own, gone
+
+
 def clean_documents(docs: DataFrame, threshold: int = 100) -> DataFrame:
-    """docs with the repeats taken out of text; a document of which nothing is left goes.
+    """docs with the repeats taken out of text (and n_chars counted anew); a document of which nothing is left goes.
 
-    Documents that were empty before, null texts included, stay as they are.
+    Characters of which only some bytes are repeated go whole. Documents that were empty before, null texts included,
+    stay as they are. All columns travel with the text, which is exchanged once.
     """
-    kept = remove_repeats(docs.select("doc_id", "text"), threshold, True).where("n_removed > 0").select("k", "sub", "kept", (F.col("n_removed") == F.col("n_bytes")).alias("all"))
-    kept = kept.dropDuplicates(["k", "sub"])
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    hashed = F.when(F.col("__sub") == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    kept = kept.select(F.col("k").alias("__k"), F.col("sub").alias("__sub"), F.col("kept").alias("__kept"), F.col("all").alias("__all"))
-    joined = docs.join(kept, (key == F.col("__k")) & (hashed == F.col("__sub")), "left").where("not coalesce(__all, false)")
-    return joined.withColumn("text", F.coalesce("__kept", "text")).select(*docs.columns)
+    kind = suffixes(threshold)
+    rest = [c for c in docs.columns if c != "text"]
+    rows, said = redundant_windows(docs, kind, F.struct(*rest, F.col("text").isNull().alias("__null")))
+    schema = T.StructType([T.StructField("rest", rows.schema["rest"].dataType), T.StructField("text", T.StringType()), T.StructField("changed", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, "text", 2_000_000):
+                texts, changed = [], []
+                for own, gone in _marked(b, kind):
+                    changed.append(gone is not None and bool(gone.any()))
+                    texts.append((own[~gone] if changed[-1] else own).tobytes().decode("utf-8", "ignore"))
+                yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(texts, pa.string()), pa.array(changed)], ["rest", "text", "changed"])
+
+    out = rows.join(said, ["k", "sub"], "left").select("text", "k", "sub", "rest", "said").mapInArrow(run, schema).where("not changed or text <> ''")
+    fields = {c: F.col("rest").getField(c) for c in rest} | {"text": F.when(~F.col("rest.__null"), F.col("text"))}
+    if "n_chars" in fields:
+        fields["n_chars"] = F.when(F.col("changed"), F.length("text")).otherwise(fields["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[fields[c].alias(c) for c in docs.columns])

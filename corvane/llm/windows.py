@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U, cut, keyed, mix, slices, spans_hash, utf8, words
@@ -268,19 +268,19 @@ def _spread(kind: Kind) -> Callable:
     return run
 
 
-def redundant_windows(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
-    """The keyed documents, and (k, sub, said, hashes) for those with windows that may be redundant.
+def redundant_windows(docs: DataFrame, kind: Kind, carry: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The keyed documents (with carry as rest), and (k, sub, said, hashes) for those with windows that may be redundant.
 
     said holds start << 10 | size << 2 | what: RANGE for redundant windows, HOT_RUN for the runs of hot buckets, whose
     windows are redundant unless KEPT names their place or (by_document) hashes holds their hash.
     """
-    rows = keyed(docs)
+    rows = keyed(docs, carry)
     runs = rows.select("k", "sub", "text").mapInArrow(_emit(kind), "gram long, k long, sub long, run long")
     counts = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", (F.col("n") > HOT).alias("hot"))
     repeated = runs.join(counts, "gram")
     told = repeated.select("k", "sub", F.struct("gram", (F.col("run") * 2 + F.col("hot").cast("long")).alias("run")).alias("r"))
     found = cut(told.groupBy("k", "sub").agg(F.collect_list("r").alias("runs")))
-    texts = rows.join(found, ["k", "sub"]).select("text", "k", "sub", "runs").mapInArrow(_texts(kind), "gram long, hot boolean, content binary, k long, sub long, first long, n long")
+    texts = rows.join(found, ["k", "sub"]).select(*rows.columns, "runs").mapInArrow(_texts(kind), "gram long, hot boolean, content binary, k long, sub long, first long, n long")
     cold = texts.where("not hot")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = cold.drop("hot").repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_buckets(kind), "k long, sub long, said long")
@@ -294,8 +294,8 @@ def redundant_windows(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame
     return rows, both.groupBy("k", "sub").agg(F.collect_list("said").alias("said"), F.collect_list("h").alias("hashes"))
 
 
-def redundant(kind: Kind, n: int, said: np.ndarray, hashes: np.ndarray, tokens: Callable[[], np.ndarray]) -> np.ndarray:
-    """Which of a document's n windows are redundant."""
+def redundant(kind: Kind, n: int, said: np.ndarray, hashes: np.ndarray, tokens: np.ndarray | None) -> np.ndarray:
+    """Which of a document's n windows are redundant. tokens: needed where there are hashes."""
     start, size, what = said >> 10, said >> 2 & 255, said & 3
     marks = np.zeros(n + 1, np.int32)
     for w in (RANGE, HOT_RUN):
@@ -308,7 +308,7 @@ def redundant(kind: Kind, n: int, said: np.ndarray, hashes: np.ndarray, tokens:
         np.add.at(hot, start[what == HOT_RUN], 1)
         np.add.at(hot, (start + size)[what == HOT_RUN], -1)
         at = np.flatnonzero(np.cumsum(hot)[:n] > 0)
-        own = gram_hash(tokens(), kind.length, not kind.words)[at].view(np.int64)
+        own = gram_hash(tokens, kind.length, not kind.words)[at].view(np.int64)
         gone[at[np.isin(own, hashes)]] = False
     return gone
 
