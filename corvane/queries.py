@@ -1,6 +1,562 @@
-"""Registered queries of the library and the SQL they are held against."""
+"""Registered queries of the library; oracles.py has the SQL that they are held against."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .operators import analytics, answers, catalog, chunking, numeric, search, training
+from .oracles import ORACLES
+from .session import table
+
+QUESTION = "Why is the eren thble of the erand because and for tionble?"
+WORDS = ["eren", "tionble", "thble", "erand"]
 QUERIES: dict = {}
-ORACLES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as chunks of a library."""
+    d = docs(spark, sf_dir)
+    return d.select("doc_id", "text", "source", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), F.lit("document").alias("location"), F.col("lang").alias("domain"), F.lit("txt").alias("kind"))
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations")
+
+
+def r6(c: str) -> F.Column:
+    return F.round(c, 6).alias(c)
+
+
+# text
+
+
+@query
+def tokenize_docs(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.array_join(X.tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query
+def sentence_split(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence")).select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence")
+
+
+@query
+def runtime_sentences(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(X.runtime_sentences(F.col("text"))).alias("pos", "sentence")).select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence")
+
+
+@query
+def normalize_text(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    noisy = F.concat(F.lit("  \r\n"), F.replace(F.col("text"), F.lit(". "), F.lit(".\t \r\n\r\n\r\n\r\n ")), F.lit(" ­x \n"))
+    return d.select("doc_id", F.sha2(X.normalize(noisy), 256).alias("sha"), F.length(X.normalize(noisy)).cast("long").alias("n"))
+
+
+@query
+def word_count(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", X.unicode_word_count(F.col("text")).alias("words"))
+
+
+@query
+def content_hash(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", X.content_hash(F.col("text")).alias("content_sha256"), X.file_hash(F.col("text")).alias("sha256"))
+
+
+@query
+def byte_tokens(spark, sf_dir):
+    d = docs(spark, sf_dir).select("doc_id", training.byte_tokens(F.substring("text", 1, 200)).alias("t"))
+    return d.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.col("t").cast("array<string>"), " ").alias("ids"))
+
+
+@query
+def infer_domain(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", X.infer_domain(F.col("url"), F.col("html")).alias("domain"))
+
+
+@query
+def content_terms(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.array_join(X.content_terms(F.col("text")), " ").alias("terms"))
+
+
+@query
+def question_terms(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.array_sort(X.question_terms(F.col("text"))), " ").alias("terms"))
+
+
+@query
+def intent_bonus(spark, sf_dir):
+    asked = F.element_at(F.array(*map(F.lit, ["why so", "When was it", "where to", "who is", "what happened when", "how"])), (F.col("doc_id") % 6 + 1).cast("int"))
+    return docs(spark, sf_dir).select("doc_id", X.intent_bonus(asked, F.col("text")).alias("bonus"))
+
+
+@query
+def excerpts(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", X.excerpt(F.col("text"), 420).alias("excerpt"))
+
+
+@query
+def html_to_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(X.html_to_text(F.col("html")), 256).alias("sha"), F.length(X.html_to_text(F.col("html"))).cast("long").alias("n"))
+
+
+@query
+def language_tokens(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.array_join(X.language_tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query
+def untokenize(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", X.untokenize(X.language_tokens(F.col("text"))).alias("text"))
+
+
+@query
+def runtime_terms(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(X.runtime_terms(F.col("text"))), " ").alias("terms"))
+
+
+@query
+def legal_notice(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.sha2(answers.legal_notice(F.col("text")), 256).alias("sha"))
+
+
+# catalog
+
+
+@query
+def dedup_keep_first(spark, sf_dir):
+    return catalog.dedup_keep_first(docs(spark, sf_dir)).select("doc_id", "source", "n_chars")
+
+
+@query
+def import_report(spark, sf_dir):
+    return catalog.import_report(docs(spark, sf_dir)).select("doc_id", "original_id", "status")
+
+
+@query
+def import_summary(spark, sf_dir):
+    return catalog.import_report(docs(spark, sf_dir)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def library_stats(spark, sf_dir):
+    return catalog.library_stats(docs(spark, sf_dir))
+
+
+@query
+def learning_report(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return catalog.learning_report(d, chunking.chunk_windows(d)).select("documents", "sections", "words", "chunks")
+
+
+@query
+def list_documents(spark, sf_dir):
+    return catalog.list_documents(docs(spark, sf_dir), "de")
+
+
+@query
+def get_chunks(spark, sf_dir):
+    c = chunking.chunk_windows(docs(spark, sf_dir).where("doc_id in (3, 7, 11)"), 220, 40)
+    return c.orderBy("doc_id", "word_offset").limit(50)
+
+
+@query
+def update_metadata(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    changes = d.where("doc_id % 10 = 0").select("doc_id", F.lit("xx").alias("new_lang"))
+    return catalog.update_metadata(d, changes).select("doc_id", "lang", "source")
+
+
+@query
+def delete_cascade(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return catalog.delete_cascade(chunking.chunk_windows(d), d.where("source = 'src0'")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+@query
+def replace_same_name(spark, sf_dir):
+    d = docs(spark, sf_dir).select("doc_id", F.concat(F.lit("Name"), (F.col("doc_id") % 300).cast("string")).alias("name"))
+    return catalog.replace_same_name(d.where("doc_id < 400"), d.where("doc_id >= 800").withColumn("name", F.upper("name")))
+
+
+@query
+def export_corpus(spark, sf_dir):
+    return catalog.export_corpus(docs(spark, sf_dir)).select("doc_id", F.sha2("text", 256).alias("sha"), "title", "source", "domain")
+
+
+@query
+def feedback_export(spark, sf_dir):
+    rows = docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").select(
+        F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("prompt"), F.substring("text", 41, 40).alias("response"),
+        F.when(F.col("doc_id") % 3 == 0, F.substring("text", 81, 30)).otherwise(F.lit(" ")).alias("corrected_response"), (F.col("quality") - F.col("toxic")).alias("rating"), (F.col("toxic") == 1).alias("approved"),
+    )
+    return catalog.feedback_export(rows)
+
+
+# chunks
+
+
+@query
+def chunk_windows(spark, sf_dir):
+    return chunking.chunk_windows(docs(spark, sf_dir))
+
+
+@query
+def chunk_documents(spark, sf_dir):
+    d = docs(spark, sf_dir).withColumn("text", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")))
+    return chunking.chunk_documents(d).select("doc_id", "part", "word_offset", "location", "text", "word_count")
+
+
+@query
+def chunk_numbers(spark, sf_dir):
+    c = chunking.chunk_windows(docs(spark, sf_dir)).select("doc_id", "word_offset")
+    return chunking.numbered(c, "doc_id", "word_offset")
+
+
+# search
+
+
+@query
+def term_freq(spark, sf_dir):
+    return search.term_freq(docs(spark, sf_dir))
+
+
+@query
+def doc_freq(spark, sf_dir):
+    return search.doc_freq(docs(spark, sf_dir))
+
+
+@query
+def doc_length_stats(spark, sf_dir):
+    return search.length_stats(docs(spark, sf_dir)).select("n_docs", "n_tokens", r6("avg_length"))
+
+
+@query
+def bm25_search(spark, sf_dir):
+    return search.bm25(titled(spark, sf_dir), WORDS, limit=10).select("doc_id", r6("score"), "matched")
+
+
+@query
+def bm25_filtered(spark, sf_dir):
+    return search.bm25(titled(spark, sf_dir), ["the", "of", "doc", "thble"], limit=20, where=F.col("domain") == "fr").select("doc_id", r6("score"), "matched")
+
+
+@query
+def bm25_batch(spark, sf_dir):
+    return search.bm25_batch(docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def fts_search(spark, sf_dir):
+    return search.fts(titled(spark, sf_dir), ["eren", "doc", "reenter", "thble", "eren"], limit=12).select("doc_id", r6("score"))
+
+
+@query
+def substring_fallback(spark, sf_dir):
+    return search.substring_search(titled(spark, sf_dir), ["tionb", "ouer"], 12).select("doc_id", "score")
+
+
+def _vectors(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e, e.where("vec_id = 0").select(F.col("embedding").alias("q"))
+
+
+@query
+def semantic_search(spark, sf_dir):
+    return search.semantic(*_vectors(spark, sf_dir), 10)
+
+
+@query
+def semantic_filtered(spark, sf_dir):
+    return search.semantic(*_vectors(spark, sf_dir), 10, F.col("label") % 2 == 0)
+
+
+@query
+def hybrid_search(spark, sf_dir):
+    lexical = search.fts(titled(spark, sf_dir), WORDS, limit=18).select(F.col("doc_id").alias("id"), F.round("score", 6).alias("score"))
+    return search.fuse(lexical, search.semantic(*_vectors(spark, sf_dir), 18).select(F.col("vec_id").alias("id"), "score"), 12).select("id", r6("score"), "lexical_rank", "semantic_rank")
+
+
+# answers
+
+
+def _results(spark, sf_dir, n=5):
+    return search.bm25(titled(spark, sf_dir), WORDS, limit=n)
+
+
+@query
+def rank_sentences(spark, sf_dir):
+    return answers.rank_sentences(_results(spark, sf_dir), QUESTION).select("doc_id", "pos", "sentence", r6("score"))
+
+
+@query
+def extractive_answer(spark, sf_dir):
+    return answers.extractive_answer(answers.rank_sentences(_results(spark, sf_dir), QUESTION).withColumn("score", F.round("score", 6)), QUESTION)
+
+
+@query
+def runtime_answer(spark, sf_dir):
+    return answers.runtime_answer(_results(spark, sf_dir, 6), QUESTION, "study")
+
+
+@query
+def confidence(spark, sf_dir):
+    top = _results(spark, sf_dir, 1).select(F.size(F.split("matched", " ")).alias("m"), "score")
+    n = F.col("m")
+    return top.select(F.round(answers.assistant_confidence(n, F.lit(len(WORDS)), F.col("score")), 6).alias("assistant"), F.round(answers.runtime_confidence(n, F.lit(True), F.lit(True)), 6).alias("runtime"), F.round(answers.backend_confidence(n), 6).alias("backend"))
+
+
+@query
+def context_pack(spark, sf_dir):
+    return answers.context_pack(_results(spark, sf_dir, 40), 14_000)
+
+
+@query
+def prompt_render(spark, sf_dir):
+    return answers.render_prompt(turns(spark, sf_dir))
+
+
+@query
+def plain_prompt(spark, sf_dir):
+    return answers.plain_prompt(turns(spark, sf_dir))
+
+
+# corpus analytics
+
+
+@query
+def summary_scores(spark, sf_dir):
+    return analytics.summary_scores(docs(spark, sf_dir)).select("doc_id", "pos", r6("score"))
+
+
+@query
+def summary_select(spark, sf_dir):
+    return analytics.summary_select(analytics.summary_scores(docs(spark, sf_dir)))
+
+
+@query
+def names_mentions(spark, sf_dir):
+    return analytics.name_mentions(analytics.name_sentences(docs(spark, sf_dir)))
+
+
+@query
+def name_relationships(spark, sf_dir):
+    return analytics.name_relationships(analytics.name_sentences(docs(spark, sf_dir)))
+
+
+@query
+def character_profiles(spark, sf_dir):
+    return analytics.character_profiles(analytics.name_sentences(docs(spark, sf_dir)))
+
+
+@query
+def character_lookup(spark, sf_dir):
+    return analytics.find_character(analytics.name_mentions(analytics.name_sentences(docs(spark, sf_dir))), "the a")
+
+
+@query
+def ngram_counts(spark, sf_dir):
+    return analytics.ngrams(docs(spark, sf_dir)).select("context", "next", "n")
+
+
+@query
+def ngram_next_greedy(spark, sf_dir):
+    return analytics.ngram_next(analytics.ngrams(docs(spark, sf_dir)))
+
+
+@query
+def ngram_backoff(spark, sf_dir):
+    return analytics.backoff_next(analytics.ngrams(docs(spark, sf_dir)), "the")
+
+
+@query
+def ngram_generate(spark, sf_dir):
+    prompts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 30).alias("prompt"))
+    return analytics.generate(analytics.ngrams(docs(spark, sf_dir)), prompts, 6)
+
+
+@query
+def vocab_topk(spark, sf_dir):
+    return analytics.vocabulary(docs(spark, sf_dir), 500, 2)
+
+
+# training data
+
+
+@query
+def recent_turns(spark, sf_dir):
+    return catalog.last_of(turns(spark, sf_dir), "conv_id", "turn", 3)
+
+
+@query
+def expand_query(spark, sf_dir):
+    t = turns(spark, sf_dir)
+    asked = t.groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("m")).select("conv_id", F.concat(F.lit("and it "), F.substring("m.text", 1, 60)).alias("question"))
+    return training.expand_query(training.pairs_of_turns(t), asked)
+
+
+@query
+def sft_messages(spark, sf_dir):
+    m = training.sft_messages(turns(spark, sf_dir))
+    return m.select("conv_id", F.size("messages").cast("long").alias("n"), F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit("="), x["content"])), "|").alias("chat"))
+
+
+@query
+def sft_tokens_masked(spark, sf_dir):
+    t = training.sft_tokens(training.sft_messages(turns(spark, sf_dir)))
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v)
+    return t.select("conv_id", F.size("input_ids").cast("long").alias("n"), add("input_ids").alias("ids"), add("labels").alias("labels"))
+
+
+@query
+def sft_pad_truncate(spark, sf_dir):
+    t = training.pad_truncate(training.sft_tokens(training.sft_messages(turns(spark, sf_dir))), 256)
+    j = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), ","), 256).alias(c)
+    return t.select("conv_id", F.size("labels").cast("long").alias("n"), j("input_ids"), j("labels"))
+
+
+@query
+def train_val_split(spark, sf_dir):
+    return training.train_val_split(docs(spark, sf_dir), 0.1)
+
+
+@query
+def token_blocks(spark, sf_dir):
+    return training.token_blocks(docs(spark, sf_dir), 512)
+
+
+@query
+def corpus_meta(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return training.corpus_meta(d, training.train_val_split(d, 0.1))
+
+
+@query
+def bpe_pair_counts(spark, sf_dir):
+    return training.pair_counts(docs(spark, sf_dir))
+
+
+@query
+def bpe_train(spark, sf_dir):
+    return training.bpe_train(docs(spark, sf_dir), 4)
+
+
+@query
+def bpe_encode_decode(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return training.bpe_round_trip(d, training.bpe_train(d, 4))
+
+
+# numbers
+
+
+def _embedded(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), F.col("label").cast("long").alias("label"), F.posexplode("embedding").alias("k", "v")).select("i", "label", F.col("k").cast("long").alias("k"), F.col("v").cast("double").alias("v"))
+
+
+def _scores(spark, sf_dir):
+    """Each vector against the mean of each class."""
+    e = _embedded(spark, sf_dir)
+    return numeric.matmul(e.select("i", "k", "v"), e.groupBy("k", F.col("label").alias("j")).agg(F.avg("v").alias("v")))
+
+
+def _pairs(spark, sf_dir):
+    truth = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), F.col("label").cast("long").alias("actual"))
+    best = numeric.argmax(_scores(spark, sf_dir).withColumn("v", F.round("v", 9)))
+    return truth.join(best, "i").select("i", "actual", F.col("j").alias("predicted"))
+
+
+@query
+def matmul(spark, sf_dir):
+    return _scores(spark, sf_dir).select("i", "j", r6("v"))
+
+
+@query
+def matrix_cells(spark, sf_dir):
+    m = _scores(spark, sf_dir)
+    return numeric.cellwise(numeric.add_bias(m, numeric.column_sums(m)), m, "subtract").select("i", "j", F.round("v", 5).alias("v"))
+
+
+@query
+def softmax(spark, sf_dir):
+    return numeric.softmax(_scores(spark, sf_dir)).select("i", "j", r6("v"))
+
+
+@query
+def activations(spark, sf_dir):
+    e, v = _embedded(spark, sf_dir), F.col("v")
+    return e.select("i", "k", F.round(numeric.sigmoid(v), 6).alias("sigmoid"), F.round(numeric.relu(v), 6).alias("relu"), F.round(numeric.leaky_relu(v), 6).alias("leaky"), F.round(F.tanh(v), 6).alias("tanh"))
+
+
+@query
+def losses(spark, sf_dir):
+    truth = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), F.col("label").cast("long").alias("label"))
+    cells = numeric.softmax(_scores(spark, sf_dir)).join(truth, "i").select("i", "j", F.col("v").alias("p"), (F.col("j") == F.col("label")).cast("double").alias("y"))
+    return numeric.losses(cells).select(r6("mse"), r6("bce"), r6("cce"))
+
+
+@query
+def accuracy(spark, sf_dir):
+    return numeric.accuracy(_pairs(spark, sf_dir)).select(r6("accuracy"))
+
+
+@query
+def confusion_matrix(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    return numeric.confusion(p, p.select(F.col("actual").alias("c")).distinct())
+
+
+@query
+def one_hot(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(numeric.one_hot(F.col("label"), 10).cast("array<string>"), "").alias("row"))
+
+
+def _edits(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.substring(F.regexp_replace("text", "[^A-Za-z .]", ""), 1, 60).alias("expected"))
+    return b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("expected").alias("predicted")), "item_id")
+
+
+@query
+def cer(spark, sf_dir):
+    return _edits(spark, sf_dir).select("item_id", F.round(numeric.character_error_rate(F.col("expected"), F.col("predicted")), 6).alias("cer"))
+
+
+@query
+def wer(spark, sf_dir):
+    return numeric.word_error_rate(_edits(spark, sf_dir).withColumnRenamed("item_id", "id"))
+
+
+@query
+def otsu(spark, sf_dir):
+    return numeric.otsu(docs(spark, sf_dir).select((F.col("n_chars") % 256).alias("v")))
+
+
+def _ink(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return d.select(F.col("doc_id").alias("line"), F.posexplode(F.split(F.substring("text", 1, 120), "")).alias("x", "c")).select("line", F.col("x").cast("long").alias("x"), F.col("c").rlike("[a-z]").alias("active"))
+
+
+@query
+def ink_runs(spark, sf_dir):
+    return numeric.runs(_ink(spark, sf_dir))
+
+
+@query
+def glyph_gaps(spark, sf_dir):
+    return numeric.gaps(numeric.runs(_ink(spark, sf_dir)))
+
+
+@query
+def word_gap(spark, sf_dir):
+    return numeric.word_gap(docs(spark, sf_dir).select((F.col("n_chars") % 7 + F.when(F.col("n_chars") % 5 == 0, 20).otherwise(1)).alias("gap")))
