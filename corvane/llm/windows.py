@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import U, cut, keyed, mix, slices, spans_hash, utf8, words
 
-HOT = 2000
+HOT, HEAVY = 2000, 1000
 PLACE = U((1 << 20) - 1)
 SPAN = 1 << 20
 RANGE, HOT_RUN, KEPT = 0, 1, 2
@@ -276,8 +276,15 @@ def redundant_windows(docs: DataFrame, kind: Kind, carry: Column | None = None)
     """
     rows = keyed(docs, carry)
     runs = rows.select("k", "sub", "text").mapInArrow(_emit(kind), "gram long, k long, sub long, run long")
-    counts = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", (F.col("n") > HOT).alias("hot"))
-    repeated = runs.join(counts, "gram")
+    counts = cut(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    # grams with more than a thousandth of these runs are a thousand at most: they are sent to the runs, which then
+    # needn't meet in one task by gram
+    bound = max(HOT, (counts.agg(F.sum("n")).first()[0] or 0) // HEAVY)
+    heavy = F.broadcast(counts.where(F.col("n") > bound).select("gram", F.lit(True).alias("heavy")))
+    light = counts.where(F.col("n") <= bound).select(F.col("gram").alias("of"), "n")
+    key = F.when(F.col("heavy"), F.xxhash64("k", "run")).otherwise(F.col("gram"))
+    dealt = runs.join(heavy, "gram", "left").withColumn("of", key)
+    repeated = dealt.join(light, "of", "left").where("heavy or n is not null").select("gram", "k", "sub", "run", (F.col("heavy").isNotNull() | (F.col("n") > HOT)).alias("hot"))
     told = repeated.select("k", "sub", F.struct("gram", (F.col("run") * 2 + F.col("hot").cast("long")).alias("run")).alias("r"))
     found = cut(told.groupBy("k", "sub").agg(F.collect_list("r").alias("runs")))
     texts = rows.join(found, ["k", "sub"]).select(*rows.columns, "runs").mapInArrow(_texts(kind), "gram long, hot boolean, content binary, k long, sub long, first long, n long")
