@@ -130,7 +130,7 @@ def intent_bonus(question: Column, sentence: Column) -> Column:
     why = F.when(s.rlike(r"\b(because|since|therefore|so that|in order to|due to)\b"), 4.0).when(s.rlike(r"\b(to|for)\b"), 0.8).otherwise(0.0)
     when = F.when(s.rlike(r"\b(before|after|during|while|when|night|morning|evening|day|year)\b"), 2.0).otherwise(0.0)
     where = F.when(s.rlike(r"\b(in|inside|outside|beneath|under|above|near|at|toward|through)\b"), 1.3).otherwise(0.0)
-    named = F.when(sentence.rlike(r"\b[A-Z][a-z]{2,}(?!['’]s\b)\b"), 3.0).otherwise(0.0)
+    named = F.when(sentence.rlike(r"(?U)\b[A-Z][a-z]{2,}(?!['’]s\b)"), 3.0).otherwise(0.0)
     who = named - F.when(s.rlike(r"^(he|she|they|it|we)\b"), 1.8).otherwise(0.0)
     happened = F.when(s.rlike(r"\bwhen\b"), 3.5).otherwise(0.0)
     return (
@@ -157,7 +157,7 @@ def html_to_text(c: Column) -> Column:
 def extract_names(sentence: Column) -> Column:
     """Distinct capitalized names of a sentence in order; openers such as When are stripped, titles kept."""
     title = r"(?:Mr|Mrs|Ms|Miss|Dr|Lord|Lady|Sir|Dame|King|Queen|Prince|Princess|Captain|Professor)\.?\s+"
-    found = F.regexp_extract_all(sentence, F.lit(rf"\b(?:{title})?[A-Z][a-z]+(?:\s+[A-Z][a-z]+){{0,2}}\b"), F.lit(0))
+    found = F.regexp_extract_all(sentence, F.lit(rf"(?U)\b(?:{title})?[A-Z][a-z]+(?:\s+[A-Z][a-z]+){{0,2}}\b"), F.lit(0))
     false = "|".join(FALSE_NAMES)
 
     def clean(name: Column) -> Column:

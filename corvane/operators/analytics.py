@@ -22,7 +22,7 @@ def summary_scores(docs: DataFrame) -> DataFrame:
     counts = each.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("f"))
     most = counts.groupBy("doc_id").agg(F.max("f").alias("most"))
     joined = each.join(counts, ["doc_id", "term"]).groupBy("doc_id", "pos", "sentence", "n").agg(F.sum("f").alias("f"), F.sort_array(F.collect_list("term")).alias("terms")).join(most, "doc_id")
-    names = F.least(F.lit(0.6), 0.12 * F.regexp_count("sentence", F.lit(r"\b[A-Z][a-z]+\b")))
+    names = F.least(F.lit(0.6), 0.12 * F.regexp_count("sentence", F.lit(r"(?U)\b[A-Z][a-z]+\b")))
     score = F.col("f") / F.col("most") / F.sqrt(F.greatest(F.lit(1), F.col("n"))) + 0.35 / (1 + F.col("pos")) + 0.15 + names
     return joined.select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence", "terms", score.alias("score"))
 

@@ -18,10 +18,8 @@ BYTE_OFFSET = len(SPECIAL)
 
 def byte_tokens(c: Column) -> Column:
     """Token ids of the UTF-8 bytes."""
-    h = F.hex(F.encode(c, "UTF-8"))
-    return F.when(F.length(c) == 0, F.array().cast("array<int>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.octet_length(c) - 1), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int") + BYTE_OFFSET)
-    )
+    pairs = F.regexp_extract_all(F.hex(F.encode(c, "UTF-8")), F.lit(".."), F.lit(0))
+    return F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int") + BYTE_OFFSET)
 
 
 def pairs_of_turns(turns: DataFrame) -> DataFrame:
@@ -38,7 +36,7 @@ def expand_query(pairs: DataFrame, questions: DataFrame, most: int = 18, titles:
     """
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     recent = pairs.withColumn("r", F.row_number().over(w)).where("r <= 3")
-    names = F.regexp_extract_all(F.concat("user", F.lit(" "), F.substring("assistant", 1, 500)), F.lit(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}\b"), F.lit(0))
+    names = F.regexp_extract_all(F.concat("user", F.lit(" "), F.substring("assistant", 1, 500)), F.lit(r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}\b"), F.lit(0))
     parts = [X.tokens(F.array_join(names, " ; ")), *([X.tokens(F.array_join("titles", " ; "))] if titles else []), X.tokens(F.col("user"))]
     terms = recent.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("r", F.concat(*parts).alias("t")))).alias("x"))  # three rows a conversation
     q = questions.join(terms, "conv_id", "left").withColumn("own", X.tokens(F.col("question")))

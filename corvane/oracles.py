@@ -40,6 +40,11 @@ def chash(x: str) -> str:
     return rf"sha256({fold(rf'''trim(regexp_replace({x}, '\s+', ' ', 'g'))''')})"
 
 
+def ascii_of(x: str) -> str:
+    """Letters beyond ASCII as word characters, so that ASCII word boundaries are those of Unicode."""
+    return rf"regexp_replace({x}, '[^\x00-\x7F\p{{P}}\p{{S}}\p{{Z}}\p{{C}}]', '_', 'g')"
+
+
 def rterms(x: str) -> str:
     return f"list_distinct(regexp_extract_all({fold(x)}, '[A-Za-z0-9'']+'))"
 
@@ -61,10 +66,18 @@ def bonus(q: str, s: str) -> str:
     return f"""CASE WHEN lower(trim({q})) LIKE 'why%' THEN CASE WHEN {w('because|since|therefore|so that|in order to|due to')} THEN 4.0 WHEN {w('to|for')} THEN 0.8 ELSE 0.0 END
  WHEN lower(trim({q})) LIKE 'when%' THEN CASE WHEN {w('before|after|during|while|when|night|morning|evening|day|year')} THEN 2.0 ELSE 0.0 END
  WHEN lower(trim({q})) LIKE 'where%' THEN CASE WHEN {w('in|inside|outside|beneath|under|above|near|at|toward|through')} THEN 1.3 ELSE 0.0 END
- WHEN lower(trim({q})) LIKE 'who%' THEN CASE WHEN regexp_matches({s}, '\\b[A-Z][a-z]{{2,}}\\b') THEN 3.0 ELSE 0.0 END - CASE WHEN regexp_matches(lower({s}), '^(he|she|they|it|we)\\b') THEN 1.8 ELSE 0.0 END
+ WHEN lower(trim({q})) LIKE 'who%' THEN CASE WHEN regexp_matches({s}, '(^|[^\\p{{L}}\\p{{N}}\\p{{M}}_])[A-Z][a-z]{{2,}}') THEN 3.0 ELSE 0.0 END - CASE WHEN regexp_matches(lower({s}), '^(he|she|they|it|we)\\b') THEN 1.8 ELSE 0.0 END
  WHEN lower(trim({q})) LIKE 'what happened%' AND lower({q}) LIKE '%when%' THEN CASE WHEN {w('when')} THEN 3.5 ELSE 0.0 END ELSE 0.0 END::DOUBLE"""
 
 
+def untokenized() -> str:
+    """Each pass closes every other mark of a row of them."""
+    out = f"array_to_string({ltok('text')}, ' ')"
+    for _ in range(5):
+        out = rf"regexp_replace({out}, ' ([.,!?;:%)\]}}]+)( |$)', '\1\2', 'g')"
+    return rf"""SELECT doc_id, regexp_replace({out}, '([(\[{{"]) ', '\1', 'g') AS text FROM documents"""
+
+
 def domain() -> str:
     sample = "lower(url || chr(10) || substr(html, 1, 12000))"
     sums = {d: " + ".join(f"(length(s) - length(replace(s, '{t}', ''))) // {len(t)}" for t in terms) for d, terms in DOMAIN_TERMS.items()}
@@ -135,7 +148,7 @@ def named() -> str:
     bare = rf"regexp_replace(regexp_replace({flat}, '^{_T}', ''), '^(?:(?:{false}) )+([A-Z])', '\1')"
     clean = f"CASE WHEN regexp_full_match({bare}, '{false}') OR length({bare}) < 2 THEN NULL WHEN regexp_matches({flat}, '^{_T}') THEN {flat} ELSE {bare} END"
     return f"""s AS ({exploded(sents('text'))}),
-m AS (SELECT doc_id, pos, sentence, list_filter(list_transform(regexp_extract_all(sentence, '{NAME}'), lambda m: {clean}), lambda x: x IS NOT NULL) AS ms FROM s),
+m AS (SELECT doc_id, pos, sentence, list_filter(list_transform(regexp_extract_all({ascii_of('sentence')}, '{NAME}'), lambda m: {clean}), lambda x: x IS NOT NULL) AS ms FROM s),
 nm AS (SELECT doc_id, pos, sentence, list_distinct(ms) AS names FROM m WHERE len(ms) > 0)"""
 
 
@@ -143,7 +156,7 @@ EMB = "e AS (SELECT vec_id AS i, label::BIGINT AS label, unnest(range(len(embedd
 SCORES = EMB + ", ce AS (SELECT k, label AS j, avg(v) AS v FROM e GROUP BY ALL), sc AS (SELECT e.i, ce.j, sum(e.v * ce.v) AS v FROM e JOIN ce USING (k) GROUP BY ALL)"
 SOFT = SCORES + ", ex AS (SELECT i, j, exp(v - max(v) OVER (PARTITION BY i)) AS e FROM sc), sm AS (SELECT i, j, e / sum(e) OVER (PARTITION BY i) AS v FROM ex)"
 PAIRS = SCORES + ", bp AS (SELECT i, j AS predicted FROM sc QUALIFY row_number() OVER (PARTITION BY i ORDER BY round(v, 9) DESC, j) = 1), pr AS (SELECT bp.i, t.label::BIGINT AS actual, predicted FROM bp JOIN embeddings t ON t.vec_id = bp.i)"
-BYTES = "list_transform(range(strlen({x})), lambda i: ('0x' || substr(hex(encode({x})), i * 2 + 1, 2))::INT + 6)"
+BYTES = "list_transform(regexp_extract_all(hex(encode({x})), '..'), lambda h: ('0x' || h)::INT + 6)"
 
 
 def bytes_of(x: str) -> str:
@@ -157,7 +170,7 @@ ex AS (SELECT conv_id, list_concat(list_concat([1], flatten(list(ids ORDER BY tu
 INK = "c AS (SELECT doc_id AS line, unnest(range(len(a))) AS x, unnest(a) AS c FROM (SELECT doc_id, string_split(substr(text, 1, 120), '') AS a FROM documents)), i AS (SELECT line, x, x - row_number() OVER (PARTITION BY line ORDER BY x) AS g FROM c WHERE regexp_matches(c, '[a-z]')), rn AS (SELECT line, min(x) AS start, count(*) AS size FROM i GROUP BY line, g)"
 NGRAMS = f"""d AS (SELECT doc_id, list_concat(list_concat(['<BOS>', '<BOS>'], {ltok('text')}), ['<EOS>']) AS t FROM documents),
 i AS (SELECT doc_id, t, unnest(range(2, len(t))) AS i FROM d),
-g AS (SELECT t[i - 1] || ' ' || t[i] AS context, t[i + 1] AS next, count(*) AS n, min(doc_id * 1000000 + i) AS at FROM i GROUP BY ALL)"""
+g AS (SELECT t[i - 1] || ' ' || t[i] AS context, t[i + 1] AS next, count(*) AS n, min(doc_id * 1000000 + i) AS place FROM i GROUP BY ALL)"""
 SPLIT = """h AS (SELECT doc_id, ('0x' || substr(sha256('42:' || doc_id), 1, 12))::BIGINT AS key FROM documents),
 k AS (SELECT doc_id, row_number() OVER (ORDER BY key, doc_id) - 1 AS r, count(*) OVER () AS n FROM h),
 sp AS (SELECT doc_id, CASE WHEN r < least(n - 1, greatest(1, floor(n * (1 - 1e-1)))) THEN 'train' ELSE 'val' END AS split FROM k)"""
@@ -184,7 +197,7 @@ ORACLES = {
     "excerpts": "SELECT doc_id, trim(substr(text, 1, 420)) || CASE WHEN length(text) > 420 THEN '...' ELSE '' END AS excerpt FROM documents",
     "html_to_text": f"SELECT page_id, sha256(t) AS sha, length(t) AS n FROM (SELECT page_id, {html()} AS t FROM pages)",
     "language_tokens": f"SELECT doc_id, array_to_string({ltok('text')}, ' ') AS tokens FROM documents",
-    "untokenize": rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(array_to_string({ltok('text')}, ' '), ' ([.,!?;:%)\]}}])( |$)', '\1\2', 'g'), ' ([.,!?;:%)\]}}])( |$)', '\1\2', 'g'), '([(\[{{"]) ', '\1', 'g') AS text FROM documents""",
+    "untokenize": untokenized(),
     "runtime_terms": f"SELECT doc_id, array_to_string(list_sort({rterms('text')}), ' ') AS terms FROM documents",
     "legal_notice": "SELECT doc_id, sha256(CASE WHEN regexp_matches(lower(text), 'not legal advice|lawyer|legal professional') THEN text ELSE text || chr(10) || chr(10) || 'This is general information, not legal advice.' END) AS sha FROM documents",
     "dedup_keep_first": f"SELECT doc_id, source, n_chars FROM documents WHERE trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY {chash('text')} ORDER BY doc_id) = 1",
@@ -249,18 +262,18 @@ SELECT number, doc_id, length(block) AS characters, sha256(block) AS block_sha25
     "summary_scores": rf"""WITH s AS ({exploded(sents('text'))}), a AS (SELECT *, {cterms('sentence')} AS t FROM s), b AS (SELECT * FROM a WHERE len(t) >= 3 AND length(sentence) >= 25),
 u AS (SELECT doc_id, pos, unnest(list_distinct(t)) AS term FROM b), f AS (SELECT doc_id, term, count(*) AS f FROM u GROUP BY ALL), mx AS (SELECT doc_id, max(f) AS most FROM f GROUP BY ALL),
 x AS (SELECT u.doc_id, u.pos, sum(f)::DOUBLE AS f FROM u JOIN f USING (doc_id, term) GROUP BY ALL)
-SELECT b.doc_id, b.pos, round(x.f / most / sqrt(greatest(1, len(t))) + 35e-2 / (1 + b.pos) + 15e-2 + least(6e-1, 12e-2 * len(regexp_extract_all(sentence, '\b[A-Z][a-z]+\b'))), 6) AS score FROM b JOIN x ON b.doc_id = x.doc_id AND b.pos = x.pos JOIN mx ON mx.doc_id = b.doc_id""",
+SELECT b.doc_id, b.pos, round(x.f / most / sqrt(greatest(1, len(t))) + 35e-2 / (1 + b.pos) + 15e-2 + least(6e-1, 12e-2 * len(regexp_extract_all({ascii_of('sentence')}, '\b[A-Z][a-z]+\b'))), 6) AS score FROM b JOIN x ON b.doc_id = x.doc_id AND b.pos = x.pos JOIN mx ON mx.doc_id = b.doc_id""",
     "names_mentions": f"WITH {named()}, u AS (SELECT doc_id, pos, unnest(names) AS name FROM nm) SELECT name, count(*) AS mentions, min(doc_id) AS first_doc, count(DISTINCT doc_id) AS documents FROM u GROUP BY name HAVING count(*) >= 2",
     "name_relationships": f"WITH {named()}, u AS (SELECT unnest(names) AS name, names FROM nm), p AS (SELECT name, unnest(names) AS other FROM u), c AS (SELECT name, other, count(*) AS together FROM p WHERE name <> other GROUP BY ALL) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY name ORDER BY together DESC, other) <= 12",
     "character_lookup": f"WITH {named()}, u AS (SELECT doc_id, pos, unnest(names) AS name FROM nm), g AS (SELECT name, count(*) AS mentions, min(doc_id) AS first_doc, count(DISTINCT doc_id) AS documents FROM u GROUP BY name HAVING count(*) >= 2) SELECT * FROM g WHERE contains(lower(name), 'the a') OR contains('the a', lower(name)) ORDER BY lower(name) = 'the a' DESC, mentions DESC, name LIMIT 1",
     "ngram_counts": f"WITH {NGRAMS} SELECT context, next, n FROM g",
-    "ngram_next_greedy": f"WITH {NGRAMS} SELECT context, first(next ORDER BY n DESC, at) AS next, sum(n)::BIGINT AS total FROM g GROUP BY context",
+    "ngram_next_greedy": f"WITH {NGRAMS} SELECT context, first(next ORDER BY n DESC, place) AS next, sum(n)::BIGINT AS total FROM g GROUP BY context",
     "ngram_backoff": f"WITH {NGRAMS} SELECT next, sum(n)::BIGINT AS n FROM g WHERE context = 'the' OR suffix(context, ' the') GROUP BY next",
     "vocab_topk": f"SELECT term, count(*) AS n FROM (SELECT unnest({ltok('text')}) AS term FROM documents) GROUP BY term HAVING count(*) >= 2 ORDER BY n DESC, term LIMIT 500",
     "recent_turns": "SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3",
     "expand_query": rf"""WITH l AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS r2, lead(text) OVER w AS t2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 p AS (SELECT conv_id, turn, text AS u, t2 AS a FROM l WHERE role = 'user' AND r2 = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3),
-t AS (SELECT conv_id, flatten(list(list_concat({tok(r"array_to_string(regexp_extract_all(u || ' ' || substr(a, 1, 500), '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}\b'), ' ; ')")}, {tok('u')}) ORDER BY turn DESC)) AS t FROM p GROUP BY conv_id),
+t AS (SELECT conv_id, flatten(list(list_concat({tok(r"array_to_string(regexp_extract_all(regexp_replace(u || ' ' || substr(a, 1, 500), '[^\x00-\x7F\p{P}\p{S}\p{Z}\p{C}]', '_', 'g'), '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}\b'), ' ; ')")}, {tok('u')}) ORDER BY turn DESC)) AS t FROM p GROUP BY conv_id),
 q AS (SELECT conv_id, 'and it ' || substr(arg_max(text, turn), 1, 60) AS question FROM conversations GROUP BY conv_id),
 o AS (SELECT q.*, {tok('question')} AS own, t.t FROM q LEFT JOIN t USING (conv_id)),
 f AS (SELECT *, list_filter(t, lambda x: length(x) > 2 AND NOT list_contains(own, x) AND NOT list_contains({quoted(PRONOUN_TERMS)}, x)) AS c FROM o),
@@ -272,8 +285,8 @@ SELECT conv_id, CASE WHEN len(e) > 0 AND (len(own) <= 6 OR list_has_any(own, {qu
     "train_val_split": f"WITH {SPLIT} SELECT * FROM sp",
     "token_blocks": f"""WITH d AS (SELECT doc_id, list_concat(list_concat([1], {bytes_of('text')}), [2]) AS t FROM documents), o AS (SELECT doc_id, unnest(t) AS t, unnest(range(len(t))) AS i FROM d),
 s AS (SELECT t, row_number() OVER (ORDER BY doc_id, i) - 1 AS p FROM o), n AS (SELECT count(*) AS n FROM s),
-b AS (SELECT p // 512 AS block_id, p % 512 AS at, t FROM s UNION ALL SELECT p // 512 - 1, 512, t FROM s WHERE p % 512 = 0 AND p > 0)
-SELECT block_id, count(*) AS n_tokens, arg_min(t, at)::BIGINT AS first_token, arg_max(t, at)::BIGINT AS last_token, sum(t * (at + 1))::BIGINT AS checksum FROM b, n WHERE n > 512 AND block_id <= (n - 513) // 512 GROUP BY block_id""",
+b AS (SELECT p // 512 AS block_id, p % 512 AS k, t FROM s UNION ALL SELECT p // 512 - 1, 512, t FROM s WHERE p % 512 = 0 AND p > 0)
+SELECT block_id, count(*) AS n_tokens, arg_min(t, k)::BIGINT AS first_token, arg_max(t, k)::BIGINT AS last_token, sum(t * (k + 1))::BIGINT AS checksum FROM b, n WHERE n > 512 AND block_id <= (n - 513) // 512 GROUP BY block_id""",
     "corpus_meta": f"WITH {SPLIT} SELECT split, count(*) AS documents, sum(strlen(text) + 2)::BIGINT AS tokens FROM documents JOIN sp USING (doc_id) GROUP BY split",
     "bpe_pair_counts": f'SELECT t[i] AS "left", t[i + 1] AS "right", count(*) AS n FROM (SELECT t, unnest(range(1, len(t))) AS i FROM (SELECT {bytes_of("text")} AS t FROM documents)) GROUP BY ALL',
     "matmul": f"WITH {SCORES} SELECT i, j, round(v, 6) AS v FROM sc",
@@ -293,4 +306,6 @@ b AS (SELECT v, w::DOUBLE * (n - w) * pow(s::DOUBLE / w - (total - s)::DOUBLE /
     "word_gap": """WITH g AS (SELECT n_chars % 7 + CASE WHEN n_chars % 5 = 0 THEN 20 ELSE 1 END AS gap FROM documents), p AS (SELECT gap FROM g WHERE gap > 0), d AS (SELECT DISTINCT gap FROM p), j AS (SELECT gap, lead(gap) OVER (ORDER BY gap) AS a FROM d),
 b AS (SELECT gap, a, a - gap AS jump FROM j WHERE a IS NOT NULL ORDER BY jump DESC, gap LIMIT 1), m AS (SELECT max(gap) AS largest, median(gap) AS typical, count(DISTINCT gap) AS kinds FROM p)
 SELECT (CASE WHEN kinds > 1 AND jump >= greatest(2, typical * 75e-2) AND largest >= typical * 18e-1 THEN (gap + a) / 2.0 ELSE largest + 1 END)::DOUBLE AS threshold FROM m LEFT JOIN b ON true""",
+    "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS begin, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
+    "event_rollup": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ROLLUP (day, event_type)",
 }

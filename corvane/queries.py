@@ -9,6 +9,7 @@ from .functions import text as X
 from .operators import analytics, answers, catalog, chunking, numeric, search, training
 from .oracles import ORACLES
 from .session import table
+from .streaming.ingest import event_counts
 
 QUESTION = "Why is the eren thble of the erand because and for tionble?"
 WORDS = ["eren", "tionble", "thble", "erand"]
@@ -560,3 +561,17 @@ def glyph_gaps(spark, sf_dir):
 @query
 def word_gap(spark, sf_dir):
     return numeric.word_gap(docs(spark, sf_dir).select((F.col("n_chars") % 7 + F.when(F.col("n_chars") % 5 == 0, 20).otherwise(1)).alias("gap")))
+
+
+# extensions
+
+
+@query
+def event_windows(spark, sf_dir):
+    return event_counts(table(spark, sf_dir, "events")).select(F.col("begin").cast("string").alias("begin"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query
+def event_rollup(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.rollup(F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
