@@ -30,8 +30,11 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     total = F.sum("source_size").over(whole)
     per = per.withColumn("left", total * F.lit(float(share)) - F.coalesce(F.sum("room").over(before), F.lit(0.0)))
     per = per.withColumn("open", F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    level = F.min(F.when(F.col("room") * F.col("open") > F.col("left") * F.col("w"), F.col("left") / F.col("open"))).over(whole)
-    per = per.withColumn("level", level)
+    # the first source in this order that its share doesn't fill sets the level of all that follow
+    per = per.withColumn("nth", F.row_number().over(filled))
+    fits = F.col("room") * F.col("open") > F.col("left") * F.col("w")
+    level = F.min(F.when(fits, F.struct("nth", (F.col("left") / F.col("open")).alias("level")))).over(whole)
+    per = per.withColumn("level", level["level"])
     target = F.least(F.col("room"), F.coalesce(F.col("level") * F.col("w"), F.col("room")))
     return per.select("source", "source_size", target.alias("target")).withColumn(
         "rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

@@ -73,9 +73,9 @@ WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\
 per AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS nth FROM sized GROUP BY source),
 weighed AS (SELECT source, source_size, CASE nth % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS w, source_size * 2e0 AS room FROM per),
 filled AS (SELECT *, (SELECT sum(source_size) FROM per) * 15e-1 - coalesce(sum(room) OVER before, 0e0) AS rest,
-  (SELECT sum(w) FROM weighed) - coalesce(sum(w) OVER before, 0e0) AS open FROM weighed
+  (SELECT sum(w) FROM weighed) - coalesce(sum(w) OVER before, 0e0) AS open, row_number() OVER (ORDER BY room / w, source ASC NULLS LAST) AS nth FROM weighed
   WINDOW before AS (ORDER BY room / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-lev AS (SELECT min(CASE WHEN room * open > rest * w THEN rest / open END) AS level FROM filled),
+lev AS (SELECT arg_min(rest / open, nth) AS level FROM filled WHERE room * open > rest * w),
 targets AS (SELECT source, source_size, least(room, coalesce(level * w, room)) AS target FROM filled, lev),
 rated AS (SELECT s.doc_id, s.source, s.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0e0 END AS rate,
   ('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, 'null')), 1, 8))::UBIGINT / 4294967296e0 AS chance
