@@ -105,8 +105,8 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], seed: int = 7) -> Da
     Repeated rows get equal answers; other columns are not looked at.
     """
     langs = list(model)
-    unit = np.array([v / max(np.linalg.norm(v), 1e-9) for v in model.values()], np.float32).reshape(len(langs), -1)
-    dim = unit.shape[1] if langs else 1
+    unit = np.array([v / max(np.linalg.norm(v), 1e-9) for v in model.values()] or [[0.0]], np.float32)
+    dim = unit.shape[1]
     letters = letter_vectors(dim, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

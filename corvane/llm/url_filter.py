@@ -20,7 +20,7 @@ BLOCKED_WORDS = (
 GOOD_WORDS = (
     "news weather wiki library museum school university science history garden recipes travel music sports health forum "
     "archive docs blog photo journal review market events maps community council theatre books research language city river "
-    "mountain kitchen family project studio village atlas harbour"
+    "mountain kitchen family project studio village atlas harbour shop bank cinema toys hotel forest planet theory"
 ).split()
 COMMON_PAIRS = "th he in er an re on at en nd ti es or te ed is it al ar st to nt ng se ha as ou le de io ea".split()
 
@@ -38,8 +38,9 @@ def labelled_table() -> list[tuple[str, int]]:
                 out.append((f"http://{GOOD_WORDS[i % len(GOOD_WORDS)]}.example.{top}/{w}/{n}", 1))
     # names of ordinary letter pairs speak for nothing
     for i, a in enumerate(COMMON_PAIRS):
-        name = f"{COMMON_PAIRS[i * 5 % len(COMMON_PAIRS)]}{a}{COMMON_PAIRS[(i * 11 + 2) % len(COMMON_PAIRS)]}ing"[: 6 + i % 5]
-        out += [(f"https://{name}.example.{tops[i % 3]}/{tongues[i % 4]}/{i * 29}", 0), (f"http://th{a}ing.example.{tops[(i + 1) % 3]}/{i}/", 0)]
+        for j, b in enumerate(COMMON_PAIRS[i % 7 :: 7]):
+            page = (f"{tongues[(i + j) % 4]}/{(i * 29 + j * 131) % 9973}", "", f"{tongues[j % 4]}/{i * j}.html", f"{tongues[i % 4]}/{i + 9 * j}/")[(i + j) % 4]
+            out.append((f"http{'s' * (j % 2)}://{('', 'www.', 'm.', 'blog.')[(i + 2 * j) % 4]}th{a}{b}.example.{tops[(i + j) % 3]}/{page}", 0))
     return out
 
 
@@ -72,21 +73,23 @@ def grams(hosts: pa.Array, paths: pa.Array, bits: int, sizes: tuple[int, ...] =
     return (np.concatenate(found), np.concatenate(rows)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def fit(labelled: list[tuple[str, int]], bits: int = 16, rounds: int = 400, step: float = 2.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch gradient descent; each URL's features have length 1, both labels weigh alike."""
+def fit(labelled: list[tuple[str, int]], bits: int = 16, rounds: int = 400, step: float = 20.0, decay: float = 1e-4, bias: float = -2.0) -> tuple[np.ndarray, float]:
+    """Weights by full-batch gradient descent; each URL's features have length 1, both labels weigh alike.
+
+    The bias is given, not fitted: a URL that shows nothing known is to be allowed.
+    """
     split = [u.split("://", 1)[1] if "://" in u else "" for u, _ in labelled]
     hosts = pa.array([s.split("/", 1)[0].lower() for s in split], pa.string())
     paths = pa.array([("/" + s.split("/", 1)[1].split("?")[0]) if "/" in s else "" for s in split], pa.string())
     y = np.array([float(v) for _, v in labelled])
     feature, row = grams(hosts, paths, bits)
     norm = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(y)), 1))
-    weight, bias = np.zeros(1 << bits), 0.0
+    weight = np.zeros(1 << bits)
     importance = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     for _ in range(rounds):
         z = np.bincount(row, weight[feature], len(y)) * norm + bias
         g = (1 / (1 + np.exp(-z)) - y) * importance
-        weight -= step * 10 * (np.bincount(feature, (g * norm)[row], 1 << bits) + decay * weight)
-        bias -= step * g.sum()
+        weight -= step * (np.bincount(feature, (g * norm)[row], 1 << bits) + decay * weight)
     return weight, bias
 
 
@@ -97,7 +100,7 @@ def score(model: tuple[np.ndarray, float], hosts: pa.Array, paths: pa.Array) ->
     return 1 / (1 + np.exp(-(np.bincount(row, weight[feature], len(hosts)) * norm + bias)))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: list[tuple[str, int]] | None = None, threshold: float = 0.45) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: list[tuple[str, int]] | None = None, threshold: float = 0.4) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block) and score of every page.
 
     rules: (action, host and path), such as ("block", "net/de/"); the longest that fits decides. They and the model
