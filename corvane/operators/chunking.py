@@ -73,3 +73,18 @@ def numbered(chunks: DataFrame, *order: str) -> DataFrame:
     from .numbering import with_row_numbers
 
     return with_row_numbers(chunks, "chunk_id", *order)
+
+
+def merge_overlapping(chunks: DataFrame, most: int = 120) -> DataFrame:
+    """title, text: the chunks (title, chunk_id, text) of each title joined, words that two neighbours share kept once."""
+    import pandas as pd
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[str] = []
+        for text in pdf.sort_values("chunk_id")["text"]:
+            words = (text or "").split()
+            shared = next((n for n in range(min(most, len(out), len(words)), 0, -1) if out[-n:] == words[:n]), 0)
+            out += words[shared:]
+        return pd.DataFrame({"title": pdf["title"].iloc[:1], "text": [" ".join(out)]})
+
+    return chunks.select("title", "chunk_id", "text").groupBy("title").applyInPandas(join, "title string, text string")

@@ -161,3 +161,30 @@ def denoise(cells: DataFrame) -> DataFrame:
     on = cells.where("active").select("y", "x")
     around = on.select(F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])).alias("p")).select("p.*").distinct()
     return on.join(around, ["y", "x"], "left_semi")
+
+
+def glyphs(cells: DataFrame, height: int = 9, width: int = 7) -> DataFrame:
+    """line, glyph, v: each run of inked columns of a line (line, y, x, active), cut to its ink and resized to height x width.
+
+    A target cell takes its nearest source cell; v is the flat list of 0.0 and 1.0.
+    """
+    ink = cells.where("active")
+    columns = ink.select("line", "x", F.lit(True).alias("active")).distinct()
+    found = runs(columns).withColumn("glyph", F.row_number().over(Window.partitionBy("line").orderBy("start")).cast("long"))
+    inside = ink.alias("c").join(found.alias("f"), (F.col("c.line") == F.col("f.line")) & (F.col("c.x") >= F.col("f.start")) & (F.col("c.x") < F.col("f.start") + F.col("f.size"))).select("f.line", "glyph", "start", "size", "y", "x")
+    box = inside.groupBy("line", "glyph", "start", "size").agg(F.min("y").alias("top"), F.max("y").alias("bottom"), F.collect_set(F.struct("y", "x")).alias("on"))
+    tall = F.col("bottom") - F.col("top") + 1
+    rows, cols = F.sequence(F.lit(0), F.lit(height - 1)), F.sequence(F.lit(0), F.lit(width - 1))
+
+    def cell(j, i):
+        y = F.col("top") + F.floor(j * tall / F.lit(height))
+        x = F.col("start") + F.floor(i * F.col("size") / F.lit(width))
+        return F.exists("on", lambda p: (p["y"] == y) & (p["x"] == x)).cast("double")
+
+    return box.select("line", "glyph", F.flatten(F.transform(rows, lambda j: F.transform(cols, lambda i: cell(j, i)))).alias("v"))
+
+
+def recognized(scores: DataFrame, least: float = 0.5) -> DataFrame:
+    """i, label, confidence: the best class of each row of scores (i, j, v), ? where it is under least."""
+    best = scores.groupBy("i").agg(F.max(F.struct("v", (-F.col("j")).alias("j"))).alias("b"))
+    return best.select("i", F.when(F.col("b.v") >= least, (-F.col("b.j")).cast("string")).otherwise("?").alias("label"), F.col("b.v").alias("confidence"))

@@ -223,3 +223,56 @@ def bpe_round_trip(docs: DataFrame, merges: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array(same)], ["doc_id", "n_tokens", "same"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, same boolean")
+
+
+def learning_rates(steps: DataFrame, base: float, least: float, warmup: int, total: int) -> DataFrame:
+    """step, rate: a linear rise over the warm-up steps, then half a cosine down to the least rate."""
+    part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("step") - warmup) / F.lit(float(max(1, total - warmup)))))
+    fall = F.lit(least) + 0.5 * (1 + F.cos(F.pi() * part)) * (base - least)
+    return steps.select("step", F.when(F.col("step") < warmup, base * (F.col("step") + 1) / F.lit(float(max(1, warmup)))).otherwise(fall).alias("rate"))
+
+
+def epoch_rates(epochs: DataFrame, kind: str, base: float, decay: float = 0.95, least: float = 1e-6, every: int = 50, total: int = 100) -> DataFrame:
+    """epoch, rate of the schedules constant, step, exponential, time and cosine; epochs from 1."""
+    done = F.col("epoch") - 1
+    kinds = {
+        "constant": F.lit(base),
+        "step": base * F.pow(F.lit(decay), F.floor(done / F.lit(every))),
+        "exponential": base * F.pow(F.lit(decay), done),
+        "time": F.lit(base) / (1 + decay * done),
+        "cosine": least + 0.5 * (base - least) * (1 + F.cos(F.pi() * F.least(F.lit(1.0), done / F.lit(float(max(1, total - 1)))))),
+    }
+    if kind not in kinds:
+        raise ValueError(f"no schedule {kind}")
+    rate = kinds[kind] if kind == "constant" else F.greatest(F.lit(least), kinds[kind])
+    return epochs.select("epoch", rate.alias("rate"))
+
+
+def train_test_split(rows: DataFrame, key: str, size: float = 0.2, seed: int = 42) -> DataFrame:
+    """rows with split: max(1, round(n size)) rows test, chosen by a seeded hash; the order of rows is kept in key."""
+    if not 0 < size < 1:
+        raise ValueError("size must be between 0 and 1")
+    hashed = rows.select(key, F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 52)).alias("h"))
+    ranked = with_row_numbers(hashed, "r", "h", key)
+    n = F.broadcast(rows.agg(F.greatest(F.lit(1), F.round(F.count(F.lit(1)) * F.lit(size))).alias("t")))  # one row
+    return rows.join(ranked.crossJoin(n).select(key, F.when(F.col("r") < F.col("t"), "test").otherwise("train").alias("split")), key)
+
+
+def sft_holdout(examples: DataFrame, key: str = "conv_id", seed: int = 42) -> DataFrame:
+    """key, split: one in twenty examples validates, none of fewer than ten."""
+    hashed = examples.select(key, F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 52)).alias("h"))
+    n = F.broadcast(examples.agg(F.count(F.lit(1)).alias("n")))  # one row
+    held = F.when(F.col("n") >= 10, F.greatest(F.lit(1), F.floor(F.col("n") / 20))).otherwise(0)
+    return with_row_numbers(hashed, "r", "h", key).crossJoin(n).select(key, F.when(F.col("r") < held, "val").otherwise("train").alias("split"))
+
+
+def context_windows(docs: DataFrame, vocabulary: DataFrame, size: int = 2) -> DataFrame:
+    """doc_id, pos, context (ids of the `size` tokens before), target: ids from vocabulary (token, id); unknown words are 1, 0 begins.
+
+    The one-hot form of a row has its ones at context[p] + p * vocabulary size.
+    """
+    t = docs.select("doc_id", F.posexplode(F.transform(X.language_tokens(F.col("text")), F.lower)).alias("pos", "token"))
+    known = t.join(vocabulary, "token", "left").select("doc_id", "pos", F.coalesce("id", F.lit(1)).cast("long").alias("id"))
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    before = F.array(*[F.coalesce(F.lag("id", size - i).over(w), F.lit(0)).cast("long") for i in range(size)])
+    return known.select("doc_id", F.col("pos").cast("long").alias("pos"), before.alias("context"), F.col("id").alias("target"))

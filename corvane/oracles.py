@@ -308,4 +308,15 @@ b AS (SELECT gap, a, a - gap AS jump FROM j WHERE a IS NOT NULL ORDER BY jump DE
 SELECT (CASE WHEN kinds > 1 AND jump >= greatest(2, typical * 75e-2) AND largest >= typical * 18e-1 THEN (gap + a) / 2.0 ELSE largest + 1 END)::DOUBLE AS threshold FROM m LEFT JOIN b ON true""",
     "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS begin, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
     "event_rollup": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ROLLUP (day, event_type)",
+    "learning_rate": "WITH s AS (SELECT DISTINCT o_orderkey % 2500 AS step FROM orders) SELECT step, round(1e6 * CASE WHEN step < 100 THEN 3e-4 * (step + 1) / 100 ELSE 3e-5 + 5e-1 * (1 + cos(pi() * least(1e0, (step - 100) / 1900e0))) * (3e-4 - 3e-5) END, 6) AS rate FROM s",
+    "epoch_rates": """WITH e AS (SELECT unnest(range(1, 101)) AS epoch), r AS (SELECT 'constant' AS schedule, epoch, 1e-1 AS v FROM e UNION ALL SELECT 'step', epoch, 1e-1 * pow(95e-2, (epoch - 1) // 10) FROM e
+UNION ALL SELECT 'exponential', epoch, 1e-1 * pow(95e-2, epoch - 1) FROM e UNION ALL SELECT 'time', epoch, 1e-1 / (1 + 95e-2 * (epoch - 1)) FROM e UNION ALL SELECT 'cosine', epoch, 1e-6 + 5e-1 * (1e-1 - 1e-6) * (1 + cos(pi() * least(1e0, (epoch - 1) / 99e0))) FROM e)
+SELECT schedule, epoch, round(1000 * greatest(1e-6, v), 6) AS rate FROM r""",
+    "sft_holdout": f"WITH n AS (SELECT count(DISTINCT conv_id) AS n FROM ({MSG})), v AS (SELECT n, CASE WHEN n >= 10 THEN greatest(1, n // 20) ELSE 0 END AS v FROM n) SELECT 'train' AS split, n - v AS n FROM v UNION ALL SELECT 'val', v FROM v WHERE v > 0",
+    "train_test_split": "WITH n AS (SELECT count(*) AS n, greatest(1, round(count(*) * 2e-1))::BIGINT AS t FROM documents) SELECT 'test' AS split, t AS n FROM n UNION ALL SELECT 'train', n - t FROM n WHERE n > t",
+    "context_windows": f"""WITH t AS (SELECT doc_id, unnest(range(len(a))) AS pos, lower(unnest(a)) AS token FROM (SELECT doc_id, {ltok('text')} AS a FROM documents)),
+l AS (SELECT unnest({ltok('lower(text)')}) AS term FROM documents), v AS (SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) + 1 AS id FROM l GROUP BY term QUALIFY id <= 201),
+k AS (SELECT doc_id, pos, coalesce(id, 1) AS id FROM t LEFT JOIN v ON v.term = t.token)
+SELECT doc_id, pos, coalesce(lag(id, 2) OVER w, 0) AS c0, coalesce(lag(id) OVER w, 0) AS c1, id AS target FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY pos)""",
+    "glyph_labels": f"WITH {SCORES}, x AS (SELECT i, j, exp(v * 20 - max(v * 20) OVER (PARTITION BY i)) AS e FROM sc), p AS (SELECT i, j, e / sum(e) OVER (PARTITION BY i) AS v FROM x), b AS (SELECT i, j, v FROM p QUALIFY row_number() OVER (PARTITION BY i ORDER BY v DESC, j) = 1) SELECT i AS vec_id, CASE WHEN v >= 5e-1 THEN j::VARCHAR ELSE '?' END AS label, round(v, 6) AS confidence FROM b",
 }

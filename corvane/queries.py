@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
@@ -563,6 +563,52 @@ def word_gap(spark, sf_dir):
     return numeric.word_gap(docs(spark, sf_dir).select((F.col("n_chars") % 7 + F.when(F.col("n_chars") % 5 == 0, 20).otherwise(1)).alias("gap")))
 
 
+@query
+def learning_rate(spark, sf_dir):
+    steps = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 2500).alias("step")).distinct()
+    return training.learning_rates(steps, 3e-4, 3e-5, 100, 2000).select("step", F.round(F.col("rate") * 1e6, 6).alias("rate"))
+
+
+@query
+def epoch_rates(spark, sf_dir):
+    epochs = spark.range(1, 101).select(F.col("id").alias("epoch"))
+    out = None
+    for kind in ("constant", "step", "exponential", "time", "cosine"):
+        part = training.epoch_rates(epochs, kind, 0.1, every=10).select(F.lit(kind).alias("schedule"), "epoch", F.round(F.col("rate") * 1000, 6).alias("rate"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def sft_holdout(spark, sf_dir):
+    split = training.sft_holdout(training.sft_messages(turns(spark, sf_dir)))
+    return split.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def train_test_split(spark, sf_dir):
+    return training.train_test_split(docs(spark, sf_dir).select("doc_id"), "doc_id").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def context_windows(spark, sf_dir):
+    v = analytics.vocabulary(docs(spark, sf_dir).withColumn("text", F.lower("text")), 200)
+    v = v.select(F.col("term").alias("token"), (F.row_number().over(Window.orderBy(F.desc("n"), "term")) + 1).alias("id"))  # 200 rows
+    w = training.context_windows(docs(spark, sf_dir), v, 2)
+    return w.select("doc_id", "pos", F.col("context")[0].alias("c0"), F.col("context")[1].alias("c1"), "target")
+
+
+@query
+def merge_overlapping(spark, sf_dir):
+    c = chunking.chunk_windows(docs(spark, sf_dir)).select(F.col("doc_id").cast("string").alias("title"), F.col("word_offset").alias("chunk_id"), F.col("chunk").alias("text"))
+    return chunking.merge_overlapping(c).select("title", F.length("text").cast("long").alias("n"))
+
+
+@query
+def glyph_labels(spark, sf_dir):
+    return numeric.recognized(numeric.softmax(_scores(spark, sf_dir).withColumn("v", F.col("v") * 20)), 0.5).select(F.col("i").alias("vec_id"), "label", r6("confidence"))
+
+
 # extensions
 
 

@@ -134,3 +134,31 @@ def test_generation(spark):
     assert {r.context: r.next for r in analytics.ngram_next(g).collect()}["the cat"] == "sat"
     assert analytics.generate(g, spark.createDataFrame([(1, "the cat")], "id long, prompt string"), 3).first()["text"].startswith("the cat sat")
     assert analytics.backoff_next(g, "cat").first()["next"] == "sat"
+
+
+def test_glyphs(spark):
+    art = ["##..#", "##...", "....#"]
+    cells = spark.createDataFrame([(0, y, x, c == "#") for y, row in enumerate(art) for x, c in enumerate(row)], "line long, y long, x long, active boolean")
+    got = {r.glyph: r.v for r in numeric.glyphs(cells, 3, 2).collect()}
+    assert got == {1: [1.0] * 6, 2: [1.0, 1.0, 0.0, 0.0, 1.0, 1.0]}
+
+
+def test_merge_overlapping(spark):
+    rows = [("t", 1, "b c d e"), ("t", 0, "a b c"), ("t", 2, ""), ("u", 0, "x")]
+    got = {r.title: r.text for r in chunking.merge_overlapping(spark.createDataFrame(rows, "title string, chunk_id long, text string")).collect()}
+    assert got == {"t": "a b c d e", "u": "x"}
+
+
+def test_chunks_join_up_again(spark):
+    text = " ".join(f"w{i}" for i in range(700))
+    c = chunking.chunk_windows(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    got = chunking.merge_overlapping(c.selectExpr("cast(doc_id as string) title", "word_offset chunk_id", "chunk text")).first()
+    assert got.text == text
+
+
+def test_schedules(spark):
+    with pytest.raises(ValueError):
+        training.epoch_rates(spark.range(1).select(F.lit(1).alias("epoch")), "none", 0.1)
+    steps = spark.range(0, 30, 10).select(F.col("id").alias("step"))
+    got = [r.rate for r in training.learning_rates(steps, 1.0, 0.1, 10, 20).orderBy("step").collect()]
+    assert got == [pytest.approx(0.1), pytest.approx(1.0), pytest.approx(0.1)]
