@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+EDGES = 200_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every node of the edges (a, b): root is the smallest id of its component.
@@ -30,11 +32,17 @@ def components(edges: DataFrame) -> DataFrame:
     def sums(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    def fewer(e: DataFrame, n: int) -> DataFrame:
+        """A partition for some hundred thousand edges: a few edges in all partitions cost a task each and round."""
+        return e.coalesce(n // EDGES + 1)
+
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     told = sums(e)
+    e = fewer(e, told[0])
     while told[0]:
         e = cut(star(star(e, True), False))
         now = sums(e)
+        e = fewer(e, now[0])
         if now == told:
             break
         told = now

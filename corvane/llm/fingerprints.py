@@ -39,7 +39,11 @@ def sketches(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     begin, end, at = words(data, off)
     h, to = shingles(spans_hash(data, begin, end), at, k)
     n = len(off) - 1
-    owner = np.repeat(np.arange(n), np.diff(to))
+    return one_permutation(h, np.repeat(np.arange(n), np.diff(to)), n)
+
+
+def one_permutation(h: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """sketches() of n texts from the hashes of their elements and the text that each is of."""
     slot = owner * BINS + (h >> U(64 - 9)).astype(np.int64)
     value = h << U(9) >> U(9)
     order = np.argsort(((slot.astype(U)) << U(40)) | (value >> U(15)), kind="stable") if n * BINS < 1 << 24 else np.lexsort((value, slot))

@@ -5,21 +5,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, U, cut, keyed, mix, shingles, slices, spans_hash, utf8, words
 from .components import components
+from .fingerprints import BINS, BITS, one_permutation
 
 #: Sketches of a document, k-mers of a sketch, words of a k-mer.
 SKETCHES, ORDERED, WORDS = 16, 3, 5
-#: Buckets of up to so many different texts give all their pairs; larger ones are resolved leader by leader.
+#: Buckets of up to so many different texts give all their pairs; in larger ones members meet the most central one.
 SMALL = 24
+#: Members that are not of the central one's class are compared by fingerprint with all others, in blocks of so many;
+#: estimates down to three and a half standard errors under the threshold are verified.
+PART, SLACK = 500, 0.065
+#: Up to so many ids of texts to compare are sent to all tasks (8 MB); more meet the texts in a shuffle.
+SENT = 500_000
 
 
-def order_sketches(texts: pa.Array) -> np.ndarray:
-    """rows x SKETCHES order MinHash values; 0 for a text without words.
+def order_sketches(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """rows x SKETCHES order MinHash values (0 for a text without words), and packed one-permutation fingerprints.
 
     K-mers are labelled with their occurrence, so repeats count. A sketch takes the ORDERED least of them under its
     own hash and keeps their order in the text: two texts agree where these are the same k-mers in the same order.
@@ -61,7 +68,8 @@ def order_sketches(texts: pa.Array) -> np.ndarray:
         for j in range(ORDERED):
             value = mix(value * U(0x9FB21C651E98DF25) + padded[picked[:, j]])
         out[some, s] = value | U(1)
-    return out
+    low, _ = one_permutation(labelled, owner, n)
+    return out, (low[:, 0::2] << 4) | low[:, 1::2]
 
 
 def grams(text: str) -> list[int]:
@@ -119,85 +127,111 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 keep.append(aligned_similarity(last[1], grams(y.as_py()), least) > 0)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # both joins use one exchange of the texts; the text of the many members moves, their leader's is only joined
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = texts.join(F.broadcast(asked) if asked.count() <= SENT else asked, "id", "left_semi")
+    # the text of the many members moves, their leader's is only joined
     held = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "y")
     held = held.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
     return held.mapInArrow(run, "a long, b long")
 
 
+def _alike(least: float):
+    """Pairs of a part's rest and members that are of different classes and may be as alike as least."""
+    same = np.array([(x >> 4 == 0) + (x & 15 == 0) for x in range(256)], np.uint8)
+    chance = 1 / (1 << BITS)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rest, every = pdf[pdf["told"].notna()], pdf[pdf["told"].isna()]
+        prints = np.frombuffer(b"".join(every["print"]), np.uint8).reshape(len(every), -1)
+        ids, roots, keys = every["id"].to_numpy(), every["root"].to_numpy(), np.array(every["keys"].tolist(), np.int64).reshape(len(every), -1)
+        out, last = [], np.iinfo(np.int64).max
+        for i, root, p, told, key in zip(rest["id"], rest["root"], rest["print"], rest["told"], rest["key"], strict=True):
+            # of the buckets that two texts meet in as rest and member, the one with the smallest key compares them
+            mine = np.flatnonzero((np.where(np.isin(keys, told), keys, last).min(1) == key) & (roots != root))
+            j = (same[prints[mine] ^ np.frombuffer(p, np.uint8)].sum(1, dtype=np.int64) / BINS - chance) / (1 - chance)
+            out += [(min(i, x), max(i, x)) for x in ids[mine[j >= least - SLACK]].tolist()]
+        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype=np.int64)
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """k, sub, first (of the class), class_k and n_links for each document.
+    """k, sub, first (of the class) and class_k for each document.
 
     Two texts are linked if their sequences of five-word shingles align to `least` or more (a Jaccard similarity in
     which order and repeats count). Documents of one class are connected by links or equal texts; class_k is the
-    smallest k of the class, and first is true for the one document, smallest by (k, sub), that stands for it. n_links
-    counts the links of a document's text to other texts that were verified. Texts of one to four words are one
-    shingle; texts without words are alike only if equal.
+    smallest k of the class, and first is true for the one document, smallest by (k, sub), that stands for it. Texts of
+    one to four words are one shingle; texts without words are alike only if equal.
 
     Equal texts are merged by partial aggregation before anything else. Small buckets of equal sketches are
-    compared pair by pair; from larger ones all members are compared with the smallest, then what is not of its
-    class with the next, until every member has led or belongs to a leader's class. No bucket is gathered.
+    compared pair by pair. In larger ones all members are compared with the one whose sketches most texts share; what
+    is not of its class is then compared with all members by fingerprint, in parts of bounded size, and whatever may
+    reach the threshold is verified. What is of one class already needs no more comparison. No bucket is gathered.
     """
     rows = keyed(docs)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text", 1_000_000):
-                found = order_sketches(b.column("text"))
+                found, prints = order_sketches(b.column("text"))
                 flat = pa.array(found.reshape(-1).view(np.int64))
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, (b.num_rows + 1) * SKETCHES, SKETCHES, dtype=np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([b.column(c) for c in ("id", "k", "sub", "h1", "h2")] + [keys], ["id", "k", "sub", "h1", "h2", "keys"])
+                packed = pa.array([p.tobytes() for p in prints], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(c) for c in ("id", "k", "sub", "h1", "h2")] + [keys, packed], ["id", "k", "sub", "h1", "h2", "keys", "print"])
 
     ident = F.when(F.col("sub") == 0, F.col("k")).otherwise(F.xxhash64("k", "sub"))
     rows = rows.withColumn("id", ident)
     hashed = rows.select("id", "k", "sub", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"), "text")
-    signed = cut(hashed.mapInArrow(sketch, "id long, k long, sub long, h1 long, h2 long, keys array<long>").dropDuplicates(["k", "sub"]))
-    nodes = signed.groupBy("h1", "h2").agg(F.min(F.struct("k", "sub", "id")).alias("o"), F.first("keys").alias("keys")).select("h1", "h2", F.col("o.id").alias("id"), F.col("o.k").alias("k"), "keys")
-    nodes = cut(nodes)
+    signed = cut(hashed.mapInArrow(sketch, "id long, k long, sub long, h1 long, h2 long, keys array<long>, print binary"))
+    copies = signed.select("id", "k", "sub", "h1", "h2").dropDuplicates(["k", "sub"])
+    nodes = signed.groupBy("h1", "h2").agg(F.min(F.struct("k", "sub", "id")).alias("o"), F.first("keys").alias("keys"), F.first("print").alias("print"))
+    nodes = cut(nodes.select("h1", "h2", F.col("o.id").alias("id"), "keys", "print"))
     buckets = nodes.select("id", F.explode(F.array_distinct("keys")).alias("key")).where("key <> 0")
-    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader")).where("n > 1")
-    members = buckets.join(sizes, "key")
+    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = cut(buckets.join(sizes, "key"))
     small = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     pair = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     pairs = small.select(F.explode(pair).alias("p")).select("p.*")
-    large = members.where(F.col("n") > SMALL)
-    pairs = pairs.unionByName(large.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")))
+    shared = members.groupBy("id").agg(F.sum("n").alias("shared"))
+    large = members.where(F.col("n") > SMALL).join(shared, "id")
+    leaders = large.groupBy("key").agg(F.max_by("id", F.struct("shared", -F.col("id"))).alias("leader"))
+    large = cut(large.join(leaders, "key").select("key", "id", "n", "leader"))
+    pairs = pairs.unionByName(large.where("id <> leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")))
+    pairs = cut(pairs.distinct())
     texts = rows.select("id", "text")
-    links = cut(_verify(pairs.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"), texts, least).distinct())
+    links = cut(_verify(pairs, texts, least))
     roots = components(links)
-    left = cut(large.select("key", "id"))
-    if not left.isEmpty():
-        tried = cut(large.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
-        done = large.groupBy("key").agg(F.min("leader").alias("id"))
-        while True:
-            placed = left.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-            led = done.join(roots, "id", "left").select("key", F.coalesce("root", "id").alias("root")).distinct()
-            lead = placed.join(led, ["key", "root"], "left_anti").groupBy("key").agg(F.min(F.struct("id", "root")).alias("l")).select("key", "l.*")
-            lead = cut(lead.select("key", F.col("id").alias("leader"), F.col("root").alias("its")))
-            if lead.isEmpty():
-                break
-            more = placed.join(lead, "key").where("root <> its").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
-            more = cut(more.join(tried, ["a", "b"], "left_anti"))
-            tried = cut(tried.unionByName(more))
-            links = cut(links.unionByName(_verify(more, texts, least)).distinct())
-            roots = components(links)
-            done = cut(done.unionByName(lead.select("key", F.col("leader").alias("id"))))
-    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    placed = nodes.select("h1", "h2", "id").join(roots, "id", "left").join(ends, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    out = signed.select("k", "sub", "h1", "h2").join(placed, ["h1", "h2"])
+    placed = large.join(roots, "id", "left").select("key", "id", "n", "leader", F.coalesce("root", "id").alias("root"))
+    central = placed.where("id = leader").select("key", F.col("root").alias("its"))
+    rest = cut(placed.join(central, "key").where("root <> its").select("key", "id", "n", "root"))
+    if not rest.isEmpty():
+        counts = rest.groupBy("key").agg(F.count(F.lit(1)).alias("r"))
+        across = lambda c: F.explode(F.sequence(F.lit(0), F.floor((F.col(c) - 1) / F.lit(PART))))
+        own = lambda c, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.floor((F.col(c) - 1) / F.lit(PART)) + 1)
+        part = ["key", "x", "y", "id", "root"]
+        told = rest.groupBy("id").agg(F.collect_set("key").alias("told"))  # its keys, SKETCHES at most
+        left = rest.join(counts, "key").withColumn("x", own("r", 1)).withColumn("y", across("n")).join(told, "id").select(*part, "told")
+        right = placed.join(counts, "key").withColumn("y", own("n", 2)).withColumn("x", across("r")).select(*part, F.lit(None).cast("array<long>").alias("told"))
+        both = left.unionByName(right).join(nodes.select("id", "print", "keys"), "id")
+        more = both.groupBy("key", "x", "y").applyInPandas(_alike(least), "a long, b long").distinct()
+        more = cut(more.join(pairs, ["a", "b"], "left_anti"))
+        links = cut(links.unionByName(_verify(more, texts, least)))
+        roots = components(links)
+    out = copies.join(nodes.select("h1", "h2", F.col("id").alias("node")), ["h1", "h2"]).join(roots.withColumnRenamed("id", "node"), "node", "left")
+    out = out.select("k", "sub", F.coalesce("root", "node").alias("root"))
     heads = out.groupBy("root").agg(F.min(F.struct("k", "sub")).alias("head"))
     out = out.join(heads, "root")
-    return out.select("k", "sub", (F.struct("k", "sub") == F.col("head")).alias("first"), F.col("head.k").alias("class_k"), "n_links")
+    return out.select("k", "sub", (F.struct("k", "sub") == F.col("head")).alias("first"), F.col("head.k").alias("class_k"))
 
 
 def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of its class) and n_links of each document; see near_duplicates().
+    """doc_id and class_id (smallest doc_id of its class) of each document; see near_duplicates().
 
     Rows with equal doc_id and text are one document and give one row; null doc_id is smaller than any other; a null
     text is empty. Empty table: no rows. Other columns are not looked at.
     """
     no = F.lit(NO_ID)
-    return near_duplicates(docs, least).select(F.nullif("k", no).alias("doc_id"), F.nullif("class_k", no).alias("class_id"), "n_links")
+    return near_duplicates(docs, least).select(F.nullif("k", no).alias("doc_id"), F.nullif("class_k", no).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, least: float = 0.8) -> DataFrame:

@@ -49,7 +49,7 @@ def brute(rows):
 def corpus():
     r, out = random.Random(3), []
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 6)))
-    for i in range(60):
+    for i in range(40):
         base = [word() for _ in range(r.choice([6, 40, 120, 300]))]
         out.append((i * 10, " ".join(base)))
         for j in range(r.randint(0, 5)):
@@ -58,7 +58,7 @@ def corpus():
                 changed[r.randrange(len(changed))] = word()
             out.append((i * 10 + j + 1, " ".join(changed) if r.random() < 0.8 else " ".join(base)))
     family = [word() for _ in range(200)]
-    for j in range(80):  # a large group of different near copies
+    for j in range(60):  # a large group of different near copies
         out.append((5000 + j, " ".join(w if r.random() > 0.006 else word() for w in family)))
     return out + [(9000, None), (9001, ""), (9002, " \n"), (9003, "one two"), (9004, "one two"), (9005, "one  two"), (9006, "z " * 3000)]
 
