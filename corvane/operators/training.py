@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,22 +99,27 @@ def token_blocks(docs: DataFrame, block: int = 512, stride: int | None = None) -
     no task holds more than a block's tokens at a time. Labels are the inputs shifted by one.
     """
     step = stride or block
-    n = F.octet_length("text") + 2
+    n = F.coalesce(F.octet_length("text"), F.lit(0)) + 2
     sized = docs.select("doc_id", n.cast("long").alias("n"))
     at = running_offsets(sized, "n", "doc_id")
-    total = F.broadcast(sized.agg(F.sum("n").alias("total")))  # one row
-    d = docs.select("doc_id", F.concat(F.array(F.lit(1)), byte_tokens(F.col("text")), F.array(F.lit(2))).alias("t")).join(at, "doc_id").crossJoin(total)
-    last = F.floor((F.col("total") - block - 1) / F.lit(step))
-    low = F.greatest(F.lit(0), F.ceil((F.col("offset") - block) / F.lit(step)))
-    high = F.least(last, F.floor((F.col("offset") + F.size("t") - 1) / F.lit(step)))
-    d = d.where((F.col("total") > block) & (low <= high)).select("offset", "t", F.explode(F.sequence(low, high)).alias("block_id"))
-    begin = F.greatest(F.lit(0), F.col("block_id") * step - F.col("offset"))
-    end = F.least(F.size("t").cast("long"), F.col("block_id") * step + block + 1 - F.col("offset"))
-    part = F.slice("t", (begin + 1).cast("int"), (end - begin).cast("int"))
-    d = d.select("block_id", (F.col("offset") + begin - F.col("block_id") * step).alias("at"), part.alias("p"))
-    weighed = F.aggregate(F.zip_with("p", F.sequence(F.col("at"), F.col("at") + F.size("p") - 1), lambda t, i: t * (i + 1)), F.lit(0).cast("long"), lambda a, v: a + v)
-    d = d.where(F.size("p") > 0).select("block_id", "at", F.size("p").alias("n"), weighed.alias("w"), F.element_at("p", 1).alias("a"), F.element_at("p", -1).alias("z"))
-    return d.groupBy("block_id").agg(F.sum("n").alias("n_tokens"), F.min_by("a", "at").cast("long").alias("first_token"), F.max_by("z", "at").cast("long").alias("last_token"), F.sum("w").alias("checksum"))
+    total = sized.agg(F.sum("n")).first()[0] or 0
+    last = (total - block - 1) // step
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for offset, text in zip(b.column("offset").to_pylist(), b.column("text").to_pylist(), strict=True):
+                raw = np.frombuffer((text or "").encode(), np.uint8).astype(np.int64) + BYTE_OFFSET
+                t = np.concatenate([[1], raw, [2]])
+                for k in range(max(0, -((block - offset) // step)), min(last, (offset + len(t) - 1) // step) + 1):
+                    part = t[max(0, k * step - offset) : k * step + block + 1 - offset]
+                    at = max(0, offset - k * step)
+                    rows.append((k, at, len(part), int(part @ np.arange(at + 1, at + 1 + len(part))), int(part[0]), int(part[-1])))
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["block_id", "at", "n", "w", "a", "z"])
+
+    parts = docs.select("doc_id", "text").join(at, "doc_id").select("offset", "text").mapInArrow(cut, "block_id long, at long, n long, w long, a long, z long")
+    return parts.groupBy("block_id").agg(F.sum("n").alias("n_tokens"), F.min_by("a", "at").alias("first_token"), F.max_by("z", "at").alias("last_token"), F.sum("w").alias("checksum"))
 
 
 def running_offsets(sized: DataFrame, n: str, key: str) -> DataFrame:

@@ -162,3 +162,16 @@ def test_schedules(spark):
     steps = spark.range(0, 30, 10).select(F.col("id").alias("step"))
     got = [r.rate for r in training.learning_rates(steps, 1.0, 0.1, 10, 20).orderBy("step").collect()]
     assert got == [pytest.approx(0.1), pytest.approx(1.0), pytest.approx(0.1)]
+
+
+@pytest.mark.parametrize("block,stride", [(8, None), (8, 3), (5, 9), (500, None)])
+def test_token_blocks(spark, block, stride):
+    texts = ["abc", "", "é long text here", None, "x", "more and more"]
+    stream = [t for x in texts for t in [1, *[6 + b for b in (x or "").encode()], 2]]
+    step, want = stride or block, []
+    for k in range(max(0, 1 + (len(stream) - block - 1) // step)):
+        part = stream[k * step : k * step + block + 1]
+        want.append((k, len(part), part[0], part[-1], sum(t * (i + 1) for i, t in enumerate(part))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted((r.block_id, r.n_tokens, r.first_token, r.last_token, r.checksum) for r in training.token_blocks(df, block, stride).collect())
+    assert got == want
