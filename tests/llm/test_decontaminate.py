@@ -51,3 +51,13 @@ def test_empty(spark):
 def test_common_subsequence():
     assert common_subsequence([1, 2, 3, 4], [9, 2, 4, 3, 4]) == 3
     assert common_subsequence([1], []) == 0
+
+
+def test_long_text_and_other_columns(spark):
+    docs, items, _, _ = corpus()
+    filler = " ".join(t for _, t in docs if t)
+    rows = [(1, filler[: len(filler) // 2] + " " + items[5][1] + " " + filler, "x", 1.0, None), (2, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k string, overlap double, item_id string")
+    got = [(r.doc_id, r.item_id) for r in leaks(df, spark.createDataFrame([(5, items[5][1], "x"), (5, items[5][1], "y")], "item_id long, text string, k string")).collect()]
+    assert got == [(1, 5)]
+    assert [r.doc_id for r in drop_leaking(df, spark.createDataFrame([(None, items[5][1])], "item_id long, text string")).collect()] == [2]
