@@ -115,13 +115,11 @@ def infer_domain(title: Column, text: Column, suffix: Column | None = None) -> C
 
 
 def content_terms(c: Column) -> Column:
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(tokens(c), lambda t: ~F.array_contains(stop, t) & (F.length(t) > 2) & ~t.rlike("^[0-9]+$"))
+    return F.filter(tokens(c), lambda t: ~t.isin(STOP_WORDS) & (F.length(t) > 2) & ~t.rlike("^[0-9]+$"))
 
 
 def question_terms(c: Column) -> Column:
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.array_distinct(F.filter(tokens(c), lambda t: ~F.array_contains(stop, t) & (F.length(t) > 1)))
+    return F.array_distinct(F.filter(tokens(c), lambda t: ~t.isin(STOP_WORDS) & (F.length(t) > 1)))
 
 
 def intent_bonus(question: Column, sentence: Column) -> Column:

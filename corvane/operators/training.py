@@ -142,9 +142,19 @@ def corpus_meta(docs: DataFrame, split: DataFrame) -> DataFrame:
 
 def pair_counts(docs: DataFrame) -> DataFrame:
     """left, right, n of neighbouring byte tokens; overlapping pairs count."""
-    t = docs.select(byte_tokens(F.col("text")).alias("t")).where(F.size("t") > 1)
-    pair = F.zip_with(F.slice("t", F.lit(1), F.size("t") - 1), F.slice("t", F.lit(2), F.size("t") - 1), lambda a, b: F.struct(a.alias("left"), b.alias("right")))
-    return t.select(F.explode(pair).alias("p")).groupBy("p.left", "p.right").agg(F.count(F.lit(1)).alias("n"))
+    size = BYTE_OFFSET + 256
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, np.int64)
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                t = np.frombuffer((text or "").encode(), np.uint8).astype(np.int64) + BYTE_OFFSET
+                pair, n = np.unique(t[:-1] * size + t[1:], return_counts=True)
+                total[pair] += n
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found // size), pa.array(found % size), pa.array(total[found])], ["left", "right", "n"])
+
+    return docs.select("text").mapInArrow(count, "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
 
 
 def merge_pair(ids: list[int], left: int, right: int, new: int) -> list[int]:
