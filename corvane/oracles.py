@@ -292,7 +292,7 @@ SELECT block_id, count(*) AS n_tokens, arg_min(t, k)::BIGINT AS first_token, arg
     "matmul": f"WITH {SCORES} SELECT i, j, round(v, 6) AS v FROM sc",
     "matrix_cells": f"WITH {SCORES}, b AS (SELECT j, sum(v) AS b FROM sc GROUP BY j) SELECT i, j, round(v + b - v, 5) AS v FROM sc JOIN b USING (j)",
     "softmax": f"WITH {SOFT} SELECT i, j, round(v, 6) AS v FROM sm",
-    "activations": f"WITH {EMB} SELECT i, k, round(1 / (1 + exp(-v)), 6) AS sigmoid, round(greatest(0e0, v), 6) AS relu, round(CASE WHEN v > 0 THEN v ELSE v * 1e-2 END, 6) AS leaky, round(tanh(v), 6) AS tanh FROM e",
+    "activations": f"WITH {EMB} SELECT i, k, round(1 / (1 + exp(-v)), 6) AS sigmoid, round(greatest(0e0, v), 6) AS relu, round(CASE WHEN v > 0 THEN v ELSE v * 1e-2 END, 6) + 0e0 AS leaky, round(tanh(v), 6) + 0e0 AS tanh FROM e",
     "losses": f"""WITH {SOFT}, c AS (SELECT sm.i, sm.v AS p, greatest(1e-7, least(1 - 1e-7, sm.v)) AS q, (sm.j = t.label)::INT::DOUBLE AS y FROM sm JOIN embeddings t ON t.vec_id = sm.i)
 SELECT round(avg((p - y) * (p - y)), 6) AS mse, round(-avg(y * ln(q) + (1 - y) * ln(1 - q)), 6) AS bce, round(-sum(y * ln(q)) / count(DISTINCT i), 6) AS cce FROM c""",
     "accuracy": f"WITH {PAIRS} SELECT round(avg((actual = predicted)::INT), 6) AS accuracy FROM pr",
