@@ -187,14 +187,15 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     nodes = signed.groupBy("h1", "h2").agg(F.min(F.struct("k", "sub", "id")).alias("o"), F.first("keys").alias("keys"), F.first("print").alias("print"))
     nodes = cut(nodes.select("h1", "h2", F.col("o.id").alias("id"), "keys", "print"))
     buckets = nodes.select("id", F.explode(F.array_distinct("keys")).alias("key")).where("key <> 0")
-    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # aggregates are written before they are joined, so that Spark can split the join where a key or a class is large
+    sizes = cut(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = cut(buckets.join(sizes, "key"))
     small = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     pair = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     pairs = small.select(F.explode(pair).alias("p")).select("p.*")
     shared = members.groupBy("id").agg(F.sum("n").alias("shared"))
     large = members.where(F.col("n") > SMALL).join(shared, "id")
-    leaders = large.groupBy("key").agg(F.max_by("id", F.struct("shared", -F.col("id"))).alias("leader"))
+    leaders = cut(large.groupBy("key").agg(F.max_by("id", F.struct("shared", -F.col("id"))).alias("leader")))
     large = cut(large.join(leaders, "key").select("key", "id", "n", "leader"))
     pairs = pairs.unionByName(large.where("id <> leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")))
     pairs = cut(pairs.distinct())
@@ -219,7 +220,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
         roots = components(links)
     out = copies.join(nodes.select("h1", "h2", F.col("id").alias("node")), ["h1", "h2"]).join(roots.withColumnRenamed("id", "node"), "node", "left")
     out = out.select("k", "sub", F.coalesce("root", "node").alias("root"))
-    heads = out.groupBy("root").agg(F.min(F.struct("k", "sub")).alias("head"))
+    heads = cut(out.groupBy("root").agg(F.min(F.struct("k", "sub")).alias("head")))
     out = out.join(heads, "root")
     return out.select("k", "sub", (F.struct("k", "sub") == F.col("head")).alias("first"), F.col("head.k").alias("class_k"))
 
