@@ -10,10 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, mix, shingles, slices, spans_hash, utf8, words
+from .common import U, cut, mix, shingles, slices, spans_hash, utf8, words
 
 # Insults that speak against a text wherever they stand.
 INSULTS = "idiot moron stupid trash worthless pathetic disgusting clown scum loser".split()
+#: Beginnings of words, in bytes, that labels may speak against; whole words are looked at too.
+STEMS = (3, 4, 5, 6, 7, 8, 10)
+#: Toxic documents that a stem needs, its least evidence, parts of the labels for held-out scores, the share of clean
+#: documents under the threshold, its lower bound, and the words from which a text's length adds no certainty.
+STEM_DOCS, STEM_EVIDENCE, FOLDS, CLEAN_KEPT, TOXIC_FROM, SURE_WORDS = 4, 1.2, 4, 0.995, 0.8, 900
+MARKS = 1 << 18
 #: Bounds of the samples that models are fitted on: documents for the scorer, labelled documents for the stems.
 SCORER_SAMPLE, STEM_SAMPLE = 4000, 30_000
 BITS = 17
@@ -54,6 +60,7 @@ class Texts:
         upper = np.concatenate([[0], np.cumsum(kinds == 2)])
         self.caps = upper[self.end] - upper[self.begin]
         self.kinds, self.off = kinds, off
+        self._stems = None
         self.again = np.zeros(len(self.h), bool)
         if len(self.h):
             self.again[1:] = (self.h[1:] == self.h[:-1]) & (self.owner[1:] == self.owner[:-1])
@@ -103,28 +110,64 @@ class Texts:
         mask = U((1 << BITS) - 1)
         return np.stack([mix(x + U(salt << 40)) & mask for salt, x in ((1, self.h), (2, shape.astype(U)), (3, pair.astype(U)))]).astype(np.int64)
 
-    def insults(self, terms: np.ndarray, stems: np.ndarray) -> np.ndarray:
-        """How many words are insults or begin with a stem learned from labels; words are folded to letters before."""
+    def insults(self, terms: np.ndarray) -> np.ndarray:
+        """How many words of each text are listed insults."""
         if not len(self.h):
             return np.zeros(len(self.n), np.int64)
-        full, stem = stem_hashes(self.data, self.begin, self.end)
-        hit = np.isin(full, terms)
-        if len(stems):
-            hit |= np.isin(stem, stems)
-        return np.bincount(self.owner, hit, len(self.n)).astype(np.int64)
+        return np.bincount(self.owner, np.isin(self.stems()[-1], terms), len(self.n)).astype(np.int64)
+
+    def stems(self) -> np.ndarray:
+        """stem_hashes() of the words; computed once."""
+        if self._stems is None:
+            self._stems = stem_hashes(self.data, self.begin, self.end)
+        return self._stems
+
+    def evidence(self, stems: np.ndarray, weight: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How toxic each text is by learned stems, and how many of its words have one.
+
+        A word counts as its strongest stem does. Their mean is multiplied by the root of the length, as chance goes,
+        up to SURE_WORDS: from there on it is the mean alone that tells, or long texts would all be toxic.
+        """
+        if not len(self.h) or not len(stems):
+            return np.zeros(len(self.n)), np.zeros(len(self.n), np.int64)
+        h = self.stems()
+        most = np.zeros(h.shape[1])
+        for x in h:
+            at = np.flatnonzero(marks[(x & U(MARKS - 1)).astype(np.int64)])
+            place = np.minimum(np.searchsorted(stems, x[at]), len(stems) - 1)
+            most[at] = np.maximum(most[at], np.where(stems[place] == x[at], weight[place], 0))
+        n = np.maximum(self.n, 1)
+        return np.bincount(self.owner, most, len(n)) / n * np.sqrt(np.minimum(n, SURE_WORDS)), np.bincount(self.owner, most > 0, len(n)).astype(np.int64)
+
+    def folds(self) -> np.ndarray:
+        """Part of the labels that each text is in; near copies mostly share their least shingle, thus the part."""
+        sh, to = shingles(self.h, self.at)
+        out = np.zeros(len(self.n), np.int64)
+        some = np.flatnonzero(np.diff(to))
+        if len(some):
+            out[some] = (np.minimum.reduceat(sh, to[some]) % U(FOLDS)).astype(np.int64)
+        return out
+
 
+def stem_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of each word's beginnings of STEMS bytes (0 if it is not longer) and, last, of the whole word.
 
-def stem_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each word without punctuation around it, A-Z folded, and of its first six bytes; 0 if it is shorter."""
+    Words are folded (A-Z and accented Latin capitals) and lose the punctuation around them.
+    """
     folded = np.where(CLASS[data] == 2, data + np.uint8(32), data)
+    folded[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)] += 32
     begin, end, letter = begin.copy(), end.copy(), (CLASS[folded] == 1)
     for _ in range(3):
         off = (begin < end) & ~letter[np.minimum(begin, len(data) - 1)]
         begin += off
         off = (begin < end) & ~letter[np.maximum(end - 1, 0)]
         end -= off
-    cut = np.minimum(begin + 6, end)
-    return spans_hash(folded, begin, end), np.where(end - begin >= 7, spans_hash(folded, begin, cut), U(0))
+    ends = np.concatenate([*(np.minimum(begin + k, end) for k in STEMS), end])
+    out = spans_hash(folded, np.tile(begin, len(STEMS) + 1), ends).reshape(len(STEMS) + 1, -1)
+    for j, k in enumerate(STEMS):
+        out[j] = np.where(end - begin > k, mix(out[j] + U(k << 40)), U(0))
+    out[-1] = np.where(end > begin, out[-1], U(0))
+    return out
 
 
 def _sampled(docs: DataFrame, most: int) -> DataFrame:
@@ -188,8 +231,8 @@ def fit(docs: DataFrame, labels: DataFrame | None = None) -> dict:
     """The fitted classifier.
 
     Votes are counted over all documents; a task sends at most 3**8 patterns. The scorer is fitted on about
-    SCORER_SAMPLE documents. labels (doc_id, toxic), if given, add word stems that only toxic documents have, from
-    about STEM_SAMPLE of them.
+    SCORER_SAMPLE documents. labels (doc_id, toxic), if given, add words and beginnings of words that toxic documents
+    have more often, from about STEM_SAMPLE of them.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,33 +267,96 @@ def fit(docs: DataFrame, labels: DataFrame | None = None) -> dict:
     model["weight"], model["bias"] = train_scorer([(np.frombuffer(f, np.int32), np.frombuffer(v, np.float32), p) for f, v, p in taken])
     terms = np.frombuffer(" ".join(INSULTS).encode(), np.uint8)
     begin, end, _ = words(terms, np.array([0, len(terms)]))
-    model["terms"], model["stems"] = stem_hashes(terms, begin, end)[0], np.zeros(0, U)
+    model["terms"] = stem_hashes(terms, begin, end)[-1]
+    model["toxic"], model["toxic_from"] = _lookup(np.zeros(0, U), np.zeros(0)), TOXIC_FROM
     if labels is not None:
-        model["stems"] = toxic_stems(docs, labels)
+        model["toxic"], model["toxic_from"] = toxic_stems(docs, labels, model)
     return model
 
 
-def toxic_stems(docs: DataFrame, labels: DataFrame, least: int = 6, share: float = 0.9) -> np.ndarray:
-    """Hashes of six-byte word beginnings that at least `least` labelled documents have, `share` of them toxic."""
+def _lookup(stems: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stems in order, their weights, and a table of their low bits that spares most searches."""
+    order = np.argsort(stems)
+    marks = np.zeros(MARKS, bool)
+    marks[(stems & U(MARKS - 1)).astype(np.int64)] = True
+    return stems[order], weight[order], marks
+
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def toxic_stems(docs: DataFrame, labels: DataFrame, model: dict) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], float]:
+    """Stems (and whole words) with their evidence, as _lookup() has them, and how toxic a text must be to go.
+
+    Evidence: log of how much more often toxic documents have the stem, by occurrences, less one standard error, by
+    documents. Each labelled document is scored by the stems of the other FOLDS - 1 parts; the threshold is what
+    CLEAN_KEPT of the clean ones stay under, of those that the labellers find good.
+    """
+    known = _sampled(labels.where("toxic is not null"), STEM_SAMPLE).select(F.col("doc_id").alias("of"), "toxic").dropDuplicates(["of"])
+    # a sample of bounded size is sent to the texts, which are not exchanged
+    rows = cut(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("of")).select("text", F.col("toxic").cast("long").alias("toxic")))
+
+    def pairs(b: pa.RecordBatch) -> tuple[Texts, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (text, stem) and how often."""
+        t = Texts(b.column("text"))
+        if not len(t.h):
+            return t, np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64)
+        h = t.stems().reshape(-1)
+        owner = np.tile(t.owner, len(STEMS) + 1)[h > 0]
+        h = h[h > 0]
+        order = np.lexsort((h, owner))
+        owner, h = owner[order], h[order]
+        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]))
+        return t, owner[new], h[new], np.diff(np.append(new, len(h)))
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text", 1_000_000):
-                data, off = utf8(b.column("text"))
-                begin, end, at = words(data, off)
-                if not len(begin):
-                    continue
-                stem = stem_hashes(data, begin, end)[1]
-                owner = np.repeat(np.arange(b.num_rows), np.diff(at))
-                pair = np.unique(np.stack([owner.astype(U), stem]), axis=1)
-                pair = pair[:, pair[1] > 0]
-                toxic = b.column("toxic").to_numpy(zero_copy_only=False)[pair[0].astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(pair[1].view(np.int64)), pa.array(toxic.astype(np.int64))], ["stem", "toxic"])
+                stem, n = np.unique(pairs(b)[2], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(stem.view(np.int64)), pa.array(n)], ["stem", "n"])
 
-    known = _sampled(labels.where("toxic is not null"), STEM_SAMPLE).select(F.col("doc_id").alias("of"), "toxic").dropDuplicates(["of"])
-    rows = docs.where("text is not null").select("doc_id", "text").join(known, F.col("doc_id") == F.col("of")).select("text", F.col("toxic").cast("long").alias("toxic"))
-    counted = rows.mapInArrow(find, "stem long, toxic long").groupBy("stem").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
-    return np.array(sorted(r["stem"] for r in counted.where((F.col("t") >= least) & (F.col("t") >= share * F.col("n"))).select("stem").collect()), np.int64).view(U)
+    often = rows.where("toxic = 1").mapInArrow(candidates, "stem long, n long").groupBy("stem").agg(F.sum("n").alias("n")).where(F.col("n") >= STEM_DOCS).select("stem").toArrow()
+    stems = np.sort(often.column("stem").to_numpy().astype(np.int64).view(U))
+    if not len(stems):
+        return _lookup(stems, np.zeros(0)), TOXIC_FROM
+    # by part of the labels: words or documents that have the stem, of toxic and of clean ones
+    names = [f"{x}{f}" for x in ("t", "c", "td", "cd") for f in range(FOLDS)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4 * FOLDS, len(stems) + 1), np.int64)  # the last column counts all words
+        for batch in batches:
+            for b in slices(batch, "text", 1_000_000):
+                t, owner, h, n = pairs(b)
+                slot = np.where(b.column("toxic").to_numpy(zero_copy_only=False) == 1, 0, FOLDS) + t.folds()
+                np.add.at(total, (slot, len(stems)), t.n)
+                place = np.minimum(np.searchsorted(stems, h), len(stems) - 1)
+                has = stems[place] == h
+                np.add.at(total, (slot[owner[has]], place[has]), n[has])
+                np.add.at(total, (slot[owner[has]] + 2 * FOLDS, place[has]), 1)
+        at = np.flatnonzero(total.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(x[at]) for x in total)], ["at", *names])
+
+    counted = rows.mapInArrow(count, "at long, " + ", ".join(f"{x} long" for x in names)).groupBy("at").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
+    got = np.zeros((4 * FOLDS, len(stems) + 1))
+    got[:, counted.column("at").to_numpy()] = np.stack([counted.column(x).to_numpy() for x in names])
+    got = got.reshape(4, FOLDS, -1)
+
+    def learned(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        t, c, td, cd = x[:, :-1]
+        words_t, words_c = np.maximum(x[:2, -1], 1)
+        evidence = np.log(np.maximum(t, 1e-9) / words_t) - np.log((c + 1) / words_c) - np.sqrt(1 / np.maximum(td, 1) + 1 / (cd + 1))
+        good = (td >= STEM_DOCS) & (evidence >= STEM_EVIDENCE)
+        return _lookup(stems[good], evidence[good])
+
+    parts = [learned(got.sum(1) - got[:, f]) for f in range(FOLDS)]
+
+    def held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, "text", 1_000_000):
+                t = Texts(b.column("text"))
+                fold = t.folds()
+                score = np.choose(fold, [t.evidence(*p)[0] for p in parts])
+                yield pa.RecordBatch.from_arrays([pa.array(score[(t.n > 0) & (posterior(model, t.votes()) >= 0.5)])], ["score"])
+
+    clean = rows.where("toxic = 0").mapInArrow(held_out, "score double").toArrow().column("score").to_numpy()
+    return learned(got.sum(1)), max(TOXIC_FROM, float(np.quantile(clean, CLEAN_KEPT))) if len(clean) else TOXIC_FROM
 
 
 def posterior(model: dict, votes: np.ndarray) -> np.ndarray:
@@ -263,16 +369,18 @@ def judged(model: dict, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nd
     f = t.features()
     z = sum(np.bincount(t.owner, model["weight"][f[j]], len(t.n)) for j in range(3)) / np.maximum(t.n, 1) + model["bias"]
     score = np.where(t.n > 0, 1 / (1 + np.exp(-np.clip(z, -50, 50))), 0.0)
-    hits = t.insults(model["terms"], model["stems"])
-    toxic = (hits >= 2) | (hits * 100 >= np.maximum(t.n, 1))
+    hits = t.insults(model["terms"])
+    degree, learned = t.evidence(*model["toxic"])
+    toxic = (hits >= 2) | (hits * 100 >= np.maximum(t.n, 1)) | (degree >= model["toxic_from"])
+    hits = np.where(degree >= model["toxic_from"], np.maximum(hits, learned), hits)
     return score, np.where(t.n > 0, posterior(model, t.votes()), 0.0), hits, (score >= KEEP_FROM) & ~toxic
 
 
 def score_documents(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, quality_score, weak_label (posterior of the labellers), insults and keep of every document.
 
-    keep: the scorer gives KEEP_FROM or more, and insults are fewer than two and under one word in a hundred. A text that
-    is null or has no words scores 0 and goes. Repeated rows get equal answers; an empty table gives no rows; other
+    keep: the scorer gives KEEP_FROM or more, listed insults are fewer than two and under one word in a hundred, and the
+    learned stems don't make the text toxic; if they do, insults has the words with such stems. A text that is null or has no words scores 0 and goes. Repeated rows get equal answers; an empty table gives no rows; other
     columns are not looked at.
     """
 

@@ -138,3 +138,21 @@ def test_estimate():
     table, prior = quality.estimate(patterns, n.astype(float))
     post = quality.kinds(table, prior, votes)[:, 0]
     assert ((post > 0.5) == (kind == 0)).mean() > 0.93  # about what the votes tell
+
+
+def test_toxic_words_of_other_languages(spark):
+    r = random.Random(4)
+    parts = ["ach", "keit", "lich", "ung", "ver", "ge", "ä", "ein", "sch", "tz"]
+    word = lambda: "".join(r.choice(parts) for _ in range(r.randint(1, 4)))
+    rude = lambda: "SSüble" + word()
+
+    def text(toxic):  # the rude stem occurs in clean texts too, but rarely; no text is like another
+        body = [rude() if r.random() < (0.05 if toxic else 0.004) else word() for _ in range(r.randint(100, 400))]
+        return " ".join(w.capitalize() + "." if r.random() < 0.1 else w for w in body)
+
+    rows = [(i, text(i % 8 == 0), int(i % 8 == 0)) for i in range(800)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows if i < 480], "doc_id long, toxic int")
+    toxic = {r.doc_id: r.insults > 0 for r in quality.score_documents(docs, quality.fit(docs, labels)).where("doc_id >= 480").collect()}
+    bad, good = [i for i in toxic if i % 8 == 0], [i for i in toxic if i % 8]
+    assert sum(toxic[i] for i in bad) >= 0.9 * len(bad) and sum(toxic[i] for i in good) <= 0.03 * len(good)
