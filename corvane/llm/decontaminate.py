@@ -186,6 +186,38 @@ class Items:
             self.known[(w & U(MARKS - 1)).astype(np.int64)] = True
             self.has[i, (w & U(TERMS - 1)).astype(np.int64)] = True
         self.least = np.array([SHARED * min(1, len(w) / PASSAGE) for w in self.words])
+        # items that don't fill a passage, by their number of words; a bit of small for each number that a word occurs in
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.small = np.zeros(MARKS, np.uint16)
+        size = np.array([len(w) for w in self.words], np.int64)
+        for n in np.unique(size[size < PASSAGE]).tolist():
+            p = np.flatnonzero(size[self.of] == n)
+            self.short[n] = (self.of[p], np.ascontiguousarray(self.vectors[p].T))
+            marks = np.array([w for i in self.of[p] for w in self.words[i]], U) & U(MARKS - 1)
+            self.small[marks.astype(np.int64)] |= np.uint16(1 << n)
+
+    def short_hits(self, h: np.ndarray, at: np.ndarray, space: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Texts, items of under PASSAGE words and the place in the text, where windows as long as the item are alike.
+
+        In a passage such an item is one part among others, so that its cosine falls with its length; a window of its
+        own length begins at every word here. Windows with too few words of such items are not projected.
+        """
+        small = self.small[(h & U(MARKS - 1)).astype(np.int64)]
+        f = (h & U(TERMS - 1)).astype(np.int64)
+        owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        for n, (item, vectors) in self.short.items():
+            if len(h) < n:
+                continue
+            sums = np.concatenate([[0], np.cumsum((small >> n) & 1, dtype=np.int64)])
+            begin = np.flatnonzero((sums[n:] - sums[:-n] >= PARAPHRASED * n) & (owner[n - 1 :] == owner[: len(h) - n + 1]))
+            for lo in range(0, len(begin), 2048):
+                b = begin[lo : lo + 2048]
+                terms_of = f[b[:, None] + np.arange(n)]
+                hit = np.flatnonzero((_unit(space[terms_of].sum(1)) @ vectors).reshape(-1) >= COSINE)
+                w, i = hit // len(item), item[hit % len(item)]
+                ok = self.has[i[:, None], terms_of[w]].sum(1) >= PARAPHRASED * n
+                w, i = w[ok], i[ok]
+                yield owner[b[w]], i, b[w] - at[owner[b[w]]]
 
     def leaks(self, h: np.ndarray, at: np.ndarray, space: np.ndarray, weight: np.ndarray) -> list[tuple[int, int, float, float]]:
         """(text, item, share of the item in order, share of its end) of the leaks in some texts.
@@ -223,6 +255,9 @@ class Items:
             start = (r[w] - to[owner[r[w]]]) * HALF - self.shift[p]
             for t, x, s in zip(owner[r[w]].tolist(), i.tolist(), start.tolist(), strict=True):
                 found.setdefault((t, x), set()).add(s)
+        for t, i, start in self.short_hits(h, at, space):
+            for a, b, c in zip(t.tolist(), i.tolist(), start.tolist(), strict=True):
+                found.setdefault((a, b), set()).add(c)
         out = []
         for (t, i), starts in found.items():
             item, best, answered, done = self.words[i], 0.0, 0.0, -(10**9)
@@ -247,7 +282,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """k, sub, item_id, overlap and answer_overlap for each document and benchmark item that it gives away.
 
     Every 16-term passage of every document (in steps of 8) is compared with every passage of every item in the
-    latent space; where the cosine is COSINE or more, the item's terms must occur around there in order: COPIED of
+    latent space, and every window of as many words as an item of under PASSAGE words with that item (in steps of 1);
+    where the cosine is COSINE or more, the item's terms must occur around there in order: COPIED of
     them, or PARAPHRASED and ANSWERED of its last third. Items go to the documents in blocks of bounded size. Items that are
     null or have under LEAST_WORDS terms are not looked for; null texts hold nothing; an empty table of either kind
     gives no rows. Rows with equal doc_id and text are found alike; other columns are not looked at.

@@ -61,3 +61,25 @@ def test_long_text_and_other_columns(spark):
     got = [(r.doc_id, r.item_id) for r in leaks(df, spark.createDataFrame([(5, items[5][1], "x"), (5, items[5][1], "y")], "item_id long, text string, k string")).collect()]
     assert got == [(1, 5)]
     assert [r.doc_id for r in drop_leaking(df, spark.createDataFrame([(None, items[5][1])], "item_id long, text string")).collect()] == [2]
+
+
+def test_short_items_verbatim(spark):
+    docs, _, _, _ = corpus()
+    r = random.Random(7)
+    pool = sorted({w for _, t in docs for w in t.lower().replace(".%%", "").replace(",", "").split()})
+    items = [(i, " ".join(r.choice(pool) for _ in range(4 + i % 12))) for i in range(480)]
+    put, want = [], set()
+    for i, (doc_id, t) in enumerate(docs):
+        words = t.split()
+        for item in (i % 480, (i + 240) % 480) if len(words) > 40 else ():
+            at = r.randint(0, len(words))
+            words[at:at] = ["|", *items[item][1].split(), "|"]
+        put.append((doc_id, " ".join(words)))
+    for doc_id, t in put:  # brute force: all words of the item, one after another
+        plain = " " + " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split()) + " "
+        want |= {(doc_id, i) for i, x in items if f" {x} " in plain}
+    assert len(want) > 500
+    found = leaks(spark.createDataFrame(put, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(x.doc_id, x.item_id): x.overlap for x in found}
+    by_length = {n: sum(p in got for p in want if 4 + p[1] % 12 == n) / sum(4 + p[1] % 12 == n for p in want) for n in range(4, 16)}
+    assert by_length == dict.fromkeys(range(4, 16), 1.0) and all(got[p] == 1 for p in want)
