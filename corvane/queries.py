@@ -523,13 +523,21 @@ def one_hot(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(numeric.one_hot(F.col("label"), 10).cast("array<string>"), "").alias("row"))
 
 
-def _edits(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.substring(F.regexp_replace("text", "[^A-Za-z .]", ""), 1, 60).alias("expected"))
+def _edits(spark, sf_dir, most=None):
+    """Neighbouring items, whole or their first characters."""
+    text = F.regexp_replace("text", "[^A-Za-z .]", "")
+    b = table(spark, sf_dir, "benchmark").select("item_id", (F.substring(text, 1, most) if most else text).alias("expected"))
     return b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("expected").alias("predicted")), "item_id")
 
 
 @query
 def cer(spark, sf_dir):
+    return _edits(spark, sf_dir, 60).select("item_id", F.round(numeric.character_error_rate(F.col("expected"), F.col("predicted")), 6).alias("cer"))
+
+
+@query
+def cer_whole(spark, sf_dir):
+    """cer of whole items; the SQL of cer cuts them."""
     return _edits(spark, sf_dir).select("item_id", F.round(numeric.character_error_rate(F.col("expected"), F.col("predicted")), 6).alias("cer"))
 
 
