@@ -80,6 +80,13 @@ def byte_tokens(spark, sf_dir):
     return d.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.col("t").cast("array<string>"), " ").alias("ids"))
 
 
+@query
+def byte_tokens_whole(spark, sf_dir):
+    """byte_tokens of whole texts, ids as a digest; the SQL of byte_tokens cuts them."""
+    d = docs(spark, sf_dir).select("doc_id", training.byte_tokens(F.col("text")).alias("t"))
+    return d.select("doc_id", F.size("t").cast("long").alias("n"), F.sha2(F.array_join(F.col("t").cast("array<string>"), " "), 256).alias("ids_sha256"))
+
+
 @query
 def infer_domain(spark, sf_dir):
     p = table(spark, sf_dir, "pages")

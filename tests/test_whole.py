@@ -1,5 +1,6 @@
 """Queries over whole texts and tables against brute force."""
 
+import hashlib
 import re
 
 from corvane.queries import QUERIES
@@ -25,3 +26,13 @@ def test_error_rates(spark):
     some = sorted(pairs)[:40]
     cer = {r.item_id: r.cer for r in QUERIES["cer_whole"](spark, SF).collect()}
     assert set(cer) == set(pairs) and all(cer[i] == round(edits(*pairs[i]) / len(pairs[i][0]), 6) for i in some)
+
+
+def texts(spark):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def test_byte_tokens(spark):
+    got = {r.doc_id: (r.n, r.ids_sha256) for r in QUERIES["byte_tokens_whole"](spark, SF).collect()}
+    want = {i: [b + 6 for b in t.encode()] for i, t in texts(spark).items()}
+    assert got == {i: (len(w), hashlib.sha256(" ".join(map(str, w)).encode()).hexdigest()) for i, w in want.items()}
