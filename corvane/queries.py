@@ -198,6 +198,14 @@ def replace_same_name(spark, sf_dir):
     return catalog.replace_same_name(d.where("doc_id < 400"), d.where("doc_id >= 800").withColumn("name", F.upper("name")))
 
 
+@query
+def replace_same_name_whole(spark, sf_dir):
+    """replace_same_name with every document on one side, at any size; its SQL has two ranges of ids. Half of the names are renewed."""
+    d = docs(spark, sf_dir).select("doc_id", F.concat(F.lit("Name"), (F.col("doc_id") % 300).cast("string")).alias("name"))
+    new = (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0) & (F.pmod(F.xxhash64("name"), F.lit(2)) == 0)
+    return catalog.replace_same_name(d.where(~new), d.where(new).withColumn("name", F.upper("name")))
+
+
 @query
 def export_corpus(spark, sf_dir):
     return catalog.export_corpus(docs(spark, sf_dir)).select("doc_id", F.sha2("text", 256).alias("sha"), "title", "source", "domain")

@@ -36,3 +36,11 @@ def test_byte_tokens(spark):
     got = {r.doc_id: (r.n, r.ids_sha256) for r in QUERIES["byte_tokens_whole"](spark, SF).collect()}
     want = {i: [b + 6 for b in t.encode()] for i, t in texts(spark).items()}
     assert got == {i: (len(w), hashlib.sha256(" ".join(map(str, w)).encode()).hexdigest()) for i, w in want.items()}
+
+
+def test_replace_same_name(spark):
+    got = {r.doc_id: r.name for r in QUERIES["replace_same_name_whole"](spark, SF).collect()}
+    every = set(texts(spark))
+    new = {i for i in got if got[i].startswith("NAME")}
+    assert new and every - new and {i % 300 for i in new}.isdisjoint(i % 300 for i in set(got) - new)
+    assert set(got) == new | {i for i in every - new if i % 300 not in {j % 300 for j in new}}
