@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,6 +147,21 @@ def gaps(found: DataFrame, by: str = "line") -> DataFrame:
     return found.select(by, "start", (F.col("start") - F.lag(F.col("start") + F.col("size")).over(w)).alias("gap")).where("gap is not null")
 
 
+def text_runs(lines: DataFrame) -> DataFrame:
+    """line, start, size of the runs of letters a-z of (line, text), and gap to the run before; no exchange."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for line, text in zip(batch.column("line").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                c = np.frombuffer((text or "").encode("utf-32-le"), np.uint32)
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], (c >= 97) & (c <= 122), [False]]).astype(np.int8)))
+                start, end = edge[::2], edge[1::2]
+                gap = pa.array(np.concatenate([[0], start[1:] - end[:-1]])[: len(start)].astype(np.int64), mask=np.arange(len(start)) == 0)
+                yield pa.RecordBatch.from_arrays([pa.array([line] * len(start), pa.int64()), pa.array(start.astype(np.int64)), pa.array((end - start).astype(np.int64)), gap], ["line", "start", "size", "gap"])
+
+    return lines.select(F.col("line").cast("long").alias("line"), "text").mapInArrow(find, "line long, start long, size long, gap long")
+
+
 def word_gap(gap: DataFrame) -> DataFrame:
     """threshold of gaps (gap): the middle of the largest jump between sorted gaps if it stands out, else beyond the largest."""
     g = gap.where("gap > 0")

@@ -581,6 +581,18 @@ def glyph_gaps(spark, sf_dir):
     return numeric.gaps(numeric.runs(_ink(spark, sf_dir)))
 
 
+@query
+def ink_runs_whole(spark, sf_dir):
+    """ink_runs of whole texts, found within the row; the SQL of ink_runs cuts them."""
+    return numeric.text_runs(docs(spark, sf_dir).select(F.col("doc_id").alias("line"), "text")).select("line", "start", "size")
+
+
+@query
+def glyph_gaps_whole(spark, sf_dir):
+    """glyph_gaps of whole texts, found within the row."""
+    return numeric.text_runs(docs(spark, sf_dir).select(F.col("doc_id").alias("line"), "text")).where("gap is not null").select("line", "start", "gap")
+
+
 @query
 def word_gap(spark, sf_dir):
     return numeric.word_gap(docs(spark, sf_dir).select((F.col("n_chars") % 7 + F.when(F.col("n_chars") % 5 == 0, 20).otherwise(1)).alias("gap")))

@@ -38,6 +38,14 @@ def test_byte_tokens(spark):
     assert got == {i: (len(w), hashlib.sha256(" ".join(map(str, w)).encode()).hexdigest()) for i, w in want.items()}
 
 
+def test_ink(spark):
+    runs = {i: [m.span() for m in re.finditer("[a-z]+", t)] for i, t in texts(spark).items()}
+    got = sorted(tuple(r) for r in QUERIES["ink_runs_whole"](spark, SF).collect())
+    assert got == sorted((i, a, b - a) for i, x in runs.items() for a, b in x) and max(x[1] for x in got) > 120
+    gaps = sorted(tuple(r) for r in QUERIES["glyph_gaps_whole"](spark, SF).collect())
+    assert gaps == sorted((i, y[0], y[0] - x[1]) for i, z in runs.items() for x, y in zip(z, z[1:], strict=False))
+
+
 def test_replace_same_name(spark):
     got = {r.doc_id: r.name for r in QUERIES["replace_same_name_whole"](spark, SF).collect()}
     every = set(texts(spark))
