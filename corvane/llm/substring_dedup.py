@@ -3,20 +3,43 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import doc_ids, slices, spans_hash, utf8, words
-from .windows import Kind, covered, redundant, redundant_windows
+from .windows import Kind, covered, ranks, redundant, redundant_windows
+
+
+def whole_classes(window: int) -> Callable:
+    """Windows sorted whole by their words, for Kind.classes.
+
+    Different words get different numbers. The rank of 2, 4, 8, ... consecutive words among all such is that of their
+    halves' ranks, and that of a window of its first and its last ranked part: equal ranks are equal words.
+    """
+
+    def classes(contents: list[bytes], data: np.ndarray, pos: np.ndarray, group: np.ndarray) -> np.ndarray:
+        known: dict[bytes, int] = {}
+        rank = np.fromiter((known.setdefault(w, len(known)) for c in contents for w in c.split()), np.int64)
+        m = 1
+        while 2 * m <= window:
+            rank = ranks(rank[: len(rank) - m], rank[m:])
+            m *= 2
+        if m < window:
+            rank = ranks(rank[: len(rank) - (window - m)], rank[window - m :])
+        found = ranks(group, rank[pos])
+        size = np.bincount(found, minlength=1)[found] if len(found) else found
+        return np.where(size > 1, found, -1)
+
+    return classes
 
 
 def super_kmers(window: int = 50) -> Kind:
     """Consecutive windows with one minimiser (of 8 words) are a super-k-mer and travel as one packed string to the
     minimiser's bucket, where the windows are sorted whole."""
-    return Kind(words=True, length=window, gram=max(1, window * 8 // 50), by_document=True, digits=1)
+    return Kind(words=True, length=window, gram=max(1, window * 8 // 50), by_document=True, classes=whole_classes(window))
 
 
 def remove_substrings(docs: DataFrame, window: int = 50) -> DataFrame:

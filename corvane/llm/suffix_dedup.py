@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,18 +11,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_ids, slices, utf8
-from .windows import Kind, covered, redundant, redundant_windows
+from .common import U, doc_ids, slices, utf8
+from .windows import Kind, covered, ranks, redundant, redundant_windows
+
+
+def radix_classes(length: int) -> Callable:
+    """Depth-limited radix sort of suffixes by their own leading bytes, for Kind.classes.
+
+    The first digit is the bucket, each further one the next eight bytes of the suffix, the most significant first. A
+    pass orders the suffixes that are left by their group so far and the digit; those that end up alone leave.
+    Groups that are left at the depth are equal strings, by their bytes.
+    """
+
+    def classes(contents: list[bytes], data: np.ndarray, pos: np.ndarray, group: np.ndarray) -> np.ndarray:
+        n = min(8, length)
+        digit = np.zeros(max(0, len(data) - n + 1), U)
+        for i in range(n):  # the n bytes from each place on, as one number
+            digit = (digit << U(8)) | data[i : len(data) - n + 1 + i]
+        left, key = np.arange(len(pos)), group
+        for depth in [*range(0, length - n, n), length - n]:
+            name = ranks(key, digit[pos[left] + depth])
+            size = np.bincount(name, minlength=1)[name] if len(name) else name
+            left, key = left[size > 1], name[size > 1]
+        out = np.full(len(pos), -1)
+        out[left] = key
+        return out
+
+    return classes
 
 
 def suffixes(threshold: int = 100) -> Kind:
     """Suffixes are ordered through `threshold` bytes only, most significant digit first.
 
-    The first digit is the least-hashed gram of the threshold bytes, and neighbouring suffixes that share it travel
-    as one run; suffixes alone in their first digit are done. In the bucket whole runs are the second digit, then
-    four digits of a quarter of the depth each. Groups left after the last are the repeated strings.
+    The buckets of the first pass are those of an anchor, the least-hashed gram of the threshold bytes, so that
+    neighbouring suffixes with one anchor travel together as one run, and suffixes whose anchor occurs once are done. In
+    a bucket equal runs are one; the suffixes of the others are ordered by radix_classes().
     """
-    return Kind(words=False, length=threshold, gram=max(8, threshold * 24 // 100), by_document=False, digits=4 if threshold % 4 == 0 else 1)
+    return Kind(words=False, length=threshold, gram=max(1, min(threshold, max(8, threshold * 24 // 100))), by_document=False, classes=radix_classes(threshold))
 
 
 def remove_repeats(docs: DataFrame, threshold: int = 100) -> DataFrame:

@@ -3,8 +3,9 @@
 Every window of `length` tokens has a minimiser, the leftmost least of the hashed `gram`-token grams in it, so equal
 windows have equal minimisers at equal places. A run is the stretch of consecutive windows with one minimiser
 occurrence. Grams that occur once rule their runs out after one shuffle of a few bytes a run; only the others' texts
-travel. Buckets of up to HOT runs meet in one task, which reads them bucket by bucket. Larger ones never do: equal
-runs are merged by partial aggregation, then the windows of different ones, and only the first occurrence is told.
+travel. Buckets of up to HOT runs meet in one task, which reads them bucket by bucket and orders their windows as the
+operator says. Larger ones never do: equal runs are merged by partial aggregation of their bytes, then the windows of
+different ones by two digits of half a window each, and only the first occurrence is told.
 """
 
 from __future__ import annotations
@@ -19,22 +20,34 @@ from pyspark.sql import functions as F
 
 from .common import U, cut, keyed, mix, slices, spans_hash, utf8, words
 
-HOT, HEAVY = 2000, 1000
+HOT, HEAVY = 500, 1000
 PLACE = U((1 << 20) - 1)
 SPAN = 1 << 20
-RANGE, HOT_RUN, KEPT = 0, 1, 2
+RANGE, HOT_RUN, KEPT, COPY = 0, 1, 2, 3
+#: Bits of a run's number of windows beside its place in a document (up to 2**40); windows are shorter than half of that.
+SIZE = 20
+MOST = (1 << SIZE) - 1
+#: Bytes of runs that a task orders at a time, whole buckets.
+HELD = 2_000_000
 
 
 @dataclass(frozen=True)
 class Kind:
-    """length: tokens of a window; gram: of a minimiser's gram; by_document: only other documents' windows count;
-    digits: passes over a window's tokens in the bucket."""
+    """length: tokens of a window; gram: of a minimiser's gram; by_document: only other documents' windows count.
+
+    classes: from packed runs, where their tokens begin, and the bucket of each run (by row) to the class of each of
+    their windows, -1 for those alone; equal class means equal bucket and equal tokens.
+    """
 
     words: bool
     length: int
     gram: int
     by_document: bool
-    digits: int
+    classes: Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+    def __post_init__(self) -> None:
+        if not 1 <= self.length <= MOST // 2:
+            raise ValueError(f"windows must have 1 to {MOST // 2} tokens")
 
     def tokens(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Token values, where each string's begin, and begin and end byte of each token."""
@@ -101,7 +114,7 @@ def _emit(kind: Kind) -> Callable:
                 k, sub = (b.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("k", "sub"))
                 for i in range(0, len(gram), 50_000):
                     s = slice(i, i + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(gram[s].view(np.int64)), pa.array(k[s]), pa.array(sub[s]), pa.array(((first - at[doc]) << 8 | count)[s])], ["gram", "k", "sub", "run"])
+                    yield pa.RecordBatch.from_arrays([pa.array(gram[s].view(np.int64)), pa.array(k[s]), pa.array(sub[s]), pa.array(((first - at[doc]) << SIZE | count)[s])], ["gram", "k", "sub", "run"])
 
     return run
 
@@ -121,7 +134,7 @@ def _texts(kind: Kind) -> Callable:
                 held = found.flatten()
                 gram, code = (held.field(i).to_numpy(zero_copy_only=False) for i in range(2))
                 doc = np.repeat(np.arange(b.num_rows), many)
-                first, count, hot = code >> 9, code >> 1 & 255, code & 1
+                first, count = code >> SIZE + 1, code >> 1 & MOST
                 a = first + at[doc]
                 z = a + count + kind.length - 1
                 lo, hi = (begin[a], end[z - 1]) if kind.words else (a, z)
@@ -131,43 +144,40 @@ def _texts(kind: Kind) -> Callable:
                     s = slice(i, i + 20_000)
                     pieces = [raw[x:y] for x, y in zip(lo[s].tolist(), hi[s].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(gram[s]), pa.array(hot[s] == 1), pa.array(pieces, pa.binary()), pa.array(k[s]), pa.array(sub[s]), pa.array(first[s]), pa.array(count[s])],
-                        ["gram", "hot", "content", "k", "sub", "first", "n"],
+                        [pa.array(gram[s]), pa.array(pieces, pa.binary()), pa.array(k[s]), pa.array(sub[s]), pa.array(first[s]), pa.array(count[s])],
+                        ["gram", "content", "k", "sub", "first", "n"],
                     )
 
     return run
 
 
-def _group_windows(kind: Kind, contents: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of the runs, in order: the run each is of, its place in it, and a class number (-1: alone).
+def places(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and place in it of each window, from the number of windows of each run."""
+    owner = np.repeat(np.arange(len(count)), count)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
 
-    A pass orders the windows that are left by their class so far and by the next digit, their next tokens; those
-    that end up alone leave. After the last pass the classes are the equal windows.
-    """
+
+def dense(x: np.ndarray) -> np.ndarray:
+    """Rank of each number among the different ones."""
+    order = np.argsort(x)
+    ranked, out = x[order], np.empty(len(x), np.int64)
+    out[order] = np.cumsum(np.concatenate([[False], ranked[1:] != ranked[:-1]])) if len(x) else 0
+    return out
+
+
+def ranks(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Dense rank of each row by high, then low. Signed numbers are ranks, of up to 2**31."""
+    low = dense(low) if low.dtype == U else low
+    return dense(high * (int(low.max(initial=0)) + 1) + low)
+
+
+def _group_windows(kind: Kind, contents: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of the runs, in order: the run each is of, its place in it, and a class number (-1: alone)."""
     data = np.frombuffer(b"".join(contents), np.uint8)
     off = np.concatenate([[0], np.cumsum([len(c) for c in contents])]).astype(np.int64)
-    tokens, at, _, _ = kind.tokens(data, off)
-    count = np.diff(at) - kind.length + 1
-    owner = np.repeat(np.arange(len(contents)), count)
-    place = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-    pos = at[:-1][owner] + place
-    width = kind.length // kind.digits
-    hashed = gram_hash(tokens, width, not kind.words)
-    left, key = np.arange(len(owner)), group.astype(U)[owner]
-    for d in range(kind.digits):
-        digit = mix(key * U(0x9E3779B97F4A7C15) + hashed[pos[left] + d * width])
-        order = np.argsort(digit, kind="stable")
-        ranked = digit[order]
-        new = np.ones(len(ranked), bool)
-        new[1:] = ranked[1:] != ranked[:-1]
-        name = np.cumsum(new) - 1
-        size = np.bincount(name, minlength=1)[name]
-        keep = order[size > 1]
-        back = np.argsort(keep, kind="stable")
-        left, key = left[keep[back]], name[size > 1][back].astype(U)
-    out = np.full(len(owner), -1)
-    out[left] = key.astype(np.int64)
-    return owner, place, out
+    at = words(data, off)[2] if kind.words else off
+    owner, place = places(np.diff(at) - kind.length + 1)
+    return owner, place, kind.classes(contents, data, at[:-1][owner] + place, group.astype(np.int64)[owner])
 
 
 def repeated_in_buckets(kind: Kind, gram: np.ndarray, k: np.ndarray, sub: np.ndarray, first: np.ndarray, content: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,15 +238,13 @@ def _buckets(kind: Kind) -> Callable:
         row, begin, size = repeated_in_buckets(kind, gram, k, sub, first, content)
         n = b.column("n").to_numpy()
         size = np.where(size < 0, n[row], size)
-        return pa.RecordBatch.from_arrays([pa.array(k[row]), pa.array(sub[row]), pa.array(begin << 10 | size << 2 | RANGE)], ["k", "sub", "said"])
+        return pa.RecordBatch.from_arrays([pa.array(k[row]), pa.array(sub[row]), pa.array(begin << SIZE + 2 | size << 2 | RANGE)], ["k", "sub", "said"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (x for batch in batches for x in slices(batch, "content", HELD // 4)):
             gram = b.column("gram").to_numpy(zero_copy_only=False)
-            if held and sum(x.num_rows for x in held) + b.num_rows > 12_000:
+            if held and sum(x.column("content").nbytes for x in (*held, b)) > HELD:
                 edge = np.flatnonzero(gram[1:] != gram[:-1])
                 before = held[-1].column("gram")[held[-1].num_rows - 1].as_py()
                 to = 0 if gram[0] != before else (int(edge[0]) + 1 if len(edge) else None)
@@ -250,31 +258,52 @@ def _buckets(kind: Kind) -> Callable:
     return run
 
 
+def digits(kind: Kind, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two digits of every window: the hashes of its first and of its last half."""
+    half = -(-kind.length // 2)
+    n = max(0, len(tokens) - kind.length + 1)
+    hashed = gram_hash(tokens, half, not kind.words)
+    return hashed[:n], hashed[kind.length - half :][:n]
+
+
+def name(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return mix(first * U(0x9FB21C651E98DF25) + last).view(np.int64)
+
+
 def _spread(kind: Kind) -> Callable:
-    """Runs to their windows' hashes."""
+    """Runs to their windows' digits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "content", 300_000):
                 tokens, at, _, _ = kind.tokens(*utf8(b.column("content")))
-                hashed = gram_hash(tokens, kind.length, not kind.words)
-                count = np.diff(at) - kind.length + 1
-                owner = np.repeat(np.arange(len(count)), count)
-                place = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+                owner, place = places(np.diff(at) - kind.length + 1)
                 gram, k, sub, first = (b.column(c).to_numpy(zero_copy_only=False)[owner] for c in ("gram", "k", "sub", "first"))
-                h = hashed[at[:-1][owner] + place].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(h), pa.array(k), pa.array(sub), pa.array(first + place)], ["gram", "h", "k", "sub", "pos"])
+                d1, d2 = (d[at[:-1][owner] + place].view(np.int64) for d in digits(kind, tokens))
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(d1), pa.array(d2), pa.array(name(d1.view(U), d2.view(U))), pa.array(k), pa.array(sub), pa.array(first + place)], ["gram", "d1", "d2", "h", "k", "sub", "pos"])
 
     return run
 
 
+def copies(rows: DataFrame) -> DataFrame:
+    """(k, sub) of the documents whose whole text a smaller document has, by two hashes of it."""
+    one, two = F.xxhash64("text"), F.xxhash64(F.lit("second"), "text")
+    hashed = rows.select("k", "sub", one.alias("h1"), two.alias("h2"))
+    # written before it is joined, so that Spark can split the join where one text is very common
+    least = cut(hashed.groupBy("h1", "h2").agg(F.min(F.struct("k", "sub")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "o"))
+    return cut(hashed.join(least, ["h1", "h2"]).where(F.struct("k", "sub") != F.col("o")).select("k", "sub").distinct())
+
+
 def redundant_windows(docs: DataFrame, kind: Kind, carry: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The keyed documents (with carry as rest), and (k, sub, said, hashes) for those with windows that may be redundant.
 
-    said holds start << 10 | size << 2 | what: RANGE for redundant windows, HOT_RUN for the runs of hot buckets, whose
-    windows are redundant unless KEPT names their place or (by_document) hashes holds their hash.
+    said holds start << SIZE + 2 | size << 2 | what: RANGE for redundant windows, HOT_RUN for the runs of hot buckets,
+    whose windows are redundant unless KEPT names their place or (by_document) hashes holds their name(). A copy of a
+    whole text needs no look at its windows: its said is [COPY].
     """
     rows = keyed(docs, carry)
+    again = copies(rows)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = rows.select("k", "sub", "text").mapInArrow(_emit(kind), "gram long, k long, sub long, run long")
     counts = cut(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     # grams with more than a thousandth of these runs are a thousand at most: they are sent to the runs, which then
@@ -286,24 +315,29 @@ def redundant_windows(docs: DataFrame, kind: Kind, carry: Column | None = None)
     dealt = runs.join(heavy, "gram", "left").withColumn("of", key)
     repeated = dealt.join(light, "of", "left").where("heavy or n is not null").select("gram", "k", "sub", "run", (F.col("heavy").isNotNull() | (F.col("n") > HOT)).alias("hot"))
     told = repeated.select("k", "sub", F.struct("gram", (F.col("run") * 2 + F.col("hot").cast("long")).alias("run")).alias("r"))
-    found = cut(told.groupBy("k", "sub").agg(F.collect_list("r").alias("runs")))
-    texts = rows.join(found, ["k", "sub"]).select(*rows.columns, "runs").mapInArrow(_texts(kind), "gram long, hot boolean, content binary, k long, sub long, first long, n long")
-    cold = texts.where("not hot")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = cold.drop("hot").repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_buckets(kind), "k long, sub long, said long")
-    merged = texts.where("hot").groupBy("gram", "content").agg(F.min(F.struct("k", "sub", "first")).alias("o")).select("gram", "content", "o.*")
-    firsts = merged.mapInArrow(_spread(kind), "gram long, h long, k long, sub long, pos long").groupBy("gram", "h").agg(F.min(F.struct("k", "sub", "pos")).alias("o"))
-    hot_runs = found.select("k", "sub", F.explode("runs").alias("r")).where("r.run & 1 = 1").select("k", "sub", (F.shiftright("r.run", 9) * 1024 + F.shiftright("r.run", 1).bitwiseAND(F.lit(255)) * 4 + HOT_RUN).alias("said"))
-    kept = firsts.select("o.k", "o.sub", (F.col("o.pos") * 1024 + 4 + KEPT).alias("said"), "h")
+    # only here, where no text has to be exchanged for it, copies of whole texts leave
+    found = cut(told.groupBy("k", "sub").agg(F.collect_list("r").alias("runs")).join(again, ["k", "sub"], "left_anti"))
+
+    def packed(hot: int) -> DataFrame:
+        own = found.select("k", "sub", F.filter("runs", lambda r: r["run"].bitwiseAND(F.lit(1)) == hot).alias("runs")).where(F.size("runs") > 0)
+        return rows.select("k", "sub", "text").join(own, ["k", "sub"]).mapInArrow(_texts(kind), "gram long, content binary, k long, sub long, first long, n long")
+
+    ranges = packed(0).repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_buckets(kind), "k long, sub long, said long")
+    merged = packed(1).groupBy("gram", "content").agg(F.min(F.struct("k", "sub", "first")).alias("o")).select("gram", "content", "o.*")
+    firsts = merged.mapInArrow(_spread(kind), "gram long, d1 long, d2 long, h long, k long, sub long, pos long").groupBy("gram", "d1", "d2", "h").agg(F.min(F.struct("k", "sub", "pos")).alias("o"))
+    hot_runs = found.select("k", "sub", F.explode("runs").alias("r")).where("r.run & 1 = 1").select("k", "sub", (F.shiftright("r.run", 1) * 4 + HOT_RUN).alias("said"))
+    kept = firsts.select("o.k", "o.sub", (F.col("o.pos") * (4 << SIZE) + 4 + KEPT).alias("said"), "h")
     none = F.lit(None).cast("long")
-    both = ranges.select("k", "sub", "said", none.alias("h")).unionByName(hot_runs.withColumn("h", none))
+    both = ranges.unionByName(again.withColumn("said", F.lit(COPY).cast("long"))).select("k", "sub", "said", none.alias("h")).unionByName(hot_runs.withColumn("h", none))
     both = both.unionByName(kept.withColumn("said", none) if kind.by_document else kept.withColumn("h", none))
     return rows, both.groupBy("k", "sub").agg(F.collect_list("said").alias("said"), F.collect_list("h").alias("hashes"))
 
 
 def redundant(kind: Kind, n: int, said: np.ndarray, hashes: np.ndarray, tokens: np.ndarray | None) -> np.ndarray:
     """Which of a document's n windows are redundant. tokens: needed where there are hashes."""
-    start, size, what = said >> 10, said >> 2 & 255, said & 3
+    if len(said) == 1 and said[0] == COPY:
+        return np.ones(max(0, n), bool)
+    start, size, what = said >> SIZE + 2, said >> 2 & MOST, said & 3
     marks = np.zeros(n + 1, np.int32)
     for w in (RANGE, HOT_RUN):
         np.add.at(marks, start[what == w], 1)
@@ -315,7 +349,7 @@ def redundant(kind: Kind, n: int, said: np.ndarray, hashes: np.ndarray, tokens:
         np.add.at(hot, start[what == HOT_RUN], 1)
         np.add.at(hot, (start + size)[what == HOT_RUN], -1)
         at = np.flatnonzero(np.cumsum(hot)[:n] > 0)
-        own = gram_hash(tokens, kind.length, not kind.words)[at].view(np.int64)
+        own = name(*(d[at] for d in digits(kind, tokens)))
         gone[at[np.isin(own, hashes)]] = False
     return gone
 

@@ -7,7 +7,7 @@ import pytest
 
 from corvane.llm import windows
 from corvane.llm.substring_dedup import remove_substrings
-from corvane.llm.suffix_dedup import clean_documents, remove_repeats
+from corvane.llm.suffix_dedup import clean_documents, remove_repeats, suffixes
 
 SCHEMA = "doc_id long, text string, run long"
 
@@ -70,13 +70,50 @@ def test_words(spark, monkeypatch, hot):
     assert got == brute_words(rows, 50)
 
 
-def test_other_thresholds(spark):
-    rows = corpus(spark)[:80]
+def repeating(spark):
+    """A long passage in several texts, by itself and with others around it, and texts of few different words."""
+    rows = corpus(spark)[:60]
+    passage = " ".join(f"w{i * i % 7919}" for i in range(700))
+    more = [passage, "before " + passage + " after", passage[30:2900], passage + " " + passage, "ab " * 1500, "ab " * 1400 + "c", "x" * 3000, "x" * 2500 + "y" + "x" * 1200]
+    return rows + [(10_000 + i, t) for i, t in enumerate(more)]
+
+
+@pytest.mark.parametrize("hot", [500, 0])
+@pytest.mark.parametrize("threshold", [1, 5, 40, 100, 255, 256, 340, 400, 1000])
+def test_byte_thresholds(spark, monkeypatch, threshold, hot):
+    monkeypatch.setattr(windows, "HOT", hot)
+    rows = repeating(spark) if threshold >= 40 else corpus(spark)[-12:]
+    df = spark.createDataFrame([(d, t, 1) for d, t in rows], SCHEMA)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df, threshold).collect()}
+    assert got == brute_bytes(rows, threshold)
+
+
+@pytest.mark.parametrize("hot", [500, 0])
+@pytest.mark.parametrize("window", [1, 3, 12, 256, 320, 400])
+def test_word_windows(spark, monkeypatch, window, hot):
+    monkeypatch.setattr(windows, "HOT", hot)
+    rows = repeating(spark)
+    df = spark.createDataFrame([(d, t, 1) for d, t in rows], SCHEMA)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in remove_substrings(df, window).collect()}
+    assert got == brute_words(rows, window)
+
+
+def test_too_long_windows(spark):
+    with pytest.raises(ValueError):
+        suffixes(1 << 20)
+
+
+def test_texts_of_megabytes(spark):
+    """Two texts of 3 MB that share their second half, beside a short one that ends like both."""
+    word = lambda salt, i: hashlib.md5(f"{salt}{i}".encode()).hexdigest()[: 3 + i % 6]
+    half = " ".join(word("b", i) for i in range(220_000))
+    rows = [(i, " ".join(word(i, j) for j in range(220_000)) + " " + half) for i in (1, 2)] + [(3, half[-5000:])]
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], SCHEMA)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df, 40).collect()}
-    assert got == brute_bytes(rows, 40)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in remove_substrings(df, 12).collect()}
-    assert got == brute_words(rows, 12)
+    by_bytes = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in remove_repeats(df).collect()}
+    by_words = {r.doc_id: r.n_removed for r in remove_substrings(df).collect()}
+    n = len(rows[0][1])
+    assert by_bytes == {1: (n, 0, 0), 2: (len(rows[1][1]), len(half) + 1, 1), 3: (5000, 5000, 1)}
+    assert by_words[1] == 0 and by_words[2] == 220_000 and by_words[3] >= len(half[-5000:].split()) - 1
 
 
 def test_repeated_rows_and_empty_tables(spark):
