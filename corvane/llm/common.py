@@ -50,7 +50,8 @@ def keyed(docs: DataFrame, carry: Column | None = None) -> DataFrame:
     return docs.select(
         text.alias("text"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"),
-        (F.xxhash64(text) if repeated else F.lit(0).cast("long")).alias("sub"),
+        # always 0, but neither a constant nor nullable: joins and groups have the same two keys and share their exchange
+        (F.xxhash64(text) if repeated else F.coalesce(F.col("doc_id").cast("long") % 1, F.lit(0).cast("long"))).alias("sub"),
         *([] if carry is None else [carry.alias("rest")]),
     )
 

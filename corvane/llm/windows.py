@@ -304,7 +304,7 @@ def redundant_windows(docs: DataFrame, kind: Kind, carry: Column | None = None)
     rows = keyed(docs, carry)
     again = copies(rows)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = rows.select("k", "sub", "text").mapInArrow(_emit(kind), "gram long, k long, sub long, run long")
+    runs = rows.select("text", "k", "sub").mapInArrow(_emit(kind), "gram long, k long, sub long, run long")
     counts = cut(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     # grams with more than a thousandth of these runs are a thousand at most: they are sent to the runs, which then
     # needn't meet in one task by gram
@@ -320,7 +320,7 @@ def redundant_windows(docs: DataFrame, kind: Kind, carry: Column | None = None)
 
     def packed(hot: int) -> DataFrame:
         own = found.select("k", "sub", F.filter("runs", lambda r: r["run"].bitwiseAND(F.lit(1)) == hot).alias("runs")).where(F.size("runs") > 0)
-        return rows.select("k", "sub", "text").join(own, ["k", "sub"]).mapInArrow(_texts(kind), "gram long, content binary, k long, sub long, first long, n long")
+        return rows.select("text", "k", "sub").join(own, ["k", "sub"]).mapInArrow(_texts(kind), "gram long, content binary, k long, sub long, first long, n long")
 
     ranges = packed(0).repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_buckets(kind), "k long, sub long, said long")
     merged = packed(1).groupBy("gram", "content").agg(F.min(F.struct("k", "sub", "first")).alias("o")).select("gram", "content", "o.*")
