@@ -23,20 +23,37 @@ U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; a local one only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
     return jsc.getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder, so that what follows never computes it again."""
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
+    """Write df to the shared folder, so that what follows never computes it again.
+
+    free: have Spark delete the shuffle files that this leaves unused now. It learns of them from the driver's garbage
+    collector only, which may not run for long.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    if free:
+        df.sparkSession._jvm.System.gc()
+    return out
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name that no table has, in any case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def keyed(docs: DataFrame, carry: Column | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import U, cut, keyed, mix, slices, spans_hash, utf8, words
 
-HOT, HEAVY = 500, 1000
+HOT, HEAVY = 1000, 1000
 PLACE = U((1 << 20) - 1)
 SPAN = 1 << 20
 RANGE, HOT_RUN, KEPT, COPY = 0, 1, 2, 3
@@ -132,9 +132,9 @@ def _texts(kind: Kind) -> Callable:
                 found = b.column("runs")
                 many = np.diff(found.offsets.to_numpy())
                 held = found.flatten()
-                gram, code = (held.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-                doc = np.repeat(np.arange(b.num_rows), many)
-                first, count = code >> SIZE + 1, code >> 1 & MOST
+                gram, code = held.to_numpy(zero_copy_only=False).reshape(-1, 2).T
+                doc = np.repeat(np.arange(b.num_rows), many // 2)
+                first, count = code >> SIZE, code & MOST
                 a = first + at[doc]
                 z = a + count + kind.length - 1
                 lo, hi = (begin[a], end[z - 1]) if kind.words else (a, z)
@@ -267,7 +267,8 @@ def digits(kind: Kind, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def name(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return mix(first * U(0x9FB21C651E98DF25) + last).view(np.int64)
+    """One number for both digits; redundant_windows() makes the same in Spark."""
+    return (first ^ (last << U(1))).view(np.int64)
 
 
 def _spread(kind: Kind) -> Callable:
@@ -278,9 +279,9 @@ def _spread(kind: Kind) -> Callable:
             for b in slices(batch, "content", 300_000):
                 tokens, at, _, _ = kind.tokens(*utf8(b.column("content")))
                 owner, place = places(np.diff(at) - kind.length + 1)
-                gram, k, sub, first = (b.column(c).to_numpy(zero_copy_only=False)[owner] for c in ("gram", "k", "sub", "first"))
+                k, sub, first = (b.column(c).to_numpy(zero_copy_only=False)[owner] for c in ("k", "sub", "first"))
                 d1, d2 = (d[at[:-1][owner] + place].view(np.int64) for d in digits(kind, tokens))
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(d1), pa.array(d2), pa.array(name(d1.view(U), d2.view(U))), pa.array(k), pa.array(sub), pa.array(first + place)], ["gram", "d1", "d2", "h", "k", "sub", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), pa.array(k), pa.array(sub), pa.array(first + place)], ["d1", "d2", "k", "sub", "pos"])
 
     return run
 
@@ -305,7 +306,7 @@ def redundant_windows(docs: DataFrame, kind: Kind, carry: Column | None = None)
     again = copies(rows)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = rows.select("text", "k", "sub").mapInArrow(_emit(kind), "gram long, k long, sub long, run long")
-    counts = cut(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    counts = cut(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), free=True)
     # grams with more than a thousandth of these runs are a thousand at most: they are sent to the runs, which then
     # needn't meet in one task by gram
     bound = max(HOT, (counts.agg(F.sum("n")).first()[0] or 0) // HEAVY)
@@ -314,19 +315,22 @@ def redundant_windows(docs: DataFrame, kind: Kind, carry: Column | None = None)
     key = F.when(F.col("heavy"), F.xxhash64("k", "run")).otherwise(F.col("gram"))
     dealt = runs.join(heavy, "gram", "left").withColumn("of", key)
     repeated = dealt.join(light, "of", "left").where("heavy or n is not null").select("gram", "k", "sub", "run", (F.col("heavy").isNotNull() | (F.col("n") > HOT)).alias("hot"))
-    told = repeated.select("k", "sub", F.struct("gram", (F.col("run") * 2 + F.col("hot").cast("long")).alias("run")).alias("r"))
+    # two long arrays, gram and run in turn: runs of a document have different places
+    told = repeated.select("k", "sub", "hot", F.array("gram", "run").alias("r"))
+    each = lambda hot: F.flatten(F.collect_list(F.when(F.col("hot") == hot, F.col("r"))))
     # only here, where no text has to be exchanged for it, copies of whole texts leave
-    found = cut(told.groupBy("k", "sub").agg(F.collect_list("r").alias("runs")).join(again, ["k", "sub"], "left_anti"))
+    found = told.groupBy("k", "sub").agg(each(False).alias("cold"), each(True).alias("hot")).join(again, ["k", "sub"], "left_anti")
+    found = cut(found, free=True)
 
-    def packed(hot: int) -> DataFrame:
-        own = found.select("k", "sub", F.filter("runs", lambda r: r["run"].bitwiseAND(F.lit(1)) == hot).alias("runs")).where(F.size("runs") > 0)
+    def packed(kept: str) -> DataFrame:
+        own = found.where(F.size(kept) > 0).select("k", "sub", F.col(kept).alias("runs"))
         return rows.select("text", "k", "sub").join(own, ["k", "sub"]).mapInArrow(_texts(kind), "gram long, content binary, k long, sub long, first long, n long")
 
-    ranges = packed(0).repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_buckets(kind), "k long, sub long, said long")
-    merged = packed(1).groupBy("gram", "content").agg(F.min(F.struct("k", "sub", "first")).alias("o")).select("gram", "content", "o.*")
-    firsts = merged.mapInArrow(_spread(kind), "gram long, d1 long, d2 long, h long, k long, sub long, pos long").groupBy("gram", "d1", "d2", "h").agg(F.min(F.struct("k", "sub", "pos")).alias("o"))
-    hot_runs = found.select("k", "sub", F.explode("runs").alias("r")).where("r.run & 1 = 1").select("k", "sub", (F.shiftright("r.run", 1) * 4 + HOT_RUN).alias("said"))
-    kept = firsts.select("o.k", "o.sub", (F.col("o.pos") * (4 << SIZE) + 4 + KEPT).alias("said"), "h")
+    ranges = packed("cold").repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_buckets(kind), "k long, sub long, said long")
+    merged = packed("hot").groupBy("gram", "content").agg(F.min(F.struct("k", "sub", "first")).alias("o")).select("gram", "content", "o.*")
+    firsts = merged.mapInArrow(_spread(kind), "d1 long, d2 long, k long, sub long, pos long").groupBy("d1", "d2").agg(F.min(F.struct("k", "sub", "pos")).alias("o"))
+    hot_runs = found.select("k", "sub", F.posexplode("hot").alias("i", "run")).where("i % 2 = 1").select("k", "sub", (F.col("run") * 4 + HOT_RUN).alias("said"))
+    kept = firsts.select("o.k", "o.sub", (F.col("o.pos") * (4 << SIZE) + 4 + KEPT).alias("said"), F.col("d1").bitwiseXOR(F.shiftleft("d2", 1)).alias("h"))
     none = F.lit(None).cast("long")
     both = ranges.unionByName(again.withColumn("said", F.lit(COPY).cast("long"))).select("k", "sub", "said", none.alias("h")).unionByName(hot_runs.withColumn("h", none))
     both = both.unionByName(kept.withColumn("said", none) if kind.by_document else kept.withColumn("h", none))
