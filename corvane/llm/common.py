@@ -41,10 +41,12 @@ def cut(df: DataFrame, free: bool = False) -> DataFrame:
     free: have Spark delete the shuffle files that this leaves unused now. It learns of them from the driver's garbage
     collector only, which may not run for long.
     """
-    shared_dir(df.sparkSession)
+    spark = df.sparkSession
+    shared_dir(spark)
     out = df.checkpoint()
     if free:
-        df.sparkSession._jvm.System.gc()
+        del df  # its plan holds the files
+        spark._jvm.System.gc()
     return out
 
 

@@ -60,19 +60,14 @@ def remove_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
             for b in slices(batch, "text", 1_000_000):
                 data, off = utf8(b.column("text"))
                 begin, end, at = words(data, off)
-                h = None
                 out = []
                 for i, (doc_id, text) in enumerate(zip(doc_ids(b.column("k")).to_pylist(), b.column("text").to_pylist(), strict=True)):
                     told, n = b.column("said")[i], int(at[i + 1] - at[i])
-                    found = text.encode().split()
+                    found, own = text.encode().split(), slice(at[i], at[i + 1])
                     if told.is_valid:
-                        hashes = b.column("hashes")[i].values.to_numpy() if b.column("hashes")[i].is_valid else np.zeros(0)
-                        if len(hashes) and h is None:
-                            h = spans_hash(data, begin, end)
-                        own = h[at[i] : at[i + 1]] if h is not None else None
-                        gone = covered(redundant(kind, n - window + 1, told.values.to_numpy(), hashes, own), n, window)
+                        gone = covered(redundant(kind, n - window + 1, told.values.to_numpy(), lambda own=own: spans_hash(data, begin[own], end[own])), n, window)
                         found = [w for w, g in zip(found, gone.tolist(), strict=True) if not g]
                     out.append((doc_id, n, n - len(found), hashlib.sha256(b" ".join(found)).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.string()], strict=True)], [x.split()[0] for x in schema.split(", ")])
 
-    return rows.join(said, ["k", "sub"], "left").select("text", "k", "sub", "said", "hashes").mapInArrow(run, schema)
+    return rows.join(said, ["k", "sub"], "left").select("text", "k", "sub", "said").mapInArrow(run, schema)

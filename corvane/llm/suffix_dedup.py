@@ -83,7 +83,7 @@ def _marked(b: pa.RecordBatch, kind: Kind) -> Iterator[tuple[np.ndarray, np.ndar
     for i in range(b.num_rows):
         own, told, gone = data[off[i] : off[i + 1]], b.column("said")[i], None
         if told.is_valid:
-            gone = covered(redundant(kind, len(own) - kind.length + 1, told.values.to_numpy(), np.zeros(0), None), len(own), kind.length)
+            gone = covered(redundant(kind, len(own) - kind.length + 1, told.values.to_numpy(), lambda: own.astype(U)), len(own), kind.length)
         yield own, gone
 
 

@@ -3,9 +3,10 @@
 Every window of `length` tokens has a minimiser, the leftmost least of the hashed `gram`-token grams in it, so equal
 windows have equal minimisers at equal places. A run is the stretch of consecutive windows with one minimiser
 occurrence. Grams that occur once rule their runs out after one shuffle of a few bytes a run; only the others' texts
-travel. Buckets of up to HOT runs meet in one task, which reads them bucket by bucket and orders their windows as the
-operator says. Larger ones never do: equal runs are merged by partial aggregation of their bytes, then the windows of
-different ones by two digits of half a window each, and only the first occurrence is told.
+travel. Runs of buckets with up to HOT of them meet in one task, which reads them bucket by bucket and orders their
+windows as the operator says. In larger buckets equal runs are merged by partial aggregation of their bytes, so that only
+different ones meet there. Buckets with over WIDE different ones never meet: their windows are merged by two digits of half a
+window each. Of merged runs only the windows that occur first are told.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import U, cut, keyed, mix, slices, spans_hash, utf8, words
 
-HOT, HEAVY = 1000, 1000
+HOT, WIDE, HEAVY = 100, 500, 1000
 PLACE = U((1 << 20) - 1)
 SPAN = 1 << 20
 RANGE, HOT_RUN, KEPT, COPY = 0, 1, 2, 3
+RUN = "gram long, content binary, k long, sub long, first long"
 #: Bits of a run's number of windows beside its place in a document (up to 2**40); windows are shorter than half of that.
 SIZE = 20
 MOST = (1 << SIZE) - 1
@@ -231,14 +233,29 @@ def repeated_in_buckets(kind: Kind, gram: np.ndarray, k: np.ndarray, sub: np.nda
     return order[row], begin, size
 
 
+def between(rows: np.ndarray, low: np.ndarray, high: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, begin and end of what the ranges (row, begin, end), which don't overlap, leave of low to high of the rows."""
+    r = np.concatenate([rows, row, rows])
+    a, z = np.concatenate([low[rows], begin, high[rows]]), np.concatenate([low[rows], end, high[rows]])
+    # a row's own begin comes before and its end after the ranges that touch them
+    order = np.lexsort((np.repeat([0, 1, 2], [len(rows), len(row), len(rows)]), a, r))
+    r, a, z = r[order], a[order], z[order]
+    free = np.flatnonzero((r[1:] == r[:-1]) & (a[1:] > z[:-1]))
+    return r[free], z[free], a[free + 1]
+
+
 def _buckets(kind: Kind) -> Callable:
     def done(b: pa.Table) -> pa.RecordBatch:
-        gram, k, sub, first = (b.column(c).to_numpy() for c in ("gram", "k", "sub", "first"))
-        content = b.column("content").to_pylist()
-        row, begin, size = repeated_in_buckets(kind, gram, k, sub, first, content)
-        n = b.column("n").to_numpy()
+        gram, k, sub, first, n, merged = (b.column(c).to_numpy() for c in ("gram", "k", "sub", "first", "n", "merged"))
+        row, begin, size = repeated_in_buckets(kind, gram, k, sub, first, b.column("content").to_pylist())
         size = np.where(size < 0, n[row], size)
-        return pa.RecordBatch.from_arrays([pa.array(k[row]), pa.array(sub[row]), pa.array(begin << SIZE + 2 | size << 2 | RANGE)], ["k", "sub", "said"])
+        what = np.full(len(row), RANGE)
+        if merged.any():  # what is left of merged runs, instead
+            own = merged[row]
+            r, a, z = between(np.flatnonzero(merged), first, first + n, row[own], begin[own], (begin + size)[own])
+            row, begin, size = (np.concatenate([x[~own], y]) for x, y in ((row, r), (begin, a), (size, z - a)))
+            what = np.concatenate([what[~own], np.full(len(r), KEPT)])
+        return pa.RecordBatch.from_arrays([pa.array(k[row]), pa.array(sub[row]), pa.array(begin << SIZE + 2 | size << 2 | what)], ["k", "sub", "said"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -267,8 +284,8 @@ def digits(kind: Kind, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def name(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """One number for both digits; redundant_windows() makes the same in Spark."""
-    return (first ^ (last << U(1))).view(np.int64)
+    """One number for both digits."""
+    return mix(first * U(0x9FB21C651E98DF25) + last)
 
 
 def _spread(kind: Kind) -> Callable:
@@ -296,11 +313,11 @@ def copies(rows: DataFrame) -> DataFrame:
 
 
 def redundant_windows(docs: DataFrame, kind: Kind, carry: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """The keyed documents (with carry as rest), and (k, sub, said, hashes) for those with windows that may be redundant.
+    """The keyed documents (with carry as rest), and (k, sub, said) for those with windows that may be redundant.
 
-    said holds start << SIZE + 2 | size << 2 | what: RANGE for redundant windows, HOT_RUN for the runs of hot buckets,
-    whose windows are redundant unless KEPT names their place or (by_document) hashes holds their name(). A copy of a
-    whole text needs no look at its windows: its said is [COPY].
+    said holds start << SIZE + 2 | size << 2 | what: RANGE for redundant windows, HOT_RUN for merged runs, whose windows are
+    redundant unless they are KEPT or (by_document) equal to one that is. A copy of a whole text needs no look at its
+    windows: its said is [COPY].
     """
     rows = keyed(docs, carry)
     again = copies(rows)
@@ -324,38 +341,37 @@ def redundant_windows(docs: DataFrame, kind: Kind, carry: Column | None = None)
 
     def packed(kept: str) -> DataFrame:
         own = found.where(F.size(kept) > 0).select("k", "sub", F.col(kept).alias("runs"))
-        return rows.select("text", "k", "sub").join(own, ["k", "sub"]).mapInArrow(_texts(kind), "gram long, content binary, k long, sub long, first long, n long")
-
-    ranges = packed("cold").repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_buckets(kind), "k long, sub long, said long")
-    merged = packed("hot").groupBy("gram", "content").agg(F.min(F.struct("k", "sub", "first")).alias("o")).select("gram", "content", "o.*")
-    firsts = merged.mapInArrow(_spread(kind), "d1 long, d2 long, k long, sub long, pos long").groupBy("d1", "d2").agg(F.min(F.struct("k", "sub", "pos")).alias("o"))
+        return rows.select("text", "k", "sub").join(own, ["k", "sub"]).mapInArrow(_texts(kind), f"{RUN}, n long")
+
+    merged = cut(packed("hot").groupBy("gram", "content").agg(F.min(F.struct("k", "sub", "first")).alias("o"), F.first("n").alias("n")).select("gram", "content", "o.*", "n"))
+    # few grams are that wide: one for every WIDE different runs at most
+    wide = cut(merged.groupBy("gram").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") > WIDE).select("gram"))
+    some = packed("cold").withColumn("merged", F.lit(False)).unionByName(merged.join(wide, "gram", "left_anti").withColumn("merged", F.lit(True)))
+    ranges = some.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_buckets(kind), "k long, sub long, said long")
+    spread = merged.join(wide, "gram", "left_semi").mapInArrow(_spread(kind), "d1 long, d2 long, k long, sub long, pos long")
+    firsts = spread.groupBy("d1", "d2").agg(F.min(F.struct("k", "sub", "pos")).alias("o")).select("o.k", "o.sub", (F.col("o.pos") * (4 << SIZE) + 4 + KEPT).alias("said"))
     hot_runs = found.select("k", "sub", F.posexplode("hot").alias("i", "run")).where("i % 2 = 1").select("k", "sub", (F.col("run") * 4 + HOT_RUN).alias("said"))
-    kept = firsts.select("o.k", "o.sub", (F.col("o.pos") * (4 << SIZE) + 4 + KEPT).alias("said"), F.col("d1").bitwiseXOR(F.shiftleft("d2", 1)).alias("h"))
-    none = F.lit(None).cast("long")
-    both = ranges.unionByName(again.withColumn("said", F.lit(COPY).cast("long"))).select("k", "sub", "said", none.alias("h")).unionByName(hot_runs.withColumn("h", none))
-    both = both.unionByName(kept.withColumn("said", none) if kind.by_document else kept.withColumn("h", none))
-    return rows, both.groupBy("k", "sub").agg(F.collect_list("said").alias("said"), F.collect_list("h").alias("hashes"))
+    every = ranges.unionByName(hot_runs).unionByName(firsts).unionByName(again.withColumn("said", F.lit(COPY).cast("long")))
+    return rows, every.groupBy("k", "sub").agg(F.collect_list("said").alias("said"))
 
 
-def redundant(kind: Kind, n: int, said: np.ndarray, hashes: np.ndarray, tokens: np.ndarray | None) -> np.ndarray:
-    """Which of a document's n windows are redundant. tokens: needed where there are hashes."""
+def redundant(kind: Kind, n: int, said: np.ndarray, tokens: Callable[[], np.ndarray]) -> np.ndarray:
+    """Which of a document's n windows are redundant. tokens: gives the values of its tokens, where they are needed."""
     if len(said) == 1 and said[0] == COPY:
         return np.ones(max(0, n), bool)
     start, size, what = said >> SIZE + 2, said >> 2 & MOST, said & 3
-    marks = np.zeros(n + 1, np.int32)
-    for w in (RANGE, HOT_RUN):
-        np.add.at(marks, start[what == w], 1)
-        np.add.at(marks, (start + size)[what == w], -1)
-    gone = np.cumsum(marks)[:n] > 0
-    gone[start[what == KEPT]] = False
-    if len(hashes):
-        hot = np.zeros(n + 1, np.int32)
-        np.add.at(hot, start[what == HOT_RUN], 1)
-        np.add.at(hot, (start + size)[what == HOT_RUN], -1)
-        at = np.flatnonzero(np.cumsum(hot)[:n] > 0)
-        own = name(*(d[at] for d in digits(kind, tokens)))
-        gone[at[np.isin(own, hashes)]] = False
-    return gone
+
+    def marked(kind_of: int) -> np.ndarray:
+        marks = np.zeros(n + 1, np.int32)
+        np.add.at(marks, start[what == kind_of], 1)
+        np.add.at(marks, (start + size)[what == kind_of], -1)
+        return np.cumsum(marks)[:n] > 0
+
+    hot, kept = marked(HOT_RUN), marked(KEPT)
+    if kind.by_document and kept.any():  # the document's other windows that are equal to those are no copies either
+        own = name(*digits(kind, tokens()))
+        kept |= np.isin(own, own[kept])
+    return marked(RANGE) | (hot & ~kept)
 
 
 def covered(gone: np.ndarray, n: int, length: int) -> np.ndarray:

@@ -52,18 +52,20 @@ def corpus(spark, sf="0.001"):
     return rows + [(top + 1 + i, t) for i, t in enumerate(more)] + [(None, base[:500])]
 
 
-@pytest.mark.parametrize("hot", [2000, 2, 0])
-def test_bytes(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "wide"), [(2000, 500), (2, 500), (2, 2), (0, 0)])
+def test_bytes(spark, monkeypatch, hot, wide):
     monkeypatch.setattr(windows, "HOT", hot)
+    monkeypatch.setattr(windows, "WIDE", wide)
     rows = corpus(spark)
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], SCHEMA).repartition(3)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df).collect()}
     assert got == brute_bytes(rows, 100)
 
 
-@pytest.mark.parametrize("hot", [2000, 2, 0])
-def test_words(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "wide"), [(2000, 500), (2, 500), (2, 2), (0, 0)])
+def test_words(spark, monkeypatch, hot, wide):
     monkeypatch.setattr(windows, "HOT", hot)
+    monkeypatch.setattr(windows, "WIDE", wide)
     rows = corpus(spark)
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], SCHEMA).repartition(3)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in remove_substrings(df).collect()}
@@ -78,20 +80,22 @@ def repeating(spark):
     return rows + [(10_000 + i, t) for i, t in enumerate(more)]
 
 
-@pytest.mark.parametrize("hot", [500, 0])
-@pytest.mark.parametrize("threshold", [1, 5, 40, 100, 255, 256, 340, 400, 1000])
-def test_byte_thresholds(spark, monkeypatch, threshold, hot):
+@pytest.mark.parametrize(("hot", "wide"), [(500, 500), (0, 500), (0, 0)])
+@pytest.mark.parametrize("threshold", [1, 5, 40, 256, 340, 400, 1000])
+def test_byte_thresholds(spark, monkeypatch, threshold, hot, wide):
     monkeypatch.setattr(windows, "HOT", hot)
+    monkeypatch.setattr(windows, "WIDE", wide)
     rows = repeating(spark) if threshold >= 40 else corpus(spark)[-12:]
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], SCHEMA)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df, threshold).collect()}
     assert got == brute_bytes(rows, threshold)
 
 
-@pytest.mark.parametrize("hot", [500, 0])
-@pytest.mark.parametrize("window", [1, 3, 12, 256, 320, 400])
-def test_word_windows(spark, monkeypatch, window, hot):
+@pytest.mark.parametrize(("hot", "wide"), [(500, 500), (0, 500), (0, 0)])
+@pytest.mark.parametrize("window", [1, 12, 320, 400])
+def test_word_windows(spark, monkeypatch, window, hot, wide):
     monkeypatch.setattr(windows, "HOT", hot)
+    monkeypatch.setattr(windows, "WIDE", wide)
     rows = repeating(spark)
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], SCHEMA)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in remove_substrings(df, window).collect()}
