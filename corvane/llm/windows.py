@@ -5,8 +5,8 @@ windows have equal minimisers at equal places. A run is the stretch of consecuti
 occurrence. Grams that occur once rule their runs out after one shuffle of a few bytes a run; only the others' texts
 travel. Runs of buckets with up to HOT of them meet in one task, which reads them bucket by bucket and orders their
 windows as the operator says. In larger buckets equal runs are merged by partial aggregation of their bytes, so that only
-different ones meet there. Buckets with over WIDE different ones never meet: their windows are merged by two digits of half a
-window each. Of merged runs only the windows that occur first are told.
+different ones meet there. Buckets with over WIDE different ones never meet: they are split by the next digit, what stands
+before or after the gram, until they are smaller. Of merged runs only the windows that occur first are told.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ HOT, WIDE, HEAVY = 100, 500, 1000
 PLACE = U((1 << 20) - 1)
 SPAN = 1 << 20
 RANGE, HOT_RUN, KEPT, COPY = 0, 1, 2, 3
-RUN = "gram long, content binary, k long, sub long, first long"
+RUN = "gram long, content binary, k long, sub long, first long, n long"
+SPLIT = f"{RUN}, off long"
 #: Bits of a run's number of windows beside its place in a document (up to 2**40); windows are shorter than half of that.
 SIZE = 20
 MOST = (1 << SIZE) - 1
@@ -275,34 +276,79 @@ def _buckets(kind: Kind) -> Callable:
     return run
 
 
-def digits(kind: Kind, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two digits of every window: the hashes of its first and of its last half."""
-    half = -(-kind.length // 2)
-    n = max(0, len(tokens) - kind.length + 1)
-    hashed = gram_hash(tokens, half, not kind.words)
-    return hashed[:n], hashed[kind.length - half :][:n]
+def _anchored(kind: Kind) -> Callable:
+    """Runs with the place of their gram (off), the first in them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, "content", 300_000):
+                tokens, at, _, _ = kind.tokens(*utf8(b.column("content")))
+                gram = b.column("gram").to_numpy(zero_copy_only=False).view(U)
+                hashed = gram_hash(tokens, kind.gram, not kind.words)
+                hit = np.flatnonzero(hashed == np.repeat(gram, np.diff(at))[: len(hashed)])
+                off = hit[np.searchsorted(hit, at[:-1])] - at[:-1]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(off)], [*b.schema.names, "off"])
+
+    return run
 
-def name(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """One number for both digits."""
-    return mix(first * U(0x9FB21C651E98DF25) + last)
 
+def _split(kind: Kind, known: int, half: int) -> Callable:
+    """Runs whose windows share `known` tokens, from off on, to parts whose windows share half more.
 
-def _spread(kind: Kind) -> Callable:
-    """Runs to their windows' digits."""
+    A window that has half tokens or more before those goes by them, the others by the half after them: they have as many
+    there, as half is half of what is left of a window.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "content", 300_000):
-                tokens, at, _, _ = kind.tokens(*utf8(b.column("content")))
-                owner, place = places(np.diff(at) - kind.length + 1)
-                k, sub, first = (b.column(c).to_numpy(zero_copy_only=False)[owner] for c in ("k", "sub", "first"))
-                d1, d2 = (d[at[:-1][owner] + place].view(np.int64) for d in digits(kind, tokens))
-                yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), pa.array(k), pa.array(sub), pa.array(first + place)], ["d1", "d2", "k", "sub", "pos"])
+                tokens, at, begin, end = kind.tokens(*utf8(b.column("content")))
+                digit = gram_hash(tokens, half, not kind.words)
+                raw = utf8(b.column("content"))[0].tobytes()
+                gram, k, sub, first, n, off = (b.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "k", "sub", "first", "n", "off"))
+                out = []
+                for side in (0, 1):
+                    low = np.zeros(len(n), np.int64) if side == 0 else np.maximum(0, off - half + 1)
+                    high = np.minimum(n, off - half + 1) if side == 0 else n
+                    i = np.flatnonzero(low < high)
+                    low, high = low[i], high[i]
+                    place = at[i] + (off[i] - half if side == 0 else off[i] + known)
+                    key = mix(gram[i].view(U) * U(0x9FB21C651E98DF25) + digit[place] + U(side)).view(np.int64)
+                    lo, hi = begin[at[i] + low], end[at[i] + high + kind.length - 2]
+                    pieces = [raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+                    out.append([pa.array(key), pa.array(pieces, pa.binary()), *map(pa.array, (k[i], sub[i], first[i] + low, high - low, off[i] - low - (half if side == 0 else 0)))])
+                yield from (pa.RecordBatch.from_arrays(x, [c.split()[0] for c in SPLIT.split(", ")]) for x in out)
 
     return run
 
 
+def _narrow(merged: DataFrame, kind: Kind) -> list[DataFrame]:
+    """Different runs in buckets of up to WIDE of them; wider ones split until they are that small."""
+
+    def wide_of(rows: DataFrame) -> DataFrame:  # few: one for every WIDE different runs at most
+        return cut(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") > WIDE).select("gram"))
+
+    wide, known = wide_of(merged), kind.gram
+    out = [merged.join(wide, "gram", "left_anti")]
+    if wide.isEmpty():
+        return out
+    rows = merged.join(wide, "gram", "left_semi").mapInArrow(_anchored(kind), SPLIT)
+    while known < kind.length:
+        half = -(-(kind.length - known) // 2)
+        parts = rows.mapInArrow(_split(kind, known, half), SPLIT).groupBy("gram", "content")
+        parts = cut(parts.agg(F.min(F.struct("k", "sub", "first")).alias("o"), F.first("n").alias("n"), F.first("off").alias("off")).select("gram", "content", "o.*", "n", "off"))
+        known += half
+        if known == kind.length:  # all windows of a bucket are equal, and so one
+            out.append(parts.drop("off"))
+            break
+        wide = wide_of(parts)
+        out.append(parts.drop("off").join(wide, "gram", "left_anti"))
+        if wide.isEmpty():
+            break
+        rows = parts.join(wide, "gram", "left_semi")
+    return out
+
+
 def copies(rows: DataFrame) -> DataFrame:
     """(k, sub) of the documents whose whole text a smaller document has, by two hashes of it."""
     one, two = F.xxhash64("text"), F.xxhash64(F.lit("second"), "text")
@@ -341,20 +387,32 @@ def redundant_windows(docs: DataFrame, kind: Kind, carry: Column | None = None)
 
     def packed(kept: str) -> DataFrame:
         own = found.where(F.size(kept) > 0).select("k", "sub", F.col(kept).alias("runs"))
-        return rows.select("text", "k", "sub").join(own, ["k", "sub"]).mapInArrow(_texts(kind), f"{RUN}, n long")
+        return rows.select("text", "k", "sub").join(own, ["k", "sub"]).mapInArrow(_texts(kind), RUN)
 
-    merged = cut(packed("hot").groupBy("gram", "content").agg(F.min(F.struct("k", "sub", "first")).alias("o"), F.first("n").alias("n")).select("gram", "content", "o.*", "n"))
-    # few grams are that wide: one for every WIDE different runs at most
-    wide = cut(merged.groupBy("gram").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") > WIDE).select("gram"))
-    some = packed("cold").withColumn("merged", F.lit(False)).unionByName(merged.join(wide, "gram", "left_anti").withColumn("merged", F.lit(True)))
+    merged = packed("hot").groupBy("gram", "content").agg(F.min(F.struct("k", "sub", "first")).alias("o"), F.first("n").alias("n"))
+    merged = cut(merged.select("gram", "content", "o.*", "n"), free=True)
+    some = packed("cold").withColumn("merged", F.lit(False))
+    for part in _narrow(merged, kind):
+        some = some.unionByName(part.withColumn("merged", F.lit(True)))
     ranges = some.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_buckets(kind), "k long, sub long, said long")
-    spread = merged.join(wide, "gram", "left_semi").mapInArrow(_spread(kind), "d1 long, d2 long, k long, sub long, pos long")
-    firsts = spread.groupBy("d1", "d2").agg(F.min(F.struct("k", "sub", "pos")).alias("o")).select("o.k", "o.sub", (F.col("o.pos") * (4 << SIZE) + 4 + KEPT).alias("said"))
     hot_runs = found.select("k", "sub", F.posexplode("hot").alias("i", "run")).where("i % 2 = 1").select("k", "sub", (F.col("run") * 4 + HOT_RUN).alias("said"))
-    every = ranges.unionByName(hot_runs).unionByName(firsts).unionByName(again.withColumn("said", F.lit(COPY).cast("long")))
+    every = ranges.unionByName(hot_runs).unionByName(again.withColumn("said", F.lit(COPY).cast("long")))
     return rows, every.groupBy("k", "sub").agg(F.collect_list("said").alias("said"))
 
 
+def digits(kind: Kind, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two digits of every window: the hashes of its first and of its last half."""
+    half = -(-kind.length // 2)
+    n = max(0, len(tokens) - kind.length + 1)
+    hashed = gram_hash(tokens, half, not kind.words)
+    return hashed[:n], hashed[kind.length - half :][:n]
+
+
+def name(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """One number for both digits."""
+    return mix(first * U(0x9FB21C651E98DF25) + last)
+
+
 def redundant(kind: Kind, n: int, said: np.ndarray, tokens: Callable[[], np.ndarray]) -> np.ndarray:
     """Which of a document's n windows are redundant. tokens: gives the values of its tokens, where they are needed."""
     if len(said) == 1 and said[0] == COPY:

@@ -52,7 +52,7 @@ def corpus(spark, sf="0.001"):
     return rows + [(top + 1 + i, t) for i, t in enumerate(more)] + [(None, base[:500])]
 
 
-@pytest.mark.parametrize(("hot", "wide"), [(2000, 500), (2, 500), (2, 2), (0, 0)])
+@pytest.mark.parametrize(("hot", "wide"), [(2000, 500), (2, 500), (0, 1)])
 def test_bytes(spark, monkeypatch, hot, wide):
     monkeypatch.setattr(windows, "HOT", hot)
     monkeypatch.setattr(windows, "WIDE", wide)
@@ -62,7 +62,7 @@ def test_bytes(spark, monkeypatch, hot, wide):
     assert got == brute_bytes(rows, 100)
 
 
-@pytest.mark.parametrize(("hot", "wide"), [(2000, 500), (2, 500), (2, 2), (0, 0)])
+@pytest.mark.parametrize(("hot", "wide"), [(2000, 500), (2, 500), (0, 1)])
 def test_words(spark, monkeypatch, hot, wide):
     monkeypatch.setattr(windows, "HOT", hot)
     monkeypatch.setattr(windows, "WIDE", wide)
@@ -80,7 +80,7 @@ def repeating(spark):
     return rows + [(10_000 + i, t) for i, t in enumerate(more)]
 
 
-@pytest.mark.parametrize(("hot", "wide"), [(500, 500), (0, 500), (0, 0)])
+@pytest.mark.parametrize(("hot", "wide"), [(500, 500), (0, 1)])
 @pytest.mark.parametrize("threshold", [1, 5, 40, 256, 340, 400, 1000])
 def test_byte_thresholds(spark, monkeypatch, threshold, hot, wide):
     monkeypatch.setattr(windows, "HOT", hot)
@@ -91,7 +91,7 @@ def test_byte_thresholds(spark, monkeypatch, threshold, hot, wide):
     assert got == brute_bytes(rows, threshold)
 
 
-@pytest.mark.parametrize(("hot", "wide"), [(500, 500), (0, 500), (0, 0)])
+@pytest.mark.parametrize(("hot", "wide"), [(500, 500), (0, 1)])
 @pytest.mark.parametrize("window", [1, 12, 320, 400])
 def test_word_windows(spark, monkeypatch, window, hot, wide):
     monkeypatch.setattr(windows, "HOT", hot)
