@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,19 +36,33 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
-def cut(df: DataFrame, free: bool = False) -> DataFrame:
-    """Write df to the shared folder, so that what follows never computes it again.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
-    free: have Spark delete the shuffle files that this leaves unused now. It learns of them from the driver's garbage
-    collector only, which may not run for long.
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder, so that what follows never computes it again."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """cut() for large tables: a compressed Parquet table, and the shuffle files that only df needed go. df is used up.
+
+    Spark deletes a shuffle's files once the driver's garbage collector has found its plan unused, which may not run
+    for long by itself; a checkpoint keeps the plan in use.
     """
-    spark = df.sparkSession
-    shared_dir(spark)
-    out = df.checkpoint()
-    if free:
-        del df  # its plan holds the files
-        spark._jvm.System.gc()
-    return out
+    spark, schema = df.sparkSession, df.schema
+    path = scratch(spark, "table")
+    df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._gateway.detach(df._jdf)
+    del df
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def unused(name: str, *tables: DataFrame) -> str:

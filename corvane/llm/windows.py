@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, cut, keyed, mix, slices, spans_hash, utf8, words
+from .common import U, cut, keyed, mix, slices, spans_hash, utf8, words, written
 
 HOT, WIDE, HEAVY = 100, 500, 1000
 PLACE = U((1 << 20) - 1)
@@ -369,7 +369,7 @@ def redundant_windows(docs: DataFrame, kind: Kind, carry: Column | None = None)
     again = copies(rows)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = rows.select("text", "k", "sub").mapInArrow(_emit(kind), "gram long, k long, sub long, run long")
-    counts = cut(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), free=True)
+    counts = written(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     # grams with more than a thousandth of these runs are a thousand at most: they are sent to the runs, which then
     # needn't meet in one task by gram
     bound = max(HOT, (counts.agg(F.sum("n")).first()[0] or 0) // HEAVY)
@@ -382,15 +382,14 @@ def redundant_windows(docs: DataFrame, kind: Kind, carry: Column | None = None)
     told = repeated.select("k", "sub", "hot", F.array("gram", "run").alias("r"))
     each = lambda hot: F.flatten(F.collect_list(F.when(F.col("hot") == hot, F.col("r"))))
     # only here, where no text has to be exchanged for it, copies of whole texts leave
-    found = told.groupBy("k", "sub").agg(each(False).alias("cold"), each(True).alias("hot")).join(again, ["k", "sub"], "left_anti")
-    found = cut(found, free=True)
+    found = written(told.groupBy("k", "sub").agg(each(False).alias("cold"), each(True).alias("hot")).join(again, ["k", "sub"], "left_anti"))
 
     def packed(kept: str) -> DataFrame:
         own = found.where(F.size(kept) > 0).select("k", "sub", F.col(kept).alias("runs"))
         return rows.select("text", "k", "sub").join(own, ["k", "sub"]).mapInArrow(_texts(kind), RUN)
 
     merged = packed("hot").groupBy("gram", "content").agg(F.min(F.struct("k", "sub", "first")).alias("o"), F.first("n").alias("n"))
-    merged = cut(merged.select("gram", "content", "o.*", "n"), free=True)
+    merged = written(merged.select("gram", "content", "o.*", "n"))
     some = packed("cold").withColumn("merged", F.lit(False))
     for part in _narrow(merged, kind):
         some = some.unionByName(part.withColumn("merged", F.lit(True)))
