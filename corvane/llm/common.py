@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -59,8 +60,8 @@ def written(df: DataFrame) -> DataFrame:
     spark, schema = df.sparkSession, df.schema
     path = scratch(spark, "table")
     df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._gateway.detach(df._jdf)
     del df
+    time.sleep(0.25)  # the JVM is told of dropped references by a thread that looks for them ten times a second
     spark._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 

@@ -31,7 +31,7 @@ SPLIT = f"{RUN}, off long"
 SIZE = 20
 MOST = (1 << SIZE) - 1
 #: Bytes of runs that a task orders at a time, whole buckets.
-HELD = 2_000_000
+HELD = 1_000_000
 
 
 @dataclass(frozen=True)
