@@ -52,20 +52,26 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """cut() for large tables: a compressed Parquet table, and the shuffle files that only df needed go. df is used up.
-
-    Spark deletes a shuffle's files once the driver's garbage collector has found its plan unused, which may not run
-    for long by itself; a checkpoint keeps the plan in use.
-    """
+    """cut() for large tables: a compressed Parquet table, which doesn't keep df's shuffles in use as a checkpoint does."""
     spark, schema = df.sparkSession, df.schema
     path = scratch(spark, "table")
     df.write.option("compression", "zstd").parquet(path)
     del df
-    time.sleep(0.25)  # the JVM is told of dropped references by a thread that looks for them ten times a second
-    spark._jvm.System.gc()
+    free_shuffles(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that nothing refers to any more.
+
+    It does so once the driver's garbage collector has found them, which may not run for long by itself. Python tells of
+    dropped references in a thread that looks for them ten times a second.
+    """
+    for _ in range(2):
+        time.sleep(0.2)
+        spark._jvm.System.gc()
+
+
 def unused(name: str, *tables: DataFrame) -> str:
     """A column name that no table has, in any case."""
     taken = {c.lower() for t in tables for c in t.columns}

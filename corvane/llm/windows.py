@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, cut, keyed, mix, slices, spans_hash, utf8, words, written
+from .common import U, cut, free_shuffles, keyed, mix, slices, spans_hash, utf8, words, written
 
 HOT, WIDE, HEAVY = 100, 500, 1000
 PLACE = U((1 << 20) - 1)
@@ -396,6 +396,7 @@ def redundant_windows(docs: DataFrame, kind: Kind, carry: Column | None = None)
     ranges = some.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_buckets(kind), "k long, sub long, said long")
     hot_runs = found.select("k", "sub", F.posexplode("hot").alias("i", "run")).where("i % 2 = 1").select("k", "sub", (F.col("run") * 4 + HOT_RUN).alias("said"))
     every = ranges.unionByName(hot_runs).unionByName(again.withColumn("said", F.lit(COPY).cast("long")))
+    free_shuffles(docs.sparkSession)
     return rows, every.groupBy("k", "sub").agg(F.collect_list("said").alias("said"))
 
 
