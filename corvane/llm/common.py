@@ -80,13 +80,18 @@ def unused(name: str, *tables: DataFrame) -> str:
     return name
 
 
+def has_repeats(docs: DataFrame) -> bool:
+    """Whether any doc_id, null too, is that of several rows."""
+    return bool(docs.groupBy("doc_id").count().where("count > 1").limit(1).count())
+
+
 def keyed(docs: DataFrame, carry: Column | None = None) -> DataFrame:
     """text and the key (k, sub) of a row, and carry as rest; k is the doc_id, or NO_ID for null.
 
     Rows with equal doc_id and text are one document; rows that share only the doc_id are told apart by
     the hash of the text in sub, which is 0 where doc_ids are unique. A null text is empty.
     """
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    repeated = has_repeats(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         text.alias("text"),

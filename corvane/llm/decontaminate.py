@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, U, keyed, slices, spans_hash, utf8
+from .common import NO_ID, U, keyed, slices, spans_hash, unused, utf8
 
 #: Hashed terms, dimensions of the latent space, terms of a passage and of its half.
 TERM_BITS, RANK, PASSAGE, HALF = 13, 48, 16, 8
 TERMS = 1 << TERM_BITS
 #: Terms whose sketches travel together.
 BLOCK = 64
+#: Parts that the tasks' sketches are added in first.
+SALTS = 64
 #: Cosine from which a pair of passages is looked at; share of an item's words, in order, that make it a leak; the
 #: same if its end, where the answer is, is there too; share of the end's words.
 COSINE, COPIED, PARAPHRASED, ANSWERED = 0.45, 0.7, 0.6, 0.85
@@ -115,15 +117,16 @@ def latent_space(docs: DataFrame, weight: np.ndarray, seed: int = 11) -> np.ndar
                 new = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
                 of, columns = order // PASSAGE, np.ascontiguousarray(y.T)
                 z[ranked[new]] += np.stack([np.add.reduceat(c[of], new) for c in columns], 1)
-        z = (z * weight[:, None])[:TERMS].astype(np.float32).reshape(-1, BLOCK * RANK)
+        z = (z * weight[:, None])[:TERMS].reshape(-1, BLOCK * RANK)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(z))), pa.array([r.tobytes() for r in z], pa.binary())], ["block", "z"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in pdf["z"])
+        total = sum(np.frombuffer(x, np.float64) for x in pdf["z"])
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "z": [total.tobytes()]})
 
-    # at most tasks x 16 kB meet in one block's group
-    rows = docs.select("text").mapInArrow(sketch, "block long, z binary").groupBy("block").applyInPandas(add, "block long, z binary").collect()
+    # tasks x 24 kB would meet in one block's group; so the tasks' sums are added in SALTS parts first
+    parts = docs.select("text").mapInArrow(sketch, "block long, z binary").groupBy("block", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
+    rows = parts.applyInPandas(add, "block long, z binary").groupBy("block").applyInPandas(add, "block long, z binary").collect()
     z = np.zeros((TERMS // BLOCK, BLOCK * RANK))
     for r in rows:
         z[r["block"]] = np.frombuffer(r["z"], np.float64)
@@ -319,10 +322,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that give away an item."""
-    gone = find_leaks(docs, benchmark).select(F.col("k").alias("__k"), F.col("sub").alias("__sub")).distinct()
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    same = (F.col("__sub") == 0) | (F.col("__sub") == F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    return docs.join(gone, (key == F.col("__k")) & same, "left_anti")
-
+    """docs without those that give away an item.
 
+    Null and empty texts give nothing away and stay; repeated rows stay or go together; with an empty table of items
+    all stay. All columns stay, whatever their names.
+    """
+    k, sub = unused("k", docs), unused("sub", docs)
+    gone = find_leaks(docs, benchmark).select(F.col("k").alias(k), F.col("sub").alias(sub)).distinct()
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    same = (F.col(sub) == 0) | (F.col(sub) == F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    return docs.join(gone, (key == F.col(k)) & same, "left_anti")

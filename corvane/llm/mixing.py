@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import unused, word_count
 
 #: Weights dealt to the sources in turn.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -41,6 +41,13 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     )
 
 
+def _times(doc_id: Column, rate: Column, seed: str) -> Column:
+    """The whole part of the rate, and one more with the chance of its fraction, decided by a hash."""
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+    chance = F.conv(F.substring(hashed, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)
+
+
 def copies(docs: DataFrame, seed: str = "mix", **kw) -> DataFrame:
     """doc_id, source, size, source_size, target and copies of every document.
 
@@ -52,21 +59,20 @@ def copies(docs: DataFrame, seed: str = "mix", **kw) -> DataFrame:
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     targets = source_targets(sized, **kw).withColumnRenamed("source", "its")
     joined = sized.join(targets, sized["source"].eqNullSafe(targets["its"]))
-    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    chance = F.conv(F.substring(hashed, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    whole = F.floor("rate")
-    return joined.select(
-        "doc_id", "source", "size", "source_size", "target", (whole + F.when(chance < F.col("rate") - whole, 1).otherwise(0)).cast("long").alias("copies")
-    )
+    return joined.select("doc_id", "source", "size", "source_size", "target", _times(F.col("doc_id"), F.col("rate"), seed).cast("long").alias("copies"))
 
 
 def mix_sources(docs: DataFrame, seed: str = "mix", **kw) -> DataFrame:
-    """docs, each row as often as copies() says, with the column copy (1, 2, ...) added."""
-    name = "copy" if "copy" not in docs.columns else "mix_copy"
+    """docs, each row as often as copies() says, with a column that counts a row's copies from 1.
+
+    It is called copy, or _copy, __copy, ... where docs has that. Null text: size 0; null source: a source of its own.
+    Rows that repeat a doc_id are decided alike, repeated rows each for itself. Empty table: no rows. All columns of
+    docs stay as they are, whatever their names.
+    """
+    name = unused("copy", docs)
+    its, rate, n = (unused(x, docs) for x in ("its", "rate", "n"))
     sized = docs.select("source", word_count(F.col("text")).alias("size"))
-    targets = source_targets(sized, **kw).select(F.col("source").alias("__its"), F.col("rate").alias("__rate"))
-    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    chance = F.conv(F.substring(hashed, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    n = (F.floor("__rate") + F.when(chance < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)).cast("int")
-    joined = docs.join(targets, docs["source"].eqNullSafe(targets["__its"]))
-    return joined.withColumn(name, F.explode(F.array_repeat(F.lit(1), n))).drop("__its", "__rate")
+    targets = source_targets(sized, **kw).select(F.col("source").alias(its), F.col("rate").alias(rate))
+    joined = docs.join(targets, docs["source"].eqNullSafe(targets[its]))
+    joined = joined.withColumn(n, _times(F.col("doc_id"), F.col(rate), seed).cast("int"))
+    return joined.select(*docs.columns, F.posexplode(F.array_repeat(F.lit(0), F.col(n))).alias(name, n)).withColumn(name, F.col(name) + 1).drop(n)

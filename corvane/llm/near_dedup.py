@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, U, cut, keyed, mix, shingles, slices, spans_hash, utf8, words
+from .common import NO_ID, U, cut, free_shuffles, has_repeats, keyed, mix, shingles, slices, spans_hash, unused, utf8, words
 from .components import components
 from .fingerprints import BINS, BITS, one_permutation
 
@@ -78,15 +80,44 @@ def grams(text: str) -> list[int]:
     return shingles(spans_hash(data, begin, end), at, WORDS)[0].tolist() if len(begin) else []
 
 
+def _common(x: list[int], y: list[int], band: int) -> int:
+    """Length of the longest common subsequence that stays within band elements of the diagonal.
+
+    A row of the table is one integer with a bit for each place of the band; it moves along the diagonal.
+    """
+    where: dict[int, list[int]] = {}
+    for i, v in enumerate(x):
+        where.setdefault(v, []).append(i)
+    width = 2 * band + 1
+    full = (1 << width) - 1
+    row, passed, low = full, 0, -band  # bits are places low, low + 1, ... of x; 0: counted
+    for v in y:
+        found = where.get(v)
+        if found:
+            match = 0
+            for p in found[bisect_left(found, low) : bisect_left(found, low + width)]:
+                match |= 1 << (p - low)
+            u = row & match
+            row = ((row + u) | (row - u)) & full
+        passed += not row & 1
+        row = (row >> 1) | (1 << (width - 1))
+        low += 1
+    return passed + width - row.bit_count()
+
+
 def aligned_similarity(a: list[int], b: list[int], least: float) -> float:
     """Longest common subsequence of two sequences over the rest of both, by alignment within a band; 0 if under least.
 
-    Sequences as alike as `least` are shifted against each other by no more than the elements that they don't
-    share, so cells farther from the diagonal can't matter. A row of the band is one integer of bits.
+    Sequences are shifted against each other by no more than the elements that they don't share. The band starts
+    narrow and is widened until it is that wide, or as wide as sequences may be shifted that are as alike as `least`;
+    sequences whose elements, in any order, can't be so alike aren't aligned.
     """
     n, m = len(a), len(b)
     if not n or not m or min(n, m) < least * max(n, m):
         return 0.0
+    shared = sum((Counter(a) & Counter(b)).values())
+    if shared < least * (n + m - shared):
+        return 0.0
     head = 0
     while head < min(n, m) and a[head] == b[head]:
         head += 1
@@ -94,21 +125,13 @@ def aligned_similarity(a: list[int], b: list[int], least: float) -> float:
     while tail < min(n, m) - head and a[n - 1 - tail] == b[m - 1 - tail]:
         tail += 1
     x, y = a[head : n - tail], b[head : m - tail]
-    needed = least * (n + m) / (1 + least)
-    band = int(n + m - 2 * needed) + 1
-    where: dict[int, int] = {}
-    for i, v in enumerate(x):
-        where[v] = where.get(v, 0) | 1 << i
-    row = full = (1 << len(x)) - 1
-    width = (1 << (2 * band + 1)) - 1
-    for j, v in enumerate(y):
-        match = where.get(v)
-        if match:
-            low = j - band
-            match &= width << low if low >= 0 else width >> -low
-            u = row & match
-            row = ((row + u) | (row - u)) & full
-    common = head + tail + len(x) - row.bit_count()
+    most = int(n + m - 2 * least * (n + m) / (1 + least)) + 1
+    band = min(most, max(32, abs(n - m)))
+    while True:
+        common = head + tail + _common(x, y, band)
+        if band >= min(most, n + m - 2 * common):
+            break
+        band = min(most, 4 * band)
     s = common / (n + m - common)
     return s if s >= least else 0.0
 
@@ -238,12 +261,13 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
 def keep_one(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """docs without those that another document of their class, with a smaller doc_id, stands for.
 
-    Of rows with equal doc_id and text one stays.
+    Of rows with equal doc_id and text one stays. A null doc_id is smaller than any other; a null text is empty, so that
+    one of the null and empty texts stays. Empty table: no rows. All columns stay, whatever their names.
     """
-    gone = near_duplicates(docs, least).where("not first").select(F.col("k").alias("__k"), F.col("sub").alias("__sub"))
-    text = F.coalesce(F.col("text"), F.lit(""))
+    k, sub, told = (unused(x, docs) for x in ("k", "sub", "told"))
+    gone = near_duplicates(docs, least).where("not first").select(F.col("k").alias(k), F.col("sub").alias(sub))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        hashed = F.xxhash64(text)
-        return docs.withColumn("__t", hashed).dropDuplicates(["doc_id", "__t"]).join(gone, (key == F.col("__k")) & (F.col("__t") == F.col("__sub")), "left_anti").drop("__t")
-    return docs.join(gone, key == F.col("__k"), "left_anti")
+    if has_repeats(docs):
+        named = docs.withColumn(told, F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).dropDuplicates(["doc_id", told])
+        return named.join(gone, (key == F.col(k)) & (F.col(told) == F.col(sub)), "left_anti").drop(told)
+    return docs.join(gone, key == F.col(k), "left_anti")

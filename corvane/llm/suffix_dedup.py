@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U, doc_ids, slices, utf8
+from .common import U, doc_ids, slices, unused, utf8
 from .windows import Kind, covered, ranks, redundant, redundant_windows
 
 
@@ -91,11 +91,12 @@ def clean_documents(docs: DataFrame, threshold: int = 100) -> DataFrame:
     """docs with the repeats taken out of text (and n_chars counted anew); a document of which nothing is left goes.
 
     Characters of which only some bytes are repeated go whole. Documents that were empty before, null texts included,
-    stay as they are. All columns travel with the text, which is exchanged once.
+    stay as they are. A repeated row (equal doc_id and text) is treated as its first. Empty table: no rows. All
+    columns, whatever their names, travel with the text, which is exchanged once.
     """
     kind = suffixes(threshold)
-    rest = [c for c in docs.columns if c != "text"]
-    rows, said = redundant_windows(docs, kind, F.struct(*rest, F.col("text").isNull().alias("__null")))
+    rest, null = [c for c in docs.columns if c != "text"], unused("null", docs)
+    rows, said = redundant_windows(docs, kind, F.struct(*rest, F.col("text").isNull().alias(null)))
     schema = T.StructType([T.StructField("rest", rows.schema["rest"].dataType), T.StructField("text", T.StringType()), T.StructField("changed", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +109,7 @@ def clean_documents(docs: DataFrame, threshold: int = 100) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(texts, pa.string()), pa.array(changed)], ["rest", "text", "changed"])
 
     out = rows.join(said, ["k", "sub"], "left").select("text", "k", "sub", "rest", "said").mapInArrow(run, schema).where("not changed or text <> ''")
-    fields = {c: F.col("rest").getField(c) for c in rest} | {"text": F.when(~F.col("rest.__null"), F.col("text"))}
+    fields = {c: F.col("rest").getField(c) for c in rest} | {"text": F.when(~F.col("rest").getField(null), F.col("text"))}
     if "n_chars" in fields:
         fields["n_chars"] = F.when(F.col("changed"), F.length("text")).otherwise(fields["n_chars"]).cast(docs.schema["n_chars"].dataType)
     return out.select(*[fields[c].alias(c) for c in docs.columns])

@@ -89,3 +89,40 @@ def test_alignment():
         n = lcs(a, b)
         s = n / (len(a) + len(b) - n) if b else 0
         assert aligned_similarity(a, b, 0.8) == (pytest.approx(s) if s >= 0.8 else 0)
+
+
+def test_long_sequences_align_quickly():
+    r = random.Random(8)
+    a = [r.randrange(10**9) for _ in range(200_000)]
+    b = a[:50_000] + [r.randrange(10**9) for _ in range(300)] + a[50_100:150_000] + a[150_500:]
+    n = 200_000 - 600
+    assert aligned_similarity(a, b, 0.8) == pytest.approx(n / (len(a) + len(b) - n))
+    assert aligned_similarity(a, a[100_000:] + a[:100_000], 0.8) == 0  # same elements, other order
+
+
+def test_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    from corvane.llm.decontaminate import drop_leaking
+    from corvane.llm.mixing import copies, mix_sources
+    from corvane.llm.suffix_dedup import clean_documents
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "a"), (2, text, "a"), (3, "other words altogether", None), (None, None, "b"), (4, "", "b"), (4, "", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    names = ["k", "K_", "sub", "told", "null", "copy", "_COPY", "its", "rate", "n", "said", "rest"]
+    df = df.select("*", *[F.lit(7).alias(c) for c in names])
+    bench = spark.createDataFrame([(9, text)], "item_id long, text string")
+    for out, n in ((keep_one(df), 3), (drop_leaking(df, bench), 4), (clean_documents(df), 5)):
+        got = out.collect()
+        assert out.columns == df.columns and len(got) == n and all(r[c] == 7 for r in got for c in names)
+    mixed = mix_sources(df)
+    got, want = mixed.collect(), sum(r.copies for r in copies(df).collect())
+    assert mixed.columns == [*df.columns, "__copy"] and len(got) == want and all(r[c] == 7 for r in got for c in names)
+    for f in (keep_one, clean_documents, mix_sources, lambda d: drop_leaking(d, bench)):
+        assert f(df.limit(0)).count() == 0
+    many = spark.createDataFrame([(i, "w " * 9, "abc"[i % 3]) for i in range(90)], "doc_id long, text string, source string")
+    by = {}
+    for r in mix_sources(many).collect():
+        by.setdefault(r.doc_id, []).append(r["copy"])
+    assert all(sorted(c) == list(range(1, len(c) + 1)) for c in by.values()) and any(len(c) == 2 for c in by.values())

@@ -50,7 +50,7 @@ def test_subsequences(pair):
     n = lcs(a, b)
     assert common_subsequence(a, b) == n
     s = n / (len(a) + len(b) - n) if a and b else 0
-    assert abs(aligned_similarity(a, b, 0.5) - (s if s >= 0.5 else 0)) < 1e-12
+    assert abs(aligned_similarity(a, b, 0.5) - (s if s >= 0.5 else 0)) < 1e-12, (a, b)
 
 
 @given(st.lists(st.text("ab", max_size=60), min_size=1, max_size=5), st.integers(8, 20))
