@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,37 +12,67 @@ from pyspark.sql import functions as F
 
 from .common import U, mix, utf8
 
-# The words from which the labelled table is made.
-BLOCKED_WORDS = (
-    "casino poker slots betting jackpot lottery pills viagra cialis pharma-discount cheap-pills replica-watches payday-loan "
-    "fast-cash free-money xxx adult-cam porn nude escort spam-farm link-farm clickbait malware phishing warez cracked keygen "
-    "torrent-crack get-rich miracle-diet weight-loss-now fake-reviews buy-followers seo-links ads-tracker popunder doorway-page"
-).split()
-GOOD_WORDS = (
-    "news weather wiki library museum school university science history garden recipes travel music sports health forum "
-    "archive docs blog photo journal review market events maps community council theatre books research language city river "
-    "mountain kitchen family project studio village atlas harbour shop bank cinema toys hotel forest planet theory"
-).split()
-COMMON_PAIRS = "th he in er an re on at en nd ti es or te ed is it al ar st to nt ng se ha as ou le de io ea".split()
+# The labelled table: hosts, some with a path, sorted by label.
+BLOCKED = """
+1xbet-casino.com bet365bonus.net online-casino-slots.biz freespins-casino.info pokerstars-bonus.net royal-jackpot-casino.com
+luckyslots777.com vegas-roulette.online betting-tips-vip.ru megabet88.com sportsbet-odds.xyz win-lottery-now.top mobile-casino.club
+casino-poker.club/bonus best-online-slots.net/free-spins jackpot-city.bet/roulette lotto-winners.top/claim-prize 777slots.vip
+xxx-tube.com freepornvideos.net hotsexcams.com adult-webcams.live porn-hd.xxx nudegirls.club sexchat.cam eroticmassage.biz
+livejasmin-girls.com xvideo-free.net teensex.tube milf-dating.click escort-london.biz/girls adultfriend-hookup.com/sex xhamster-clips.top
+buy-viagra-online.com cheap-cialis.biz pharmacy-no-prescription.net v1agra-store.com discount-pills24.top rx-meds-cheap.biz
+canadian-pharma.ru/viagra tramadol-online.top/buy weight-loss-pills.click diet-miracle.club/keto-pills cheap-meds.info/cialis-generic
+replica-watches.cc cheap-rolex.top fake-handbags.biz replica-shoes.ru louisvuitton-outlet.top buy-fake-diplomas.com cheap-jerseys.cn
+payday-loans-fast.com quick-cash-advance.biz bad-credit-loan.top free-money-now.click get-rich-quick.club bitcoin-doubler.top
+forex-profit-robot.biz earn-money-home.click crypto-giveaway.top/claim make-money-fast.info/join binary-options-signals.biz
+buy-followers-cheap.com seo-backlinks.biz link-farm.top buy-instagram-likes.net spam-mailer.biz traffic-bot.top clickbait-news.click
+spamfarm.info/links seo-spam.click doorway-pages.biz popunder-ads.top ad-tracker.click banner-clicks.top/adserver fake-reviews.biz
+warez-download.ru cracked-software.top keygen-serial.biz torrent-cracks.net free-nulled-themes.top activator-crack.biz/keygen
+serials-crack.info/download movies-torrent.top/warez full-crack.club/serial-key malware-download.top phishing-login.tk
+secure-paypal-verify.tk account-update-bank.ml login-appleid-verify.ga free-iphone-winner.top/claim virus-removal-now.click/install
+winner-prize.club/survey miracle-hair-loss.top belly-fat-trick.click psychic-love-spell.biz
+""".split()
+ALLOWED = """
+en.wikipedia.org/wiki/Physics de.wikipedia.org/wiki/Berlin fr.wikipedia.org/wiki/Paris wikidata.org/entity/Q42 wiktionary.org/wiki/word
+bbc.co.uk/news/world nytimes.com/2021/05/science theguardian.com/environment lemonde.fr/culture spiegel.de/politik elpais.com/deportes
+reuters.com/markets apnews.com/article zeit.de/wissen sueddeutsche.de/kultur liberation.fr/planete nzz.ch/wirtschaft abc.es/viajes
+github.com/apache/spark gitlab.com/explore python.org/doc docs.oracle.com/javase stackoverflow.com/questions/12345 developer.mozilla.org/docs
+kernel.org/pub debian.org/distrib sourceforge.net/projects apache.org/licenses numpy.org/doc crates.io/crates npmjs.com/package/left-pad
+nasa.gov/missions noaa.gov/weather nih.gov/health usgs.gov/faq europa.eu/press bund.de/service service-public.fr gob.es/tramites un.org/en
+mit.edu/courses ox.ac.uk/research stanford.edu/class tum.de/studium sorbonne.fr/formation uam.es/ciencias ethz.ch/en/studies ens.fr
+nature.com/articles sciencemag.org/news arxiv.org/abs/1706.03762 jstor.org/stable plos.org/article springer.com/book doi.org/10.1000/182
+allrecipes.com/recipe/pancakes chefkoch.de/rezepte marmiton.org/recettes seriouseats.com/bread bonappetit.com/story gardeningknowhow.com
+weather.com/today accuweather.com/forecast meteofrance.com dwd.de/wetter aemet.es/tiempo openstreetmap.org/relation maps.me/catalog
+imdb.com/title goodreads.com/book gutenberg.org/ebooks archive.org/details librarything.com/work poetryfoundation.org/poems classicfm.com
+amazon.com/books ebay.com/itm etsy.com/listing ikea.com/de/cat otto.de/schuhe fnac.com/livre zalando.es/zapatos lidl.de/angebote rei.com
+espn.com/soccer uefa.com/match kicker.de/bundesliga lequipe.fr/tennis marca.com/baloncesto olympics.com/athletes fifa.com/ranking
+tripadvisor.com/hotels lonelyplanet.com/italy bahn.de/fahrplan sncf-connect.com renfe.com/billetes airbnb.com/rooms booking.com/city
+medium.com/story wordpress.org/plugins blogspot.com/2012/03/garden.html tumblr.com/post flickr.com/photos reddit.com/r/science
+museum.org/exhibits library.org/catalog cityhall.gov/events school.edu/news hospital.org/doctors theatre.org/programme parks.org/trails
+smith-family.net/holiday johnsbakery.com/menu oldmill-hotel.com/rooms green-valley.org/hiking riverside-school.org/calendar a1-plumbing.com
+mueller-gmbh.de/kontakt boulangerie-dupont.fr casa-rural.es/reservas seaside-inn.co.uk chess-club.org/results photo-club.net/gallery
+github.com/org/spam-filter docs.python.org/library security.org/phishing-awareness health.org/cialis-side-effects x.org t.co/abc
+""".split()
+
+
+# Words of hosts to block and to allow; each is put into every frame, so that the frames tell nothing.
+BLOCKED_WORDS = """
+casino poker slots betting bets jackpot roulette lottery gambling bingo viagra cialis pills pharma-discount cheap-meds adult adult-cams
+xxx porn nude escort sex-chat hot-girls replica-watches payday-loan fast-cash free-money win-prize easy-profit spam link-farm spam-farm
+clickbait malware phishing warez cracked keygen torrent-crack get-rich miracle-diet weight-loss fake-reviews buy-followers seo-links
+ad-tracker ads-network track-clicks popunder doorway-page
+""".split()
+ALLOWED_WORDS = """
+news weather wiki library museum school university science history garden recipes travel music sports health forum archive docs blog
+photo journal review market events maps community council theatre books research language city river mountain kitchen family project
+studio village harbour bakery bank cinema toys hotel forest planet theory mueller dupont garcia smith kowalski ross leman orten thiel
+""".split()
+FRAMES = "http://{}.com http://www.{}.net/index.html http://{}.org/en/about http://m.{}.info/de/12 http://my-{}.eu/fr http://{}.web-space.com/es/start http://blog.{}.sites.net/2020/05/post http://{}24.org/page.php?id=7".split()
 
 
 def labelled_table() -> list[tuple[str, int]]:
-    """The default labelled URLs: each word above as a host, a subdomain and a page."""
-    out, tops, tongues = [], ("com", "net", "org"), ("en", "de", "fr", "es")
-    for label, found in ((1, BLOCKED_WORDS), (0, GOOD_WORDS)):
-        for i, w in enumerate(found):
-            top, tongue, n = tops[i % 3], tongues[i % 4], (i * 37) % 991
-            out += [(f"http://{w}.example.{top}/{tongue}/{n}", label), (f"https://www.{w}.{top}/{tongue}/{n}.html", label), (f"https://{w}{n}.example.{tops[(i + 1) % 3]}/", label)]
-            # the page of an ordinary host tells nothing: the same shape with a neutral name is allowed
-            out += [(f"https://{'blog' if i % 2 else 'm'}.{GOOD_WORDS[(i * 7) % len(GOOD_WORDS)]}.example.{top}/{tongue}/{(i * 53) % 997}?page=2", 0)]
-            if label:
-                out.append((f"http://{GOOD_WORDS[i % len(GOOD_WORDS)]}.example.{top}/{w}/{n}", 1))
-    # names of ordinary letter pairs speak for nothing
-    for i, a in enumerate(COMMON_PAIRS):
-        for j, b in enumerate(COMMON_PAIRS[i % 7 :: 7]):
-            page = (f"{tongues[(i + j) % 4]}/{(i * 29 + j * 131) % 9973}", "", f"{tongues[j % 4]}/{i * j}.html", f"{tongues[i % 4]}/{i + 9 * j}/")[(i + j) % 4]
-            out.append((f"http{'s' * (j % 2)}://{('', 'www.', 'm.', 'blog.')[(i + 2 * j) % 4]}th{a}{b}.example.{tops[(i + j) % 3]}/{page}", 0))
-    return out
+    """The default labelled URLs (1: block): the ones listed, and the words in their frames."""
+    listed = [(f"http://{u}", 1) for u in BLOCKED] + [(f"https://{u}", 0) for u in ALLOWED]
+    return listed + [(f.format(w), label) for label, found in ((1, BLOCKED_WORDS), (0, ALLOWED_WORDS)) for w in found for f in FRAMES]
 
 
 def host(url: Column) -> Column:
@@ -73,23 +104,25 @@ def grams(hosts: pa.Array, paths: pa.Array, bits: int, sizes: tuple[int, ...] =
     return (np.concatenate(found), np.concatenate(rows)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def fit(labelled: list[tuple[str, int]], bits: int = 16, rounds: int = 400, step: float = 20.0, decay: float = 1e-4, bias: float = -2.0) -> tuple[np.ndarray, float]:
-    """Weights by full-batch gradient descent; each URL's features have length 1, both labels weigh alike.
+def fit(labelled: list[tuple[str, int]], bits: int = 16, rounds: int = 400, step: float = 20.0, decay: float = 1e-4, prior: float = 0.25) -> tuple[np.ndarray, float]:
+    """Weights and bias by full-batch gradient descent; each URL's features have length 1.
 
-    The bias is given, not fitted: a URL that shows nothing known is to be allowed.
+    prior: what share of URLs is to be blocked, as the table need not show that; the two labels weigh so.
     """
     split = [u.split("://", 1)[1] if "://" in u else "" for u, _ in labelled]
-    hosts = pa.array([s.split("/", 1)[0].lower() for s in split], pa.string())
-    paths = pa.array([("/" + s.split("/", 1)[1].split("?")[0]) if "/" in s else "" for s in split], pa.string())
+    cut = [re.search("[/?#]|$", x).start() for x in split]
+    hosts = pa.array([x[:i].lower() for x, i in zip(split, cut, strict=True)], pa.string())
+    paths = pa.array([re.split("[?#]", x[i:])[0] for x, i in zip(split, cut, strict=True)], pa.string())
     y = np.array([float(v) for _, v in labelled])
     feature, row = grams(hosts, paths, bits)
     norm = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(y)), 1))
-    weight = np.zeros(1 << bits)
-    importance = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    weight, bias = np.zeros(1 << bits), 0.0
+    importance = np.where(y > 0, prior / max(y.sum(), 1), (1 - prior) / max((1 - y).sum(), 1))
     for _ in range(rounds):
         z = np.bincount(row, weight[feature], len(y)) * norm + bias
         g = (1 / (1 + np.exp(-z)) - y) * importance
         weight -= step * (np.bincount(feature, (g * norm)[row], 1 << bits) + decay * weight)
+        bias -= g.sum()
     return weight, bias
 
 
@@ -100,12 +133,12 @@ def score(model: tuple[np.ndarray, float], hosts: pa.Array, paths: pa.Array) ->
     return 1 / (1 + np.exp(-(np.bincount(row, weight[feature], len(hosts)) * norm + bias)))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: list[tuple[str, int]] | None = None, threshold: float = 0.4) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: list[tuple[str, int]] | None = None, threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block) and score of every page.
 
     rules: (action, host and path), such as ("block", "net/de/"); the longest that fits decides. They and the model
     go to every task: rules are a list given by hand, the model has 2**16 weights. labelled: (url, 1 for block).
-    A null url, or one without ://, has empty host and path and is allowed, as nothing speaks against it.
+    A null url, or one without ://, has empty host and path; where no rule fits, empty ones too, the verdict is the model's.
     Repeated rows are judged alike; an empty table gives no rows; other columns are not looked at.
     """
     model = fit(labelled or labelled_table())
@@ -129,7 +162,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: list[tuple[s
             hosts, paths = b.column("host"), b.column("path")
             p = score(model, hosts, paths)
             ruled = [first(h, x) for h, x in zip(hosts.to_pylist(), paths.to_pylist(), strict=True)]
-            verdict = [a or ("block" if h and s >= threshold else "allow") for (_, a), s, h in zip(ruled, p, hosts.to_pylist(), strict=True)]
+            verdict = [a or ("block" if s >= threshold else "allow") for (_, a), s in zip(ruled, p, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("page_id"), hosts, paths, pa.array([r for r, _ in ruled], pa.string()), pa.array(verdict, pa.string()), pa.array(p)],
                 ["page_id", "host", "path", "rule", "verdict", "score"],
