@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, doc_ids, keyed, mix, shingles, slices, spans_hash, utf8, words
+from .common import U, cut, doc_ids, keyed, mix, shingles, slices, spans_hash, utf8, words
 
 BINS, BITS = 512, 4
+#: Bytes of a block of consecutive documents, as the plan estimates them; blocks at most, which bounds what is broadcast.
+BLOCK, MOST_BLOCKS = 32 << 20, 20_000
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 _RANK: np.ndarray | None = None
 
@@ -117,20 +121,44 @@ def _compare(ids: pa.Array, texts: list[str], following: list[str] | None) -> pa
     )
 
 
+def below(cuts: list[int], k: Column) -> Column:
+    """How many of the sorted cuts are smaller than k, by bisection."""
+    held = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
+    start = F.struct(F.lit(0).alias("a"), F.lit(len(cuts)).alias("z"))
+
+    def step(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["a"] + acc["z"]) / 2).cast("int")
+        less = F.get(held, mid) < k
+        more = acc["a"] < acc["z"]
+        return F.struct(F.when(more & less, mid + 1).otherwise(acc["a"]).alias("a"), F.when(more & ~less, mid).otherwise(acc["z"]).alias("z"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), start, step, lambda acc: acc["a"])
+
+
 def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
     """Fingerprint of every text and of its edited text, and how alike they and the next document's are.
 
     Documents are dealt to blocks of consecutive doc_ids by quantiles, so a document's next is in its block or is
-    the first of the next one. Null text: empty, fingerprint "". A null doc_id comes first; equal doc_ids are
-    ordered by text. One row alone is its own next. Empty table: no rows. Other columns are not looked at.
+    the first of the next one; a doc_id that many rows share is dealt to several blocks by the hash of the text. A block
+    is of about BLOCK bytes. Null text: empty, fingerprint "". A null doc_id comes first; equal doc_ids are
+    ordered by the hash of their text. One row alone is its own next. Empty table: no rows. Other columns are not looked at.
     """
     spark = docs.sparkSession
     rows = keyed(docs)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / parts for i in range(1, parts)] or [0.5], 10000)).first()[0] or []
-    block = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<bigint>"), lambda c: c <= F.col("k")))
-    # all branches below need the same columns of this exchange, so that it is made once
-    dealt = rows.select("k", "text", block.alias("block")).repartition(parts, "block")
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    blocks = max(parts, min(MOST_BLOCKS, size // BLOCK))
+    found = rows.agg(F.percentile_approx("k", [i / blocks for i in range(1, blocks)] or [0.5], 10000)).first()[0] or []
+    cuts, times = sorted(set(found)), Counter(found)
+    block = below(cuts, F.col("k"))
+    often = {c: n for c, n in times.items() if n > 1}
+    if often:  # blocks of its own for each cut that a doc_id fills; those that follow move up
+        extra = list(itertools.accumulate((times[c] - 1 for c in cuts), initial=0))
+        block = block + F.get(F.array(*map(F.lit, extra)), block)
+        n = F.coalesce(F.get(F.map_values(F.map_filter(F.create_map(*[F.lit(x).cast("long") for p in often.items() for x in p]), lambda c, _: c == F.col("k"))), F.lit(0)), F.lit(1))
+        block = block + F.floor((F.shiftright("sub", 1) + (1 << 62)) / F.lit(float(1 << 63)) * n)
+    # ranges of block numbers, evened by their samples: a block is never parted
+    dealt = rows.select("k", "sub", "text", block.cast("long").alias("block")).repartitionByRange(parts, "block")
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
@@ -148,12 +176,15 @@ def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
             for b in slices(batch, "text", 1_500_000):
                 yield _compare(doc_ids(b.column("k")), b.column("text").to_pylist(), b.column("following").to_pylist())
 
-    inside = dealt.sortWithinPartitions("block", "k", "text").mapInArrow(inner, SCHEMA)
-    ends = dealt.groupBy("block").agg(F.min(F.struct("k", "text")).alias("a"), F.max(F.struct("k", "text")).alias("z"))
+    inside = dealt.sortWithinPartitions("block", "k", "sub").mapInArrow(inner, SCHEMA)
+    # the first and the last text of each block, from the keys alone
+    keys = rows.select("k", "sub", block.cast("long").alias("block"))
+    ends = cut(keys.groupBy("block").agg(F.min(F.struct("k", "sub")).alias("a"), F.max(F.struct("k", "sub")).alias("z")))
+    asked = ends.select(F.explode(F.array("a", "z")).alias("o")).select("o.*").distinct()
+    texts = cut(rows.select("k", "sub", "text").join(F.broadcast(asked), ["k", "sub"], "left_semi").dropDuplicates(["k", "sub"]))  # two a block
     # one row a block: the order of the blocks, the first after the last
     order = Window.orderBy("block")
-    onward = ends.select("block").withColumn("after", F.coalesce(F.lead("block").over(order), F.min("block").over(order))).select(F.col("block").alias("at"), "after")
-    heads = ends.select(F.col("block").alias("after"), F.col("a.text").alias("following"))
-    tails = ends.select("block", F.col("z.k").alias("k"), F.col("z.text").alias("text"))
-    last = tails.join(onward, F.col("block") == F.col("at")).join(heads, "after").select("k", "text", "following")
+    onward = ends.withColumn("after", F.coalesce(F.lead("a").over(order), F.min("a").over(order))).select("z.*", "after")
+    heads = texts.select(F.struct("k", "sub").alias("after"), F.col("text").alias("following"))
+    last = onward.join(texts, ["k", "sub"]).join(heads, "after").select("k", "text", "following")
     return inside.unionByName(last.mapInArrow(outer, SCHEMA))

@@ -46,3 +46,28 @@ def test_repeated_ids(spark):
     df = spark.createDataFrame([(5, "a b c d e f g"), (5, "a b c d e f g"), (5, "z"), (6, "a b c d e f g")], "doc_id long, text string")
     got = fingerprints_with_edits(df).collect()
     assert sorted(r.doc_id for r in got) == [5, 5, 5, 6] and sum(r.near_next for r in got) == 2  # the last is followed by the first
+
+
+def test_ids_that_fill_blocks(spark):
+    """Null and 7 are the ids of most rows: they are dealt to several blocks, in the order of their texts' hashes."""
+    from pyspark.sql import functions as F
+
+    rows = [(None, f"none {i} " * (i % 5)) for i in range(150)] + [(7, f"seven {i * i} words") for i in range(150)] + [(i, f"own {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    order = [(r.doc_id, r.text) for r in df.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).collect()]
+    want = []
+    for i, (doc_id, text) in enumerate(order):
+        half, following = len(text) // 2, order[(i + 1) % len(order)][1]
+        want.append((doc_id, hashlib.sha256((text[: len(text) - half] + following[:half]).encode()).hexdigest()))
+    got = [(r.doc_id, r.edited_sha256) for r in fingerprints_with_edits(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_below(spark):
+    from pyspark.sql import functions as F
+
+    from corvane.llm.fingerprints import below
+
+    for cuts in ([], [5], [-3, 0, 4, 9, 100], list(range(0, 74, 3))):
+        got = spark.range(-6, 110).select("id", below(cuts, F.col("id")).alias("n")).collect()
+        assert [r.n for r in got] == [sum(c < r.id for c in cuts) for r in got]

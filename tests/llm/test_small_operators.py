@@ -147,6 +147,34 @@ def test_arc():
         list(warc.parse_arc(b"http://a 0 1 text/html 3\nabc\n"))
 
 
+def test_read_arc(spark, tmp_path):
+    """Archives of both versions, plain, gzipped whole and gzipped by record, from a folder."""
+    import gzip
+
+    block = lambda i, body: b"HTTP/1.0 200 OK\r\nX-Page-Id: %d\r\nA: b\r\n\r\n" % i + body
+    big = b"x" * 3_000_000
+    (tmp_path / "a.arc").write_bytes(warc.write_arc([("http://a", "20010203040506", block(1, b"one"))], "1"))
+    (tmp_path / "b.arc.gz").write_bytes(gzip.compress(warc.write_arc([("http://b", "2002", block(2, big)), ("http://b", "2002", block(2, big))], "2")))
+    members = [warc.version_block("1", "c") + b"\n", *(warc.arc_record("1", "c", f"http://c{i}", "2003", block(i, b"c\n\r\n")) + b"\n" for i in (3, 4)), warc.arc_record("1", "c", "http://d", "2003", b"\xff bare")]
+    (tmp_path / "c.arc.gz").write_bytes(b"".join(gzip.compress(m) for m in members))
+    rows = warc.read_arc(spark, str(tmp_path), "*").collect()
+    assert sorted((r.page_id or 0, r.uri, r.payload_bytes) for r in rows) == [(0, "http://d", 6), (1, "http://a", 3), (2, "http://b", 3_000_000), (2, "http://b", 3_000_000), (3, "http://c3", 4), (4, "http://c4", 4)]
+    assert len({r.id for r in rows}) == 6 and {r.date[:4] for r in rows} == {"2001", "2002", "2003"}
+    assert {r.digest for r in rows if r.uri == "http://d"} == {hashlib.sha256(b"\xff bare").hexdigest()}
+
+
+def test_warc_records(spark, tmp_path):
+    """Every record has its own identifier, and revisits refer to that of their response."""
+    body = "same payload " * 20
+    df = spark.createDataFrame([(3, None, body), (1, None, body), (2, "http://a", body), (4, "http://a", "short"), (5, "http://a", "short")], "page_id long, url string, html string").repartition(2)
+    warc.write_arcs(df, f"{tmp_path}/arc")
+    warc.write_warc(warc.read_arc(spark, f"{tmp_path}/arc"), f"{tmp_path}/warc")
+    found = [x for f in (tmp_path / "warc").glob("*.gz") for x in warc.parse_warc(f.read_bytes())]
+    by = {int(f["x-page-id"]): f for f, _ in found}
+    assert len({f["warc-record-id"] for f, _ in found}) == len(found) == 5
+    assert {i for i, f in by.items() if f["warc-type"] == "revisit"} == {2, 3} and {by[i]["warc-refers-to"] for i in (2, 3)} == {by[1]["warc-record-id"]}
+
+
 def test_archives(spark):
     big = "WARC/1.1\r\n\r\n<p>é\n\n" * 20
     rows = [(5, "http://a", big, 1), (2, "http://b c\n", big, 1), (9, None, big, 1), (2, "http://b c\n", big, 1), (3, "u", "short", 1), (4, "u", "short", 1), (6, "u", None, 1), (None, "u", big, 1), (8, "u", "", 1)]
