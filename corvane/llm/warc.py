@@ -181,7 +181,7 @@ def write_arcs(pages: DataFrame, path: str, date: str = "20240101000000") -> Non
                 yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in out], pa.string())], ["value"])
 
     held = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    held.mapInArrow(run, "value string").write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    held.mapInArrow(run, "value string").write.option("lineSep", "\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def read_arc(spark: SparkSession, path: str, glob: str = "*.gz") -> DataFrame:
