@@ -20,17 +20,23 @@ STEMS = (3, 4, 5, 6, 7, 8, 10)
 #: documents under the threshold, its lower bound, and the words from which a text's length adds no certainty.
 STEM_DOCS, STEM_EVIDENCE, FOLDS, CLEAN_KEPT, TOXIC_FROM, SURE_WORDS = 4, 1.2, 4, 0.995, 0.8, 900
 MARKS = 1 << 18
-#: Bounds of the samples that models are fitted on: documents for the scorer, labelled documents for the stems.
-SCORER_SAMPLE, STEM_SAMPLE = 4000, 30_000
 BITS = 17
 #: Under one half, for texts so short that the scorer can't tell.
 KEEP_FROM = 0.4
-#: name: (bad from, good to) where a high value is bad. Most labellers only know one kind of bad text: they vote on it
-#: and abstain otherwise (good to: None), as what they don't see says little about the other kinds.
+#: name: (bad from, good to) where a high value is bad; between the two a labeller abstains.
 LABELLERS = {
-    "odd_ends": (0.10, None), "shouting": (0.50, None), "exclaiming": (0.10, None), "bars": (0.05, None),
-    "stutter": (0.15, None), "same_words": (0.70, None), "same_passages": (0.30, None), "no_sentences": (0.995, 0.98),
+    "odd_ends": (0.10, 0.03), "shouting": (0.50, 0.20), "exclaiming": (0.10, 0.02), "bars": (0.05, 0.0),
+    "stutter": (0.15, 0.03), "same_words": (0.70, 0.60), "same_passages": (0.30, 0.10), "no_sentences": (0.995, 0.98),
+    "insults": (1.0, 0.0), "toxic_words": (1.0, 0.5),
 }
+#: The last two know toxic texts, one by a list, the other by what labels showed; the others are of the text's surface.
+SURFACE = len(LABELLERS) - 2
+#: P(vote bad | good) that a labeller has at least: none is taken for faultless.
+SLIP = 0.0002
+#: Texts of its own kind that a labeller is taken to have found bad beforehand.
+TRUST = 2.0
+#: P(vote bad | its own kind) that a labeller has at least, or its kind would turn into another of good texts.
+KNOWS = 0.8
 
 
 def _byte_classes() -> np.ndarray:
@@ -71,8 +77,11 @@ class Texts:
         new[1:] = key[1:] != key[:-1]
         return np.bincount((key[new] >> U(44)).astype(np.int64), minlength=len(self.n))
 
-    def votes(self) -> np.ndarray:
-        """1 good, -1 bad, 0 none, by document and labeller; a document without words gets none."""
+    def votes(self, model: dict) -> np.ndarray:
+        """1 good, -1 bad, 0 none, by document and labeller; a document without words gets none.
+
+        toxic_words abstains where the model has learned no words.
+        """
         n, m = np.maximum(self.n, 1), len(self.n)
         share = lambda x: np.bincount(self.owner, x, m) / n
         last, single = self.data[self.end - 1] if len(self.end) else self.data[:0], self.end - self.begin == 1
@@ -91,9 +100,12 @@ class Texts:
             "same_passages": 1 - self._distinct(sh, np.repeat(np.arange(m), count)) / np.maximum(count, 1),
             "no_sentences": 1 - share((last == ord(".")) | (last == ord("?"))),
         }
+        hits = self.insults(model["terms"])
+        measured["insults"] = np.maximum(hits / 2, hits * 100 / n)  # two, or one word in a hundred
+        measured["toxic_words"] = self.evidence(*model["toxic"])[0] / model["toxic_from"] if len(model["toxic"][0]) else np.full(m, 0.75)
         out = np.zeros((m, len(LABELLERS)), np.int8)
         for j, (name, (bad, good)) in enumerate(LABELLERS.items()):
-            out[:, j] = np.where(measured[name] >= bad, -1, 0 if good is None else np.where(measured[name] <= good, 1, 0))
+            out[:, j] = np.where(measured[name] >= bad, -1, np.where(measured[name] <= good, 1, 0))
             out[self.n < (20 if name in ("same_words", "no_sentences") else 1), j] = 0
         return out
 
@@ -110,6 +122,12 @@ class Texts:
         mask = U((1 << BITS) - 1)
         return np.stack([mix(x + U(salt << 40)) & mask for salt, x in ((1, self.h), (2, shape.astype(U)), (3, pair.astype(U)))]).astype(np.int64)
 
+    @staticmethod
+    def vote_features(votes: np.ndarray) -> np.ndarray:
+        """A hashed feature of every labeller's vote, by document."""
+        code = (np.arange(votes.shape[1]) * 3 + votes + 1).astype(U)
+        return (mix(code + U(4 << 40)) & U((1 << BITS) - 1)).astype(np.int64)
+
     def insults(self, terms: np.ndarray) -> np.ndarray:
         """How many words of each text are listed insults."""
         if not len(self.h):
@@ -177,24 +195,30 @@ def _sampled(docs: DataFrame, most: int) -> DataFrame:
 
 
 def estimate(patterns: np.ndarray, count: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """P(vote | kind) as (kind, labeller, vote) and the share of each kind of document.
+    """P(vote | kind, a vote) as (kind, labeller, vote) and the share of each kind of document; abstaining tells nothing.
 
     Kind 0 is good; bad texts are of as many kinds as there are labellers, since each labeller sees another fault and
     texts seldom have all: with one bad kind, two labellers that agree would outvote all others. Labellers are
-    independent within a kind. Expectation-maximisation begins at: bad of the kinds that labellers say, else good.
+    independent within a kind; that kinds share labellers is how they depend on each other. Every labeller errs on
+    good texts in SLIP of the cases at least, so that a bad vote that is very rare and stands alone is taken for an error,
+    finds bad texts of its own kind in KNOWS of the cases at least, and has TRUST of them to begin with.
+    Expectation-maximisation begins at: bad of the kinds that labellers say, else good.
     """
     m = patterns.shape[1]
     bad = (patterns == -1).astype(float)
-    some = bad.any(1)
-    share = np.column_stack([np.where(some, 0.05, 0.95), np.where(some[:, None], 0.95 * bad / np.maximum(bad.sum(1), 1)[:, None], 0.05 / m)])
+    some, known = bad.any(1), np.concatenate([[True], bad.any(0)])  # a labeller that finds nothing has no kind
+    share = np.column_stack([np.where(some, 0.05, 0.95), np.where(some[:, None], 0.95 * bad / np.maximum(bad.sum(1), 1)[:, None], 0.05 / m)]) * known
     table, prior = np.zeros((m + 1, m, 3)), np.full(m + 1, 1 / (m + 1))
     for _ in range(rounds if len(patterns) else 0):
         weight = share * count[:, None]
-        prior = (weight.sum(0) + 0.1) / (weight.sum() + 0.1 * (m + 1))
+        prior = (weight.sum(0) + 0.01 + TRUST * (np.arange(m + 1) > 0)) * known
+        prior /= prior.sum()
         for j in range(m):
             for c in range(m + 1):
-                table[c, j] = np.bincount(patterns[:, j] + 1, weight[:, c], 3) + 0.1
-                table[c, j] /= table[c, j].sum()
+                table[c, j] = np.bincount(patterns[:, j] + 1, weight[:, c], 3) + 0.01 + np.array([TRUST * (c == j + 1), 0, 0])
+            table[:, j, 0] = np.maximum(table[:, j, 0] / (table[:, j, 0] + table[:, j, 2]), np.where(np.arange(m + 1) == 0, SLIP, 0))
+            table[j + 1, j, 0] = max(table[j + 1, j, 0], KNOWS)
+            table[:, j, 1], table[:, j, 2] = 1, 1 - table[:, j, 0]
         share = kinds(table, prior, patterns)
     return table, prior
 
@@ -207,7 +231,7 @@ def kinds(table: np.ndarray, prior: np.ndarray, votes: np.ndarray) -> np.ndarray
     return odds / odds.sum(1, keepdims=True)
 
 
-def train_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 120) -> tuple[np.ndarray, float]:
+def train_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression by AdaGrad over (features, shares, posterior) rows; both classes weigh alike."""
     weight, bias, power, power_b = np.zeros(1 << BITS), 0.0, np.full(1 << BITS, 1e-6), 1e-6
     if not rows:
@@ -227,13 +251,20 @@ def train_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int =
     return weight, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame | None = None) -> dict:
+def fit(docs: DataFrame, labels: DataFrame | None = None, scorer_sample: int = 4000, stem_sample: int = 30_000) -> dict:
     """The fitted classifier.
 
-    Votes are counted over all documents; a task sends at most 3**8 patterns. The scorer is fitted on about
-    SCORER_SAMPLE documents. labels (doc_id, toxic), if given, add words and beginnings of words that toxic documents
-    have more often, from about STEM_SAMPLE of them.
+    labels (doc_id, toxic), if given, show words and beginnings of words that toxic documents have more often, from
+    about stem_sample of them; they make one more labeller. Votes are counted over all documents; a task sends at most
+    3**10 patterns. The scorer is fitted on the labellers' posterior for about scorer_sample documents. Both samples
+    bound what the driver holds, whatever the size of the tables.
     """
+    terms = np.frombuffer(" ".join(INSULTS).encode(), np.uint8)
+    begin, end, _ = words(terms, np.array([0, len(terms)]))
+    model = {"terms": stem_hashes(terms, begin, end)[-1], "toxic": _lookup(np.zeros(0, U), np.zeros(0)), "toxic_from": TOXIC_FROM}
+    if labels is not None:
+        model["toxic"], model["toxic_from"] = toxic_stems(docs, labels, dict(model), stem_sample)
+    known = dict(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(3 ** len(LABELLERS), np.int64)
@@ -241,36 +272,32 @@ def fit(docs: DataFrame, labels: DataFrame | None = None) -> dict:
         for batch in batches:
             for b in slices(batch, "text", 1_000_000):
                 t = Texts(b.column("text"))
-                total += np.bincount(((t.votes() + 1) @ base)[t.n > 0], minlength=len(total))
+                total += np.bincount(((t.votes(known) + 1) @ base)[t.n > 0], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pattern", "n"])
 
     rows = docs.select("text").mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     code = np.array([r["pattern"] for r in rows], np.int64)
     patterns = code[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1
-    table, prior = estimate(patterns, np.array([r["n"] for r in rows], float))
-    model = {"table": table, "prior": prior}
+    model["table"], model["prior"] = estimate(patterns, np.array([r["n"] for r in rows], float))
+    fitted = dict(model)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text", 1_000_000):
                 t = Texts(b.column("text"))
-                p, f = posterior(model, t.votes()), t.features()
+                votes, f = t.votes(fitted), t.features()
+                p, told = posterior(fitted, votes), t.vote_features(votes)
                 out = []
                 for i in np.flatnonzero(t.n > 0):
                     found, n = np.unique(f[:, t.at[i] : t.at[i + 1]], return_counts=True)
-                    out.append((found.astype(np.int32).tobytes(), (n / t.n[i]).astype(np.float32).tobytes(), float(p[i])))
+                    found, n = np.concatenate([found, told[i]]), np.concatenate([n / t.n[i], votes[i] != 0])
+                    out.append((found.astype(np.int32).tobytes(), n.astype(np.float32).tobytes(), float(p[i])))
                 yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], k) for j, k in enumerate((pa.binary(), pa.binary(), pa.float64()))], ["f", "v", "p"])
 
-    taken = _sampled(docs.where("text is not null"), SCORER_SAMPLE).select("text").mapInArrow(sample, "f binary, v binary, p double").collect()
+    taken = _sampled(docs.where("text is not null"), scorer_sample).select("text").mapInArrow(sample, "f binary, v binary, p double").collect()
     taken = sorted((bytes(r["f"]), bytes(r["v"]), r["p"]) for r in taken)
     model["weight"], model["bias"] = train_scorer([(np.frombuffer(f, np.int32), np.frombuffer(v, np.float32), p) for f, v, p in taken])
-    terms = np.frombuffer(" ".join(INSULTS).encode(), np.uint8)
-    begin, end, _ = words(terms, np.array([0, len(terms)]))
-    model["terms"] = stem_hashes(terms, begin, end)[-1]
-    model["toxic"], model["toxic_from"] = _lookup(np.zeros(0, U), np.zeros(0)), TOXIC_FROM
-    if labels is not None:
-        model["toxic"], model["toxic_from"] = toxic_stems(docs, labels, model)
     return model
 
 
@@ -282,14 +309,14 @@ def _lookup(stems: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return stems[order], weight[order], marks
 
 
-def toxic_stems(docs: DataFrame, labels: DataFrame, model: dict) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], float]:
+def toxic_stems(docs: DataFrame, labels: DataFrame, model: dict, sample: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], float]:
     """Stems (and whole words) with their evidence, as _lookup() has them, and how toxic a text must be to go.
 
     Evidence: log of how much more often toxic documents have the stem, by occurrences, less one standard error, by
     documents. Each labelled document is scored by the stems of the other FOLDS - 1 parts; the threshold is what
-    CLEAN_KEPT of the clean ones stay under, of those that the labellers find good.
+    CLEAN_KEPT of the clean ones stay under, of those that no labeller finds bad.
     """
-    known = _sampled(labels.where("toxic is not null"), STEM_SAMPLE).select(F.col("doc_id").alias("of"), "toxic").dropDuplicates(["of"])
+    known = _sampled(labels.where("toxic is not null"), sample).select(F.col("doc_id").alias("of"), "toxic").dropDuplicates(["of"])
     # a sample of bounded size is sent to the texts, which are not exchanged
     rows = cut(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("of")).select("text", F.col("toxic").cast("long").alias("toxic")))
 
@@ -353,7 +380,7 @@ def toxic_stems(docs: DataFrame, labels: DataFrame, model: dict) -> tuple[tuple[
                 t = Texts(b.column("text"))
                 fold = t.folds()
                 score = np.choose(fold, [t.evidence(*p)[0] for p in parts])
-                yield pa.RecordBatch.from_arrays([pa.array(score[(t.n > 0) & (posterior(model, t.votes()) >= 0.5)])], ["score"])
+                yield pa.RecordBatch.from_arrays([pa.array(score[(t.n > 0) & (t.votes(model) >= 0).all(1)])], ["score"])
 
     clean = rows.where("toxic = 0").mapInArrow(held_out, "score double").toArrow().column("score").to_numpy()
     return learned(got.sum(1)), max(TOXIC_FROM, float(np.quantile(clean, CLEAN_KEPT))) if len(clean) else TOXIC_FROM
@@ -364,24 +391,21 @@ def posterior(model: dict, votes: np.ndarray) -> np.ndarray:
 
 
 def judged(model: dict, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Score, weak label, insults and whether the text stays, for every text of a column."""
+    """Score, weak label, toxic words and whether the text stays, for every text of a column."""
     t = Texts(column)
-    f = t.features()
-    z = sum(np.bincount(t.owner, model["weight"][f[j]], len(t.n)) for j in range(3)) / np.maximum(t.n, 1) + model["bias"]
+    f, votes = t.features(), t.votes(model)
+    z = sum(np.bincount(t.owner, model["weight"][f[j]], len(t.n)) for j in range(3)) / np.maximum(t.n, 1) + (model["weight"][t.vote_features(votes)] * (votes != 0)).sum(1) + model["bias"]
     score = np.where(t.n > 0, 1 / (1 + np.exp(-np.clip(z, -50, 50))), 0.0)
-    hits = t.insults(model["terms"])
-    degree, learned = t.evidence(*model["toxic"])
-    toxic = (hits >= 2) | (hits * 100 >= np.maximum(t.n, 1)) | (degree >= model["toxic_from"])
-    hits = np.where(degree >= model["toxic_from"], np.maximum(hits, learned), hits)
-    return score, np.where(t.n > 0, posterior(model, t.votes()), 0.0), hits, (score >= KEEP_FROM) & ~toxic
+    hits = np.maximum(t.insults(model["terms"]), np.where(votes[:, -1] < 0, t.evidence(*model["toxic"])[1], 0))
+    return score, np.where(t.n > 0, posterior(model, votes), 0.0), hits, score >= KEEP_FROM
 
 
 def score_documents(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, quality_score, weak_label (posterior of the labellers), insults and keep of every document.
 
-    keep: the scorer gives KEEP_FROM or more, listed insults are fewer than two and under one word in a hundred, and the
-    learned stems don't make the text toxic; if they do, insults has the words with such stems. A text that is null or has no words scores 0 and goes. Repeated rows get equal answers; an empty table gives no rows; other
-    columns are not looked at.
+    keep: the scorer, linear in words, their shapes and the labellers' votes, gives KEEP_FROM or more. insults: listed
+    ones, and where learned words make the text toxic, those. A text that is null or has no words scores 0 and goes.
+    Repeated rows get equal answers; an empty table gives no rows; other columns are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,7 +419,10 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows of docs that score_documents() keeps, with all their columns; no shuffle."""
+    """The rows of docs that score_documents() keeps, with all their columns, whatever their names; no shuffle.
+
+    Null and empty texts go; repeated rows stay or go together; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
