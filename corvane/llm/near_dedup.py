@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text", 1_000_000):
+            for b in slices(batch, "text", 400_000):
                 found, prints = order_sketches(b.column("text"))
                 flat = pa.array(found.reshape(-1).view(np.int64))
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, (b.num_rows + 1) * SKETCHES, SKETCHES, dtype=np.int32)), flat)

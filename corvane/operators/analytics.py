@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,18 +16,28 @@ from ..functions import text as X
 def summary_scores(docs: DataFrame) -> DataFrame:
     """doc_id, pos, sentence, terms, score: how well each sentence stands for its document.
 
-    Term frequencies are counted per (document, term), partially before the exchange; a document's own sentences are all
-    that meets in one window.
+    All that a score needs is in its document: sentences and terms are split in the JVM and counted in the row, so that
+    nothing is exchanged.
     """
-    s = docs.select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence"))
-    s = s.withColumn("all", X.content_terms(F.col("sentence"))).where((F.size("all") >= 3) & (F.length("sentence") >= 25))
-    each = s.select("doc_id", "pos", "sentence", F.size("all").alias("n"), F.explode(F.array_distinct("all")).alias("term"))
-    counts = each.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("f"))
-    most = counts.groupBy("doc_id").agg(F.max("f").alias("most"))
-    joined = each.join(counts, ["doc_id", "term"]).groupBy("doc_id", "pos", "sentence", "n").agg(F.sum("f").alias("f"), F.sort_array(F.collect_list("term")).alias("terms")).join(most, "doc_id")
+    split = F.transform(X.sentences(F.col("text")), lambda s, i: F.struct(i.cast("long").alias("pos"), s.alias("sentence"), X.content_terms(s).alias("all")))
+    d = docs.select("doc_id", F.filter(split, lambda x: (F.size(x["all"]) >= 3) & (F.length(x["sentence"]) >= 25)).alias("s")).where(F.size("s") > 0)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, s in zip(b.column("doc_id").to_pylist(), b.column("s"), strict=True):
+                s = s.as_py()
+                terms = [sorted(set(x["all"])) for x in s]
+                n = Counter(t for ts in terms for t in ts)
+                most = max(n.values())
+                share = [sum(n[t] for t in ts) / most for ts in terms]
+                columns = [[doc] * len(s), [x["pos"] for x in s], [x["sentence"] for x in s], terms, [len(x["all"]) for x in s], share]
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "pos", "sentence", "terms", "n", "share"])
+
+    counted = d.select(F.col("doc_id").cast("long").alias("doc_id"), "s").mapInArrow(count, "doc_id long, pos long, sentence string, terms array<string>, n long, share double")
     names = F.least(F.lit(0.6), 0.12 * F.regexp_count("sentence", F.lit(r"(?U)\b[A-Z][a-z]+\b")))
-    score = F.col("f") / F.col("most") / F.sqrt(F.greatest(F.lit(1), F.col("n"))) + 0.35 / (1 + F.col("pos")) + 0.15 + names
-    return joined.select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence", "terms", score.alias("score"))
+    score = F.col("share") / F.sqrt(F.greatest(F.lit(1), F.col("n"))) + 0.35 / (1 + F.col("pos")) + 0.15 + names
+    return counted.select("doc_id", "pos", "sentence", "terms", score.alias("score"))
 
 
 def summary_select(scored: DataFrame, most: int = 8, characters: int = 3000, novelty: float = 0.28) -> DataFrame:

@@ -9,10 +9,15 @@ from ..functions import text as X
 
 
 def keep_first(df: DataFrame, key: Column, order: Column) -> DataFrame:
-    """The first row of each key by order. Only the keys and orders are aggregated; rows are joined once."""
-    keyed = df.withColumn("__key", key)
-    first = keyed.groupBy("__key").agg(F.min(order).alias("__first"))
-    return keyed.withColumnRenamed("__key", "__k").join(first, (F.col("__k") == F.col("__key")) & (order == F.col("__first"))).drop("__k", "__key", "__first")
+    """The first row of each key by order, one with null before all others; among equals the one of the least hash.
+
+    Only keys, orders and hashes are aggregated; rows are joined once.
+    """
+    mark = F.struct(order.alias("o"), F.xxhash64(*df.columns).alias("h"))
+    keyed = df.withColumns({"__key": key, "__mark": mark})
+    first = keyed.groupBy(F.col("__key").alias("__k")).agg(F.min("__mark").alias("__first"))
+    out = keyed.join(first, F.col("__key").eqNullSafe(F.col("__k")) & F.col("__mark").eqNullSafe(F.col("__first")))
+    return out.dropDuplicates(["__key"]).drop("__key", "__mark", "__k", "__first")  # only whole repeated rows are left to drop
 
 
 def dedup_keep_first(docs: DataFrame) -> DataFrame:

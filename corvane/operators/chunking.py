@@ -75,16 +75,16 @@ def numbered(chunks: DataFrame, *order: str) -> DataFrame:
     return with_row_numbers(chunks, "chunk_id", *order)
 
 
-def merge_overlapping(chunks: DataFrame, most: int = 120) -> DataFrame:
-    """title, text: the chunks (title, chunk_id, text) of each title joined, words that two neighbours share kept once."""
-    import pandas as pd
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[str] = []
-        for text in pdf.sort_values("chunk_id")["text"]:
-            words = (text or "").split()
-            shared = next((n for n in range(min(most, len(out), len(words)), 0, -1) if out[-n:] == words[:n]), 0)
-            out += words[shared:]
-        return pd.DataFrame({"title": pdf["title"].iloc[:1], "text": [" ".join(out)]})
-
-    return chunks.select("title", "chunk_id", "text").groupBy("title").applyInPandas(join, "title string, text string")
+def merge_overlapping(chunks: DataFrame, most: int = 120, by: tuple[str, ...] = ("source", "title", "domain")) -> DataFrame:
+    """The columns of by that there are, and text: the chunks (chunk_id, text) of each document joined in order, words
+    that two neighbours share kept once. A document's chunks are folded within one row."""
+    by = [c for c in by if c in chunks.columns]
+    lists = chunks.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("chunk_id", words(F.coalesce("text", F.lit(""))).alias("w")))).alias("cs"))
+
+    def add(acc: Column, c: Column) -> Column:
+        w = c["w"]
+        n = F.least(F.lit(most), F.size(acc), F.size(w))
+        fits = F.filter(F.sequence(n, F.lit(0), F.lit(-1)), lambda k: F.slice(acc, F.size(acc) - k + 1, k) == F.slice(w, 1, k))
+        return F.concat(acc, F.slice(w, F.get(fits, F.lit(0)) + 1, F.size(w)))
+
+    return lists.select(*by, F.array_join(F.aggregate("cs", F.array().cast("array<string>"), add), " ").alias("text"))

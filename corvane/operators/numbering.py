@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def with_row_numbers(df: DataFrame, name: str, *order: str) -> DataFrame:
@@ -14,8 +15,15 @@ def with_row_numbers(df: DataFrame, name: str, *order: str) -> DataFrame:
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = df.agg(F.percentile_approx(order[0], [i / parts for i in range(1, parts)] or [0.5], 1000)).first()[0] or []
-    block = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>"), lambda c: c <= F.col(order[0]).cast("double")))
+    kind = df.schema[order[0]].dataType
+    key = F.col(order[0])
+    if isinstance(kind, (T.StringType, T.BinaryType)):  # the first six bytes, as one number, are in the same order
+        key = F.conv(F.rpad(F.substring(F.hex(key.cast("binary")), 1, 12), 12, "0"), 16, 10)
+    elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)):
+        key = F.unix_micros(key.cast("timestamp")) if not isinstance(kind, T.BooleanType) else key.cast("int")
+    key = key.cast("double")
+    cuts = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], 1000)).first()[0] or []
+    block = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>"), lambda c: c <= key))
     dealt = df.withColumn("__block", block)
     before = dealt.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
     running = F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))

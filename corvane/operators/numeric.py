@@ -207,3 +207,31 @@ def recognized(scores: DataFrame, least: float = 0.5) -> DataFrame:
     """i, label, confidence: the best class of each row of scores (i, j, v), ? where it is under least."""
     best = scores.groupBy("i").agg(F.max(F.struct("v", (-F.col("j")).alias("j"))).alias("b"))
     return best.select("i", F.when(F.col("b.v") >= least, (-F.col("b.j")).cast("string")).otherwise("?").alias("label"), F.col("b.v").alias("confidence"))
+
+
+def derivatives(v: Column) -> dict[str, Column]:
+    """Derivatives of the activations at v."""
+    s = sigmoid(v)
+    return {"sigmoid": s * (1 - s), "relu": F.when(v > 0, 1.0).otherwise(0.0), "leaky": F.when(v > 0, 1.0).otherwise(0.01), "tanh": 1 - F.tanh(v) * F.tanh(v)}
+
+
+def loss_derivatives(p: Column, y: Column, n: Column) -> dict[str, Column]:
+    """Derivatives of mse, bce and cce by a prediction p of n."""
+    q = clamp(p)
+    return {"mse": 2 * (p - y) / n, "bce": ((1 - y) / (1 - q) - y / q) / n, "cce": -y / q / n}
+
+
+def binary_accuracy(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """accuracy of (p, y): whether p reaches the threshold as y does."""
+    return pairs.agg(F.avg(((F.col("p") >= threshold) == (F.col("y") >= threshold)).cast("double")).alias("accuracy"))
+
+
+def perplexity(found: DataFrame) -> DataFrame:
+    """mean_loss and perplexity (its exponential, of 20 at most) of the probabilities p of what came."""
+    loss = F.avg(-F.log(clamp(F.col("p"))))
+    return found.agg(loss.alias("mean_loss"), F.exp(F.least(F.lit(20.0), loss)).alias("perplexity"))
+
+
+def ink_sums(cells: DataFrame, axis: str) -> DataFrame:
+    """axis (y or x) and n: active cells of each row or column."""
+    return cells.groupBy(axis).agg(F.sum(F.col("active").cast("long")).alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 #: Accented letters of European languages and their bases.
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīłńňőřśšťūůűźżž", "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegi?nnorsstuuuzzz".replace("?", "ł")
+ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīńňőřśšťūůűźżž", "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeeginnorsstuuuzzz"
 
 
 def term_freq(docs: DataFrame) -> DataFrame:
@@ -130,3 +130,13 @@ def fuse(lexical: DataFrame, meaning: DataFrame, k: int = 6, weights: tuple[floa
     part = lambda weight, rank: F.coalesce(F.lit(weight) / (F.col(rank) + 60), F.lit(0.0))
     out = a.join(b, "id", "full_outer").withColumn("score", part(weights[0], "lexical_rank") + part(weights[1], "semantic_rank"))
     return out.orderBy(F.desc("score"), F.asc_nulls_last("lexical_rank"), F.asc_nulls_last("semantic_rank")).limit(k)
+
+
+def by_titles(docs: DataFrame, titles: list[str]) -> DataFrame:
+    """Documents with one of the titles, without regard to case; all where no title is given."""
+    return docs.where(X.casefold(F.col("title")).isin([t.lower().replace("ß", "ss") for t in titles])) if titles else docs
+
+
+def with_payload(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """A top-k list of hits (id, score) with the rows of docs (doc_id, ...); the list is sent to them."""
+    return docs.join(F.broadcast(hits), F.col("doc_id") == F.col("id")).drop("id")

@@ -91,48 +91,76 @@ def train_val_split(docs: DataFrame, fraction: float = 0.02, seed: int = 42) ->
     return ranked.crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n")))).select("doc_id", F.when(F.col("rank") < train, "train").otherwise("val").alias("split"))  # one row
 
 
+def token_stream(docs: DataFrame) -> DataFrame:
+    """text and offset: where the tokens of each row begin in the stream of all rows.
+
+    The stream is every row's byte tokens between begin and end tokens, in order of doc_id (null first), then of the
+    text's hash. Lengths alone are summed along the order, over ranges of documents; equal rows follow each other.
+    """
+    n = F.coalesce(F.octet_length("text"), F.lit(0)) + 2
+    sized = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), n.cast("long").alias("n"))
+    each = sized.groupBy("doc_id", "h").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("times"))
+    at = running_offsets(each.withColumn("all", F.col("n") * F.col("times")), "all", "doc_id", "h")
+    same = F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("d.h") == F.col("a.h"))
+    held = sized.dropDuplicates(["doc_id", "h"]).alias("d").join(at.alias("a"), same)
+    return held.select("text", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("a.times") - 1), lambda i: F.col("offset") + i * F.col("a.n"))).alias("offset"))
+
+
 def token_blocks(docs: DataFrame, block: int = 512, stride: int | None = None) -> DataFrame:
-    """block_id, n_tokens, first_token, last_token, checksum, label_checksum of the blocks of block+1 tokens of the whole stream.
+    """block_id, tokens, input_ids and labels of the blocks of block+1 tokens of the whole token_stream().
 
-    The stream is every document's byte tokens between begin and end tokens, in order of doc_id. Lengths alone are
-    summed along the order, over ranges of documents; each document then gives each block its own share of tokens, so
-    no task holds more than a block's tokens at a time. Labels are the inputs shifted by one.
+    Each document gives each block its own share of tokens, so that only a block's tokens meet. Labels are the inputs
+    shifted by one. A stream that doesn't fill a block gives none.
     """
     step = stride or block
-    n = F.coalesce(F.octet_length("text"), F.lit(0)) + 2
-    sized = docs.select("doc_id", n.cast("long").alias("n"))
-    at = running_offsets(sized, "n", "doc_id")
-    total = sized.agg(F.sum("n")).first()[0] or 0
+    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 2)).first()[0] or 0
     last = (total - block - 1) // step
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
             for offset, text in zip(b.column("offset").to_pylist(), b.column("text").to_pylist(), strict=True):
-                raw = np.frombuffer((text or "").encode(), np.uint8).astype(np.int64) + BYTE_OFFSET
-                t = np.concatenate([[1], raw, [2]])
-                for k in range(max(0, -((block - offset) // step)), min(last, (offset + len(t) - 1) // step) + 1):
-                    part = t[max(0, k * step - offset) : k * step + block + 1 - offset]
-                    at = max(0, offset - k * step)
-                    rows.append((k, at, len(part), int(part @ np.arange(at + 1, at + 1 + len(part))), int(part[0]), int(part[-1])))
-            columns = zip(*rows, strict=True) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["block_id", "at", "n", "w", "a", "z"])
-
-    parts = docs.select("doc_id", "text").join(at, "doc_id").select("offset", "text").mapInArrow(cut, "block_id long, at long, n long, w long, a long, z long")
-    return parts.groupBy("block_id").agg(F.sum("n").alias("n_tokens"), F.min_by("a", "at").alias("first_token"), F.max_by("z", "at").alias("last_token"), F.sum("w").alias("checksum"))
-
-
-def running_offsets(sized: DataFrame, n: str, key: str) -> DataFrame:
-    """key, offset: the sum of n over all smaller keys, by ranges of keys whose sums alone meet in one window."""
+                raw = np.frombuffer((text or "").encode(), np.uint8).astype(np.int32) + BYTE_OFFSET
+                t = np.concatenate([[1], raw, [2]]).astype(np.int32)
+                first, end = max(0, -((block - offset) // step)), min(last, (offset + len(t) - 1) // step) + 1
+                for lo in range(first, end, 2000):
+                    rows = [(k, max(0, offset - k * step), t[max(0, k * step - offset) : k * step + block + 1 - offset]) for k in range(lo, min(end, lo + 2000))]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], ["block_id", "at", "part"])
+
+    parts = token_stream(docs).select("offset", "text").mapInArrow(cut, "block_id long, at long, part array<int>")
+    whole = parts.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("parts"))  # block + 1 tokens
+    tokens = whole.select("block_id", F.flatten(F.transform("parts", lambda p: p["part"])).alias("tokens"))
+    return tokens.select("block_id", "tokens", F.slice("tokens", 1, block).alias("input_ids"), F.slice("tokens", 2, block).alias("labels"))
+
+
+def block_digests(blocks: DataFrame) -> DataFrame:
+    """block_id, n_tokens, first_token, last_token, checksum and label_checksum: sums of tokens by place, from 1."""
+    add = lambda c: F.aggregate(F.transform(c, lambda t, i: t.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, v: a + v)
+    return blocks.select(
+        "block_id", F.size("tokens").cast("long").alias("n_tokens"), F.element_at("tokens", 1).cast("long").alias("first_token"),
+        F.element_at("tokens", -1).cast("long").alias("last_token"), add("tokens").alias("checksum"), add("labels").alias("label_checksum"),
+    )
+
+
+def write_tokens(docs: DataFrame, path: str, fraction: float = 0.1, block: int = 512) -> None:
+    """Blocks of the train and the val documents as Parquet under path, and meta: documents and tokens of each."""
+    split = train_val_split(docs, fraction)
+    for name in ("train", "val"):
+        token_blocks(docs.join(split.where(F.col("split") == name).select("doc_id"), "doc_id"), block).write.parquet(f"{path}/{name}")
+    corpus_meta(docs, split).withColumn("vocabulary", F.lit(BYTE_OFFSET + 256)).coalesce(1).write.json(f"{path}/meta")
+
+
+def running_offsets(sized: DataFrame, n: str, key: str, *more: str) -> DataFrame:
+    """sized with offset: the sum of n over all rows before in the order of key (null first) and more, by ranges of keys
+    whose sums alone meet in one window."""
     spark = sized.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sized.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], 1000)).first()[0] or []
     block = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>"), lambda c: c <= F.col(key).cast("double")))
-    dealt = sized.withColumn("b", block)
+    dealt = sized.withColumn("b", F.when(F.col(key).isNull(), -1).otherwise(block))
     sums = dealt.groupBy("b").agg(F.sum(n).alias("s"))
     before = sums.select("b", F.coalesce(F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    own = F.sum(n).over(Window.partitionBy("b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
-    return dealt.withColumn("own", F.coalesce(own, F.lit(0))).join(before, "b").select(key, (F.col("own") + F.col("base")).cast("long").alias("offset"))
+    own = F.sum(n).over(Window.partitionBy("b").orderBy(key, *more).rowsBetween(Window.unboundedPreceding, -1))
+    return dealt.withColumn("own", F.coalesce(own, F.lit(0))).join(before, "b").select(*sized.columns, (F.col("own") + F.col("base")).cast("long").alias("offset"))
 
 
 def corpus_meta(docs: DataFrame, split: DataFrame) -> DataFrame:

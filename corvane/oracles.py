@@ -167,7 +167,7 @@ MSG = "SELECT conv_id, turn, lower(trim(role)) AS role, trim(text) AS content FR
 SFT = f"""m AS ({MSG}), mt AS (SELECT conv_id, turn, role = 'assistant' AS told, list_concat([CASE role WHEN 'system' THEN 3 WHEN 'user' THEN 4 ELSE 5 END], {bytes_of("(chr(10) || content || chr(10))")}) AS ids FROM m),
 ex AS (SELECT conv_id, list_concat(list_concat([1], flatten(list(ids ORDER BY turn))), [2]) AS input_ids,
  list_concat(list_concat([-100], flatten(list(CASE WHEN told THEN ids ELSE list_transform(ids, lambda x: -100) END ORDER BY turn))), [CASE WHEN bool_or(told) THEN 2 ELSE -100 END]) AS labels FROM mt GROUP BY conv_id)"""
-INK = "c AS (SELECT doc_id AS line, unnest(range(len(a))) AS x, unnest(a) AS c FROM (SELECT doc_id, string_split(substr(text, 1, 120), '') AS a FROM documents)), i AS (SELECT line, x, x - row_number() OVER (PARTITION BY line ORDER BY x) AS g FROM c WHERE regexp_matches(c, '[a-z]')), rn AS (SELECT line, min(x) AS start, count(*) AS size FROM i GROUP BY line, g)"
+INK = "c AS (SELECT doc_id AS line, unnest(range(len(a))) AS x, unnest(a) AS c FROM (SELECT doc_id, string_split(text, '') AS a FROM documents)), i AS (SELECT line, x, x - row_number() OVER (PARTITION BY line ORDER BY x) AS g FROM c WHERE regexp_matches(c, '[a-z]')), rn AS (SELECT line, min(x) AS start, count(*) AS size FROM i GROUP BY line, g)"
 NGRAMS = f"""d AS (SELECT doc_id, list_concat(list_concat(['<BOS>', '<BOS>'], {ltok('text')}), ['<EOS>']) AS t FROM documents),
 i AS (SELECT doc_id, t, unnest(range(2, len(t))) AS i FROM d),
 g AS (SELECT t[i - 1] || ' ' || t[i] AS context, t[i + 1] AS next, count(*) AS n, min(doc_id * 1000000 + i) AS place FROM i GROUP BY ALL)"""
@@ -189,7 +189,7 @@ ORACLES = {
     "normalize_text": f"SELECT doc_id, sha256(t) AS sha, length(t) AS n FROM (SELECT doc_id, {norm('''('  ' || chr(13) || chr(10) || replace(text, '. ', '.' || chr(9) || ' ' || repeat(chr(13) || chr(10), 4) || ' ') || chr(160) || chr(173) || 'x ' || chr(10))''')} AS t FROM documents)",
     "word_count": r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+')) AS words FROM documents",
     "content_hash": f"SELECT doc_id, {chash('text')} AS content_sha256, sha256(text) AS sha256 FROM documents",
-    "byte_tokens": f"SELECT doc_id, len(t) AS n, array_to_string(t, ' ') AS ids FROM (SELECT doc_id, {bytes_of('x')} AS t FROM (SELECT doc_id, substr(text, 1, 200) AS x FROM documents))",
+    "byte_tokens": f"SELECT doc_id, len(t) AS n, sha256(array_to_string(t, ' ')) AS ids_sha256 FROM (SELECT doc_id, {bytes_of('text')} AS t FROM documents)",
     "infer_domain": domain(),
     "content_terms": f"SELECT doc_id, array_to_string({cterms('text')}, ' ') AS terms FROM documents",
     "question_terms": f"SELECT item_id, array_to_string(list_sort(list_distinct(list_filter({tok('text')}, lambda t: NOT list_contains({quoted(STOP_WORDS)}, t) AND length(t) > 1))), ' ') AS terms FROM benchmark",
@@ -209,9 +209,9 @@ ORACLES = {
     "get_chunks": f"WITH {windows(220, 40, '(SELECT * FROM documents WHERE doc_id IN (3, 7, 11))')} SELECT * FROM c ORDER BY doc_id, word_offset LIMIT 50",
     "update_metadata": "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'xx' ELSE lang END AS lang, source FROM documents",
     "delete_cascade": f"WITH {windows()} SELECT doc_id, count(*) AS chunks FROM c WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src0') GROUP BY doc_id",
-    "replace_same_name": "WITH d AS (SELECT doc_id, 'Name' || (doc_id % 300) AS name FROM documents), n AS (SELECT doc_id, upper(name) AS name FROM d WHERE doc_id >= 800) SELECT * FROM d WHERE doc_id < 400 AND lower(name) NOT IN (SELECT lower(name) FROM n) UNION ALL SELECT * FROM n",
+    "replace_same_name": "WITH d AS (SELECT doc_id, 'Name' || (doc_id % 300) AS name, doc_id % 7 = 0 AND doc_id % 300 < 150 AS new FROM documents), n AS (SELECT doc_id, upper(name) AS name FROM d WHERE new) SELECT doc_id, name FROM d WHERE NOT new AND lower(name) NOT IN (SELECT lower(name) FROM n) UNION ALL SELECT * FROM n",
     "export_corpus": f"SELECT doc_id, sha256({norm('text')}) AS sha, 'doc ' || doc_id AS title, source, lang AS domain FROM documents WHERE {norm('text')} <> ''",
-    "feedback_export": """WITH r AS (SELECT doc_id AS id, substr(text, 1, 40) AS prompt, substr(text, 41, 40) AS response, CASE WHEN doc_id % 3 = 0 THEN nullif(trim(substr(text, 81, 30)), '') END AS c, quality - toxic AS rating, toxic = 1 AS approved FROM documents JOIN labels USING (doc_id))
+    "feedback_export": """WITH r AS (SELECT doc_id AS id, split_part(text, '. ', 1) AS prompt, substr(text, length(split_part(text, '. ', 1)) + 3) AS response, CASE WHEN doc_id % 3 = 0 THEN trim('Corrected: ' || text) END AS c, quality - toxic AS rating, toxic = 1 AS approved FROM documents JOIN labels USING (doc_id))
 SELECT id, prompt, coalesce(c, response) AS answer FROM r WHERE approved OR c IS NOT NULL OR rating = 1""",
     "chunk_windows": f"WITH {windows()} SELECT * FROM c",
     "chunk_documents": rf"""WITH t AS (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(text, chr(10), chr(10)||chr(10)), '\n\s*\n'), lambda p: trim(p, ' ' || chr(9) || chr(10))), lambda p: p <> '') AS ps FROM documents),
@@ -274,19 +274,19 @@ SELECT b.doc_id, b.pos, round(x.f / most / sqrt(greatest(1, len(t))) + 35e-2 / (
     "expand_query": rf"""WITH l AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS r2, lead(text) OVER w AS t2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 p AS (SELECT conv_id, turn, text AS u, t2 AS a FROM l WHERE role = 'user' AND r2 = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3),
 t AS (SELECT conv_id, flatten(list(list_concat({tok(r"array_to_string(regexp_extract_all(regexp_replace(u || ' ' || substr(a, 1, 500), '[^\x00-\x7F\p{P}\p{S}\p{Z}\p{C}]', '_', 'g'), '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}\b'), ' ; ')")}, {tok('u')}) ORDER BY turn DESC)) AS t FROM p GROUP BY conv_id),
-q AS (SELECT conv_id, 'and it ' || substr(arg_max(text, turn), 1, 60) AS question FROM conversations GROUP BY conv_id),
+q AS (SELECT conv_id, 'and it ' || arg_max(text, turn) AS question FROM conversations GROUP BY conv_id),
 o AS (SELECT q.*, {tok('question')} AS own, t.t FROM q LEFT JOIN t USING (conv_id)),
 f AS (SELECT *, list_filter(t, lambda x: length(x) > 2 AND NOT list_contains(own, x) AND NOT list_contains({quoted(PRONOUN_TERMS)}, x)) AS c FROM o),
 g AS (SELECT *, list_filter(c, lambda x, i: list_position(c, x) = i)[1:18] AS e FROM f)
 SELECT conv_id, CASE WHEN len(e) > 0 AND (len(own) <= 6 OR list_has_any(own, {quoted(PRONOUN_TERMS)})) THEN question || ' ' || array_to_string(e, ' ') ELSE question END AS expanded FROM g""",
     "sft_messages": f"SELECT conv_id, count(*) AS n, string_agg(role || '=' || content, '|' ORDER BY turn) AS chat FROM ({MSG}) GROUP BY conv_id",
-    "sft_tokens_masked": f"WITH {SFT} SELECT conv_id, len(input_ids) AS n, list_sum(input_ids)::BIGINT AS ids, list_sum(labels)::BIGINT AS labels FROM ex",
+    "sft_tokens_masked": f"WITH {SFT} SELECT conv_id, len(input_ids) AS n, sha256(array_to_string(input_ids, ',')) AS input_ids, sha256(array_to_string(labels, ',')) AS labels FROM ex",
     "sft_pad_truncate": f"WITH {SFT} SELECT conv_id, 256 AS n, sha256(array_to_string(list_concat(input_ids[1:256], list_transform(range(greatest(0, 256 - len(input_ids))), lambda x: 0)), ',')) AS input_ids, sha256(array_to_string(list_concat(labels[1:256], list_transform(range(greatest(0, 256 - len(labels))), lambda x: -100)), ',')) AS labels FROM ex",
     "train_val_split": f"WITH {SPLIT} SELECT * FROM sp",
     "token_blocks": f"""WITH d AS (SELECT doc_id, list_concat(list_concat([1], {bytes_of('text')}), [2]) AS t FROM documents), o AS (SELECT doc_id, unnest(t) AS t, unnest(range(len(t))) AS i FROM d),
 s AS (SELECT t, row_number() OVER (ORDER BY doc_id, i) - 1 AS p FROM o), n AS (SELECT count(*) AS n FROM s),
 b AS (SELECT p // 512 AS block_id, p % 512 AS k, t FROM s UNION ALL SELECT p // 512 - 1, 512, t FROM s WHERE p % 512 = 0 AND p > 0)
-SELECT block_id, count(*) AS n_tokens, arg_min(t, k)::BIGINT AS first_token, arg_max(t, k)::BIGINT AS last_token, sum(t * (k + 1))::BIGINT AS checksum FROM b, n WHERE n > 512 AND block_id <= (n - 513) // 512 GROUP BY block_id""",
+SELECT block_id, count(*) AS n_tokens, arg_min(t, k)::BIGINT AS first_token, arg_max(t, k)::BIGINT AS last_token, sum(t * (k + 1))::BIGINT AS checksum, sum(t * k)::BIGINT AS label_checksum FROM b, n WHERE n > 512 AND block_id <= (n - 513) // 512 GROUP BY block_id""",
     "corpus_meta": f"WITH {SPLIT} SELECT split, count(*) AS documents, sum(strlen(text) + 2)::BIGINT AS tokens FROM documents JOIN sp USING (doc_id) GROUP BY split",
     "bpe_pair_counts": f'SELECT t[i] AS "left", t[i + 1] AS "right", count(*) AS n FROM (SELECT t, unnest(range(1, len(t))) AS i FROM (SELECT {bytes_of("text")} AS t FROM documents)) GROUP BY ALL',
     "matmul": f"WITH {SCORES} SELECT i, j, round(v, 6) AS v FROM sc",
@@ -297,8 +297,20 @@ SELECT block_id, count(*) AS n_tokens, arg_min(t, k)::BIGINT AS first_token, arg
 SELECT round(avg((p - y) * (p - y)), 6) AS mse, round(-avg(y * ln(q) + (1 - y) * ln(1 - q)), 6) AS bce, round(-sum(y * ln(q)) / count(DISTINCT i), 6) AS cce FROM c""",
     "accuracy": f"WITH {PAIRS} SELECT round(avg((actual = predicted)::INT), 6) AS accuracy FROM pr",
     "confusion_matrix": f"WITH {PAIRS}, c AS (SELECT DISTINCT actual AS c FROM pr) SELECT a.c AS actual, b.c AS predicted, count(pr.i) AS n FROM c a CROSS JOIN c b LEFT JOIN pr ON pr.actual = a.c AND pr.predicted = b.c GROUP BY ALL",
+    "activation_derivatives": f"WITH {EMB} SELECT i, k, round(1 / (1 + exp(-v)) * (1 - 1 / (1 + exp(-v))), 6) AS sigmoid, CASE WHEN v > 0 THEN 1e0 ELSE 0e0 END AS relu, CASE WHEN v > 0 THEN 1e0 ELSE 1e-2 END AS leaky, round(1 - tanh(v) * tanh(v), 6) AS tanh FROM e",
+    "loss_derivatives": f"WITH {SOFT}, c AS (SELECT sm.i, sm.j, sm.v AS p, greatest(1e-7, least(1 - 1e-7, sm.v)) AS q, sm.j = t.label AS hit FROM sm JOIN embeddings t ON t.vec_id = sm.i) SELECT i, j, round((p - hit::INT) / 50, 6) AS mse, round(CASE WHEN hit THEN -1 / q ELSE 1 / (1 - q) END / 100, 6) AS bce, round(CASE WHEN hit THEN -1 / q / 100 ELSE 0e0 END, 6) AS cce FROM c",
+    "binary_accuracy": f"WITH {SOFT} SELECT round(avg(((sm.v >= 1e-1) = (sm.j = t.label))::INT), 6) AS accuracy FROM sm JOIN embeddings t ON t.vec_id = sm.i",
+    "perplexity": f"WITH {SOFT} SELECT round(avg(-ln(sm.v)), 6) AS mean_loss, round(exp(avg(-ln(sm.v))), 6) AS perplexity FROM sm JOIN embeddings t ON t.vec_id = sm.i AND sm.j = t.label",
+    "ink_sums": f"WITH {EMB} SELECT 'y' AS axis, i AS place, count(*) FILTER (v > 0) AS n FROM e GROUP BY i UNION ALL SELECT 'x', k, count(*) FILTER (v > 0) FROM e GROUP BY k",
+    "title_filter": f"SELECT doc_id, title FROM ({LIBRARY}) WHERE doc_id IN (3, 17, 400)",
+    "semantic_payload": f"WITH {SEM.format(n=80)}, h AS (SELECT * FROM s ORDER BY score DESC, vec_id LIMIT 10) SELECT doc_id, source, score FROM h JOIN documents ON doc_id = vec_id",
+    "kind_stats": "SELECT lang AS domain, 'txt' AS kind, count(*) AS documents, count(*) AS titles FROM documents GROUP BY lang",
     "one_hot": "SELECT vec_id, array_to_string(list_transform(range(10), lambda x: (x = label)::INT), '') AS row FROM embeddings",
-    "cer": "WITH b AS (SELECT item_id, substr(regexp_replace(text, '[^A-Za-z .]', '', 'g'), 1, 60) AS e FROM benchmark) SELECT a.item_id, round(CASE WHEN length(a.e) > 0 THEN levenshtein(a.e, b.e)::DOUBLE / length(a.e) ELSE (length(b.e) > 0)::INT END, 6) AS cer FROM b a JOIN b ON b.item_id = a.item_id + 1",
+    "cer": "WITH b AS (SELECT item_id, regexp_replace(text, '[^A-Za-z .]', '', 'g') AS e FROM benchmark) SELECT a.item_id, round(CASE WHEN length(a.e) > 0 THEN levenshtein(a.e, b.e)::DOUBLE / length(a.e) ELSE (length(b.e) > 0)::INT END, 6) AS cer FROM b a JOIN b ON b.item_id = a.item_id + 1",
+    "wer": r"""WITH b AS (SELECT item_id, list_filter(string_split_regex(regexp_replace(text, '[^A-Za-z .]', '', 'g'), '\s+'), lambda w: w <> '') AS w FROM benchmark),
+p AS (SELECT a.item_id AS id, a.w AS a, b.w AS b, list_distinct(list_concat(a.w, b.w)) AS u FROM b a JOIN b ON b.item_id = a.item_id + 1),
+c AS (SELECT id, len(a) AS n, array_to_string(list_transform(a, lambda x: chr(list_position(u, x)::INT)), '') AS x, array_to_string(list_transform(b, lambda x: chr(list_position(u, x)::INT)), '') AS y FROM p)
+SELECT id, round(CASE WHEN n > 0 THEN levenshtein(x, y)::DOUBLE / n ELSE (y <> '')::INT END, 6) AS wer FROM c""",
     "otsu": """WITH h AS (SELECT n_chars % 256 AS v, count(*) AS n FROM documents GROUP BY 1), s AS (SELECT v, sum(n) OVER o AS w, sum(v * n) OVER o AS s, sum(n) OVER () AS n, sum(v * n) OVER () AS total FROM h WINDOW o AS (ORDER BY v)),
 b AS (SELECT v, w::DOUBLE * (n - w) * pow(s::DOUBLE / w - (total - s)::DOUBLE / (n - w), 2) AS b FROM s WHERE w < n) SELECT v::BIGINT AS threshold FROM b ORDER BY b DESC, v LIMIT 1""",
     "ink_runs": f"WITH {INK} SELECT line, start, size FROM rn",

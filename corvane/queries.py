@@ -76,13 +76,6 @@ def content_hash(spark, sf_dir):
 
 @query
 def byte_tokens(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", training.byte_tokens(F.substring("text", 1, 200)).alias("t"))
-    return d.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.col("t").cast("array<string>"), " ").alias("ids"))
-
-
-@query
-def byte_tokens_whole(spark, sf_dir):
-    """byte_tokens of whole texts, ids as a digest; the SQL of byte_tokens cuts them."""
     d = docs(spark, sf_dir).select("doc_id", training.byte_tokens(F.col("text")).alias("t"))
     return d.select("doc_id", F.size("t").cast("long").alias("n"), F.sha2(F.array_join(F.col("t").cast("array<string>"), " "), 256).alias("ids_sha256"))
 
@@ -195,14 +188,7 @@ def delete_cascade(spark, sf_dir):
 @query
 def replace_same_name(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", F.concat(F.lit("Name"), (F.col("doc_id") % 300).cast("string")).alias("name"))
-    return catalog.replace_same_name(d.where("doc_id < 400"), d.where("doc_id >= 800").withColumn("name", F.upper("name")))
-
-
-@query
-def replace_same_name_whole(spark, sf_dir):
-    """replace_same_name with every document on one side, at any size; its SQL has two ranges of ids. Half of the names are renewed."""
-    d = docs(spark, sf_dir).select("doc_id", F.concat(F.lit("Name"), (F.col("doc_id") % 300).cast("string")).alias("name"))
-    new = (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0) & (F.pmod(F.xxhash64("name"), F.lit(2)) == 0)
+    new = (F.col("doc_id") % 7 == 0) & (F.col("doc_id") % 300 < 150)  # half of the names are renewed; every document is old or new
     return catalog.replace_same_name(d.where(~new), d.where(new).withColumn("name", F.upper("name")))
 
 
@@ -213,9 +199,10 @@ def export_corpus(spark, sf_dir):
 
 @query
 def feedback_export(spark, sf_dir):
+    prompt = F.substring_index("text", ". ", 1)  # the first sentence; the rest is the response
     rows = docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").select(
-        F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("prompt"), F.substring("text", 41, 40).alias("response"),
-        F.when(F.col("doc_id") % 3 == 0, F.substring("text", 81, 30)).otherwise(F.lit(" ")).alias("corrected_response"), (F.col("quality") - F.col("toxic")).alias("rating"), (F.col("toxic") == 1).alias("approved"),
+        F.col("doc_id").alias("id"), prompt.alias("prompt"), F.substring(F.col("text"), F.length(prompt) + 3, F.length("text")).alias("response"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" Corrected: "), F.col("text"))).otherwise(F.lit(" ")).alias("corrected_response"), (F.col("quality") - F.col("toxic")).alias("rating"), (F.col("toxic") == 1).alias("approved"),
     )
     return catalog.feedback_export(rows)
 
@@ -398,8 +385,8 @@ def ngram_backoff(spark, sf_dir):
 
 @query
 def ngram_generate(spark, sf_dir):
-    prompts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 30).alias("prompt"))
-    return analytics.generate(analytics.ngrams(docs(spark, sf_dir)), prompts, 6)
+    prompts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("prompt"))
+    return analytics.generate(analytics.ngrams(docs(spark, sf_dir)), prompts)
 
 
 @query
@@ -418,7 +405,7 @@ def recent_turns(spark, sf_dir):
 @query
 def expand_query(spark, sf_dir):
     t = turns(spark, sf_dir)
-    asked = t.groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("m")).select("conv_id", F.concat(F.lit("and it "), F.substring("m.text", 1, 60)).alias("question"))
+    asked = t.groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("m")).select("conv_id", F.concat(F.lit("and it "), "m.text").alias("question"))
     return training.expand_query(training.pairs_of_turns(t), asked)
 
 
@@ -431,8 +418,8 @@ def sft_messages(spark, sf_dir):
 @query
 def sft_tokens_masked(spark, sf_dir):
     t = training.sft_tokens(training.sft_messages(turns(spark, sf_dir)))
-    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v)
-    return t.select("conv_id", F.size("input_ids").cast("long").alias("n"), add("input_ids").alias("ids"), add("labels").alias("labels"))
+    j = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), ","), 256).alias(c)
+    return t.select("conv_id", F.size("input_ids").cast("long").alias("n"), j("input_ids"), j("labels"))
 
 
 @query
@@ -449,7 +436,7 @@ def train_val_split(spark, sf_dir):
 
 @query
 def token_blocks(spark, sf_dir):
-    return training.token_blocks(docs(spark, sf_dir), 512)
+    return training.block_digests(training.token_blocks(docs(spark, sf_dir), 512))
 
 
 @query
@@ -538,27 +525,20 @@ def one_hot(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(numeric.one_hot(F.col("label"), 10).cast("array<string>"), "").alias("row"))
 
 
-def _edits(spark, sf_dir, most=None):
-    """Neighbouring items, whole or their first characters."""
-    text = F.regexp_replace("text", "[^A-Za-z .]", "")
-    b = table(spark, sf_dir, "benchmark").select("item_id", (F.substring(text, 1, most) if most else text).alias("expected"))
+def _edits(spark, sf_dir):
+    """Neighbouring items."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^A-Za-z .]", "").alias("expected"))
     return b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("expected").alias("predicted")), "item_id")
 
 
 @query
 def cer(spark, sf_dir):
-    return _edits(spark, sf_dir, 60).select("item_id", F.round(numeric.character_error_rate(F.col("expected"), F.col("predicted")), 6).alias("cer"))
-
-
-@query
-def cer_whole(spark, sf_dir):
-    """cer of whole items; the SQL of cer cuts them."""
     return _edits(spark, sf_dir).select("item_id", F.round(numeric.character_error_rate(F.col("expected"), F.col("predicted")), 6).alias("cer"))
 
 
 @query
 def wer(spark, sf_dir):
-    return numeric.word_error_rate(_edits(spark, sf_dir).withColumnRenamed("item_id", "id"))
+    return numeric.word_error_rate(_edits(spark, sf_dir).withColumnRenamed("item_id", "id")).select("id", r6("wer"))
 
 
 @query
@@ -567,30 +547,17 @@ def otsu(spark, sf_dir):
 
 
 def _ink(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    return d.select(F.col("doc_id").alias("line"), F.posexplode(F.split(F.substring("text", 1, 120), "")).alias("x", "c")).select("line", F.col("x").cast("long").alias("x"), F.col("c").rlike("[a-z]").alias("active"))
+    return numeric.text_runs(docs(spark, sf_dir).select(F.col("doc_id").alias("line"), "text"))
 
 
 @query
 def ink_runs(spark, sf_dir):
-    return numeric.runs(_ink(spark, sf_dir))
+    return _ink(spark, sf_dir).select("line", "start", "size")
 
 
 @query
 def glyph_gaps(spark, sf_dir):
-    return numeric.gaps(numeric.runs(_ink(spark, sf_dir)))
-
-
-@query
-def ink_runs_whole(spark, sf_dir):
-    """ink_runs of whole texts, found within the row; the SQL of ink_runs cuts them."""
-    return numeric.text_runs(docs(spark, sf_dir).select(F.col("doc_id").alias("line"), "text")).select("line", "start", "size")
-
-
-@query
-def glyph_gaps_whole(spark, sf_dir):
-    """glyph_gaps of whole texts, found within the row."""
-    return numeric.text_runs(docs(spark, sf_dir).select(F.col("doc_id").alias("line"), "text")).where("gap is not null").select("line", "start", "gap")
+    return _ink(spark, sf_dir).where("gap is not null").select("line", "start", "gap")
 
 
 @query
@@ -644,6 +611,56 @@ def glyph_labels(spark, sf_dir):
     return numeric.recognized(numeric.softmax(_scores(spark, sf_dir).withColumn("v", F.col("v") * 20)), 0.5).select(F.col("i").alias("vec_id"), "label", r6("confidence"))
 
 
+@query
+def activation_derivatives(spark, sf_dir):
+    e = _embedded(spark, sf_dir)
+    return e.select("i", "k", *[F.round(c, 6).alias(n) for n, c in numeric.derivatives(F.col("v")).items()])
+
+
+def _predicted(spark, sf_dir):
+    truth = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), F.col("label").cast("long").alias("label"))
+    return numeric.softmax(_scores(spark, sf_dir)).join(truth, "i").select("i", "j", F.col("v").alias("p"), (F.col("j") == F.col("label")).cast("double").alias("y"))
+
+
+@query
+def loss_derivatives(spark, sf_dir):
+    d = numeric.loss_derivatives(F.col("p"), F.col("y"), F.lit(100.0))
+    return _predicted(spark, sf_dir).select("i", "j", *[F.round(c, 6).alias(n) for n, c in d.items()])
+
+
+@query
+def binary_accuracy(spark, sf_dir):
+    return numeric.binary_accuracy(_predicted(spark, sf_dir), 0.1).select(r6("accuracy"))
+
+
+@query
+def perplexity(spark, sf_dir):
+    return numeric.perplexity(_predicted(spark, sf_dir).where("y = 1")).select(r6("mean_loss"), r6("perplexity"))
+
+
+@query
+def ink_sums(spark, sf_dir):
+    cells = _embedded(spark, sf_dir).select(F.col("i").alias("y"), F.col("k").alias("x"), (F.col("v") > 0).alias("active"))
+    rows, columns = (numeric.ink_sums(cells, a).select(F.lit(a).alias("axis"), F.col(a).alias("place"), "n") for a in ("y", "x"))
+    return rows.unionByName(columns)
+
+
+@query
+def title_filter(spark, sf_dir):
+    return search.by_titles(titled(spark, sf_dir), ["DOC 3", "Doc 17", "doc 400"]).select("doc_id", "title")
+
+
+@query
+def semantic_payload(spark, sf_dir):
+    hits = search.semantic(*_vectors(spark, sf_dir), 10).select(F.col("vec_id").alias("id"), "score")
+    return search.with_payload(hits, docs(spark, sf_dir)).select("doc_id", "source", "score")
+
+
+@query
+def kind_stats(spark, sf_dir):
+    return titled(spark, sf_dir).groupBy("domain", "kind").agg(F.count(F.lit(1)).alias("documents"), F.countDistinct("title").alias("titles"))
+
+
 # extensions
 
 
