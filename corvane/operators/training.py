@@ -143,9 +143,10 @@ def block_digests(blocks: DataFrame) -> DataFrame:
 
 def write_tokens(docs: DataFrame, path: str, fraction: float = 0.1, block: int = 512) -> None:
     """Blocks of the train and the val documents as Parquet under path, and meta: documents and tokens of each."""
-    split = train_val_split(docs, fraction)
+    split = train_val_split(docs, fraction).groupBy("doc_id").agg(F.min("split").alias("split"))  # rows of one doc_id stay together
     for name in ("train", "val"):
-        token_blocks(docs.join(split.where(F.col("split") == name).select("doc_id"), "doc_id"), block).write.parquet(f"{path}/{name}")
+        mine = split.where(F.col("split") == name).select(F.col("doc_id").alias("__id"))
+        token_blocks(docs.join(mine, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi"), block).write.parquet(f"{path}/{name}")
     corpus_meta(docs, split).withColumn("vocabulary", F.lit(BYTE_OFFSET + 256)).coalesce(1).write.json(f"{path}/meta")
 
 
@@ -165,7 +166,8 @@ def running_offsets(sized: DataFrame, n: str, key: str, *more: str) -> DataFrame
 
 def corpus_meta(docs: DataFrame, split: DataFrame) -> DataFrame:
     """split, documents, tokens with begin and end tokens."""
-    return docs.join(split, "doc_id").groupBy("split").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.octet_length("text") + 2).alias("tokens"))
+    of = split.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("__id"), "split")
+    return docs.join(of, F.col("doc_id").eqNullSafe(F.col("__id"))).groupBy("split").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 2).alias("tokens"))
 
 
 def pair_counts(docs: DataFrame) -> DataFrame:

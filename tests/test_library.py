@@ -167,11 +167,24 @@ def test_schedules(spark):
 @pytest.mark.parametrize("block,stride", [(8, None), (8, 3), (5, 9), (500, None)])
 def test_token_blocks(spark, block, stride):
     texts = ["abc", "", "é long text here", None, "x", "more and more"]
-    stream = [t for x in texts for t in [1, *[6 + b for b in (x or "").encode()], 2]]
+    rows = [*enumerate(texts), (2, texts[2]), (None, "no id")]  # a repeated row follows itself, no doc_id comes first
+    stream = [t for x in ["no id", *texts[:3], *texts[2:]] for t in [1, *[6 + b for b in (x or "").encode()], 2]]
     step, want = stride or block, []
     for k in range(max(0, 1 + (len(stream) - block - 1) // step)):
         part = stream[k * step : k * step + block + 1]
-        want.append((k, len(part), part[0], part[-1], sum(t * (i + 1) for i, t in enumerate(part))))
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = sorted((r.block_id, r.n_tokens, r.first_token, r.last_token, r.checksum) for r in training.token_blocks(df, block, stride).collect())
-    assert got == want
+        want.append((k, part, part[:-1], part[1:]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    blocks = training.token_blocks(df, block, stride)
+    assert sorted((r.block_id, r.tokens, r.input_ids, r.labels) for r in blocks.collect()) == want
+    digests = sorted((r.block_id, r.n_tokens, r.first_token, r.last_token, r.checksum) for r in training.block_digests(blocks).collect())
+    assert digests == [(k, len(t), t[0], t[-1], sum(x * (i + 1) for i, x in enumerate(t))) for k, t, _, _ in want]
+
+
+def test_write_tokens(spark, tmp_path):
+    """Every row, those without or with repeated doc_id too, is in the blocks of one split."""
+    rows = [(i, f"text {i} " * 20) for i in range(40)] + [(7, "text 7 " * 20), (None, "no id " * 20)]
+    training.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "t"), 0.2, 4)
+    meta = {r.split: (r.documents, r.tokens) for r in spark.read.json(str(tmp_path / "t/meta")).collect()}
+    assert sum(n for n, _ in meta.values()) == len(rows) and sum(t for _, t in meta.values()) == sum(len(t) + 2 for _, t in rows)
+    for name, (_, tokens) in meta.items():
+        assert spark.read.parquet(str(tmp_path / "t" / name)).count() == 1 + (tokens - 5) // 4
