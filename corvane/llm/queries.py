@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
+from .alignment import alignment_report
 from .common import table
 from .decontaminate import leaks
+from .filter_audit import audit
 from .fingerprints import fingerprints_with_edits
 from .language_id import identify, profiles
 from .mixing import copies
 from .near_dedup import classes
 from .quality import fit, score_documents
+from .sharding import shard_documents
 from .substring_dedup import remove_substrings
 from .suffix_dedup import remove_repeats
 from .url_filter import judge
@@ -66,7 +70,19 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_url_filter, op4_source_mix, op5_substring_dedup, op6_quality_classifier, op7_arc_to_warc, op8_fingerprints, op9_decontaminate, op10_near_duplicates)}
+def op11_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), 16)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_report(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_url_filter, op4_source_mix, op5_substring_dedup, op6_quality_classifier, op7_arc_to_warc, op8_fingerprints, op9_decontaminate, op10_near_duplicates, op11_jump_shards, op12_token_alignment, op13_filter_audit)}
 
 _OP4 = r"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
@@ -94,4 +110,4 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
-ORACLES = {"op4_source_mix": _OP4, "op7_arc_to_warc": _OP7}
+ORACLES = {"op4_source_mix": _OP4, "op7_arc_to_warc": _OP7, **oracles.ORACLES}
