@@ -183,44 +183,41 @@ def _index(x: Column) -> Column:
 
 
 def with_links(tokens: DataFrame) -> DataFrame:
-    """tokens with shared (ends of both), pairs (indices of tokens that overlap, in order) and links (their ids), each packed into a long.
+    """tokens with shared (ends of both), last (how many tokens of A and of B end by each of them) and links (ids of tokens that overlap).
 
-    Both arrays of ends are merged into one sorted array, whose entries hold end, side and index. At place i, an entry with
-    index j of its side has i - j entries of the other side before it, so the token across is known without a search.
+    The last two are packed into longs. Both arrays of ends are merged into one sorted array, whose entries hold end, side and
+    index, B's first. At place i, an entry with index j of its side has i - j entries of the other side before it: where no
+    other token ends there, i - j is the index of the token across; where one does, the second entry counts both.
     """
-    mark = lambda side: lambda e, i: F.shiftleft(e.cast("long"), 32).bitwiseOR(F.lit(side << 31)).bitwiseOR(i.cast("long"))
-    marks = F.sort_array(F.concat(F.transform("a_ends", mark(0)), F.transform("b_ends", mark(1))))
+    side, high = 1 << 31, (1 << 32) - 1
+    mark = lambda bit: lambda e, i: F.shiftleft(e.cast("long"), 32) + (i + F.lit(bit).cast("long"))
+    marks = F.sort_array(F.concat(F.transform("b_ends", mark(0)), F.transform("a_ends", mark(side))))
 
-    def pair(x: Column, i: Column) -> Column:
-        j = _index(x)
-        across = i - j
-        # an end of B's that is A's too has been linked at A's entry, which comes first
-        new = F.get("a_ends", across - 1).cast("long") != F.shiftright(x, 32)
-        of_b = F.when((across == 0) | new, F.shiftleft(across.cast("long"), 32).bitwiseOR(j.cast("long")))
-        return F.when(x.bitwiseAND(F.lit(1 << 31)) == 0, F.shiftleft(j.cast("long"), 32).bitwiseOR(across.cast("long"))).otherwise(of_b)
+    def step(x: Column, i: Column) -> Column:
+        """The pair of indices to link, or less than 0 at a shared end."""
+        j = x.bitwiseAND(F.lit(_LOW))
+        both = F.shiftright(F.get("marks", i - 1), 32) == F.shiftright(x, 32)
+        of_a = F.when(both, -(j * F.lit(high) + (i + F.lit(1 << 32)))).otherwise(j * F.lit(high) + i)
+        return F.when(x.bitwiseAND(F.lit(side)) == 0, F.shiftleft(i.cast("long"), 32) - j * F.lit(high)).otherwise(of_a)
 
-    ids = lambda p: F.shiftleft(F.get("a_ids", F.shiftright(p, 32).cast("int")).cast("long"), 32).bitwiseOR(F.get("b_ids", _index(p)).cast("long"))
-    out = tokens.withColumn("shared", F.array_intersect("a_ends", "b_ends")).withColumn("marks", marks).withColumn("pairs", F.array_compact(F.transform("marks", pair))).drop("marks")
-    return out.withColumn("links", F.transform("pairs", ids))
+    ids = lambda p: F.shiftleft(F.get("a_ids", F.shiftright(p, 32).cast("int")).cast("long"), 32) + F.get("b_ids", _index(p))
+    out = tokens.withColumn("shared", F.array_intersect("a_ends", "b_ends")).withColumn("marks", marks).withColumn("steps", F.transform("marks", step))
+    return out.withColumn("links", F.transform(F.filter("steps", lambda s: s >= 0), ids)).withColumn("last", F.transform(F.filter("steps", lambda s: s < 0), lambda s: -s)).drop("marks", "steps")
 
 
 def with_groups(linked: DataFrame) -> DataFrame:
-    """linked with groups, a string per group of its A ids and B ids.
+    """linked with groups, a string per group of its A ids and B ids; each begins where the one before ends."""
 
-    Pairs of tokens that end together end a group; the pair before tells where it begins.
-    """
-    a, b = (lambda p: F.shiftright(p, 32).cast("int")), _index
-    last = F.filter("pairs", lambda p: F.get("a_ends", a(p)) == F.get("b_ends", b(p)))
-    begins = F.concat(F.array(F.lit(-1).cast("long")), "last")  # -1 is one before the first token on both sides, as both halves of the long say
+    def listed(ids: str, begin: Column, end: Column) -> Column:
+        name = lambda k: F.get(ids, begin + k).cast("string")
+        many = F.array_join(F.transform(F.sequence(begin, end - 1), lambda k: F.get(ids, k).cast("string")), ",")
+        n = end - begin  # short groups, which are most, without arrays
+        return F.when(n == 1, name(0)).when(n == 2, F.concat(name(0), F.lit(","), name(1))).when(n == 3, F.concat(name(0), F.lit(","), name(1), F.lit(","), name(2))).otherwise(many)
 
-    def listed(ids: str, before: Column, to: Column) -> Column:
-        many = F.array_join(F.transform(F.sequence(before + 1, to), lambda k: F.get(ids, k).cast("string")), ",")
-        return F.when(to - before == 1, F.get(ids, to).cast("string")).otherwise(many)
-
-    first = lambda x: F.when(x < 0, F.lit(-1)).otherwise(b(x))
-    group = lambda x, y: F.concat(listed("a_ids", a(x), a(y)), F.lit("|"), listed("b_ids", first(x), b(y)))
-    groups = F.zip_with(F.slice("begins", 1, F.size("last")), "last", group)
-    return linked.withColumn("last", last).withColumn("begins", begins).withColumn("groups", groups).drop("last", "begins")
+    a, b = (lambda p: F.shiftright(p, 32).cast("int")), _index
+    group = lambda x, y: F.concat(listed("a_ids", a(x), a(y)), F.lit("|"), listed("b_ids", b(x), b(y)))
+    begins = F.slice(F.concat(F.array(F.lit(0).cast("long")), "last"), 1, F.size("last"))
+    return linked.withColumn("begins", begins).withColumn("groups", F.zip_with("begins", "last", group)).drop("begins")
 
 
 def align(docs: DataFrame, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE) -> DataFrame:
