@@ -187,90 +187,6 @@ def pair_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
 
 
-def merge_pair(ids: list[int], left: int, right: int, new: int) -> list[int]:
-    out, i = [], 0
-    while i < len(ids):
-        if i + 1 < len(ids) and ids[i] == left and ids[i + 1] == right:
-            out.append(new)
-            i += 2
-        else:
-            out.append(ids[i])
-            i += 1
-    return out
-
-
-def bpe_encode(text: str, merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """merges: pair to (rank, new id). The lowest-ranked pair is merged everywhere until none is left."""
-    ids = [BYTE_OFFSET + b for b in text.encode()]
-    while len(ids) > 1:
-        best = min((merges[p] + p for p in set(zip(ids, ids[1:], strict=False)) if p in merges), default=None)
-        if best is None:
-            break
-        ids = merge_pair(ids, best[2], best[3], best[1])
-    return ids
-
-
-def bpe_decode(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> str:
-    parts = {new: pair for pair, (_, new) in merges.items()}
-    out, stack = bytearray(), list(reversed(ids))
-    while stack:
-        i = stack.pop()
-        if i in parts:
-            stack += reversed(parts[i])
-        elif i < BYTE_OFFSET:
-            out += SPECIAL[i].encode()
-        elif i < BYTE_OFFSET + 256:
-            out.append(i - BYTE_OFFSET)
-        else:
-            raise ValueError(f"unknown token {i}")
-    return out.decode("utf-8", "replace")
-
-
-def bpe_train(docs: DataFrame, merges: int = 10, least: int = 2, given: list | None = None) -> DataFrame:
-    """rank, left, right, new_id, n of the most frequent pairs, one after another.
-
-    Every round counts pairs in all tasks with partial aggregation and takes one row to the driver. Ties go to the pair
-    that is smallest by its ids.
-    """
-    spark = docs.sparkSession
-    table: dict[tuple[int, int], tuple[int, int]] = {}
-    out = []
-    for rank in range(merges):
-        known = dict(table)
-
-        def count(batches: Iterator[pa.RecordBatch], known: dict = known) -> Iterator[pa.RecordBatch]:
-            from collections import Counter
-
-            total: Counter = Counter()
-            for b in batches:
-                for text in b.column("text").to_pylist():
-                    ids = [BYTE_OFFSET + x for x in (text or "").encode()]
-                    for (left, right), (_, new) in known.items():
-                        ids = merge_pair(ids, left, right, new)
-                    total.update(zip(ids, ids[1:], strict=False))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int64()), pa.array([k[1] for k in total], pa.int64()), pa.array(list(total.values()), pa.int64())], ["left", "right", "n"])
-
-        best = docs.select("text").mapInArrow(count, "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "left", "right").first()
-        if best is None or best["n"] < least:
-            break
-        table[(best["left"], best["right"])] = (rank, BYTE_OFFSET + 256 + rank)
-        out.append((rank, best["left"], best["right"], BYTE_OFFSET + 256 + rank, best["n"]))
-    return spark.createDataFrame(out, "rank long, left long, right long, new_id long, n long")
-
-
-def bpe_round_trip(docs: DataFrame, merges: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, same: each text encoded with the merges (a vocabulary's worth, taken to the driver) and decoded."""
-    table = {(r["left"], r["right"]): (r["rank"], r["new_id"]) for r in merges.collect()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [bpe_encode(t or "", table) for t in b.column("text").to_pylist()]
-            same = [bpe_decode(i, table) == (t or "") for i, t in zip(ids, b.column("text").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array(same)], ["doc_id", "n_tokens", "same"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, same boolean")
-
-
 def learning_rates(steps: DataFrame, base: float, least: float, warmup: int, total: int) -> DataFrame:
     """step, rate: a linear rise over the warm-up steps, then half a cosine down to the least rate."""
     part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("step") - warmup) / F.lit(float(max(1, total - warmup)))))

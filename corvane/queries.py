@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import analytics, answers, catalog, chunking, numeric, search, training
+from .operators import analytics, answers, bpe, catalog, chunking, numeric, search, training
 from .oracles import ORACLES
 from .session import table
 from .streaming.ingest import event_counts
@@ -450,15 +450,19 @@ def bpe_pair_counts(spark, sf_dir):
     return training.pair_counts(docs(spark, sf_dir))
 
 
+#: 138 merges.
+VOCABULARY = 400
+
+
 @query
 def bpe_train(spark, sf_dir):
-    return training.bpe_train(docs(spark, sf_dir), 4)
+    return bpe.train(docs(spark, sf_dir), VOCABULARY)
 
 
 @query
 def bpe_encode_decode(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return training.bpe_round_trip(d, training.bpe_train(d, 4))
+    return bpe.round_trip(d, bpe.train(d, VOCABULARY))
 
 
 # numbers

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import analytics, answers, catalog, chunking, numeric, search, training
+from corvane.operators import analytics, answers, bpe, catalog, chunking, numeric, search, training
 from corvane.plans.library import Library
 
 STORY = (
@@ -92,8 +92,8 @@ def test_chat_mask(spark):
 
 def test_bpe(spark):
     df = spark.createDataFrame([(1, "low lower lowest"), (2, "नमस्ते low")], "doc_id long, text string")
-    merges = training.bpe_train(df, 6)
-    assert merges.count() >= 3 and all(r.same for r in training.bpe_round_trip(df, merges).collect())
+    merges = bpe.train(df, 268)
+    assert merges.count() >= 3 and all(r.same for r in bpe.round_trip(df, merges).collect())
     assert merges.orderBy("rank").first()["n"] >= 4
 
 
