@@ -1,11 +1,13 @@
-"""Text functions over columns; everything stays in the JVM."""
+"""Text functions over columns; everything stays in the JVM but rare character references."""
 
 from __future__ import annotations
 
-from html.entities import entitydefs
+from html import unescape
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKEN = r"[A-Za-z0-9]+(?:['’-][A-Za-z0-9]+)*"
 
@@ -34,8 +36,8 @@ CODE_SUFFIXES = ".py .js .jsx .ts .tsx .java .c .cc .cpp .h .hpp .cs .go .rs .ph
 # Tags that break lines, tags whose content is dropped.
 BLOCK_TAGS = "p div section article header footer aside h1 h2 h3 h4 h5 h6 li blockquote br hr tr table pre".split()
 SKIP_TAGS = "script style svg math noscript".split()
-# References that go without their semicolon.
-PREFIXES = "copy middot quot lt gt nbsp amp".split()
+# The most common character references.
+COMMON_REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "nbsp": "\u00a0", "copy": "©", "middot": "·", "amp": "&"}
 
 
 def replaced(c: Column, *pairs: tuple[str, str]) -> Column:
@@ -146,28 +148,23 @@ def excerpt(c: Column, limit: int) -> Column:
     return F.when(F.length(c) > limit, F.concat(cut, F.lit("..."))).otherwise(cut)
 
 
+@F.pandas_udf(T.StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(unescape, na_action="ignore")
+
+
 def character_references(c: Column) -> Column:
-    """Decimal, hexadecimal and named character references decoded, the named ones of HTML 4 with their semicolon; the
-    seven that PREFIXES has go without it too, even before letters, as browsers have it. Others stay."""
-    names = F.create_map(*[F.lit(x) for pair in entitydefs.items() for x in pair])
-
-    def decoded(part: Column) -> Column:  # what follows an &
-        name = F.regexp_extract(part, r"^(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);?", 1)
-        digits = F.regexp_extract(name, r"^#[xX]?(.*)$", 1)
-        code = F.when(name.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(F.when(name.startswith("#"), digits)).cast("long")
-        wrong = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
-        char = F.when(wrong, F.lit("\ufffd")).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-        # a named one needs its semicolon
-        named = F.when(F.startswith(part, F.concat(name, F.lit(";"))), F.try_element_at(names, name))
-        prefix = F.regexp_extract(part, f"^({'|'.join(PREFIXES)})", 1)
-        rest = lambda n: F.substring(part, n + 1, F.length(part))
-        size = F.length(name) + F.startswith(part, F.concat(name, F.lit(";"))).cast("int")
-        short = F.when(prefix != "", F.concat(F.try_element_at(names, prefix), rest(F.length(prefix))))
-        return F.coalesce(F.when(code.isNotNull(), F.concat(char, rest(size))), F.when(named.isNotNull(), F.concat(named, rest(size))), short, F.concat(F.lit("&"), part))
-
-    parts = F.split(c, "&")
-    text = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decoded), ""))
-    return F.when(c.contains("&"), text).otherwise(c)
+    """Character references decoded as HTML 5 has them: all names, those that need no semicolon also before letters, Windows
+    characters for 128 to 159, U+FFFD for what is no character.
+
+    Rows that have only the most common names, with their semicolon, are decoded in place; only the others go through Arrow.
+    """
+    names = "|".join(COMMON_REFERENCES)
+    rare = c.rlike(f"&(?!({names});)[#A-Za-z]")
+    out = c
+    for name, char in COMMON_REFERENCES.items():  # amp is the last, as what it makes isn't decoded again
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return F.when(rare, _unescaped(F.when(rare, c))).otherwise(out)
 
 
 def html_to_text(c: Column) -> Column:

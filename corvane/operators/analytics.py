@@ -31,10 +31,10 @@ def summary_scores(docs: DataFrame) -> DataFrame:
                 most = max(n.values())
                 share = [sum(n[t] for t in ts) / most for ts in terms]
                 columns = [[doc] * len(s), [x["pos"] for x in s], [x["sentence"] for x in s], terms, [len(x["all"]) for x in s], share]
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.float64()]
+                kinds = [b.schema.field("doc_id").type, pa.int64(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "pos", "sentence", "terms", "n", "share"])
 
-    counted = d.select(F.col("doc_id").cast("long").alias("doc_id"), "s").mapInArrow(count, "doc_id long, pos long, sentence string, terms array<string>, n long, share double")
+    counted = d.mapInArrow(count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pos long, sentence string, terms array<string>, n long, share double")
     names = F.least(F.lit(0.6), 0.12 * F.regexp_count("sentence", F.lit(r"(?U)\b[A-Z][a-z]+\b")))
     score = F.col("share") / F.sqrt(F.greatest(F.lit(1), F.col("n"))) + 0.35 / (1 + F.col("pos")) + 0.15 + names
     return counted.select("doc_id", "pos", "sentence", "terms", score.alias("score"))

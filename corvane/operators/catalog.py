@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..scratch import written
 
 
 def keep_first(df: DataFrame, key: Column, order: Column) -> DataFrame:
@@ -29,14 +30,16 @@ def import_report(docs: DataFrame, present: DataFrame | None = None) -> DataFram
     """status (added or duplicate) and the document that a duplicate repeats, as if imported in order of doc_id.
 
     present: (content_sha256) of what the catalog holds already.
+    A row without text is one of the documents without content; of repeated rows of a doc_id one is first.
     """
     hashed = docs.select("doc_id", X.file_hash(F.col("text")).alias("sha256"), X.content_hash(F.col("text")).alias("content_sha256"))
-    first = hashed.groupBy("content_sha256").agg(F.min("doc_id").alias("original_id"))
-    out = hashed.join(first, "content_sha256")
-    new = F.col("doc_id") == F.col("original_id")
+    rows = written(hashed.withColumn("row", F.monotonically_increasing_id()))  # hashes only; the numbers of rows stay what they are
+    first = rows.groupBy(F.col("content_sha256").alias("content")).agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    out = rows.join(first, F.col("content_sha256").eqNullSafe(F.col("content"))).withColumn("original_id", F.col("first.doc_id"))
+    new = F.col("row") == F.col("first.row")
     if present is not None:
-        known = present.select("content_sha256").distinct().withColumn("held", F.lit(True))
-        out, new = out.join(known, "content_sha256", "left"), new & F.col("held").isNull()
+        known = present.select(F.col("content_sha256").alias("held")).distinct()
+        out, new = out.join(known, F.col("content_sha256") == F.col("held"), "left"), new & F.col("held").isNull()
     return out.select("doc_id", "sha256", "content_sha256", "original_id", F.when(new, "added").otherwise("duplicate").alias("status"))
 
 

@@ -269,6 +269,11 @@ SELECT b.doc_id, b.pos, round(x.f / most / sqrt(greatest(1, len(t))) + 35e-2 / (
     "ngram_counts": f"WITH {NGRAMS} SELECT context, next, n FROM g",
     "ngram_next_greedy": f"WITH {NGRAMS} SELECT context, first(next ORDER BY n DESC, place) AS next, sum(n)::BIGINT AS total FROM g GROUP BY context",
     "ngram_backoff": f"WITH {NGRAMS} SELECT next, sum(n)::BIGINT AS n FROM g WHERE context = 'the' OR suffix(context, ' the') GROUP BY next",
+    "nucleus": f"""WITH d AS (SELECT list_concat(list_concat(['<BOS>'], {ltok('text')}), ['<EOS>']) AS t FROM documents),
+i AS (SELECT t, unnest(range(1, len(t))) AS i FROM d), g AS (SELECT t[i] AS context, t[i + 1] AS token, ln(count(*)) AS logit FROM i GROUP BY ALL),
+k AS (SELECT *, exp((logit - max(logit) OVER (PARTITION BY context)) / 8e-1) AS w FROM g QUALIFY rank() OVER (PARTITION BY context ORDER BY logit DESC) <= 50),
+c AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY context ORDER BY logit DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(w) OVER (PARTITION BY context) AS whole FROM k)
+SELECT context, token, round(w / sum(w) OVER (PARTITION BY context), 6) AS p FROM c WHERE before <= 95e-2 * whole""",
     "vocab_topk": f"SELECT term, count(*) AS n FROM (SELECT unnest({ltok('text')}) AS term FROM documents) GROUP BY term HAVING count(*) >= 2 ORDER BY n DESC, term LIMIT 500",
     "recent_turns": "SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3",
     "expand_query": rf"""WITH l AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS r2, lead(text) OVER w AS t2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import analytics, answers, bpe, catalog, chunking, numeric, search, training
+from .operators import analytics, answers, bpe, catalog, chunking, numeric, sampling, search, training
 from .oracles import ORACLES
 from .session import table
 from .streaming.ingest import event_counts
@@ -389,6 +389,23 @@ def ngram_generate(spark, sf_dir):
     return analytics.generate(analytics.ngrams(docs(spark, sf_dir)), prompts)
 
 
+@query
+def ngram_sample(spark, sf_dir):
+    prompts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("prompt"))
+    return sampling.generate(analytics.ngrams(docs(spark, sf_dir)), prompts, 16, 0.8)
+
+
+def _next_tokens(spark, sf_dir):
+    """The logarithm of each continuation's count, as logits of its context."""
+    n = analytics.ngrams(docs(spark, sf_dir), 2)
+    return n.select("context", F.col("next").alias("token"), F.log("n").alias("logit"))
+
+
+@query
+def nucleus(spark, sf_dir):
+    return sampling.probabilities(_next_tokens(spark, sf_dir), 0.8, 50, 0.95).select("context", "token", F.round("p", 6).alias("p"))
+
+
 @query
 def vocab_topk(spark, sf_dir):
     return analytics.vocabulary(docs(spark, sf_dir), 500, 2)

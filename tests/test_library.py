@@ -188,3 +188,19 @@ def test_write_tokens(spark, tmp_path):
     assert sum(n for n, _ in meta.values()) == len(rows) and sum(t for _, t in meta.values()) == sum(len(t) + 2 for _, t in rows)
     for name, (_, tokens) in meta.items():
         assert spark.read.parquet(str(tmp_path / "t" / name)).count() == 1 + (tokens - 5) // 4
+
+
+def test_import_report_keeps_rows(spark):
+    rows = [(1, "a"), (1, "a"), (2, "A "), (3, None), (4, None), (5, "b"), (None, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = catalog.import_report(df).collect()
+    assert len(got) == 7 and sorted(r.status for r in got) == ["added"] * 4 + ["duplicate"] * 3
+    assert {r.doc_id: r.status for r in got if r.doc_id in (2, 3, 4, 5)} == {2: "duplicate", 3: "added", 4: "duplicate", 5: "added"}
+    held = catalog.import_report(df.where("doc_id = 5")).select("content_sha256")
+    assert {r.doc_id: r.status for r in catalog.import_report(df, held).collect()}[5] == "duplicate"
+
+
+def test_summary_of_string_ids(spark):
+    text = "The silver harbor closed early after the winter storm. Captain Mira guided every vessel home before nightfall."
+    got = analytics.summary_scores(spark.createDataFrame([("x-1", text)], "doc_id string, text string")).collect()
+    assert len(got) == 2 and {r.doc_id for r in got} == {"x-1"}

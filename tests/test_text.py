@@ -61,3 +61,12 @@ def test_html(spark):
 
 def test_excerpt(spark):
     assert value(spark, X.excerpt(F.lit("abc def"), 4)) == "abc..." and value(spark, X.excerpt(F.lit("abc"), 4)) == "abc"
+
+
+def test_character_references(spark):
+    """As the standard library has them, common or rare."""
+    from html import unescape
+
+    cases = ["&apos; &check; &#150; &#x80; &eacute &eacute; x", "&amp;lt; &lt;b&gt; &quot;q&quot;", "a & b && c &", "&copy2024 &copy 2024 &copy; &middot;", "&#0; &#xD800; &#x110000; &#1; &#65 &#x41;z", "&notit; &notin; &nosuch; &", "&NotEqualTilde; &acE;", None, "", "&nbsp;x&amp;amp;"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string").select("i", X.character_references(F.col("c")).alias("c"))
+    assert [r.c for r in df.orderBy("i").collect()] == [c if c is None else unescape(c) for c in cases]
