@@ -233,6 +233,11 @@ p AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS le
 q AS (SELECT DISTINCT item_id, unnest({tok('text')}) AS term FROM benchmark),
 s AS (SELECT item_id, doc_id, round(sum(ln(1e0 + (n - df + 5e-1) / (df + 5e-1)) * (tf * 25e-1 / (tf + 15e-1 * (25e-2 + 75e-2 * len / av)))), 6) AS score FROM q JOIN p USING (term) JOIN df USING (term), st GROUP BY ALL)
 SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 5""",
+    "index_search": f"""WITH h AS (SELECT doc_id, {tok('text')} AS t FROM documents), st AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS av FROM h),
+p AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM h) WHERE term IN ('eren', 'tionble', 'thble', 'erand') GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM p GROUP BY term)
+SELECT doc_id, round(sum(ln(1e0 + (n - df + 5e-1) / (df + 5e-1)) * (tf * 25e-1 / (tf + 15e-1 * (25e-2 + 75e-2 * len / av)))), 6) AS score
+FROM p JOIN df USING (term), st GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10""",
     "fts_search": f"WITH {fts(['eren', 'doc', 'reenter', 'thble', 'eren'], 12)} SELECT doc_id, score FROM x",
     "substring_fallback": f"WITH l AS ({LIBRARY}), s AS (SELECT doc_id, {fold(chr(39).join(['title || ', ' ', ' || text']))} AS h FROM l) SELECT doc_id, ((length(h) - length(replace(h, 'tionb', ''))) // 5 + (length(h) - length(replace(h, 'ouer', ''))) // 4)::DOUBLE AS score FROM s QUALIFY score > 0 AND row_number() OVER (ORDER BY score DESC, doc_id) <= 12",
     "semantic_search": f"WITH {SEM.format(n=80)} SELECT * FROM s ORDER BY score DESC, vec_id LIMIT 10",

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .operators import analytics, answers, bpe, catalog, chunking, numeric, sampling, search, training
+from .operators.term_index import TermIndex
 from .oracles import ORACLES
+from .scratch import scratch
 from .session import table
 from .streaming.ingest import event_counts
 
@@ -250,6 +252,11 @@ def bm25_search(spark, sf_dir):
     return search.bm25(titled(spark, sf_dir), WORDS, limit=10).select("doc_id", r6("score"), "matched")
 
 
+@query
+def index_search(spark, sf_dir):
+    return TermIndex(spark, scratch(spark, "terms")).add(docs(spark, sf_dir)).search(WORDS)
+
+
 @query
 def bm25_filtered(spark, sf_dir):
     return search.bm25(titled(spark, sf_dir), ["the", "of", "doc", "thble"], limit=20, where=F.col("domain") == "fr").select("doc_id", r6("score"), "matched")
