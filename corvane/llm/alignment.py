@@ -22,7 +22,7 @@ SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+
 #: Unbroken runs beyond this go to the tokenizer whose time doesn't grow with their square.
 LONG_RUN = 2000
 #: Words' tokens that a worker remembers at a time.
-MEMO = 4_000_000
+MEMO = 1_000_000
 #: Id pairs that hold over 1 / COMMON of all links' documents are sent to the tasks, which bounds how many they are.
 COMMON = 100_000
 SCHEMA = "rid long, doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
@@ -168,7 +168,7 @@ def tokenised(docs: DataFrame, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _loaded(*held.value)
         for batch in batches:
-            for part in slices(batch, "text", 1_000_000):
+            for part in slices(batch, "text", 500_000):
                 (a_ids, a_ends), (b_ids, b_ends) = tokens(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), a_ids, a_ends, b_ids, b_ends], ["rid", "doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
 
