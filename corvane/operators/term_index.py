@@ -33,14 +33,15 @@ class TermIndex:
         name = uuid.uuid4().hex
         held = docs.where("doc_id is not null").select("doc_id", X.tokens(F.coalesce("text", F.lit(""))).alias("t"))
         sums = held.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size("t")), F.lit(0)).cast("long").alias("tokens")).first()
-        block = F.concat(F.lit(f"{name[:12]}-"), F.pmod(F.xxhash64("doc_id"), F.lit(max(1, sums["docs"] // BLOCK))))
-        each = held.select("doc_id", F.size("t").alias("len"), block.alias("block"), F.explode("t").alias("term"))
-        tf = each.groupBy("term", "block", "doc_id", "len").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        rows = tf.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "len"))).alias("p"))
-        rows = rows.select(self._bucket(F.col("term")).alias("bucket"), "term", "block", F.col("p.doc_id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.len").alias("lens"),
+        block = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, sums["docs"] // BLOCK))).alias("block")
+        each = held.select("doc_id", F.size("t").alias("len"), block, F.explode("t").alias("term")).withColumn("bucket", self._bucket(F.col("term")))
+        each = each.withColumn("slice", F.pmod(F.xxhash64("term", "block"), F.lit(4 + sums["tokens"] // SLICE)))  # so many tasks a bucket
+        # one exchange: what follows groups by these two and more
+        tf = each.repartition("bucket", "slice").groupBy("bucket", "slice", "term", "block", "doc_id", "len").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        rows = tf.groupBy("bucket", "slice", "term", "block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "len"))).alias("p"))
+        rows = rows.select("bucket", "term", F.concat(F.lit(f"{name[:12]}-"), "block").alias("block"), F.col("p.doc_id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.len").alias("lens"),
                            F.size("p").cast("long").alias("n"), F.array_max("p.tf").alias("max_tf"), F.array_min("p.len").alias("min_len"))
-        slices = F.pmod(F.xxhash64("term", "block"), F.lit(1 + sums["tokens"] // SLICE))  # so many tasks a bucket
-        rows.repartition("bucket", slices).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{self.folder}/parts/{name}")
+        rows.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{self.folder}/parts/{name}")
         if commit:
             row = self.spark.createDataFrame([(name, sums["docs"], sums["tokens"])], "part string, docs long, tokens long")
             row.coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
