@@ -9,16 +9,25 @@ from ..functions import text as X
 from ..scratch import written
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def keep_first(df: DataFrame, key: Column, order: Column) -> DataFrame:
     """The first row of each key by order, one with null before all others; among equals the one of the least hash.
 
     Only keys, orders and hashes are aggregated; rows are joined once.
     """
+    key_name, mark_name, of, first_name = (unused(x, df) for x in ("key", "mark", "of", "first"))
     mark = F.struct(order.alias("o"), F.xxhash64(*df.columns).alias("h"))
-    keyed = df.withColumns({"__key": key, "__mark": mark})
-    first = keyed.groupBy(F.col("__key").alias("__k")).agg(F.min("__mark").alias("__first"))
-    out = keyed.join(first, F.col("__key").eqNullSafe(F.col("__k")) & F.col("__mark").eqNullSafe(F.col("__first")))
-    return out.dropDuplicates(["__key"]).drop("__key", "__mark", "__k", "__first")  # only whole repeated rows are left to drop
+    keyed = df.withColumns({key_name: key, mark_name: mark})
+    first = keyed.groupBy(F.col(key_name).alias(of)).agg(F.min(mark_name).alias(first_name))
+    out = keyed.join(first, F.col(key_name).eqNullSafe(F.col(of)) & F.col(mark_name).eqNullSafe(F.col(first_name)))
+    return out.dropDuplicates([key_name]).drop(key_name, mark_name, of, first_name)  # only whole repeated rows are left to drop
 
 
 def dedup_keep_first(docs: DataFrame) -> DataFrame:

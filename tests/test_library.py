@@ -204,3 +204,9 @@ def test_summary_of_string_ids(spark):
     text = "The silver harbor closed early after the winter storm. Captain Mira guided every vessel home before nightfall."
     got = analytics.summary_scores(spark.createDataFrame([("x-1", text)], "doc_id string, text string")).collect()
     assert len(got) == 2 and {r.doc_id for r in got} == {"x-1"}
+
+
+def test_first_rows_keep_all_columns(spark):
+    df = spark.createDataFrame([(2, "a", 1, 1, "x", 5), (1, "A", 2, 2, "y", 6)], "doc_id long, text string, __key int, KEY int, mark string, _key int")
+    got = catalog.dedup_keep_first(df)
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(1, "A", 2, 2, "y", 6)]
