@@ -64,6 +64,26 @@ def chunk_documents(docs: DataFrame, most: int = 180, overlap: int = 35, least:
     return out.withColumn("location", place)
 
 
+def chunk_array(text: Column, most: int = 220, overlap: int = 40, least: int = 1) -> Column:
+    """The chunks of a text as chunk_documents gives them (part, word_offset, text, word_count), within the row: their places are their indexes."""
+
+    def of_group(group: Column, g: Column) -> Column:
+        # bound once in an array of one, as the words are needed for each window
+        def windows(w: Column) -> Column:
+            def piece(s: Column) -> Column:
+                held = F.slice(w, s + 1, F.lit(most))
+                return F.struct((g + 1).cast("long").alias("part"), s.cast("long").alias("word_offset"), F.array_join(held, " ").alias("text"), F.size(held).cast("long").alias("word_count"))
+
+            return F.transform(F.filter(window_starts(F.size(w), most, overlap), lambda s: F.size(w) > 0), piece)
+
+        return F.flatten(F.transform(F.array(words(group)), windows))
+
+    if most <= 0 or least <= 0 or not 0 <= overlap < most:
+        raise ValueError("most and least must be positive, overlap from 0 to below most")
+    every = F.flatten(F.transform(pack_paragraphs(text, most), of_group))
+    return F.filter(every, lambda c: (c["word_count"] >= least) | ((c["part"] == 1) & (c["word_offset"] == 0)))
+
+
 def numbered(chunks: DataFrame, *order: str) -> DataFrame:
     """chunks with a dense chunk_id from 0 in the given order.
 
