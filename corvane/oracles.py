@@ -108,6 +108,17 @@ def windows(m: int = 180, o: int = 35, source: str = "documents") -> str:
     return WINDOWS.format(w=WORDS_CTE, m=m, s=m - o, source=source)
 
 
+def paragraph_chunks(most: int, overlap: int, least: int) -> str:
+    return rf"""t AS (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(text, chr(10), chr(10)||chr(10)), '\n\s*\n'), lambda p: trim(p, ' ' || chr(9) || chr(10))), lambda p: p <> '') AS ps FROM documents),
+st AS (SELECT doc_id, list_transform(ps, lambda p: {{'o': []::VARCHAR[], 'b': p, 'n': len(list_filter(string_split_regex(p, '\s+'), lambda w: w <> ''))}}) AS s FROM t WHERE len(ps) > 0),
+rd AS (SELECT doc_id, list_reduce(s, lambda a, x: CASE WHEN a.n + x.n > {most} THEN {{'o': list_append(a.o, a.b), 'b': x.b, 'n': x.n}} ELSE {{'o': a.o, 'b': a.b || chr(10) || chr(10) || x.b, 'n': a.n + x.n}} END) AS r FROM st),
+gr AS (SELECT doc_id, unnest(range(1, len(g) + 1)) AS part, unnest(g) AS text FROM (SELECT doc_id, list_append(r.o, r.b) AS g FROM rd)),
+d AS (SELECT doc_id, part, {WORDS_CTE} AS w FROM gr),
+e AS (SELECT doc_id, part, w, unnest(range(0, (CASE WHEN len(w) <= {most} THEN 0 ELSE ceil((len(w) - {most}) / {float(most - overlap)})::BIGINT * {most - overlap} END) + 1, {most - overlap})) AS s FROM d WHERE len(w) > 0),
+c AS (SELECT doc_id, part, s AS word_offset, w[s + 1 : s + {most}] AS p FROM e),
+cd AS (SELECT * FROM c WHERE len(p) >= {least} OR (part = 1 AND word_offset = 0))"""
+
+
 def bm25(terms: list[str], limit: int, where: str = "true") -> str:
     """CTEs up to r: doc_id, text, title, domain, score, matched."""
     terms = list(dict.fromkeys(terms))
@@ -214,14 +225,12 @@ ORACLES = {
     "feedback_export": """WITH r AS (SELECT doc_id AS id, split_part(text, '. ', 1) AS prompt, substr(text, length(split_part(text, '. ', 1)) + 3) AS response, CASE WHEN doc_id % 3 = 0 THEN trim('Corrected: ' || text) END AS c, quality - toxic AS rating, toxic = 1 AS approved FROM documents JOIN labels USING (doc_id))
 SELECT id, prompt, coalesce(c, response) AS answer FROM r WHERE approved OR c IS NOT NULL OR rating = 1""",
     "chunk_windows": f"WITH {windows()} SELECT * FROM c",
-    "chunk_documents": rf"""WITH t AS (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(text, chr(10), chr(10)||chr(10)), '\n\s*\n'), lambda p: trim(p, ' ' || chr(9) || chr(10))), lambda p: p <> '') AS ps FROM documents),
-st AS (SELECT doc_id, list_transform(ps, lambda p: {{'o': []::VARCHAR[], 'b': p, 'n': len(list_filter(string_split_regex(p, '\s+'), lambda w: w <> ''))}}) AS s FROM t WHERE len(ps) > 0),
-rd AS (SELECT doc_id, list_reduce(s, lambda a, x: CASE WHEN a.n + x.n > 180 THEN {{'o': list_append(a.o, a.b), 'b': x.b, 'n': x.n}} ELSE {{'o': a.o, 'b': a.b || chr(10) || chr(10) || x.b, 'n': a.n + x.n}} END) AS r FROM st),
-gr AS (SELECT doc_id, unnest(range(1, len(g) + 1)) AS part, unnest(g) AS text FROM (SELECT doc_id, list_append(r.o, r.b) AS g FROM rd)),
-d AS (SELECT doc_id, part, {WORDS_CTE} AS w FROM gr),
-e AS (SELECT doc_id, part, w, unnest(range(0, (CASE WHEN len(w) <= 180 THEN 0 ELSE ceil((len(w) - 180) / 145.0)::BIGINT * 145 END) + 1, 145)) AS s FROM d WHERE len(w) > 0),
-c AS (SELECT doc_id, part, s AS word_offset, w[s + 1 : s + 180] AS p FROM e)
-SELECT doc_id, part, word_offset, 'document, part ' || part || ', word ' || (word_offset + 1) AS location, array_to_string(p, ' ') AS text, len(p) AS word_count FROM c WHERE len(p) >= 8 OR (part = 1 AND word_offset = 0)""",
+    "chunk_documents": f"WITH {paragraph_chunks(180, 35, 8)} SELECT doc_id, part, word_offset, 'document, part ' || part || ', word ' || (word_offset + 1) AS location, array_to_string(p, ' ') AS text, len(p) AS word_count FROM cd",
+    "library_commits": f"""WITH {paragraph_chunks(220, 40, 1)},
+n AS (SELECT doc_id, count(*) AS n_chunks FROM cd GROUP BY doc_id),
+k AS (SELECT *, CASE WHEN lang = 'en' THEN 1 ELSE 2 END AS batch FROM documents JOIN n USING (doc_id) QUALIFY row_number() OVER (PARTITION BY {chash('text')} ORDER BY CASE WHEN lang = 'en' THEN 1 ELSE 2 END, doc_id) = 1),
+i AS (SELECT 'doc ' || doc_id AS title, source, lang, n_chunks, row_number() OVER (ORDER BY batch, doc_id) AS id, sum(n_chunks) OVER (ORDER BY batch, doc_id) - n_chunks AS first_chunk FROM k)
+SELECT id AS doc_id, title, CASE WHEN lang = 'de' THEN 'german' ELSE coalesce(lang, 'none') END AS domain, first_chunk::BIGINT AS first_chunk, n_chunks FROM i WHERE source IS DISTINCT FROM 'src0'""",
     "chunk_numbers": f"WITH {windows()} SELECT doc_id, word_offset, row_number() OVER (ORDER BY doc_id, word_offset) - 1 AS chunk_id FROM c",
     "term_freq": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tok('text')}) AS term FROM documents) GROUP BY ALL",
     "doc_freq": f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({tok('text')}) AS term FROM documents) GROUP BY term",

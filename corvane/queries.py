@@ -9,6 +9,7 @@ from .functions import text as X
 from .operators import analytics, answers, bpe, catalog, chunking, numeric, sampling, search, training
 from .operators.term_index import TermIndex
 from .oracles import ORACLES
+from .plans.commits import StoredLibrary
 from .scratch import scratch
 from .session import table
 from .streaming.ingest import event_counts
@@ -223,6 +224,19 @@ def chunk_documents(spark, sf_dir):
     return chunking.chunk_documents(d).select("doc_id", "part", "word_offset", "location", "text", "word_count")
 
 
+@query
+def library_commits(spark, sf_dir):
+    """English documents imported, then all, one source deleted, a domain renamed: what the library holds, with its chunks' ids."""
+    d = docs(spark, sf_dir)
+    d = d.select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"), "source", "lang", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), F.coalesce("lang", F.lit("none")).alias("domain"))
+    library = StoredLibrary(spark, scratch(spark, "library"), indexed=False)
+    library.add(d.where("lang = 'en'"))
+    library.add(d)
+    library.delete(library.snapshot().documents.where("source = 'src0'"))
+    library.update(library.snapshot().documents.where("domain = 'de'").select("doc_id", F.lit("german").alias("domain")))
+    return library.snapshot().documents.select("doc_id", "title", "domain", "first_chunk", "n_chunks")
+
+
 @query
 def chunk_numbers(spark, sf_dir):
     c = chunking.chunk_windows(docs(spark, sf_dir)).select("doc_id", "word_offset")
