@@ -249,6 +249,7 @@ SELECT doc_id, round(sum(ln(1e0 + (n - df + 5e-1) / (df + 5e-1)) * (tf * 25e-1 /
 FROM p JOIN df USING (term), st GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10""",
     "fts_search": f"WITH {fts(['eren', 'doc', 'reenter', 'thble', 'eren'], 12)} SELECT doc_id, score FROM x",
     "substring_fallback": f"WITH l AS ({LIBRARY}), s AS (SELECT doc_id, {fold(chr(39).join(['title || ', ' ', ' || text']))} AS h FROM l) SELECT doc_id, ((length(h) - length(replace(h, 'tionb', ''))) // 5 + (length(h) - length(replace(h, 'ouer', ''))) // 4)::DOUBLE AS score FROM s QUALIFY score > 0 AND row_number() OVER (ORDER BY score DESC, doc_id) <= 12",
+    "vector_index_search": f"WITH {SEM.format(n=80)} SELECT * FROM s ORDER BY score DESC, vec_id LIMIT 10",
     "semantic_search": f"WITH {SEM.format(n=80)} SELECT * FROM s ORDER BY score DESC, vec_id LIMIT 10",
     "semantic_filtered": f"WITH {SEM.format(n=80)} SELECT * FROM s WHERE label % 2 = 0 ORDER BY score DESC, vec_id LIMIT 10",
     "hybrid_search": f"""WITH {fts(W, 18)}, {SEM.format(n=18)}, a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS lexical_rank FROM x), b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) AS semantic_rank FROM s)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .operators import analytics, answers, bpe, catalog, chunking, numeric, sampling, search, training
 from .operators.term_index import TermIndex
+from .operators.vector_index import VectorIndex
 from .oracles import ORACLES
 from .plans.commits import StoredLibrary
 from .scratch import scratch
@@ -301,6 +302,16 @@ def semantic_search(spark, sf_dir):
     return search.semantic(*_vectors(spark, sf_dir), 10)
 
 
+@query
+def vector_index_search(spark, sf_dir):
+    """The index of all embeddings, built in two parts, then searched for the first one."""
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id = 0").select(F.col("embedding").cast("array<double>").alias("q")).first()[0]
+    index = VectorIndex(spark, scratch(spark, "vectors"))
+    index.add(e.where("label < 5")).add(e.where("label >= 5 or label is null"))
+    return index.search(asked, 10).select("vec_id", "label", "score")
+
+
 @query
 def semantic_filtered(spark, sf_dir):
     return search.semantic(*_vectors(spark, sf_dir), 10, F.col("label") % 2 == 0)
