@@ -15,7 +15,7 @@ from ..functions import text as X
 from ..operators import chunking
 from ..operators.numbering import with_row_numbers
 from ..operators.term_index import TermIndex
-from ..scratch import written
+from ..scratch import discard, scratch, written
 
 COMMIT = "version long, part string, base boolean, documents long, removed long, changed long, last_doc long, last_chunk long, terms array<struct<part:string,docs:long,tokens:long>>, most int, overlap int, indexed boolean"
 DOCUMENT = "doc_id long, first_chunk long, n_chunks long, name string, source string, title string, domain string, kind string, size_bytes long, sha256 string, content_sha256 string, text string"
@@ -141,7 +141,10 @@ class StoredLibrary:
         row that isn't a duplicate of its bytes leave in the same commit, unless the batch has their bytes too.
         """
         snap, part = self.snapshot(), uuid.uuid4().hex
-        rows = written(self._rows(docs))
+        rows, kept = self._rows(docs), scratch(self.spark, "import")
+        schema = rows.schema
+        rows.write.parquet(kept)  # numbers of rows stay what they are
+        rows = self.spark.read.schema(schema).parquet(kept)
         asked = rows.select("row", "key", "sha256", "content_sha256", X.casefold(F.col("name")).alias("folded"), (F.col("n_chunks") == 0).alias("empty"))
         held = snap.documents.select("doc_id", "sha256", "content_sha256", X.casefold(F.col("name")).alias("folded"))
         asked = asked.join(held.groupBy("sha256").agg(F.min("doc_id").alias("same_bytes")), "sha256", "left")
@@ -167,6 +170,7 @@ class StoredLibrary:
         if n:
             columns = [c.split()[0] for c in DOCUMENT.split(", ")]
             rows.drop("content_sha256", "n_chunks").join(new, "row").select(columns).write.parquet(f"{at}/documents")
+        discard(self.spark, kept)  # the batch's texts are in the part now
         removed = gone.count() if replace_same_name else 0
         if removed:
             gone.write.parquet(f"{at}/removed")
