@@ -70,3 +70,19 @@ def test_character_references(spark):
     cases = ["&apos; &check; &#150; &#x80; &eacute &eacute; x", "&amp;lt; &lt;b&gt; &quot;q&quot;", "a & b && c &", "&copy2024 &copy 2024 &copy; &middot;", "&#0; &#xD800; &#x110000; &#1; &#65 &#x41;z", "&notit; &notin; &nosuch; &", "&NotEqualTilde; &acE;", None, "", "&nbsp;x&amp;amp;"]
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string").select("i", X.character_references(F.col("c")).alias("c"))
     assert [r.c for r in df.orderBy("i").collect()] == [c if c is None else unescape(c) for c in cases]
+
+
+def test_sentences_keep_their_digits(spark):
+    text = "A b. 148.9 c 2. 2 and 12. 33"
+    assert value(spark, X.sentences(F.lit(text))) == ["A b.", "148.9 c 2.", "2 and 12.", "33"]
+    assert value(spark, X.sentences(F.lit("A. " * 15 + "1 of 15. 6515"))) == ["A."] * 15 + ["1 of 15.", "6515"]
+
+
+def test_intent_words_end_at_letters_beyond_ascii(spark):
+    b = lambda s: value(spark, X.intent_bonus(F.lit("where to"), F.lit(s)))
+    assert b("der underöheite") == 0.0 and b("éin") == 0.0 and b("der under, heite") == 1.3
+
+
+def test_untokenize_closes_long_rows_of_marks(spark):
+    words = F.concat(F.array(F.lit("Ai")), F.array_repeat(F.lit("."), 200), F.array(F.lit("Ai")))
+    assert value(spark, X.untokenize(words)) == "Ai" + "." * 200 + " Ai"
