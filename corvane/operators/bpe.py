@@ -20,6 +20,10 @@ from .training import BYTE_OFFSET, SPECIAL
 
 #: Bytes of text in a block of the training state; rounds after which the state is written anew.
 BLOCK, CUT_EVERY = 4_000_000, 24
+#: Pairs of ids that are counted in an array of their own size; more are sorted.
+DENSE = 1 << 22
+#: Merges in a batch that are looked for one by one, which is faster than by a table of ids.
+SINGLY = 6
 FIRST_MERGE = BYTE_OFFSET + 256
 _LOW = (1 << 32) - 1
 Merges = list[tuple[int, int, int]]
@@ -48,7 +52,13 @@ def merge(tokens: np.ndarray, batch: Merges, size: int) -> np.ndarray:
     partner, new = np.full(size + 1, -2, np.int32), np.zeros(size + 1, np.int32)  # the last entry is that of -1
     for left, right, z in batch:
         partner[left], new[left] = right, z
-    at = np.flatnonzero(partner[tokens[:-1]] == tokens[1:])
+    if len(batch) <= SINGLY:
+        hit = np.zeros(len(tokens) - 1, bool)
+        for left, right, _ in batch:
+            hit |= (tokens[:-1] == left) & (tokens[1:] == right)
+    else:
+        hit = partner[tokens[:-1]] == tokens[1:]
+    at = np.flatnonzero(hit)
     at = _alternate(at, np.diff(at) == 1)
     out, keep = tokens.copy(), np.ones(len(tokens), bool)
     out[at], keep[at + 1] = new[tokens[at]], False
@@ -61,7 +71,22 @@ def touching(tokens: np.ndarray, asked: np.ndarray, copies: np.ndarray) -> tuple
     copies: how often each text occurs; the n-th stands after the n-th -1.
     """
     left, right = tokens[:-1], tokens[1:]
-    at = np.flatnonzero((asked[left] | asked[right]) & (left >= 0) & (right >= 0))
+    few = np.flatnonzero(asked[:-1])
+    if len(few) <= 3 * SINGLY:
+        told = np.zeros(len(tokens), bool)
+        for token in few:
+            told |= tokens == token
+    else:
+        told = asked[tokens]
+    at = np.flatnonzero((told[:-1] | told[1:]) & (left >= 0) & (right >= 0))
+    size = len(asked)
+    if size * size <= DENSE:  # counted in place, without a sort
+        code = left[at].astype(np.int64) * size + right[at]
+        weights = None if copies.max(initial=1) == 1 else copies[np.searchsorted(np.flatnonzero(tokens < 0), at) - 1]
+        n, place = np.bincount(code, weights, size * size), np.zeros(size * size, np.int64)
+        place[code[::-1]] = at[::-1]  # of several the last one stays, which is the first place
+        found = np.flatnonzero(n)
+        return found // size << 32 | found % size, n[found].astype(np.int64), place[found]
     code = left[at].astype(np.int64) << 32 | right[at]
     order = np.argsort(code, kind="stable")
     code, at = code[order], at[order]
@@ -76,9 +101,14 @@ def touching(tokens: np.ndarray, asked: np.ndarray, copies: np.ndarray) -> tuple
 def _places(tokens: np.ndarray, asked: np.ndarray, copies: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     """touching(), and the text and the byte in it of each first place; bytes don't change when pairs are merged."""
     pair, n, at = touching(tokens, asked, copies)
-    bounds, end = np.flatnonzero(tokens < 0), np.concatenate([[0], np.cumsum(sizes[tokens])])  # a bound's size is the last entry, 0
+    bounds = np.flatnonzero(tokens < 0)
     text = np.searchsorted(bounds, at) - 1
-    return pair, n, at, text, end[at] - end[bounds[text]]
+    if (at - bounds[text]).sum() <= len(tokens):
+        byte = np.array([sizes[tokens[lo:hi]].sum() for lo, hi in zip(bounds[text] + 1, at)], np.int64)
+    else:
+        end = np.cumsum(sizes.astype(np.int32)[tokens], dtype=np.int64)  # a bound's size is the last entry, 0
+        byte = end[at] - sizes[tokens[at]] - end[bounds[text]]
+    return pair, n, at, text, byte
 
 
 _STATE = "tokens binary, doc array<long>, sub array<long>, copies array<long>"
@@ -87,11 +117,12 @@ _STATS = "pair array<long>, n array<long>, doc_at array<long>, sub_at array<long
 
 def _round(state: DataFrame, batch: Merges, sizes: np.ndarray, asked: np.ndarray) -> DataFrame:
     """The state after a batch, and what its pairs with the asked tokens now are."""
+    kind = _kind(len(sizes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
-                tokens, copies = np.frombuffer(row["tokens"], np.int32), np.array(row["copies"], np.int64)
+            for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):  # one block at a time in memory
+                tokens, copies = np.frombuffer(row["tokens"], kind), np.array(row["copies"], np.int64)
                 tokens = merge(tokens, batch, len(sizes)) if batch else tokens
                 pair, n, _, text, byte = _places(tokens, asked, copies, sizes)
                 columns = [np.array(row["doc"], np.int64)[text], np.array(row["sub"], np.int64)[text], byte]
@@ -102,7 +133,12 @@ def _round(state: DataFrame, batch: Merges, sizes: np.ndarray, asked: np.ndarray
     return state.mapInArrow(run, f"{_STATE}, {_STATS}")
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
+def _kind(size: int) -> type:
+    """What tokens are kept as: two bytes, where all ids fit."""
+    return np.int16 if size < 1 << 15 else np.int32
+
+
+def _blocks(docs: DataFrame, kind: type) -> DataFrame:
     """The training state: texts in order of first occurrence (least doc_id, null first) in blocks, equal ones once."""
     texts = docs.where("text <> ''").groupBy("text").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).cast("long").alias("doc"), F.count(F.lit(1)).alias("copies"))
     texts = texts.withColumn("sub", F.xxhash64("text")).withColumn("text", F.encode("text", "UTF-8"))
@@ -122,7 +158,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
     def block(rows: list[dict]) -> pa.RecordBatch:
         lists = {k: [[r[k] for r in rows]] for k in ("doc", "sub", "copies")}
-        return pa.RecordBatch.from_arrays([pa.array([_joined([r["text"] for r in rows]).tobytes()], pa.binary()), *[pa.array(v, pa.list_(pa.int64())) for v in lists.values()]], ["tokens", *lists])
+        return pa.RecordBatch.from_arrays([pa.array([_joined([r["text"] for r in rows]).astype(kind).tobytes()], pa.binary()), *[pa.array(v, pa.list_(pa.int64())) for v in lists.values()]], ["tokens", *lists])
 
     parts = max(min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // 250_000), size // BLOCK, 1)
     return written(texts.repartitionByRange(parts, "doc", "sub").sortWithinPartitions("doc", "sub").mapInArrow(run, _STATE), "bpe")
@@ -205,7 +241,7 @@ def train(docs: DataFrame, vocabulary: int = 4096, least: int = 2) -> DataFrame:
     most, out, held, pairs, turn = vocabulary - FIRST_MERGE, [], None, _Pairs(), 0
     sizes = np.zeros(vocabulary + 1, np.int64)
     sizes[BYTE_OFFSET:FIRST_MERGE] = 1
-    state, batch, asked = _blocks(docs), [], np.ones(len(sizes), bool)
+    state, batch, asked = _blocks(docs, _kind(len(sizes))), [], np.ones(len(sizes), bool)
     while len(out) < most:
         now = _round(state, batch, sizes, asked).persist()
         pairs.renew([t for m in batch for t in m], _summed(now))
@@ -309,6 +345,10 @@ class Decoder:
             self.bytes[new] = self.bytes[left] + self.bytes[right]
 
     def __call__(self, ids: list[int], skip_special: bool = False) -> str:
+        try:
+            return b"".join([self.bytes[i] for i in ids]).decode("utf-8", "replace")
+        except KeyError:  # a control token or an unknown one
+            pass
         out, run = [], []
         for i in [*ids, None]:
             if i is None or i < BYTE_OFFSET:
@@ -367,7 +407,7 @@ def decode(df: DataFrame, merges: DataFrame, ids: str = "ids", out: str = "decod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(held.value)
         for b in batches:
-            texts = [None if x is None else decoder(x, skip_special) for x in b.column(ids).to_pylist()]
+            texts = [None if (x := each.as_py()) is None else decoder(x, skip_special) for each in b.column(ids)]  # one text's ids at a time
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(texts, pa.string())], [*kept, out])
 
     return df.select(*kept).mapInArrow(run, df.select(*kept).schema.add(out, T.StringType()))
