@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..scratch import written
 
+#: Terms of queries that are sent to all tasks.
+FEW = 500_000
 #: Accented letters of European languages and their bases.
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīńňőřśšťūůűźżž", "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeeginnorsstuuuzzz"
 
@@ -59,18 +62,24 @@ def bm25(docs: DataFrame, query_terms: list[str], k1: float = 1.5, b: float = 0.
 def bm25_batch(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """item_id, doc_id, score, rank of the k best documents of every query (item_id, text), by term scores.
 
-    Postings meet the queries' terms in a join on the term. The rank limit is applied within tasks before rows of one
-    query are exchanged.
+    One pass counts documents, lengths and the asked terms' frequencies, a second one scores. That deals documents to tasks
+    whole, so that a document's terms, its scores and the rank limit need no other exchange than that of each task's best.
+    Up to FEW terms of queries are sent to all tasks.
     """
     asked = queries.select("item_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
+    sent = F.broadcast if asked.count() <= FEW else lambda t: t
     held = docs.select("doc_id", X.tokens(F.col("text")).alias("t"))
-    stats = held.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avg"))
-    postings = held.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # the null term counts all documents and their lengths
+    each = held.select(F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.array_distinct("t"), F.array().cast("array<string>")))).alias("term"))
+    sums = each.join(sent(asked.select("term").distinct().withColumn("asked", F.lit(True))), "term", "left").where("asked or term is null")
+    sums = written(sums.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.avg("len").alias("avg")), "sums")
+    stats = sums.where("term is null").select(F.col("df").alias("n"), "avg")
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("item_id", "term", idf.alias("idf"), "avg")
+    weights = asked.join(sums.select("term", "df"), "term").crossJoin(F.broadcast(stats)).select("item_id", "term", idf.alias("idf"), "avg")
+    dealt = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", X.tokens(F.col("text")).alias("t"))
+    postings = dealt.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).join(sent(asked.select("term").distinct()), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     part = F.col("idf") * (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg"))))
-    scored = postings.join(weights, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = postings.join(sent(weights), "term").groupBy("item_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
