@@ -40,7 +40,7 @@ class Library:
         return answers.runtime_answer(self.search(question, limit, domain), question, mode)
 
     def summarize(self) -> DataFrame:
-        return analytics.summary_select(analytics.summary_scores(self.documents))
+        return analytics.summaries(self.documents)
 
     def characters(self, least: int = 2) -> DataFrame:
         return analytics.character_profiles(analytics.name_sentences(self.documents), least)
