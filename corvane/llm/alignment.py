@@ -1,4 +1,7 @@
-"""Alignment of two tokenizers' tokens by the bytes that they cover; everything after tokenising is Spark's own functions."""
+"""Alignment of two tokenizers' tokens by the bytes that they cover; everything after tokenising is Spark's own functions.
+
+Tokens of different words are aligned once for each slice of the corpus; documents take the groups and links of their words.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, ship, slices, written
 
@@ -25,7 +29,12 @@ LONG_RUN = 2000
 MEMO = 1_000_000
 #: Id pairs that hold over 1 / COMMON of all links' documents are sent to the tasks, which bounds how many they are.
 COMMON = 100_000
-SCHEMA = "rid long, doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
+#: Bytes of text whose different words are aligned together, in one row.
+SLICE = 1_500_000
+#: Tokens of a slice's different words, one word after the other; a_last: the token of A ends a word; at: the words of a document, by their places.
+_DOC = T.StructType([T.StructField(x, T.LongType()) for x in ("rid", "doc_id", "n_a", "n_b")] + [T.StructField("at", T.ArrayType(T.IntegerType()))])
+# lists without nulls: Spark sorts such numbers as they are
+SCHEMA = T.StructType([T.StructField(x, T.ArrayType(T.BooleanType() if x == "a_last" else T.IntegerType(), False)) for x in ("a_ids", "a_ends", "a_last", "b_ids", "b_ends")] + [T.StructField("docs", T.ArrayType(_DOC))])
 
 
 def _byte_letters() -> dict[str, int]:
@@ -124,32 +133,64 @@ class Tokens:
         if new:
             self.known.update(zip(new, self.learn([w.encode() for w in new], ([self.a(w) for w in new], pieces))))
 
-    def __call__(self, texts: list[str | None]) -> list[tuple[pa.Array, pa.Array]]:
-        """Ids, and ends in bytes, of the tokens of a space and each text, by either vocabulary."""
+    def numbered(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of all texts, and how many each text has: none if its bytes aren't reproduced."""
         if len(self.flat[0]) > MEMO:
             self.forget()
         split = [self.part.findall(f" {x}") if x and self.b.by_word and not self.odd.search(f" {x}") else None for x in texts]
         self.learn_words(chain.from_iterable(x for x in split if x))
-        known = self.known
+        known = self.known.__getitem__
         whole = [t for x, t in zip(split, texts) if t and not x]
         number = iter(self.learn([f" {t}".encode() for t in whole], ([self.a(f" {t}") for t in whole], [self.b(t) for t in whole])) if whole else ())
-        where = [[known[w] for w in x] if x else [next(number)] if t else [] for x, t in zip(split, texts)]
+        where = [list(map(known, x)) if x else [next(number)] if t else [] for x, t in zip(split, texts)]
         count = np.array([len(x) for x in where], np.int64)
         flat = np.fromiter(chain.from_iterable(where), np.int64, int(count.sum()))
         owner = np.repeat(np.arange(len(where)), count)
         good = np.bincount(owner[~self.same[flat]], minlength=len(where)) == 0
-        flat, count = flat[good[owner]], np.where(good, count, 0)
+        return flat[good[owner]], np.where(good, count, 0)
+
+    def of_words(self, side: int, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token ids of the words one after the other, where each word's begin (one more than words), and the running ends in bytes."""
+        n = self.at[side][flat + 1] - self.at[side][flat]
+        to = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[side][np.repeat(self.at[side][flat] - to[:-1], n) + np.arange(to[-1])]
+        return ids, to, np.cumsum(self.sizes[side][ids])
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[pa.Array, pa.Array]]:
+        """Ids, and ends in bytes, of the tokens of a space and each text, by either vocabulary."""
+        flat, count = self.numbered(texts)
         out = []
         for side in (0, 1):
-            n = self.at[side][flat + 1] - self.at[side][flat]
-            to = np.concatenate([[0], np.cumsum(n)])
-            ids = self.flat[side][np.repeat(self.at[side][flat] - to[:-1], n) + np.arange(to[-1])]
+            ids, to, ends = self.of_words(side, flat)
             at = to[np.concatenate([[0], np.cumsum(count)])].astype(np.int32)
-            end = np.concatenate([[0], np.cumsum(self.sizes[side][ids])])
-            ends = (end[1:] - np.repeat(end[at[:-1]], np.diff(at))).astype(np.int32)
+            end = np.concatenate([[0], ends])
+            ends = (ends - np.repeat(end[at[:-1]], np.diff(at))).astype(np.int32)
             out.append((pa.ListArray.from_arrays(at, ids), pa.ListArray.from_arrays(at, ends)))
         return out
 
+    def coded(self, part: pa.RecordBatch) -> pa.RecordBatch:
+        """One row of SCHEMA for all texts: the tokens of their different words, and the words of each document."""
+        flat, count = self.numbered(part.column("text").to_pylist())
+        words, at = np.unique(flat, return_inverse=True)
+        begin = np.concatenate([[0], np.cumsum(count)])
+
+        def one(x: np.ndarray | pa.Array, nulls: bool = False) -> pa.Array:
+            x = x if isinstance(x, pa.Array) else pa.array(x)
+            return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x, type=pa.list_(pa.field("element", x.type, nulls)))
+
+        columns, many = [], []
+        for side in (0, 1):
+            ids, to, ends = self.of_words(side, words)
+            columns += [one(ids), one(ends.astype(np.int32))]
+            if side == 0:
+                last = np.zeros(len(ids), bool)
+                last[to[1:] - 1] = True
+                columns.append(one(last))
+            many.append(pa.array(np.diff(np.concatenate([[0], np.cumsum(np.diff(to)[at])])[begin])))
+        where = pa.ListArray.from_arrays(begin.astype(np.int32), at.astype(np.int32))
+        docs = pa.StructArray.from_arrays([part.column("rid"), part.column("doc_id"), *many, where], ["rid", "doc_id", "n_a", "n_b", "at"])
+        return pa.RecordBatch.from_arrays([*columns, one(docs, True)], SCHEMA.names)
+
 
 @lru_cache(1)
 def _loaded(byte_bpe: bytes, piece_bpe: bytes) -> Tokens:
@@ -158,9 +199,9 @@ def _loaded(byte_bpe: bytes, piece_bpe: bytes) -> Tokens:
 
 
 def tokenised(docs: DataFrame, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE) -> DataFrame:
-    """rid (a number of the row), doc_id, and ids and ends in bytes of both tokenizers' tokens of a space and the text.
+    """Rows of SCHEMA, one for SLICE bytes of texts or one longer text: tokens of a space and the text by both tokenizers, once for each different word.
 
-    Strings of special tokens are plain text. A text that is null, empty, or whose joined tokens aren't its bytes has none.
+    rid is a number of the document's row. Both tokenizers end a token where a word ends, so groups and links lie within words. Strings of special tokens are plain text. A text that is null, empty, or whose joined tokens aren't its bytes has none.
     """
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast([open(p, "rb").read() for p in (byte_bpe, piece_bpe)])
@@ -168,9 +209,8 @@ def tokenised(docs: DataFrame, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _loaded(*held.value)
         for batch in batches:
-            for part in slices(batch, "text", 500_000):
-                (a_ids, a_ends), (b_ids, b_ends) = tokens(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), a_ids, a_ends, b_ids, b_ends], ["rid", "doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
+            for part in slices(batch, "text", SLICE):
+                yield tokens.coded(part)
 
     return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
@@ -220,10 +260,46 @@ def with_groups(linked: DataFrame) -> DataFrame:
     return linked.withColumn("begins", begins).withColumn("groups", F.zip_with("begins", "last", group)).drop("begins")
 
 
+def with_words(grouped: DataFrame) -> DataFrame:
+    """grouped with words, by their places: a word's groups joined by ; and its links.
+
+    A shared end after x tokens of A and y of B, the g-th, has x + y - g links up to it: so many entries of the merged ends are
+    no second ones. Both kinds of ends are packed into longs, of words too.
+    """
+    a, b = (lambda p: F.shiftright(p, 32).cast("int")), _index
+
+    def upto(end: Column, i: Column) -> Column:
+        p = F.get("last", i)
+        return F.when(F.get("a_last", a(p) - 1), F.shiftleft((i + 1).cast("long"), 32) + (a(p) + b(p) - i - 1).cast("long"))
+
+    out = grouped.withColumn("upto", F.filter(F.transform("shared", upto), lambda x: x.isNotNull()))
+    out = out.withColumn("from", F.slice(F.concat(F.array(F.lit(0).cast("long")), "upto"), 1, F.size("upto")))
+
+    def word(x: Column, y: Column) -> Column:
+        several = F.array_join(F.transform(F.sequence(a(x), a(y) - 1), lambda k: F.get("groups", k)), ";")
+        links = F.transform(F.sequence(b(x), b(y) - 1), lambda k: F.get("links", k))
+        return F.struct(F.when(a(y) - a(x) == 1, F.get("groups", a(x))).otherwise(several).alias("groups"), links.alias("links"))
+
+    return out.withColumn("words", F.zip_with("from", "upto", word))
+
+
+def _aligned(docs: DataFrame, byte_bpe: str, piece_bpe: str) -> DataFrame:
+    """align() with groups in one string, joined by ;."""
+    words = with_words(with_groups(with_links(tokenised(docs, byte_bpe, piece_bpe)))).select("docs", "words")
+
+    def document(d: Column) -> Column:
+        of = lambda what: F.transform(d["at"], lambda i: F.get("words", i)[what])
+        return F.struct(d["rid"].alias("rid"), d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), F.array_join(of("groups"), ";").alias("groups"), F.flatten(of("links")).alias("links"))
+
+    out = words.select(F.inline(F.transform("docs", document)))
+    # every end that isn't the second of a shared one begins a link
+    return out.select("rid", "doc_id", "n_a", "n_b", (F.col("n_a") + F.col("n_b") - F.size("links")).alias("n_groups"), "groups", "links")
+
+
 def align(docs: DataFrame, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE) -> DataFrame:
-    """rid, doc_id, n_a, n_b, groups (as strings) and links (an A id and a B id in a long) of every document; lazy."""
-    out = with_groups(with_links(tokenised(docs, byte_bpe, piece_bpe)))
-    return out.select("rid", "doc_id", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), F.size("shared").cast("long").alias("n_groups"), "groups", "links")
+    """rid, doc_id, n_a, n_b, n_groups, groups (as strings) and links (an A id and a B id in a long) of every document; lazy."""
+    groups = F.when(F.col("groups") == "", F.array().cast("array<string>")).otherwise(F.split("groups", ";"))
+    return _aligned(docs, byte_bpe, piece_bpe).withColumn("groups", groups)
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -240,8 +316,8 @@ def alignment_report(docs: DataFrame, byte_bpe: str = BYTE_BPE, piece_bpe: str =
     own, and a doc_id may be null. Few pairs make up most links: those are joined where the links lie, and only links of the
     others, summed by document, are exchanged. Columns besides doc_id and text aren't read; an empty table gives no rows.
     """
-    sha = F.when(F.size("groups") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("").alias("groups_sha256")
-    held = written(align(docs, byte_bpe, piece_bpe).select("rid", "doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), sha, "links"))
+    sha = F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    held = written(_aligned(docs, byte_bpe, piece_bpe).select("rid", "doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), sha, "links"))
     pairs = cut(pair_counts(held))
     total = pairs.agg(F.sum("n")).first()[0] or 0
     common, rare = pairs.where(F.col("n") * COMMON > total), pairs.where(F.col("n") * COMMON <= total)

@@ -105,3 +105,15 @@ def test_forgotten_words(own):
         assert [x.to_pylist() for pair in own[1](texts) for x in pair] == before == [x.to_pylist() for pair in own[1](texts) for x in pair]
     finally:
         A.MEMO = old
+
+
+def test_words_are_aligned_once(spark, own):
+    texts = [f"Copies of wordings, don't they {i % 3}?\nend" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = A.tokenised(df).collect()
+    assert sum(len(r.a_ids) for r in rows) < 100 and sum(len(r.docs) for r in rows) == 300
+    got = {r.doc_id: r for r in A.align(df).collect()}
+    for i, (n_a, n_b, groups, *_) in enumerate(brute(own, texts)):
+        x, y = expected(own, texts[i])
+        assert (got[i].n_a, got[i].n_b, got[i].n_groups, len(got[i].groups)) == (n_a, n_b, groups, groups)
+        assert [[int(i) for g in got[i].groups for i in g.split("|")[s].split(",")] for s in (0, 1)] == [x, y]
