@@ -122,3 +122,14 @@ def test_search_is_that_of_what_is_left(spark, library, monkeypatch):
     library.add(rows(spark, (1, "w0", "n", "law")))
     found = library.snapshot().search("w0").collect()
     assert len(found) == 1 and found[0].chunk_id > max(before)
+
+
+def test_chunks_are_counted_without_being_built(spark, tmp_path):
+    texts = ["", " ", "\n\n", "one", "a b c\n\nd e", "　x y \n \n z q", " ".join(map(str, range(97))), "\n\n".join(" ".join("w" * k) for k in range(30)), "p\n \n\n" * 40, "tail \n\n ", "\x1cx\x1c\n\n\x85y"]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null").limit(150).collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most, overlap, least in ((220, 40, 1), (5, 2, 1), (7, 0, 4), (10, 9, 3), (3, 1, 8), (1, 0, 1)):
+        rows = df.select("text", F.size(chunking.chunk_array(F.col("text"), most, overlap, least)).alias("n"), chunking.chunk_count(F.col("text"), most, overlap, least).alias("m")).collect()
+        assert [r for r in rows if r.n != r.m] == []
+    plan = StoredLibrary(spark, str(tmp_path), indexed=False)._rows(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" not in plan and "slice(" not in plan
