@@ -1,19 +1,21 @@
-"""Alignment of two tokenizers' tokens by the bytes that they cover; everything after tokenising is Spark's own functions.
+"""Alignment of two tokenizers' tokens by the bytes that they cover.
 
-Tokens of different words are aligned once for each slice of the corpus; documents take the groups and links of their words.
+A worker tokenises and aligns each word once, many at a time; documents take the groups and links of their words. Counts of id
+pairs over the corpus, the best ones and documents' sums are Spark's aggregates and joins.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,15 +27,21 @@ BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piec
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: Unbroken runs beyond this go to the tokenizer whose time doesn't grow with their square.
 LONG_RUN = 2000
-#: Words' tokens that a worker remembers at a time.
+#: Words' tokens that a worker remembers at a time, of half as many words at most.
 MEMO = 1_000_000
 #: Id pairs that hold over 1 / COMMON of all links' documents are sent to the tasks, which bounds how many they are.
 COMMON = 100_000
-#: Bytes of text whose different words are aligned together, in one row.
+#: Bytes of text whose words are numbered, and whose new ones are aligned, together.
 SLICE = 1_500_000
+#: Words that are tokenised in one text; in longer ones the queue of merges gets slow.
+TOGETHER = 64
+#: Texts whose words, each with the space before it, may depend on each other: runs of blanks across a space that begins a
+#: word, and white space other than that and line ends, which is part of pieces.
+ODD = r"^ |  | $|\n \n|[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}▁]"
 #: Tokens of a slice's different words, one word after the other; a_last: the token of A ends a word; at: the words of a document, by their places.
 _DOC = T.StructType([T.StructField(x, T.LongType()) for x in ("rid", "doc_id", "n_a", "n_b")] + [T.StructField("at", T.ArrayType(T.IntegerType()))])
 # lists without nulls: Spark sorts such numbers as they are
+ALIGNED = T.StructType([*_DOC.fields[:4], T.StructField("groups", T.StringType()), T.StructField("links", T.ArrayType(T.LongType(), False))])
 SCHEMA = T.StructType([T.StructField(x, T.ArrayType(T.BooleanType() if x == "a_last" else T.IntegerType(), False)) for x in ("a_ids", "a_ends", "a_last", "b_ids", "b_ends")] + [T.StructField("docs", T.ArrayType(_DOC))])
 
 
@@ -74,91 +82,149 @@ class PieceBPE:
         self.model = SentencePieceProcessor(model_proto=raw)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = {i: bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
-        self.line = self.model.piece_to_id("<0x0A>")
         # words are independent where no piece goes on after a word's end or beyond a line
-        self.by_word = self.model.is_byte(self.line) and not any(re.search("[^▁]▁|\n", p) for p in pieces)
+        self.by_word = self.model.is_byte(self.model.piece_to_id("<0x0A>")) and not any(re.search("[^▁]▁|\n", p) for p in pieces)
 
     def __call__(self, text: str) -> list[int]:
         return self.model.encode(text)
 
-    def parts(self, parts: list[str]) -> list[list[int]]:
-        """Pieces of parts of a text, which have no line end; one stands between them and merges with nothing."""
-        out: list[list[int]] = [[]]
-        for i in self.model.encode("\n" + "\n".join(parts)):
-            if i == self.line:
-                out.append([])
-            else:
-                out[-1].append(i)
-        return out[1:]
+
+def _runs(at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the entries of some lists one after the other, and where each list's begin (one more than lists); at: where all lists begin."""
+    n = at[which + 1] - at[which]
+    to = np.concatenate([[0], np.cumsum(n)])
+    return np.repeat(at[which] - to[:-1], n) + np.arange(to[-1]), to
 
 
 class Tokens:
-    """Tokens of texts by both vocabularies, with a memory of words.
+    """Tokens of texts by both vocabularies and their alignment, with a memory of words.
 
-    A space, if there is one, and what follows up to the next white space are split by either vocabulary without regard to
-    what is around them. That needn't hold where several spaces follow each other, or for other white space than that and line
-    ends, which is part of pieces: texts with such are taken as a whole.
+    A word here is a space and what follows up to the next space. Either vocabulary splits it without regard to what is around it,
+    but in texts that ODD finds: those are taken as a whole, as one word. A token ends where a word ends, so words are aligned
+    by themselves.
     """
 
     def __init__(self, byte_bpe: bytes, piece_bpe: bytes) -> None:
         self.a, self.b = ByteBPE(byte_bpe), PieceBPE(piece_bpe)
         self.tables = [[t.bytes.get(i, b"") for i in range(max(t.bytes) + 1)] for t in (self.a, self.b)]
         self.sizes = [np.array([len(x) for x in t], np.int64) for t in self.tables]
-        self.part = re.compile(r" ?\S+|\s+(?=\s\S)|\s+")
-        self.odd = re.compile(r"  |[^\S \n]|▁")
+        # how a token is written in a group: after others of its side, and as their first
+        self.names = pa.array([f"{first}{i}" for t, mark in zip(self.tables, ";|") for i in range(len(t)) for first in ("," + mark)], pa.large_string())
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.n = 0
         self.same = np.zeros(0, bool)
         self.flat = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
-        self.at = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
-
-    def learn(self, raw: list[bytes], ids: tuple[list[list[int]], list[list[int]]]) -> range:
-        """Numbers under which the tokens of strings are kept; strings that either vocabulary doesn't reproduce are marked."""
-        self.same = np.concatenate([self.same, [all(b"".join([t[i] for i in x[k]]) == r for t, x in zip(self.tables, ids)) for k, r in enumerate(raw)]])
-        for side, lists in enumerate(ids):
-            self.flat[side] = np.concatenate([self.flat[side], np.fromiter(chain.from_iterable(lists), np.int32)])
-            self.at[side] = np.concatenate([self.at[side], self.at[side][-1] + np.cumsum([len(x) for x in lists], dtype=np.int64)])
-        self.n += len(raw)
-        return range(self.n - len(raw), self.n)
-
-    def learn_words(self, words: Iterable[str]) -> None:
-        new = list(set(words).difference(self.known))
-        solid, blank = [w for w in new if not w.isspace()], [w for w in new if w.isspace()]
-        # a blank word may hold line ends: it gets a text of its own, whose first two pieces are the space before it and a line end
-        pieces = (self.b.parts(solid) if solid else []) + [self.b(f"\n{w}")[2:] for w in blank]
-        new = solid + blank
-        if new:
-            self.known.update(zip(new, self.learn([w.encode() for w in new], ([self.a(w) for w in new], pieces))))
-
-    def numbered(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        self.links = np.zeros(0, np.int64)
+        self.groups = pa.array([], pa.large_string())
+        #: where each word's tokens, by either vocabulary, and its links begin
+        self.at = [np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)]
+
+    def one_by_one(self, side: int, words: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Tokens of words, how many each has, and whether they are its bytes; none where they aren't."""
+        encode: Callable = self.b if side else lambda w: self.a(f" {w}")
+        lists = [encode(w) for w in words]
+        same = np.array([b"".join([self.tables[side][i] for i in x]) == f" {w}".encode() for w, x in zip(words, lists)], bool)
+        lists = [x if ok else [] for x, ok in zip(lists, same)]
+        return list(chain.from_iterable(lists)), np.array([len(x) for x in lists], np.int64), same
+
+    def encoded(self, side: int, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """one_by_one(), of many words in a text if its tokens are its bytes. A word that begins with a line end, which might follow another, is alone."""
+        ids: list[int] = []
+        same, table, at = np.ones(len(words), bool), self.tables[side], 0
+        while at < len(words):
+            part = words[at : at + TOGETHER]
+            if "\n" in (text := " ".join(part)) and (lines := [i for i, w in enumerate(part) if w[:1] == "\n"]):
+                part = part[: lines[0] or 1]
+                text = " ".join(part)
+            got = self.b(text) if side else self.a(f" {text}")
+            if b"".join(map(table.__getitem__, got)) != f" {text}".encode():
+                got, _, same[at : at + len(part)] = self.one_by_one(side, part)
+            ids += got
+            at += len(part)
+        flat = np.array(ids, np.int32)
+        ends = np.cumsum(np.where(same, np.fromiter(map(len, map(str.encode, words)), np.int64, len(words)) + 1, 0))
+        return flat, np.diff(np.searchsorted(np.cumsum(self.sizes[side][flat]), ends, "right"), prepend=0), same
+
+    def aligned(self, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Links (an A id and a B id in a long), how many each token of A has, and the names of all tokens by groups, of A's and B's tokens of the same bytes."""
+        ends_a, ends_b = np.cumsum(self.sizes[0][a_ids]), np.cumsum(self.sizes[1][b_ids])
+        last = np.searchsorted(ends_b, ends_a)  # the token of B in which one of A ends
+        shared = ends_b[last] == ends_a
+        first = np.concatenate([[0], (last + shared)[:-1]])
+        n = last - first + 1
+        over = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        links = (np.repeat(a_ids.astype(np.int64), n) << 32) + b_ids[over]
+        # each group's tokens of A, then those of B
+        shared_b = np.zeros(len(b_ids), bool)
+        shared_b[last[shared]] = True
+        end_a, end_b = np.flatnonzero(shared) + 1, np.flatnonzero(shared_b) + 1
+        codes = np.empty(len(a_ids) + len(b_ids), np.int64)
+        for ids, ends, before, base in ((a_ids, shared, np.concatenate([[0], end_b]), 0), (b_ids, shared_b, end_a, 2 * len(self.tables[0]))):
+            begins = np.concatenate([[True], ends[:-1]])
+            codes[np.arange(len(ids)) + before[np.cumsum(begins) - 1]] = base + 2 * ids.astype(np.int64) + begins
+        return links, n, self.names.take(pa.array(codes))
+
+    def learn(self, words: list[str], coded: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Numbers under which words' tokens, links and groups are kept; words that either vocabulary doesn't reproduce are marked and have none."""
+        same = coded[0][2] & coded[1][2]
+        ids, begins = [], []
+        for side, (x, n, _) in enumerate(coded):
+            ids.append(x[np.repeat(same, n)])
+            begins.append(np.concatenate([[0], np.cumsum(np.where(same, n, 0))]))
+            self.at[side] = np.concatenate([self.at[side], self.at[side][-1] + begins[side][1:]])
+            self.flat[side] = np.concatenate([self.flat[side], ids[side]])
+        to, groups = np.zeros(len(words) + 1, np.int64), pa.array([""] * len(words), pa.large_string())
+        if same.any():
+            links, n, names = self.aligned(*ids)
+            to = np.concatenate([[0], np.cumsum(n)])[begins[0]]
+            self.links = np.concatenate([self.links, links])
+            where = np.frombuffer(names.buffers()[1], np.int64)[begins[0] + begins[1]]
+            groups = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(where), names.buffers()[2])
+        self.at[2] = np.concatenate([self.at[2], self.at[2][-1] + to[1:]])
+        self.groups = pa.concat_arrays([self.groups, groups])
+        self.same = np.concatenate([self.same, same])
+        return np.arange(len(self.same) - len(words), len(self.same))
+
+    def numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words of all texts, and how many each text has: none if its bytes aren't reproduced."""
-        if len(self.flat[0]) > MEMO:
+        if len(self.flat[0]) > MEMO or len(self.same) > MEMO // 2:  # words that aren't reproduced have no tokens
             self.forget()
-        split = [self.part.findall(f" {x}") if x and self.b.by_word and not self.odd.search(f" {x}") else None for x in texts]
-        self.learn_words(chain.from_iterable(x for x in split if x))
-        known = self.known.__getitem__
-        whole = [t for x, t in zip(split, texts) if t and not x]
-        number = iter(self.learn([f" {t}".encode() for t in whole], ([self.a(f" {t}") for t in whole], [self.b(t) for t in whole])) if whole else ())
-        where = [list(map(known, x)) if x else [next(number)] if t else [] for x, t in zip(split, texts)]
-        count = np.array([len(x) for x in where], np.int64)
-        flat = np.fromiter(chain.from_iterable(where), np.int64, int(count.sum()))
-        owner = np.repeat(np.arange(len(where)), count)
-        good = np.bincount(owner[~self.same[flat]], minlength=len(where)) == 0
+        some = pc.greater(pc.binary_length(texts), 0).fill_null(False).to_numpy(zero_copy_only=False)
+        odd = some & (pc.match_substring_regex(texts, ODD).fill_null(False).to_numpy(zero_copy_only=False) if self.b.by_word else True)
+        # not if_else, which in pyarrow 23 spoils slices of strings
+        split = pc.split_pattern(texts.take(pa.array(np.arange(len(texts)), mask=odd | ~some)), " ")
+        count = pc.list_value_length(split).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = list(compress(words, number < 0))
+        if new:
+            number[number < 0] = kept = self.learn(new, [self.encoded(0, new), self.encoded(1, new)])
+            self.known.update(zip(new, kept.tolist()))
+        flat = number[coded.indices.to_numpy()]
+        if odd.any():
+            whole = texts.filter(pa.array(odd)).to_pylist()
+            count = np.where(odd, 1, count)
+            placed, of_odd = np.empty(count.sum(), np.int64), np.repeat(odd, count)
+            placed[~of_odd] = flat
+            sides = [self.one_by_one(side, whole) for side in (0, 1)]
+            placed[of_odd] = self.learn(whole, [(np.array(x, np.int32), n, same) for x, n, same in sides])
+            flat = placed
+        owner = np.repeat(np.arange(len(count)), count)
+        good = np.bincount(owner[~self.same[flat]], minlength=len(count)) == 0
         return flat[good[owner]], np.where(good, count, 0)
 
     def of_words(self, side: int, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Token ids of the words one after the other, where each word's begin (one more than words), and the running ends in bytes."""
-        n = self.at[side][flat + 1] - self.at[side][flat]
-        to = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[side][np.repeat(self.at[side][flat] - to[:-1], n) + np.arange(to[-1])]
+        places, to = _runs(self.at[side], flat)
+        ids = self.flat[side][places]
         return ids, to, np.cumsum(self.sizes[side][ids])
 
     def __call__(self, texts: list[str | None]) -> list[tuple[pa.Array, pa.Array]]:
         """Ids, and ends in bytes, of the tokens of a space and each text, by either vocabulary."""
-        flat, count = self.numbered(texts)
+        flat, count = self.numbered(pa.array(texts, pa.string()))
         out = []
         for side in (0, 1):
             ids, to, ends = self.of_words(side, flat)
@@ -170,7 +236,7 @@ class Tokens:
 
     def coded(self, part: pa.RecordBatch) -> pa.RecordBatch:
         """One row of SCHEMA for all texts: the tokens of their different words, and the words of each document."""
-        flat, count = self.numbered(part.column("text").to_pylist())
+        flat, count = self.numbered(part.column("text"))
         words, at = np.unique(flat, return_inverse=True)
         begin = np.concatenate([[0], np.cumsum(count)])
 
@@ -191,6 +257,18 @@ class Tokens:
         docs = pa.StructArray.from_arrays([part.column("rid"), part.column("doc_id"), *many, where], ["rid", "doc_id", "n_a", "n_b", "at"])
         return pa.RecordBatch.from_arrays([*columns, one(docs, True)], SCHEMA.names)
 
+    def documents(self, part: pa.RecordBatch) -> pa.RecordBatch:
+        """Rows of ALIGNED."""
+        flat, count = self.numbered(part.column("text"))
+        begin = np.concatenate([[0], np.cumsum(count)])
+        many = [pa.array(np.diff(np.concatenate([[0], np.cumsum(np.diff(self.at[side])[flat])])[begin])) for side in (0, 1)]
+        places, to = _runs(self.at[2], flat)
+        links = pa.ListArray.from_arrays(pa.array(to[begin].astype(np.int32)), pa.array(self.links[places]), type=pa.list_(pa.field("element", pa.int64(), False)))
+        groups = self.groups.take(pa.array(flat))
+        held, where = memoryview(groups.buffers()[2] or b""), np.frombuffer(groups.buffers()[1], np.int64)[begin].tolist() if len(flat) else [0] * len(begin)
+        joined = pa.array([bytes(held[x + 1 : y]) for x, y in zip(where, where[1:])], pa.binary()).cast(pa.string())  # without the first ;
+        return pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), *many, joined, links], ALIGNED.names)
+
 
 @lru_cache(1)
 def _loaded(byte_bpe: bytes, piece_bpe: bytes) -> Tokens:
@@ -198,11 +276,8 @@ def _loaded(byte_bpe: bytes, piece_bpe: bytes) -> Tokens:
     return Tokens(byte_bpe, piece_bpe)
 
 
-def tokenised(docs: DataFrame, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE) -> DataFrame:
-    """Rows of SCHEMA, one for SLICE bytes of texts or one longer text: tokens of a space and the text by both tokenizers, once for each different word.
-
-    rid is a number of the document's row. Both tokenizers end a token where a word ends, so groups and links lie within words. Strings of special tokens are plain text. A text that is null, empty, or whose joined tokens aren't its bytes has none.
-    """
+def _in_tasks(docs: DataFrame, of: Callable[[Tokens, pa.RecordBatch], pa.RecordBatch], schema: T.StructType, byte_bpe: str, piece_bpe: str) -> DataFrame:
+    """What a worker's Tokens make of each SLICE bytes of texts, or one longer text; rid is a number of the document's row."""
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast([open(p, "rb").read() for p in (byte_bpe, piece_bpe)])
 
@@ -210,88 +285,22 @@ def tokenised(docs: DataFrame, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_
         tokens = _loaded(*held.value)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                yield tokens.coded(part)
-
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
-
-
-_LOW = (1 << 31) - 1
-
-
-def _index(x: Column) -> Column:
-    return x.bitwiseAND(F.lit(_LOW)).cast("int")
-
+                yield of(tokens, part)
 
-def with_links(tokens: DataFrame) -> DataFrame:
-    """tokens with shared (ends of both), last (how many tokens of A and of B end by each of them) and links (ids of tokens that overlap).
-
-    The last two are packed into longs. Both arrays of ends are merged into one sorted array, whose entries hold end, side and
-    index, B's first. At place i, an entry with index j of its side has i - j entries of the other side before it: where no
-    other token ends there, i - j is the index of the token across; where one does, the second entry counts both.
-    """
-    side, high = 1 << 31, (1 << 32) - 1
-    mark = lambda bit: lambda e, i: F.shiftleft(e.cast("long"), 32) + (i + F.lit(bit).cast("long"))
-    marks = F.sort_array(F.concat(F.transform("b_ends", mark(0)), F.transform("a_ends", mark(side))))
-
-    def step(x: Column, i: Column) -> Column:
-        """The pair of indices to link, or less than 0 at a shared end."""
-        j = x.bitwiseAND(F.lit(_LOW))
-        both = F.shiftright(F.get("marks", i - 1), 32) == F.shiftright(x, 32)
-        of_a = F.when(both, -(j * F.lit(high) + (i + F.lit(1 << 32)))).otherwise(j * F.lit(high) + i)
-        return F.when(x.bitwiseAND(F.lit(side)) == 0, F.shiftleft(i.cast("long"), 32) - j * F.lit(high)).otherwise(of_a)
-
-    ids = lambda p: F.shiftleft(F.get("a_ids", F.shiftright(p, 32).cast("int")).cast("long"), 32) + F.get("b_ids", _index(p))
-    out = tokens.withColumn("shared", F.array_intersect("a_ends", "b_ends")).withColumn("marks", marks).withColumn("steps", F.transform("marks", step))
-    return out.withColumn("links", F.transform(F.filter("steps", lambda s: s >= 0), ids)).withColumn("last", F.transform(F.filter("steps", lambda s: s < 0), lambda s: -s)).drop("marks", "steps")
-
-
-def with_groups(linked: DataFrame) -> DataFrame:
-    """linked with groups, a string per group of its A ids and B ids; each begins where the one before ends."""
-
-    def listed(ids: str, begin: Column, end: Column) -> Column:
-        name = lambda k: F.get(ids, begin + k).cast("string")
-        many = F.array_join(F.transform(F.sequence(begin, end - 1), lambda k: F.get(ids, k).cast("string")), ",")
-        n = end - begin  # short groups, which are most, without arrays
-        return F.when(n == 1, name(0)).when(n == 2, F.concat(name(0), F.lit(","), name(1))).when(n == 3, F.concat(name(0), F.lit(","), name(1), F.lit(","), name(2))).otherwise(many)
-
-    a, b = (lambda p: F.shiftright(p, 32).cast("int")), _index
-    group = lambda x, y: F.concat(listed("a_ids", a(x), a(y)), F.lit("|"), listed("b_ids", b(x), b(y)))
-    begins = F.slice(F.concat(F.array(F.lit(0).cast("long")), "last"), 1, F.size("last"))
-    return linked.withColumn("begins", begins).withColumn("groups", F.zip_with("begins", "last", group)).drop("begins")
+    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def with_words(grouped: DataFrame) -> DataFrame:
-    """grouped with words, by their places: a word's groups joined by ; and its links.
+def tokenised(docs: DataFrame, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE) -> DataFrame:
+    """Rows of SCHEMA, one for SLICE bytes of texts or one longer text: tokens of a space and the text by both tokenizers, once for each different word.
 
-    A shared end after x tokens of A and y of B, the g-th, has x + y - g links up to it: so many entries of the merged ends are
-    no second ones. Both kinds of ends are packed into longs, of words too.
+    Both tokenizers end a token where a word ends, so groups and links lie within words. Strings of special tokens are plain text. A text that is null, empty, or whose joined tokens aren't its bytes has none.
     """
-    a, b = (lambda p: F.shiftright(p, 32).cast("int")), _index
-
-    def upto(end: Column, i: Column) -> Column:
-        p = F.get("last", i)
-        return F.when(F.get("a_last", a(p) - 1), F.shiftleft((i + 1).cast("long"), 32) + (a(p) + b(p) - i - 1).cast("long"))
-
-    out = grouped.withColumn("upto", F.filter(F.transform("shared", upto), lambda x: x.isNotNull()))
-    out = out.withColumn("from", F.slice(F.concat(F.array(F.lit(0).cast("long")), "upto"), 1, F.size("upto")))
-
-    def word(x: Column, y: Column) -> Column:
-        several = F.array_join(F.transform(F.sequence(a(x), a(y) - 1), lambda k: F.get("groups", k)), ";")
-        links = F.transform(F.sequence(b(x), b(y) - 1), lambda k: F.get("links", k))
-        return F.struct(F.when(a(y) - a(x) == 1, F.get("groups", a(x))).otherwise(several).alias("groups"), links.alias("links"))
-
-    return out.withColumn("words", F.zip_with("from", "upto", word))
+    return _in_tasks(docs, Tokens.coded, SCHEMA, byte_bpe, piece_bpe)
 
 
 def _aligned(docs: DataFrame, byte_bpe: str, piece_bpe: str) -> DataFrame:
     """align() with groups in one string, joined by ;."""
-    words = with_words(with_groups(with_links(tokenised(docs, byte_bpe, piece_bpe)))).select("docs", "words")
-
-    def document(d: Column) -> Column:
-        of = lambda what: F.transform(d["at"], lambda i: F.get("words", i)[what])
-        return F.struct(d["rid"].alias("rid"), d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), F.array_join(of("groups"), ";").alias("groups"), F.flatten(of("links")).alias("links"))
-
-    out = words.select(F.inline(F.transform("docs", document)))
+    out = _in_tasks(docs, Tokens.documents, ALIGNED, byte_bpe, piece_bpe)
     # every end that isn't the second of a shared one begins a link
     return out.select("rid", "doc_id", "n_a", "n_b", (F.col("n_a") + F.col("n_b") - F.size("links")).alias("n_groups"), "groups", "links")
 

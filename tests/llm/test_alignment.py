@@ -117,3 +117,48 @@ def test_words_are_aligned_once(spark, own):
         x, y = expected(own, texts[i])
         assert (got[i].n_a, got[i].n_b, got[i].n_groups, len(got[i].groups)) == (n_a, n_b, groups, groups)
         assert [[int(i) for g in got[i].groups for i in g.split("|")[s].split(",")] for s in (0, 1)] == [x, y]
+
+
+def test_new_words_share_a_text(own, monkeypatch):
+    texts = [" ".join(f"w{i}x{j}" for j in range(50)) + ("\n\nline\n" if i % 3 else ".") for i in range(80)]
+    calls = []
+    for x in (own[1].a, own[1].b):
+        monkeypatch.setattr(type(x), "__call__", lambda self, text, f=type(x).__call__: calls.append(text) or f(self, text))
+    own[1].forget()
+    a, b = own[1](texts)
+    assert [(x, y) for x, y in zip(a[0].to_pylist(), b[0].to_pylist())] == [tuple(expected(own, t)) for t in texts]
+    assert len(calls) < len(set(" ".join(texts).split())) / 10
+    calls.clear()
+    own[1](texts)
+    assert not calls
+
+
+def test_lost_words_are_forgotten(own, monkeypatch):
+    """Words that a vocabulary doesn't reproduce have no tokens, but take memory."""
+    monkeypatch.setattr(A, "MEMO", 10)
+    monkeypatch.setattr(own[1], "tables", [own[1].tables[0], [b"?"] * len(own[1].tables[1])])
+    own[1].forget()
+    for i in range(50):
+        a, _ = own[1]([f"lost{i} word{i}"])
+        assert a[0].to_pylist() == [[]]
+    assert len(own[1].known) < 10
+    own[1].forget()
+
+
+def test_words_are_aligned_in_the_worker(spark):
+    df = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    assert "lambdafunction" not in A.align(df)._jdf.queryExecution().toString()
+
+
+def test_blanks_between_words(spark, own):
+    ends, bad = ["a", "a\n", "\na", "\n", "\n\n", "", "ﬁ", "\na\nb", "▁", "\t", "é́", " ", "x" * 2500], []
+    texts = [" ".join((x, y, z)) for x in ends for y in ends for z in ends]
+    own[1].forget()
+    a, b = own[1](texts)
+    for t, x, y in zip(texts, a[0].to_pylist(), b[0].to_pylist()):
+        if (x, y) != expected(own, t):
+            bad.append(t)
+    assert not bad
+    df = spark.createDataFrame(list(enumerate(texts[::7])), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in A.alignment_report(df).collect()}
+    assert [got[i] for i in range(len(got))] == brute(own, texts[::7])
