@@ -10,16 +10,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scratch import written
+from ..scratch import discard, scratch, written
 from ..session import ship
 from .training import BYTE_OFFSET, SPECIAL
 
 #: Bytes of text in a block of the training state; rounds after which the state is written anew.
 BLOCK, CUT_EVERY = 4_000_000, 24
+#: Bytes of texts that a task works on at once; different runs of tokens that it adds up; by what numbers fall in a stage.
+SLICE, HELD, FALL = 1_000_000, 400_000, 4
 #: Pairs of ids that are counted in an array of their own size; more are sorted.
 DENSE = 1 << 22
 #: Merges in a batch that are looked for one by one, which is faster than by a table of ids.
@@ -111,25 +115,26 @@ def _places(tokens: np.ndarray, asked: np.ndarray, copies: np.ndarray, sizes: np
     return pair, n, at, text, byte
 
 
-_STATE = "tokens binary, doc array<long>, sub array<long>, copies array<long>"
+_STATE = "tokens binary, doc array<long>, sub array<long>, byte array<long>, copies array<long>"
 _STATS = "pair array<long>, n array<long>, doc_at array<long>, sub_at array<long>, byte_at array<long>"
+_LONGS = pa.list_(pa.int64())
 
 
 def _round(state: DataFrame, batch: Merges, sizes: np.ndarray, asked: np.ndarray) -> DataFrame:
     """The state after a batch, and what its pairs with the asked tokens now are."""
-    kind = _kind(len(sizes))
+    kind, kept = _kind(len(sizes)), ["doc", "sub", "byte", "copies"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):  # one block at a time in memory
-                tokens, copies = np.frombuffer(row["tokens"], kind), np.array(row["copies"], np.int64)
+            for row in (b.slice(i, 1) for i in range(b.num_rows)):  # one block at a time in memory
+                tokens = np.frombuffer(row.column("tokens")[0].as_buffer(), kind)
+                doc, sub, start, copies = (row.column(k)[0].values.to_numpy() for k in kept)
                 tokens = merge(tokens, batch, len(sizes)) if batch else tokens
                 pair, n, _, text, byte = _places(tokens, asked, copies, sizes)
-                columns = [np.array(row["doc"], np.int64)[text], np.array(row["sub"], np.int64)[text], byte]
-                yield pa.RecordBatch.from_pylist([{"tokens": tokens.tobytes(), **{k: row[k] for k in ("doc", "sub", "copies")}, "pair": pair, "n": n, **dict(zip(("doc_at", "sub_at", "byte_at"), columns))}], schema)
+                stats = [pa.array([x], _LONGS) for x in (pair, n, doc[text], sub[text], start[text] + byte)]
+                yield pa.RecordBatch.from_arrays([pa.array([tokens.tobytes()], pa.binary()), *[row.column(k) for k in kept], *stats], schema=schema)
 
-    long = pa.list_(pa.int64())
-    schema = pa.schema([("tokens", pa.binary()), *[(x, long) for x in ("doc", "sub", "copies", "pair", "n", "doc_at", "sub_at", "byte_at")]])
+    schema = pa.schema([("tokens", pa.binary()), *[(x, _LONGS) for x in (*kept, "pair", "n", "doc_at", "sub_at", "byte_at")]])
     return state.mapInArrow(run, f"{_STATE}, {_STATS}")
 
 
@@ -138,30 +143,188 @@ def _kind(size: int) -> type:
     return np.int16 if size < 1 << 15 else np.int32
 
 
+def _base(docs: DataFrame) -> DataFrame:
+    """doc, sub, tokens of the texts: their place in order of doc_id, null first, and their bytes."""
+    doc = F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("doc")
+    return docs.where("text <> ''").select(doc, F.xxhash64("text").alias("sub"), F.encode("text", "UTF-8").alias("tokens"))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], kind: type | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """doc, sub and tokens (-1 between and around texts) of rows in order of place, SLICE bytes at once or one text.
+
+    kind: what the tokens are kept as; None for the bytes of texts.
+    """
+    for b in batches:
+        size = np.cumsum(pc.binary_length(b.column("tokens")).to_numpy())
+        cuts = [0, *(np.flatnonzero(np.diff(size // SLICE)) + 1), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            part = b.slice(lo, hi - lo)
+            doc, sub = part.column("doc").to_numpy(), part.column("sub").to_numpy()
+            order = np.lexsort((sub, doc))
+            texts = part.column("tokens").take(pa.array(order)).to_pylist()
+            if kind is None:
+                tokens = _joined(texts).astype(np.int16)
+            else:
+                bound = np.full(1, -1, kind).tobytes()
+                tokens = np.frombuffer(bound + bound.join(texts) + bound, kind)
+            yield doc[order], sub[order], tokens
+
+
+def _among(tokens: np.ndarray, pairs: np.ndarray, size: int) -> np.ndarray:
+    """Where a token and the next one are one of pairs, which are in order."""
+    left, right = tokens[:-1], tokens[1:]
+    if size * size <= DENSE:
+        told = np.zeros((size, size), bool)
+        told[pairs >> 32, pairs & _LOW] = True
+        return told.ravel()[left.astype(np.int32) * size + right]  # -1 leads to the last row or column, which has none
+    code = left.astype(np.int64) << 32 | right
+    return pairs[np.minimum(np.searchsorted(pairs, code), len(pairs) - 1)] == code if len(pairs) else np.zeros(len(code), bool)
+
+
+def _runs(tokens: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+    """First place and length of each run of linked tokens, and the runs' tokens, different ones in order of occurrence."""
+    edge = np.diff(np.concatenate([[False], linked, [False]]).astype(np.int8))
+    first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + 1
+    inside = np.zeros(len(tokens), bool)
+    inside[:-1] |= linked
+    inside[1:] |= linked
+    offsets = np.concatenate([[0], np.cumsum(end - first)]).astype(np.int32) * tokens.itemsize
+    held = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(tokens[inside])])
+    return first, end - first, held.dictionary_encode()
+
+
+def _summed_up(seg: pa.Array, columns: list[np.ndarray]) -> tuple[pa.Array, list[np.ndarray]]:
+    """Different runs with their first place (doc, sub, byte) and number."""
+    order = np.lexsort(columns[2::-1])
+    told, (doc, sub, byte, n) = seg.take(pa.array(order)).dictionary_encode(), (x[order] for x in columns)
+    code = told.indices.to_numpy()
+    first = np.zeros(len(told.dictionary), np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]  # of several the last one stays, which is the first place
+    return told.dictionary, [doc[first], sub[first], byte[first], np.bincount(code, n, len(first)).astype(np.int64)]
+
+
+def _segments(base: DataFrame, kind: type | None, hot: np.ndarray, sizes: np.ndarray, out: type) -> DataFrame:
+    """seg, n, doc, sub, byte: different runs of tokens that hot pairs link, how often they occur and where first."""
+    size, names = len(sizes), ["doc", "sub", "byte", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for doc, sub, tokens in _slices(batches, kind):
+            first, _, told = _runs(tokens.astype(out), _among(tokens, hot, size))
+            code, bounds = told.indices.to_numpy(), np.flatnonzero(tokens < 0)
+            at = np.zeros(len(told.dictionary), np.int64)
+            at[code[::-1]] = first[::-1]
+            text, ends = np.searchsorted(bounds, at) - 1, np.cumsum(sizes[tokens])
+            byte = ends[at] - sizes[tokens[at]] - ends[bounds[text]]
+            held.append((told.dictionary, [doc[text], sub[text], byte, np.bincount(code, minlength=len(at))]))
+            if sum(len(x[0]) for x in held) > HELD:
+                held = [_summed_up(pa.concat_arrays([x[0] for x in held]), [np.concatenate(c) for c in zip(*(x[1] for x in held))])]
+                if len(held[0][0]) > HELD // 2:
+                    yield from rows(held)
+                    held = []
+        if held:
+            yield from rows([_summed_up(pa.concat_arrays([x[0] for x in held]), [np.concatenate(c) for c in zip(*(x[1] for x in held))])])
+
+    def rows(held: list) -> Iterator[pa.RecordBatch]:
+        (seg, columns), = held
+        whole = pa.RecordBatch.from_arrays([seg, *[pa.array(c, pa.int64()) for c in columns]], ["seg", *names])
+        for at in range(0, whole.num_rows, 10_000):
+            yield whole.slice(at, 10_000)
+
+    each = base.mapInArrow(run, "seg binary, doc long, sub long, byte long, n long")
+    return each.groupBy("seg").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "sub", "byte")).alias("at")).select("seg", "n", "at.*")
+
+
 def _blocks(docs: DataFrame, kind: type) -> DataFrame:
-    """The training state: texts in order of first occurrence (least doc_id, null first) in blocks, equal ones once."""
-    texts = docs.where("text <> ''").groupBy("text").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).cast("long").alias("doc"), F.count(F.lit(1)).alias("copies"))
-    texts = texts.withColumn("sub", F.xxhash64("text")).withColumn("text", F.encode("text", "UTF-8"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    """The training state of whole texts: equal ones once."""
+    each = _base(docs).groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "sub")).alias("at"))
+    return _packed(each.select(F.col("tokens").alias("seg"), "n", "at.doc", "at.sub", F.lit(0).cast("long").alias("byte")), kind, True)
+
+
+def _packed(segments: DataFrame, kind: type, plain: bool = False) -> DataFrame:
+    """The training state: runs of tokens in order of first occurrence in blocks. plain: the runs are bytes of texts."""
+    segments = written(segments, "bpe")
+    size = segments.agg(F.sum(F.octet_length("seg") + 32)).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, used = [], 0
         for b in batches:
-            for row in b.to_pylist():
-                if held and used + len(row["text"]) > BLOCK:
-                    yield block(held)
-                    held, used = [], 0
-                used += len(row["text"])
-                held.append(row)
-        if held:
-            yield block(held)
+            used = np.cumsum(pc.binary_length(b.column("seg")).to_numpy() + 32)
+            cuts = [0, *(np.flatnonzero(np.diff(used // BLOCK)) + 1), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    yield block(b.slice(lo, hi - lo))
+
+    def block(rows: pa.RecordBatch) -> pa.RecordBatch:
+        texts, bound = rows.column("seg").to_pylist(), np.full(1, -1, kind).tobytes()
+        tokens = _joined(texts).astype(kind).tobytes() if plain else bound + bound.join(texts) + bound
+        lists = [pa.array([rows.column(k).to_numpy()], _LONGS) for k in ("doc", "sub", "byte", "n")]
+        return pa.RecordBatch.from_arrays([pa.array([tokens], pa.binary()), *lists], ["tokens", "doc", "sub", "byte", "copies"])
+
+    parts = max(min(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // 250_000), size // BLOCK, 1)
+    return written(segments.repartition(parts).sortWithinPartitions("doc", "sub", "byte").mapInArrow(run, _STATE), "bpe")
+
+
+def _merged(tokens: np.ndarray, encoder: Encoder, links: np.ndarray, size: int) -> np.ndarray:
+    """tokens with the encoder's merges, which only happen within runs that links make: different runs are merged once."""
+    first, length, told = _runs(tokens, _among(tokens, links, size))
+    if not len(first):
+        return tokens
+    bound, code = np.full(1, -1, tokens.dtype).tobytes(), told.indices.to_numpy()
+    new = encoder.merged(np.frombuffer(bound + bound.join(told.dictionary.to_pylist()) + bound, tokens.dtype).astype(np.int32))
+    start = np.flatnonzero(new < 0)[:-1] + 1
+    size_of = np.diff(np.flatnonzero(new < 0)) - 1
+    count = np.ones(len(tokens), np.int32)  # what each place makes: a run's first one makes all of it, the others none
+    inside = np.repeat(first - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+    count[inside], count[first] = 0, size_of[code]
+    out, alone = np.empty(count.sum(), tokens.dtype), np.ones(len(tokens), bool)
+    ends, alone[inside] = np.cumsum(count), False
+    out[ends[alone] - 1] = tokens[alone]
+    made = size_of[code]
+    within = np.arange(made.sum()) - np.repeat(np.cumsum(made) - made, made)
+    out[np.repeat(ends[first] - made, made) + within] = new[np.repeat(start[code], made) + within]
+    return out
+
 
-    def block(rows: list[dict]) -> pa.RecordBatch:
-        lists = {k: [[r[k] for r in rows]] for k in ("doc", "sub", "copies")}
-        return pa.RecordBatch.from_arrays([pa.array([_joined([r["text"] for r in rows]).astype(kind).tobytes()], pa.binary()), *[pa.array(v, pa.list_(pa.int64())) for v in lists.values()]], ["tokens", *lists])
+def _links(merges: Merges) -> np.ndarray:
+    """The pairs of tokens known before merges that these make one token of."""
+    first, last = {}, {}
+    for left, right, new in merges:
+        first[new], last[new] = first.get(left, left), last.get(right, right)
+    return np.unique(np.array([last.get(left, left) << 32 | first.get(right, right) for left, right, _ in merges], np.int64))
 
-    parts = max(min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // 250_000), size // BLOCK, 1)
-    return written(texts.repartitionByRange(parts, "doc", "sub").sortWithinPartitions("doc", "sub").mapInArrow(run, _STATE), "bpe")
+
+def _counted(base: DataFrame, kind: type | None, merges: Merges, size: int) -> DataFrame:
+    """doc, sub, tokens after merges; and rows without them that have the numbers of pairs (pair, n). Without merges only these."""
+    out = _kind(size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, links = Encoder(merges), _links(merges)
+        dense = np.zeros(size * size, np.int64) if size * size <= DENSE else None
+        for doc, sub, tokens in _slices(batches, kind):
+            tokens = tokens.astype(out)
+            if merges:
+                tokens = _merged(tokens, encoder, links, size)
+                bounds = np.flatnonzero(tokens < 0)
+                offsets = np.concatenate([[0], np.cumsum(np.diff(bounds) - 1)]).astype(np.int32) * tokens.itemsize
+                held = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offsets), pa.py_buffer(tokens[tokens >= 0])])
+                none = pa.nulls(len(doc), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(sub), held, none, none], names)
+            within = (tokens[:-1] >= 0) & (tokens[1:] >= 0)
+            if dense is None:
+                code, n = np.unique((tokens[:-1].astype(np.int64) << 32 | tokens[1:])[within], return_counts=True)
+                yield stats(code, n)
+            else:
+                dense += np.bincount((tokens[:-1].astype(np.int32) * size + tokens[1:])[within], minlength=size * size)
+        if dense is not None:
+            code = np.flatnonzero(dense)
+            yield stats(code // size << 32 | code % size, dense[code])
+
+    def stats(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(code), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(code), pa.binary()), pa.array(code, pa.int64()), pa.array(n, pa.int64())], names)
+
+    names = ["doc", "sub", "tokens", "pair", "n"]
+    return base.mapInArrow(run, "doc long, sub long, tokens binary, pair long, n long")
 
 
 class _Pairs:
@@ -231,19 +394,56 @@ def train(docs: DataFrame, vocabulary: int = 4096, least: int = 2) -> DataFrame:
     """rank, left, right, new_id, n of the merges that make a vocabulary: the most frequent pair, again and again.
 
     Pairs lie within texts (doc_id, text), over whole texts; equally frequent ones go by which comes first in order of doc_id.
-    Null and empty texts have none. Equal texts are kept once, with their number. Merged sequences stay with the tasks; a
-    round, which is one job, merges all pairs whose order is certain, counts only pairs that have a token of theirs, and takes
-    those sums to the driver. A lost executor's sequences are made again from the last table written.
+    Null and empty texts have none.
+
+    A merge never makes a pair more frequent than what stood at its place before, so that two tokens whose pair is rarer than
+    some bound stay apart until the most frequent pair is rarer too. A stage counts all pairs, takes a bound of a part of the
+    greatest number, cuts the texts where pairs are rarer, and keeps different runs once, with their number and first place:
+    few, as runs are short. Merges down to the bound are made on these; then the next stage applies them to the texts. No
+    stage holds more of the texts than a slice in a task.
     """
     spark = ship(docs.sparkSession)
     if vocabulary < FIRST_MERGE:
         raise ValueError("the vocabulary is smaller than the byte vocabulary")
-    most, out, held, pairs, turn = vocabulary - FIRST_MERGE, [], None, _Pairs(), 0
+    most, out = vocabulary - FIRST_MERGE, []
     sizes = np.zeros(vocabulary + 1, np.int64)
     sizes[BYTE_OFFSET:FIRST_MERGE] = 1
-    state, batch, asked = _blocks(docs, _kind(len(sizes))), [], np.ones(len(sizes), bool)
+    size = len(sizes)
+    base, kind, made, old = _base(docs), None, 0, None
     while len(out) < most:
-        now = _round(state, batch, sizes, asked).persist()
+        path = scratch(spark, "bpe")
+        fresh = [m[1:4] for m in out[made:]]
+        _counted(base, kind, fresh, size).write.parquet(path)
+        if old:
+            discard(spark, old)
+        held = spark.read.parquet(path)
+        n = written(held.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")), "bpe")
+        if fresh:
+            base, kind, made, old = held.where("tokens is not null").select("doc", "sub", "tokens"), _kind(size), len(out), path
+        whole, top = n.agg(F.sum("n"), F.max("n")).first()
+        if (top or 0) < least:
+            break
+        if whole <= BLOCK and not out:
+            _stage(_blocks(docs, _kind(size)), out, sizes, most, least)
+            break
+        bound = max(least, top // FALL)
+        hot = np.array(sorted(r["pair"] for r in n.where(F.col("n") >= bound).select("pair").collect()), np.int64)
+        _stage(_packed(_segments(base, kind, hot, sizes, _kind(size)), _kind(size)), out, sizes, most, bound)
+    if old:
+        discard(spark, old)
+    return spark.createDataFrame(out, "rank long, left long, right long, new_id long, n long")
+
+
+def _stage(state: DataFrame, out: list[tuple], sizes: np.ndarray, most: int, least: int) -> None:
+    """Adds the merges of pairs that occur least times to out.
+
+    Merged runs stay with the tasks, on disk; a round, which is one job, merges all pairs whose order is certain, counts only
+    pairs that have a token of theirs, and takes those sums to the driver. A lost executor's runs are made again from the
+    last table written.
+    """
+    held, pairs, turn, batch, asked = None, _Pairs(), 0, [], np.ones(len(sizes), bool)
+    while len(out) < most:
+        now = _round(state, batch, sizes, asked).persist(StorageLevel.DISK_ONLY)
         pairs.renew([t for m in batch for t in m], _summed(now))
         if held is not None:
             held.unpersist()
@@ -251,11 +451,10 @@ def train(docs: DataFrame, vocabulary: int = 4096, least: int = 2) -> DataFrame:
         batch, asked = _chosen(pairs, out, sizes, most, least)
         if not batch:
             break
-        state = now.select("tokens", "doc", "sub", "copies")
+        state = now.select("tokens", "doc", "sub", "byte", "copies")
         state = state if turn % CUT_EVERY else written(state, "bpe")
     if held is not None:
         held.unpersist()
-    return spark.createDataFrame(out, "rank long, left long, right long, new_id long, n long")
 
 
 def merges_of(merges: DataFrame) -> Merges:
@@ -300,8 +499,11 @@ class Encoder:
         return np.array([i for p in parts for i in p], np.int32)
 
     def __call__(self, texts: list[str], allow_special: bool = True) -> list[np.ndarray]:
-        """Merges rank by rank over all texts at once; each place is looked at when its pair's rank comes up."""
-        token = self.base(texts, allow_special)
+        token = self.merged(self.base(texts, allow_special))
+        return np.split(token[token >= 0], np.cumsum(np.diff(np.flatnonzero(token < 0)) - 1)[:-1]) if texts else []
+
+    def merged(self, token: np.ndarray) -> np.ndarray:
+        """Merges rank by rank over all texts (-1 between and around) at once; each place is looked at when its pair's rank comes up."""
         n, none = len(token), len(self.merges)
         after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
         rank = self.ranks(token[:-1], token[1:])
@@ -332,8 +534,7 @@ class Encoder:
             cuts = np.flatnonzero(np.diff(found[order])) + 1
             for part in np.split(order, cuts) if len(order) else ():
                 later[int(found[part[0]])].append(fresh[part])
-        token = token[token != -2]
-        return np.split(token[token >= 0], np.cumsum(np.diff(np.flatnonzero(token < 0)) - 1)[:-1]) if texts else []
+        return token[token != -2]
 
 
 class Decoder:
