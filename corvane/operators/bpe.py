@@ -544,6 +544,24 @@ class Decoder:
         self.bytes = {BYTE_OFFSET + b: bytes([b]) for b in range(256)}
         for left, right, new in merges:
             self.bytes[new] = self.bytes[left] + self.bytes[right]
+        each = [self.bytes.get(i, b"") for i in range(max(self.bytes) + 1)]
+        self.flat, self.size = np.frombuffer(b"".join(each), np.uint8), np.array([len(x) for x in each])
+
+    def many(self, lists: pa.ListArray, skip_special: bool = False) -> pa.Array:
+        """Texts of lists of ids, the bytes of all at once; one by one where there are control tokens or not whole characters."""
+        ids, n = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        at = ids.to_numpy(zero_copy_only=False)
+        if not ids.null_count and (not len(at) or BYTE_OFFSET <= at.min() and at.max() < len(self.size) and self.size[at].all()):
+            size = self.size[at]
+            ends = np.cumsum(size)
+            source = np.arange(size.sum()) + np.repeat((np.cumsum(self.size) - self.size)[at] - ends + size, size)
+            offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])].astype(np.int32)
+            held = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offsets), pa.py_buffer(self.flat[source])])
+            try:
+                return pc.if_else(lists.is_valid(), held.cast(pa.string()), pa.scalar(None, pa.string()))
+            except pa.ArrowInvalid:
+                pass
+        return pa.array([None if (x := each.as_py()) is None else self(x, skip_special) for each in lists], pa.string())
 
     def __call__(self, ids: list[int], skip_special: bool = False) -> str:
         try:
@@ -564,17 +582,16 @@ class Decoder:
         return "".join(out)
 
 
-def _texts(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about limit characters, one row at least."""
-    at, held = 0, 0
-    for i, x in enumerate(batch.column(column)):
-        n = len(x.as_py() or "")
-        if i > at and held + n > limit:
-            yield batch.slice(at, i - at)
-            at, held = i, 0
-        held += n
-    if batch.num_rows > at:
-        yield batch.slice(at)
+#: Characters or ids that are encoded or decoded at once, or one text.
+AT_ONCE = 500_000
+
+
+def _parts(batch: pa.RecordBatch, sizes: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about AT_ONCE of what sizes count, one row at least."""
+    whole = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(whole // AT_ONCE)) + 1), batch.num_rows]
+    for lo, hi in zip(cuts, cuts[1:]):
+        yield batch.slice(lo, hi - lo)
 
 
 def encode(df: DataFrame, merges: DataFrame, text: str = "text", out: str = "ids", add_bos: bool = False, add_eos: bool = False, allow_special: bool = True) -> DataFrame:
@@ -590,7 +607,7 @@ def encode(df: DataFrame, merges: DataFrame, text: str = "text", out: str = "ids
         encoder = Encoder(held.value)
         first, last = [1] * add_bos, [2] * add_eos
         for b in batches:
-            for part in _texts(b, text, 2_000_000):
+            for part in _parts(b, pc.utf8_length(b.column(text))):
                 ids = encoder([x or "" for x in part.column(text).to_pylist()], allow_special)
                 whole = pa.array([np.concatenate([first, x, last]).astype(np.int32) for x in ids], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], whole], [*kept, out])
@@ -608,8 +625,8 @@ def decode(df: DataFrame, merges: DataFrame, ids: str = "ids", out: str = "decod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(held.value)
         for b in batches:
-            texts = [None if (x := each.as_py()) is None else decoder(x, skip_special) for each in b.column(ids)]  # one text's ids at a time
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(texts, pa.string())], [*kept, out])
+            for part in _parts(b, pc.list_value_length(b.column(ids))):
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], decoder.many(part.column(ids), skip_special)], [*kept, out])
 
     return df.select(*kept).mapInArrow(run, df.select(*kept).schema.add(out, T.StringType()))
 
